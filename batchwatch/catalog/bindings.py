@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ks import sorted_reference
-from ..operators.profile import profile_categories, profile_numeric
+from ..operators.profile import profile_categories, profile_numeric, stored_profile
+from ..storage import materialise
 from ..operators.sampling import reference_sample
 
 
@@ -230,4 +231,12 @@ def reference(base: DataFrame, features: list[str], row_key: list[str]) -> dict:
 
 
 def profiled(base: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, DataFrame]:
-    return profile_numeric(base, numeric), profile_categories(base, categorical)
+    return numeric_profile(base, numeric), category_profile(base, categorical)
+
+
+def numeric_profile(base: DataFrame, numeric: list[str]) -> DataFrame:
+    return stored_profile(profile_numeric(base, numeric))
+
+
+def category_profile(base: DataFrame, categorical: list[str]) -> DataFrame:
+    return materialise(profile_categories(base, categorical), "profile-categories")

@@ -34,7 +34,7 @@ _MEASURES = ("test_statistic", "p_value", "psi", "jsd")
 def _counts(spark, sf):
     """Present categories of the drifted batches and the baseline's frequencies."""
     state = D.category_state(B.events_drifted(spark, sf), _CAT, KEY)
-    return state.filter(F.col("category").isNotNull()), Pr.profile_categories(B.events_baseline(spark, sf), _CAT)
+    return state.filter(F.col("category").isNotNull()), B.category_profile(B.events_baseline(spark, sf), _CAT)
 
 
 def _ks(spark, sf, batches, base, features, key):
@@ -43,14 +43,14 @@ def _ks(spark, sf, batches, base, features, key):
 
 def _numeric(spark, sf):
     base, batches = B.events_baseline(spark, sf), B.events_drifted(spark, sf)
-    profile = Pr.profile_numeric(base, _NUM)
+    profile = B.numeric_profile(base, _NUM)
     state = D.numeric_state(batches, profile, _NUM, KEY)
     return D.numeric_drift(state, profile, _ks(spark, sf, batches, base, _NUM, ["event_id"]), KEY), state, profile
 
 
 def _categorical(spark, sf):
     state = D.category_state(B.events_drifted(spark, sf), _CAT, KEY)
-    base = Pr.profile_categories(B.events_baseline(spark, sf), _CAT)
+    base = B.category_profile(B.events_baseline(spark, sf), _CAT)
     return D.categorical_drift(state, base, KEY), state, base
 
 
@@ -60,7 +60,7 @@ def _all(spark, sf):
 
 # ── single measures ────────────────────────────────────────────────────────────────────────────
 def _lines_divergence(spark, sf):
-    base = Pr.profile_numeric(B.lines_baseline(spark, sf), B.LINES_NUMERIC)
+    base = B.numeric_profile(B.lines_baseline(spark, sf), B.LINES_NUMERIC)
     long = numeric_long(B.lines_batches(spark, sf), B.LINES_NUMERIC, KEY)
     counts = Pr.bin_counts(long, KEY, base.select("feature", "bin_edges"))
     return counts.join(base.select("feature", F.col("bin_counts").alias("base")), "feature")
@@ -69,7 +69,7 @@ def _lines_divergence(spark, sf):
 def psi(spark, sf):
     from ..functions.divergence import psi as measure
     return rounded(_lines_divergence(spark, sf).select(
-        "batch_id", "feature", measure(F.col("base"), F.col("bin_counts")).alias("psi")), "psi")
+        "batch_id", "feature", measure("base", "bin_counts").alias("psi")), "psi")
 
 
 def jsd(spark, sf):
@@ -209,7 +209,7 @@ def type_mismatch(spark, sf):
     text = B.events_drifted(spark, sf).withColumn("value", F.when(
         (F.col("batch_id") >= "2024-01-26") & (F.col("event_type") == "view"), F.lit("12 USD"))
         .otherwise(F.col("value").cast("string")))
-    profile = Pr.profile_numeric(B.events_baseline(spark, sf), _NUM)
+    profile = B.numeric_profile(B.events_baseline(spark, sf), _NUM)
     kinds = Qu.static_mismatches(text, {"value": "numeric"})
     columns = Qu.numeric_quality(D.numeric_state(text, profile, _NUM, KEY), KEY, kinds)
     return Qu.type_mismatches(columns, kinds).select("batch_id", "feature", "expected", "actual")
@@ -394,7 +394,7 @@ def display_filters(spark, sf):
 
 
 def bin_labels(spark, sf):
-    profile = Pr.profile_numeric(B.lines_baseline(spark, sf), B.LINES_NUMERIC)
+    profile = B.numeric_profile(B.lines_baseline(spark, sf), B.LINES_NUMERIC)
     return profile.select("feature", F.posexplode(X.bin_labels(F.col("bin_edges"))).alias("bin", "label"))
 
 
@@ -409,7 +409,7 @@ def distribution_compare(spark, sf):
 
 
 def distribution_compare_bins(spark, sf):
-    profile = Pr.profile_numeric(B.lines_baseline(spark, sf), B.LINES_NUMERIC)
+    profile = B.numeric_profile(B.lines_baseline(spark, sf), B.LINES_NUMERIC)
     state = D.numeric_state(B.lines_batches(spark, sf), profile, B.LINES_NUMERIC, KEY)
     return Hi.compare_bins(profile, state, KEY)
 
@@ -477,7 +477,7 @@ _EVENTS_CAT = [B.EVENTS_DRIFTED_SQL, *Q.categorical_drift(_CAT)]
 _EVENTS_ALL = [B.EVENTS_DRIFTED_SQL, *Q.drift(_NUM, _CAT)]
 _ROW = "event_id, ts, user_id, event_type, value, props"
 _EVENTS_QUALITY = [*_EVENTS_ALL, *Q.quality(_NUM, _CAT, _ROW)]
-_LINES_NUM = [B.LINES_SQL, *Q.numeric_drift(B.LINES_NUMERIC)]
+_LINES_NUM = [B.LINES_SQL, *Q.numeric_drift(B.LINES_NUMERIC, B.LINES_KEY)]
 _DRIFT_COLUMNS = """batch_id, feature, feature_type, test_name, round(stat, 6) AS test_statistic, round(p, 6) AS p_value,
   round(psi, 6) AS psi, round(jsd, 6) AS jsd, n0 AS n_baseline, n1 AS n_current, n_unseen, status"""
 _RANK = "CASE status WHEN 'HIGH' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'NONE' THEN 2 ELSE 3 END"
@@ -619,7 +619,7 @@ UNION ALL SELECT DISTINCT batch_id, 'props', 'CATEGORICAL', 'CHI2', NULL, 'INSUF
     "drift_numeric_features": Q.with_(*_EVENTS_NUM) + f"SELECT {_DRIFT_COLUMNS} FROM nd",
     "drift_categorical_features": Q.with_(*_EVENTS_CAT) + f"SELECT {_DRIFT_COLUMNS} FROM cd",
     "drift_report": Q.with_(*_EVENTS_ALL) + f"SELECT {_DRIFT_COLUMNS}, {_RANK} AS severity FROM dr",
-    "drift_report_lineitem": Q.with_(B.LINES_SQL, *Q.drift(B.LINES_NUMERIC, B.LINES_CATEGORICAL)) + f"SELECT {_DRIFT_COLUMNS} FROM dr",
+    "drift_report_lineitem": Q.with_(B.LINES_SQL, *Q.drift(B.LINES_NUMERIC, B.LINES_CATEGORICAL, B.LINES_KEY)) + f"SELECT {_DRIFT_COLUMNS} FROM dr",
     "status_counts": Q.with_(*_EVENTS_ALL, Q.ROLLUP) + "SELECT * FROM roll",
     "drift_rollup": Q.with_(*_EVENTS_ALL, Q.ROLLUP) + "SELECT * FROM rolled",
     "worst_first": Q.with_(B.RUNS_SQL, B.FEATURES_SQL) + f"""SELECT run_id, feature, status, round(psi, 6) AS psi, {_RANK} AS severity FROM feature_results""",
@@ -726,7 +726,7 @@ SELECT {_clause('p', 'k')} AS clause, count(*) AS n FROM x GROUP BY 1""",
   CASE status WHEN 'HIGH' THEN '✕' WHEN 'MODERATE' THEN '▲' WHEN 'NONE' THEN '✓' ELSE '–' END AS icon,
   CASE status WHEN 'HIGH' THEN 'High' WHEN 'MODERATE' THEN 'Moderate' WHEN 'NONE' THEN 'No drift' ELSE 'Not enough data' END AS label
 FROM feature_results""",
-    "bin_labels": Q.with_(*_LINES_NUM[:4]) + """SELECT feature, i - 1 AS bin, concat(format('{:,.1f}', eds[i]), '–', format('{:,.1f}', eds[i + 1])) AS label
+    "bin_labels": Q.with_(*_LINES_NUM[:6]) + """SELECT feature, i - 1 AS bin, concat(format('{:,.1f}', eds[i]), '–', format('{:,.1f}', eds[i + 1])) AS label
 FROM (SELECT feature, eds, unnest(range(1, len(eds))) AS i FROM prof)""",
     "summary_rows": Q.with_(*_LINES_NUM[:3]) + "".join([
         ", s AS (SELECT feature, avg(v) AS a, stddev_pop(v) AS b, min(v) AS c, quantile_cont(v, 0.25) AS d, quantile_cont(v, 0.5) AS e,"
@@ -740,7 +740,7 @@ FROM (SELECT feature, eds, unnest(range(1, len(eds))) AS i FROM prof)""",
                 "Mean", "Std deviation", "Minimum", "25th percentile", "Median", "75th percentile", "Maximum", "Missing %"))))]),
     "distribution_compare": Q.with_(*_ALIGNED) + """SELECT feature, category, round_even(100.0 * n_baseline / sum(n_baseline) OVER w, 2) AS baseline_pct,
   round_even(100.0 * n_current / sum(n_current) OVER w, 2) AS current_pct FROM al WINDOW w AS (PARTITION BY feature)""",
-    "distribution_compare_bins": Q.with_(*_LINES_NUM[:7]) + """SELECT batch_id, feature, CAST(cell AS BIGINT) AS bin,
+    "distribution_compare_bins": Q.with_(*_LINES_NUM[:9]) + """SELECT batch_id, feature, CAST(cell AS BIGINT) AS bin,
   concat(format('{:,.1f}', eds[CAST(cell AS BIGINT) + 1]), '–', format('{:,.1f}', eds[CAST(cell AS BIGINT) + 2])) AS label,
   b AS baseline, c AS current FROM cells JOIN prof USING (feature)""",
     "run_monitoring": Q.with_(*_RUN_SQL) + _RUN_SELECT + " FROM h3",

@@ -94,7 +94,7 @@ chi AS (SELECT batch_id, feature, k, CASE WHEN k < 2 THEN 0.0 ELSE s END AS chi2
   CASE WHEN k < 2 THEN 1.0 ELSE {chi2_p('s', '(k - 1)')} END AS p FROM chi_s)"""
 
 # pooled empirical distribution functions; the baseline is repeated per batch
-KS = """pool AS (SELECT batch_id, feature, v, 0 AS side FROM bt JOIN bl USING (feature) WHERE v IS NOT NULL
+KS = """pool AS (SELECT batch_id, feature, v, 0 AS side FROM bt JOIN rl USING (feature) WHERE v IS NOT NULL
   UNION ALL SELECT batch_id, feature, v, 1 AS side FROM cl WHERE v IS NOT NULL),
 pv AS (SELECT batch_id, feature, v, sum(1 - side) AS x0, sum(side) AS x1 FROM pool GROUP BY batch_id, feature, v),
 cum AS (SELECT batch_id, feature, sum(x0) OVER w AS f0, sum(x1) OVER w AS f1,
@@ -119,10 +119,15 @@ def status(psi: str, jsd: str, p: str, n0: str, n1: str) -> str:
             f"ELSE ['NONE', 'MODERATE', 'HIGH'][1 + CASE WHEN {mag} = 0 THEN 0 WHEN {p} < 0.05 THEN {mag} ELSE {mag} - 1 END] END)")
 
 
-def numeric_drift(features: list[str]) -> list[str]:
+def sample(key: list[str], cap: int = 50_000) -> str:
+    text = ", ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    return f"ref AS (SELECT * FROM base ORDER BY md5(concat_ws('|', '42', {text})) LIMIT {cap})"
+
+
+def numeric_drift(features: list[str], key: list[str] | None = None) -> list[str]:
     """Blocks ending in nd: one row per batch and numeric feature."""
     return [numeric_rows("bl", "base", features), numeric_rows("cl", "batch", features, "batch_id, "),
-            PROFILE, BASE_BINS, BATCH_BINS, BIN_CELLS, divergence(), KS,
+            sample(key or ["event_id"]), numeric_rows("rl", "ref", features), PROFILE, BASE_BINS, BATCH_BINS, BIN_CELLS, divergence(), KS,
             f"""nd AS (SELECT bt.batch_id, bt.feature, 'NUMERIC' AS feature_type, 'KS' AS test_name,
   coalesce(d, 0.0) AS stat, coalesce(p, 1.0) AS p, psi, jsd, n0, n1, 0 AS n_unseen,
   {status('psi', 'jsd', 'coalesce(p, 1.0)', 'n0', 'n1')} AS status
@@ -143,9 +148,9 @@ def categorical_drift(features: list[str]) -> list[str]:
   LEFT JOIN chi USING (batch_id, feature) LEFT JOIN uns USING (batch_id, feature))"""]
 
 
-def drift(numeric: list[str], categorical: list[str]) -> list[str]:
+def drift(numeric: list[str], categorical: list[str], key: list[str] | None = None) -> list[str]:
     """Blocks ending in dr: every feature of every batch."""
-    return [*numeric_drift(numeric), *categorical_drift(categorical),
+    return [*numeric_drift(numeric, key), *categorical_drift(categorical),
             "dr AS (SELECT * FROM nd UNION ALL SELECT * FROM cd)"]
 
 

@@ -1,4 +1,4 @@
-"""PSI and Jensen-Shannon divergence over two aligned count arrays."""
+"""PSI and Jensen-Shannon divergence, as SQL expressions over named columns."""
 
 from __future__ import annotations
 
@@ -7,50 +7,55 @@ from pyspark.sql import functions as F
 
 from ..schemas import EPSILON
 
+_EPS = f"{EPSILON:.4f}D"
 
-def _sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
+def psi_term(expected: str, actual: str) -> str:
+    return f"(({actual}) - ({expected})) * ln(({actual}) / ({expected}))"
 
-def proportions(counts: Column) -> Column:
-    """Counts over their total; an all-zero array stays zero."""
-    total = _sum(counts)
-    return F.transform(
-        counts, lambda x: F.when(total > 0, x.cast("double") / total).otherwise(F.lit(0.0)))
 
+def jsd_term(p: str, q: str) -> str:
+    """One cell of 0.5*KL(p|m) + 0.5*KL(q|m) in bits, m being the mean of p and q."""
+    mean = f"((({p}) + ({q})) / 2.0D)"
+    return f"0.5D * (({p}) * log2(({p}) / {mean}) + ({q}) * log2(({q}) / {mean}))"
 
-def smooth(props: Column, epsilon: float = EPSILON) -> Column:
-    """Add epsilon to every proportion and renormalise."""
-    total = _sum(props) + F.size(props) * F.lit(epsilon)
-    return F.transform(props, lambda x: (x + epsilon) / total)
 
+def clamp_unit(c: str) -> str:
+    return f"greatest(0.0D, least(1.0D, {c}))"
 
-def psi_term(expected: Column, actual: Column) -> Column:
-    return (actual - expected) * F.ln(actual / expected)
 
+def _total(counts: str) -> str:
+    return f"aggregate({counts}, 0.0D, (acc, x) -> acc + x)"
 
-def jsd_term(p: Column, q: Column) -> Column:
-    """One cell of 0.5*KL(p|m) + 0.5*KL(q|m) in bits."""
-    m = (p + q) / 2.0
-    return 0.5 * (p * F.log2(p / m) + q * F.log2(q / m))
 
+def _smoothed(counts: str) -> str:
+    """Proportions plus epsilon, renormalised; all-zero counts have proportions of zero.
 
-def clamp_unit(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    The total is bound once by transforming a one-element array, not once per bin.
+    """
+    return (
+        f"flatten(transform(array({_total(counts)}), t -> transform({counts}, x -> "
+        f"((CASE WHEN t > 0 THEN x / t ELSE 0.0D END) + {_EPS}) "
+        f"/ ((CASE WHEN t > 0 THEN 1.0D ELSE 0.0D END) + size({counts}) * {_EPS}))))")
 
 
-def _checked(baseline: Column, current: Column, value: Column) -> Column:
-    return F.when(
-        F.size(baseline) != F.size(current),
-        F.raise_error(F.lit("both sides need the same number of bins")).cast("double"),
-    ).when(F.size(baseline) <= 0, F.lit(0.0)).otherwise(value)
+def _measure(baseline: str, current: str, term: str) -> str:
+    cells = f"zip_with({_smoothed(baseline)}, {_smoothed(current)}, (e, a) -> {term})"
+    return f"aggregate({cells}, 0.0D, (acc, x) -> acc + x)"
 
 
-def psi(baseline: Column, current: Column) -> Column:
-    cells = F.zip_with(smooth(proportions(baseline)), smooth(proportions(current)), psi_term)
-    return _checked(baseline, current, _sum(cells))
+def _checked(baseline: str, current: str, value: str) -> Column:
+    return F.expr(
+        f"CASE WHEN size({baseline}) <> size({current}) THEN "
+        "CAST(raise_error('both sides need the same number of bins') AS DOUBLE) "
+        f"WHEN size({baseline}) <= 0 THEN 0.0D ELSE {value} END")
 
 
-def jsd(baseline: Column, current: Column) -> Column:
-    cells = F.zip_with(smooth(proportions(baseline)), smooth(proportions(current)), jsd_term)
-    return _checked(baseline, current, clamp_unit(_sum(cells)))
+def psi(baseline: str, current: str) -> Column:
+    """Population stability index of two count arrays over the same bins."""
+    return _checked(baseline, current, _measure(baseline, current, psi_term("e", "a")))
+
+
+def jsd(baseline: str, current: str) -> Column:
+    """Base-2 Jensen-Shannon divergence of two count arrays, between 0 and 1."""
+    return _checked(baseline, current, clamp_unit(_measure(baseline, current, jsd_term("e", "a"))))

@@ -1,4 +1,4 @@
-"""Tail probabilities as Column expressions.
+"""Tail probabilities as SQL expressions over named columns.
 
 Kolmogorov: the limiting series with Stephens' small-sample correction. Chi-square: the
 regularised incomplete gamma function for integer and half-integer shape, by its power series
@@ -9,78 +9,56 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WILSON_HILFERTY_DOF = 4000
+_PAIR = "named_struct('t', 1.0D, 's', {start})"
+_SERIES = ("aggregate(sequence(1, {terms}), " + _PAIR.format(start="1.0D") + ", (acc, n) -> "
+           "named_struct('t', acc.t * ({x}) / (({a}) + n), 's', acc.s + acc.t * ({x}) / (({a}) + n)), acc -> acc.s)")
 
 
-def ks_pvalue(d: Column, n0: Column, n1: Column) -> Column:
+def ks_pvalue(d: str, n0: str, n1: str) -> Column:
     """Two-sided two-sample Kolmogorov-Smirnov p-value."""
-    en = F.sqrt((n0.cast("double") * n1) / (n0 + n1))
-    lam = (en + 0.12 + 0.11 / en) * d
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
-        lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        * F.exp(F.lit(-2.0) * k * k * lam * lam))
-    return F.when(lam < 0.2, F.lit(1.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
+    en = f"sqrt(CAST({n0} AS DOUBLE) * ({n1}) / (({n0}) + ({n1})))"
+    lam = f"(({en} + 0.12D + 0.11D / {en}) * ({d}))"
+    series = ("aggregate(sequence(1, 100), 0.0D, (acc, k) -> acc + "
+              "(CASE WHEN k % 2 = 1 THEN 1.0D ELSE -1.0D END) * exp(-2.0D * k * k * l * l))")
+    return F.expr(
+        f"element_at(transform(array({lam}), l -> CASE WHEN l < 0.2D THEN 1.0D "
+        f"ELSE greatest(0.0D, least(1.0D, 2.0D * {series})) END), 1)")
 
 
-def _ln_gamma(a: Column) -> Column:
+def _ln_gamma(a: str) -> str:
     """ln Gamma(a) for a = 1/2, 1, 3/2, ...: a sum of logarithms down to 1/2 or 1."""
-    base = F.when(a == F.floor(a), F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi)))
-    first = F.when(a == F.floor(a), F.lit(1.0)).otherwise(F.lit(0.5))
-    steps = (a - first).cast("int")
-    return base + F.when(steps >= 1, F.aggregate(
-        F.sequence(F.lit(0), steps - 1), F.lit(0.0),
-        lambda acc, i: acc + F.ln(first + i))).otherwise(F.lit(0.0))
+    first = f"(CASE WHEN {a} = floor({a}) THEN 1.0D ELSE 0.5D END)"
+    base = f"(CASE WHEN {a} = floor({a}) THEN 0.0D ELSE {0.5 * math.log(math.pi)!r}D END)"
+    return (f"({base} + CASE WHEN {a} - {first} >= 1 THEN aggregate(sequence(0, CAST({a} - {first} AS INT) - 1), 0.0D, "
+            f"(acc, i) -> acc + ln({first} + i)) ELSE 0.0D END)")
 
 
-def _erfc_sqrt(x: Column) -> Column:
-    """erfc(sqrt(x)) for x > 1: power series up to 25, leading asymptotic terms beyond."""
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(120)),
-        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda acc, n: F.struct(
-            (acc["t"] * x / (n + 0.5)).alias("t"),
-            (acc["s"] + acc["t"] * x / (n + 0.5)).alias("s")),
-        lambda acc: acc["s"])
-    lower = F.exp(-x) * F.sqrt(x) * 2.0 / math.sqrt(math.pi) * series
-    tail = F.exp(-x) / F.sqrt(x * math.pi) * (1.0 - 0.5 / x + 0.75 / (x * x))
-    return F.when(x < 25.0, F.greatest(F.lit(0.0), 1.0 - lower)).otherwise(tail)
+def _erfc_sqrt(x: str) -> str:
+    """erfc(sqrt(x)): power series up to 25, leading asymptotic terms beyond."""
+    lower = f"exp(-({x})) * sqrt({x}) * {2.0 / math.sqrt(math.pi)!r}D * " + _SERIES.format(
+        terms=120, x=x, a="0.5D")
+    tail = f"exp(-({x})) / sqrt(({x}) * {math.pi!r}D) * (1.0D - 0.5D / ({x}) + 0.75D / (({x}) * ({x})))"
+    return f"(CASE WHEN ({x}) < 25.0D THEN greatest(0.0D, 1.0D - {lower}) ELSE {tail} END)"
 
 
-def chi2_pvalue(stat: Column, dof: Column) -> Column:
-    """P(chi-square with dof degrees of freedom >= stat)."""
-    a, x = dof / 2.0, stat / 2.0
-    terms = (F.lit(80) + 12 * F.sqrt(a)).cast("int")
-    lower = F.aggregate(
-        F.sequence(F.lit(1), terms),
-        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda acc, n: F.struct(
-            (acc["t"] * x / (a + n)).alias("t"),
-            (acc["s"] + acc["t"] * x / (a + n)).alias("s")),
-        lambda acc: acc["s"])
-    left = 1.0 - F.exp(-x + a * F.ln(x) - _ln_gamma(a + 1.0)) * lower
-
-    whole = a == F.floor(a)
-    steps = F.floor(a).cast("int")
-    upper = F.when(steps >= 1, F.aggregate(
-        F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
-        F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
-        lambda acc, n: F.struct(
-            (acc["t"] * (a - n) / x).alias("t"), (acc["s"] + acc["t"]).alias("s")),
-        lambda acc: acc["s"])).otherwise(F.lit(0.0))
-    right = F.exp((a - 1.0) * F.ln(x) - x - _ln_gamma(a)) * upper + F.when(
-        whole, F.lit(0.0)).otherwise(_erfc_sqrt(x))
-
+def with_chi2_pvalue(df: DataFrame, stat: str, dof: str, out: str = "p_value") -> DataFrame:
+    """Add P(chi-square with ``dof`` degrees of freedom >= ``stat``); 1 where dof is below 1."""
+    half = df.withColumns({"_a": F.expr(f"{dof} / 2.0D"), "_x": F.expr(f"{stat} / 2.0D")})
+    left = ("1.0D - exp(-_x + _a * ln(_x) - " + _ln_gamma("(_a + 1.0D)") + ") * "
+            + _SERIES.format(terms="80 + CAST(12 * sqrt(_a) AS INT)", x="_x", a="_a"))
+    downward = ("CASE WHEN _a >= 1 THEN aggregate(sequence(1, CAST(floor(_a) AS INT)), "
+                + _PAIR.format(start="0.0D")
+                + ", (acc, n) -> named_struct('t', acc.t * (_a - n) / _x, 's', acc.s + acc.t), acc -> acc.s) ELSE 0.0D END")
+    right = (f"exp((_a - 1.0D) * ln(_x) - _x - {_ln_gamma('_a')}) * ({downward}) + "
+             f"CASE WHEN _a = floor(_a) THEN 0.0D ELSE {_erfc_sqrt('_x')} END")
     # Wilson-Hilferty: the cube root of chi-square/dof is close to normal for large dof
-    z = (F.pow(stat / dof, F.lit(1.0 / 3.0)) - (1.0 - 2.0 / (9.0 * dof))) / F.sqrt(2.0 / (9.0 * dof))
-    half = F.greatest(z * z / 2.0, F.lit(1e-12))
-    normal = F.when(z > 0, 0.5 * _erfc_sqrt(half)).otherwise(1.0 - 0.5 * _erfc_sqrt(half))
-    p = (F.when(stat <= 0, F.lit(1.0))
-         .when(dof > _WILSON_HILFERTY_DOF, normal)
-         .when(x <= a + 1.0, left)
-         .otherwise(right))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    z = f"((pow({stat} / {dof}, 1.0D / 3.0D) - (1.0D - 2.0D / (9.0D * {dof}))) / sqrt(2.0D / (9.0D * {dof})))"
+    tail = _erfc_sqrt(f"greatest({z} * {z} / 2.0D, 1e-12D)")
+    normal = f"CASE WHEN {z} > 0 THEN 0.5D * {tail} ELSE 1.0D - 0.5D * {tail} END"
+    p = (f"CASE WHEN {dof} < 1 OR {stat} <= 0 THEN 1.0D WHEN {dof} > {_WILSON_HILFERTY_DOF} THEN {normal} "
+         f"WHEN _x <= _a + 1.0D THEN {left} ELSE {right} END")
+    return half.withColumn(out, F.expr(f"greatest(0.0D, least(1.0D, {p}))")).drop("_a", "_x")

@@ -11,160 +11,178 @@ and the only join is an equi-join of batch counts with baseline counts on (featu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.divergence import clamp_unit, jsd_term, psi_term
-from ..functions.pvalues import chi2_pvalue
+from ..functions.pvalues import with_chi2_pvalue
 from ..schemas import EPSILON, MIN_EXPECTED_CELL
 
+_EPS = f"{EPSILON:.4f}D"
 
-def _absent_psi(p: Column) -> Column:
-    """PSI of a baseline share the batch lacks, times (1 + k*epsilon)."""
-    return psi_term(p + EPSILON, F.lit(EPSILON))
 
+def _absent(term, share: str) -> str:
+    """A measure's term for a baseline share the batch lacks, times (1 + k*epsilon)."""
+    return term(f"{share} + {_EPS}", _EPS)
 
-def _absent_jsd(p: Column) -> Column:
-    return jsd_term(p + EPSILON, F.lit(EPSILON))
 
+def baseline_counts_by_size(base_counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, at) -> m categories with that count, s their sum, and the baseline's totals b0, k0.
 
-def baseline_shares(base_counts: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(feature, category, b, p) and per-feature totals (b0, k0, w_psi, w_jsd)."""
-    keys = keys or ["feature"]
-    totals = base_counts.groupBy(*keys).agg(F.sum("n").alias("b0"))
-    shares = base_counts.join(totals, keys).select(
-        *keys, "category", F.col("n").alias("b"), (F.col("n") / F.col("b0")).alias("p"))
-    totals = shares.groupBy(*keys).agg(
-        F.sum("b").alias("b0"), F.count("*").alias("k0"),
-        F.sum(_absent_psi(F.col("p"))).alias("w_psi"),
-        F.sum(_absent_jsd(F.col("p"))).alias("w_jsd"))
+    A baseline of n rows has at most about sqrt(2n) different counts, so a feature's list is short
+    enough for one window.
+    """
+    by_size = base_counts.groupBy(*keys, F.col("n").alias("at")).agg(
+        F.count("*").alias("m"), F.sum("n").alias("s"))
+    w = Window.partitionBy(*keys)
+    return by_size.withColumns({"b0": F.sum("s").over(w), "k0": F.sum("m").over(w)})
+
+
+def baseline_totals(by_size: DataFrame, keys: list[str]) -> DataFrame:
+    """Per feature: rows, categories, and the measures' totals over absent categories."""
+    return by_size.groupBy(*keys).agg(
+        F.max("b0").alias("b0"), F.max("k0").alias("k0"),
+        F.expr(f"sum(m * ({_absent(psi_term, 'at / b0')}))").alias("w_psi"),
+        F.expr(f"sum(m * ({_absent(jsd_term, 'at / b0')}))").alias("w_jsd"))
+
+
+def baseline_shares(base_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(feature, category, b, p) and per-feature totals (b0, k0)."""
+    totals = baseline_totals(baseline_counts_by_size(base_counts, ["feature"]), ["feature"])
+    shares = base_counts.join(totals, "feature").select(
+        "feature", "category", F.col("n").alias("b"), (F.col("n") / F.col("b0")).alias("p"))
     return shares, totals
 
 
+def _sizes(batch_counts: DataFrame, totals: DataFrame, group: list[str],
+           feature_keys: list[str]) -> DataFrame:
+    """Totals of both sides per batch and feature, and the count a category needs to be kept."""
+    return batch_counts.groupBy(*group).agg(F.sum("n").alias("c0")).join(
+        totals, feature_keys, "left").fillna(0, ["b0", "k0", "w_psi", "w_jsd"]).withColumn(
+        "limit", F.expr(
+            f"CASE WHEN least(b0, c0) > 0 THEN ceil({MIN_EXPECTED_CELL} * (b0 + c0) / least(b0, c0)) END"))
+
+
+def _cells(batch_counts: DataFrame, base_counts: DataFrame, group: list[str],
+           feature_keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Every category of every batch with its baseline count b (0 if unseen) and all totals."""
+    base = base_counts.select(*feature_keys, "category", F.col("n").alias("b"))
+    return (batch_counts.withColumnRenamed("n", "c")
+            .join(base, [*feature_keys, "category"], "left").join(sizes, group)
+            .withColumns({"seen": F.col("b").isNotNull(), "b": F.coalesce("b", F.lit(0))})
+            .withColumns({
+                "p": F.expr("CASE WHEN seen THEN b / b0 ELSE 0.0D END"), "q": F.expr("c / c0"),
+                "kept": F.expr("coalesce(b + c >= limit, false)"),
+                "base_kept": F.expr("coalesce(b >= limit, false)"),
+                # squared difference of observed and expected: the same in both rows of a column
+                "dev2": F.expr("pow(b - CAST(b0 AS DOUBLE) * (b + c) / (b0 + c0), 2.0D)")}))
+
+
+def _divergence_sums() -> list:
+    psi, jsd = (f"sum({term(f'p + {_EPS}', f'q + {_EPS}')} - CASE WHEN seen THEN {_absent(term, 'p')} ELSE 0.0D END)"
+                for term in (psi_term, jsd_term))
+    return [F.expr(psi).alias("d_psi"), F.expr(jsd).alias("d_jsd"),
+            F.count_if(~F.col("seen")).alias("n_unseen"),
+            *[F.max(c).alias(c) for c in ("c0", "b0", "k0", "w_psi", "w_jsd")]]
+
+
+def _divergence_columns() -> list:
+    scale = f"(1.0D + (k0 + n_unseen) * {_EPS})"
+    return [F.expr(f"greatest(0.0D, (w_psi + d_psi) / {scale})").alias("psi"),
+            F.expr(clamp_unit(f"(w_jsd + d_jsd) / {scale}")).alias("jsd"),
+            "n_unseen", F.col("c0").alias("n_current")]
+
+
 def category_divergence(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str],
                         feature_keys: list[str] | None = None) -> DataFrame:
-    """keys + feature: psi, jsd, n_current, n_unseen over the union of category sets.
+    """keys + feature: psi, jsd, n_unseen, n_current over the union of category sets.
 
     ``batch_counts`` has keys, feature, category, n; ``base_counts`` feature, category, n.
     """
     feature_keys = feature_keys or ["feature"]
-    shares, totals = baseline_shares(base_counts, feature_keys)
     group = [*keys, *[k for k in feature_keys if k not in keys]]
-    sizes = batch_counts.groupBy(*group).agg(
-        F.sum("n").alias("n_current"), F.count("*").alias("k1"))
-    hit = (batch_counts.join(shares, [*feature_keys, "category"], "left")
-           .join(sizes, group).join(totals, feature_keys))
-    # smoothed shares share the factor 1/(1 + k*epsilon); it is applied once at the end
-    q = F.col("n") / F.col("n_current")
-    p = F.coalesce(F.col("p"), F.lit(0.0))
-    seen = F.col("p").isNotNull()
-    parts = hit.groupBy(*group).agg(
-        F.sum(psi_term(p + EPSILON, q + EPSILON) - F.when(seen, _absent_psi(p)).otherwise(F.lit(0.0))
-              ).alias("d_psi"),
-        F.sum(jsd_term(p + EPSILON, q + EPSILON) - F.when(seen, _absent_jsd(p)).otherwise(F.lit(0.0))
-              ).alias("d_jsd"),
-        F.count_if(~seen).alias("n_unseen"),
-        F.max("n_current").alias("n_current"), F.max("k0").alias("k0"),
-        F.max("w_psi").alias("w_psi"), F.max("w_jsd").alias("w_jsd"))
-    scale = 1.0 + (F.col("k0") + F.col("n_unseen")) * EPSILON
-    return parts.select(
-        *group,
-        F.greatest(F.lit(0.0), (F.col("w_psi") + F.col("d_psi")) / scale).alias("psi"),
-        clamp_unit((F.col("w_jsd") + F.col("d_jsd")) / scale).alias("jsd"),
-        "n_current", "n_unseen")
+    totals = baseline_totals(baseline_counts_by_size(base_counts, feature_keys), feature_keys)
+    sizes = _sizes(batch_counts, totals, group, feature_keys)
+    cells = _cells(batch_counts, base_counts, group, feature_keys, sizes)
+    return cells.groupBy(*group).agg(*_divergence_sums()).select(*group, *_divergence_columns())
 
 
-def chi_square(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys + feature: chi2, p_value, columns. 2 x k independence test of batch and baseline.
+def category_scores(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + feature: psi, jsd, chi2, p_value, columns, n_unseen, n_current.
 
-    Categories whose smaller expected cell is under five are pooled first, that is, those whose
-    two counts together stay under a limit set by the two totals. A category only the baseline
-    has is judged by its baseline count alone, so how many of those reach the limit, and their
-    sum, comes from the baseline's running totals by count. With two columns left, Yates'
-    correction takes up to one half off the deviation, which is the same in all four cells.
+    Chi-square is the 2 x k independence test of batch and baseline. Categories whose smaller
+    expected cell is under five are pooled first, that is, those whose two counts together stay
+    under a limit set by the two totals. A category only the baseline has is judged by its
+    baseline count alone, so how many of those reach the limit, and their sum, comes from the
+    baseline's running totals by count. With two columns left, Yates' correction takes up to one
+    half off the deviation, which is the same in all four cells.
     """
-    base = base_counts.select("feature", "category", F.col("n").alias("b"))
-    totals = base.groupBy("feature").agg(F.sum("b").alias("b0"))
     group = [*keys, "feature"]
-    sizes = batch_counts.groupBy(*group).agg(F.sum("n").alias("c0")).join(
-        totals, "feature", "left").fillna(0, ["b0"])
-    small, grand = F.least("b0", "c0"), F.col("b0") + F.col("c0")
-    sizes = sizes.withColumn("grand", grand.cast("double")).withColumn("limit", F.when(
-        small > 0, F.ceil(MIN_EXPECTED_CELL * grand / small)))
-
-    cells = batch_counts.join(base, ["feature", "category"], "left").join(sizes, group)
-    b, c = F.coalesce(F.col("b"), F.lit(0)), F.col("n")
-    is_kept = F.coalesce(b + c >= F.col("limit"), F.lit(False))
-    base_kept = F.coalesce(b >= F.col("limit"), F.lit(False))
-
-    def total(condition: Column, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
-
-    present = cells.groupBy(*group).agg(
-        F.count_if(is_kept).alias("kept_n"),
-        total(is_kept, b).alias("kept_b"), total(is_kept, c).alias("kept_c"),
-        total(is_kept, _column_chi(b, c)).alias("chi"),
-        total(is_kept, _deviation2(b, c)).alias("dev2"),
-        F.count_if(base_kept).alias("base_n"), total(base_kept, b).alias("base_b"),
-        F.max("b0").alias("b0"), F.max("c0").alias("c0"), F.max("grand").alias("grand"),
-        F.max("limit").alias("limit"))
-    step = present.join(_reached(sizes, base), ["feature", "limit"], "left").fillna(
+    by_size = baseline_counts_by_size(base_counts, ["feature"])
+    totals = baseline_totals(by_size, ["feature"])
+    sizes = _sizes(batch_counts, totals, group, ["feature"])
+    # the look-up joins the small table of totals, before the categories meet it
+    sizes = sizes.join(_reached(sizes, by_size), ["feature", "limit"], "left").fillna(
         0, ["reach_n", "reach_b"])
-    step = (
-        step.withColumn("absent_n", F.col("reach_n") - F.col("base_n"))
-        .withColumn("absent_b", F.col("reach_b") - F.col("base_b"))
-        .withColumn("pool_b", F.col("b0") - F.col("kept_b") - F.col("absent_b"))
-        .withColumn("pool_c", F.col("c0") - F.col("kept_c"))
-        .withColumn("pooled", F.col("pool_b") + F.col("pool_c") > 0)
-        .withColumn("columns", F.col("kept_n") + F.col("absent_n") + F.col("pooled").cast("long"))
-        .withColumn("defined", (F.col("columns") >= 2) & (F.col("b0") > 0) & (F.col("c0") > 0)))
-    # a kept column the batch lacks adds b * c0 / b0 to the statistic
-    pool = (F.col("pool_b"), F.col("pool_c"))
-    chi = (F.col("chi") + F.col("absent_b") * F.col("c0") / F.col("b0")
-           + F.when(F.col("pooled"), _column_chi(*pool)).otherwise(0.0))
-    dev2 = (F.col("dev2")
-            + F.pow(F.col("absent_b") * F.col("c0") / F.col("grand"), F.lit(2.0))
-            + F.when(F.col("pooled"), _deviation2(*pool)).otherwise(0.0))
-    dev = F.sqrt(dev2 / 2.0)
-    corrected = F.when(dev <= 0.5, F.lit(0.0)).otherwise(
-        chi * F.pow((dev - 0.5) / dev, F.lit(2.0)))
-    out = step.withColumn("chi2", F.when(~F.col("defined"), F.lit(0.0)).when(
-        F.col("columns") == 2, corrected).otherwise(chi))
-    return out.select(
-        *group, "chi2",
-        F.when(F.col("defined"), chi2_pvalue(
-            F.col("chi2"), (F.col("columns") - 1).cast("double"))).otherwise(F.lit(1.0))
-        .alias("p_value"),
-        F.col("columns"), F.col("c0").alias("n_current"))
-
-
-def _deviation2(b: Column, c: Column) -> Column:
-    """Squared difference of observed and expected; the same in both rows of a column."""
-    return F.pow(b - F.col("b0") * (b + c) / F.col("grand"), F.lit(2.0))
-
-
-def _column_chi(b: Column, c: Column) -> Column:
-    scale = F.col("grand") / (b + c)
-    return _deviation2(b, c) * scale * (F.lit(1.0) / F.col("b0") + F.lit(1.0) / F.col("c0"))
-
-
-def _reached(sizes: DataFrame, base: DataFrame) -> DataFrame:
+    cells = _cells(batch_counts, base_counts, group, ["feature"], sizes)
+    column_chi = "dev2 * (CAST(b0 + c0 AS DOUBLE) / (b + c)) * (1.0D / b0 + 1.0D / c0)"
+    sums = cells.groupBy(*group).agg(
+        *_divergence_sums(),
+        F.count_if("kept").alias("kept_n"),
+        F.expr("coalesce(sum(CASE WHEN kept THEN b END), 0)").alias("kept_b"),
+        F.expr("coalesce(sum(CASE WHEN kept THEN c END), 0)").alias("kept_c"),
+        F.expr(f"coalesce(sum(CASE WHEN kept THEN {column_chi} END), 0.0D)").alias("chi"),
+        F.expr("coalesce(sum(CASE WHEN kept THEN dev2 END), 0.0D)").alias("dev2"),
+        F.count_if("base_kept").alias("base_n"),
+        F.expr("coalesce(sum(CASE WHEN base_kept THEN b END), 0)").alias("base_b"),
+        F.max("reach_n").alias("reach_n"), F.max("reach_b").alias("reach_b"))
+    step = sums.withColumns({
+        "absent_n": F.expr("reach_n - base_n"), "absent_b": F.expr("reach_b - base_b"),
+    }).withColumns({
+        "pool_b": F.expr("b0 - kept_b - absent_b"), "pool_c": F.expr("c0 - kept_c"),
+    }).withColumns({
+        "pooled": F.expr("pool_b + pool_c > 0"),
+        "pool_dev2": F.expr(
+            "pow(pool_b - CAST(b0 AS DOUBLE) * (pool_b + pool_c) / (b0 + c0), 2.0D)"),
+    }).withColumns({
+        "columns": F.expr("kept_n + absent_n + CAST(pooled AS BIGINT)"),
+    }).withColumns({
+        "defined": F.expr("columns >= 2 AND b0 > 0 AND c0 > 0"),
+    }).withColumns({
+        # a kept column the batch lacks adds b * c0 / b0 to the statistic
+        "chi": F.expr(
+            "CASE WHEN defined THEN chi + CAST(absent_b AS DOUBLE) * c0 / b0 + CASE WHEN pooled THEN pool_dev2 * "
+            "(CAST(b0 + c0 AS DOUBLE) / (pool_b + pool_c)) * (1.0D / b0 + 1.0D / c0) ELSE 0.0D END ELSE 0.0D END"),
+        "dev": F.expr(
+            "sqrt((dev2 + pow(CAST(absent_b AS DOUBLE) * c0 / (b0 + c0), 2.0D) "
+            "+ CASE WHEN pooled THEN pool_dev2 ELSE 0.0D END) / 2.0D)"),
+    }).withColumns({
+        "chi2": F.expr(
+            "CASE WHEN NOT defined THEN 0.0D WHEN columns > 2 THEN chi WHEN dev <= 0.5D THEN 0.0D "
+            "ELSE chi * pow((dev - 0.5D) / dev, 2.0D) END"),
+        "dof": F.expr("CASE WHEN defined THEN CAST(columns - 1 AS DOUBLE) ELSE 0.0D END"),
+    })
+    return with_chi2_pvalue(step, "chi2", "dof").select(
+        *group, *_divergence_columns(), "chi2", "p_value", "columns")
+
+
+def chi_square(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + feature: chi2, p_value, columns after pooling, n_current."""
+    return category_scores(batch_counts, base_counts, keys).select(
+        *keys, "feature", "chi2", "p_value", "columns", "n_current")
+
+
+def _reached(sizes: DataFrame, by_size: DataFrame) -> DataFrame:
     """(feature, limit) -> number and sum of baseline counts that reach the limit.
 
-    Baseline counts are first grouped by count. A feature then has at most about sqrt(2 * rows)
-    different counts, so its running totals are a short list.
+    One window over a feature's list of different counts and the limits its batches ask for.
     """
-    by_count = base.groupBy("feature", F.col("b").alias("at")).agg(
-        F.count("*").alias("m"), F.sum("b").alias("s"))
-    limits = sizes.filter(F.col("limit").isNotNull()).select(
-        "feature", F.col("limit").alias("at")).distinct()
-    both = by_count.withColumn("asked", F.lit(0)).unionByName(
-        limits.withColumn("m", F.lit(0).cast("long")).withColumn("s", F.lit(0).cast("long"))
-        .withColumn("asked", F.lit(1)))
+    limits = sizes.filter(F.col("limit").isNotNull()).select("feature", F.col("limit").alias("at")).distinct()
+    both = by_size.select("feature", "at", "m", "s", F.lit(0).alias("asked")).unionByName(
+        limits.selectExpr("feature", "at", "0L AS m", "0L AS s", "1 AS asked"))
     w = (Window.partitionBy("feature").orderBy(F.desc("at"), "asked")
          .rowsBetween(Window.unboundedPreceding, 0))
-    running = both.withColumn("reach_n", F.sum("m").over(w)).withColumn(
-        "reach_b", F.sum("s").over(w))
+    running = both.withColumns({"reach_n": F.sum("m").over(w), "reach_b": F.sum("s").over(w)})
     return running.filter(F.col("asked") == 1).select(
         "feature", F.col("at").alias("limit"), "reach_n", "reach_b")
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import divergence as D
 from ..functions.status import classify_feature, literal_thresholds, rollup
-from .categories import category_divergence, chi_square
+from .categories import category_scores
 from .ks import ks_statistic
 from .longform import category_long, numeric_long
-from .profile import bin_array, bin_count_columns, category_counts
+from .profile import bin_array, bin_count_columns, bin_index
 
 
 def numeric_state(batches: DataFrame, profile: DataFrame, features: list[str],
@@ -29,7 +29,7 @@ def numeric_state(batches: DataFrame, profile: DataFrame, features: list[str],
         (F.col("q1") - S.OUTLIER_FENCE * spread).alias("lower_fence"),
         (F.col("q3") + S.OUTLIER_FENCE * spread).alias("upper_fence")))
     v = F.col("value")
-    joined = long.join(base, "feature")
+    joined = long.join(base, "feature").withColumn("_bin", bin_index("value", "bin_edges", bins))
     state = joined.groupBy(*keys, "feature").agg(
         F.count("*").alias("rows"), F.count_if("present").alias("n_present"),
         F.count("value").alias("n"),
@@ -38,12 +38,12 @@ def numeric_state(batches: DataFrame, profile: DataFrame, features: list[str],
         F.count_if(v < F.col("base_min")).alias("below_min"),
         F.count_if(v > F.col("base_max")).alias("above_max"),
         F.count_if((v < F.col("lower_fence")) | (v > F.col("upper_fence"))).alias("outliers"),
-        *bin_count_columns(v, F.col("bin_edges"), bins))
+        *bin_count_columns("_bin", bins))
     edges = F.broadcast(profile.select("feature", "bin_edges"))
     return state.join(edges, "feature").select(
         *keys, "feature", "rows", (F.col("rows") - F.col("n_present")).alias("missing"),
         "n", (F.col("n_present") - F.col("n")).alias("unparsable"), "mean", "std", "min", "max",
-        "below_min", "above_max", "outliers", bin_array(F.col("bin_edges"), bins).alias("bin_counts"))
+        "below_min", "above_max", "outliers", bin_array("bin_edges", bins).alias("bin_counts"))
 
 
 def category_state(batches: DataFrame, features: list[str], keys: list[str],
@@ -78,8 +78,8 @@ def numeric_drift(state: DataFrame, profile: DataFrame, ks: DataFrame, keys: lis
         *keys, "feature", F.lit(S.NUMERIC).alias("feature_type"), F.lit(S.KS).alias("test_name"),
         F.coalesce("ks", F.lit(0.0)).alias("test_statistic"),
         F.when(flat_apart, F.lit(0.0)).otherwise(F.coalesce("_p", F.lit(1.0))).alias("p_value"),
-        F.when(comparable, D.psi(F.col("_base"), F.col("bin_counts"))).otherwise(0.0).alias("psi"),
-        F.when(comparable, D.jsd(F.col("_base"), F.col("bin_counts"))).otherwise(0.0).alias("jsd"),
+        F.when(comparable, D.psi("_base", "bin_counts")).otherwise(0.0).alias("psi"),
+        F.when(comparable, D.jsd("_base", "bin_counts")).otherwise(0.0).alias("jsd"),
         "n_baseline", F.col("n").alias("n_current"), F.lit(0).cast("long").alias("n_unseen"))
     return _with_status(scored, thresholds)
 
@@ -90,11 +90,8 @@ def categorical_drift(state: DataFrame, base_counts: DataFrame, keys: list[str],
     counts = state.filter(F.col("category").isNotNull())
     sizes = category_sizes(state, keys).select(*keys, "feature", F.col("n").alias("n_current"))
     base_sizes = base_counts.groupBy("feature").agg(F.sum("n").alias("n_baseline"))
-    psi = category_divergence(counts, base_counts, keys).select(
-        *keys, "feature", "psi", "jsd", "n_unseen")
-    chi = chi_square(counts, base_counts, keys).select(*keys, "feature", "chi2", "p_value")
-    joined = (sizes.join(base_sizes, "feature")
-              .join(psi, [*keys, "feature"], "left").join(chi, [*keys, "feature"], "left"))
+    scores = category_scores(counts, base_counts, keys).drop("n_current")
+    joined = sizes.join(base_sizes, "feature").join(scores, [*keys, "feature"], "left")
     scored = joined.select(
         *keys, "feature", F.lit(S.CATEGORICAL).alias("feature_type"),
         F.lit(S.CHI2).alias("test_name"),

@@ -280,6 +280,25 @@ def model_overview(models: DataFrame, runs: DataFrame, versions: DataFrame) -> D
         F.coalesce("health_score", F.lit(101)).alias("rank_score"))
 
 
+def runs_wide(runs: DataFrame, performance: DataFrame, quality: DataFrame, versions: DataFrame) -> DataFrame:
+    """Runs with their 1:1 children and version label; children a run lacks are null."""
+    version = versions.select("version_id", F.col("label").alias("version_label"))
+    return (runs.join(performance, "run_id", "left").join(quality, "run_id", "left")
+            .join(version, "version_id", "left"))
+
+
+def alerts_of_versions(alerts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Alerts with the version of the run they last point at."""
+    return alerts.drop("version_id").join(runs.select("run_id", "version_id"), "run_id")
+
+
+def grants_report(grants: DataFrame, users: DataFrame, models: DataFrame) -> DataFrame:
+    """Who may do what on which model, and who granted it."""
+    givers = users.select(F.col("user_id").alias("granted_by"), F.col("user_name").alias("giver"))
+    return (grants.join(users, "user_id").join(models.select("model_id", "name"), "model_id")
+            .join(givers, "granted_by", "left").select("user_name", "name", "permission", "giver"))
+
+
 def version_stats(versions: DataFrame, runs: DataFrame, alerts: DataFrame) -> DataFrame:
     """Observed measures per version; null where nothing was measured."""
     done = runs.filter(F.col("status") == S.COMPLETED)
@@ -291,7 +310,7 @@ def version_stats(versions: DataFrame, runs: DataFrame, alerts: DataFrame) -> Da
         F.avg(F.when(labelled, F.col("recall_positive"))).alias("mean_recall"),
         F.avg("health_score").alias("mean_health"), F.avg("features_high").alias("mean_high_drift"),
         F.count("*").alias("run_count"))
-    raised = alerts.join(runs.select("run_id", "version_id"), "run_id").groupBy("version_id").agg(
+    raised = alerts_of_versions(alerts, runs).groupBy("version_id").agg(
         F.count("*").alias("alert_count"))
     return versions.select("version_id", "model_id", "label", "training_accuracy").join(
         per, "version_id", "left").join(raised, "version_id", "left").fillna(

@@ -76,11 +76,9 @@ def ks_statistic(batches: DataFrame, reference: dict, keys: list[str],
     ``effective_cap``, the size the test is defined at, so that very large batches do not make
     any difference significant. Groups in which one side has no values yield no row.
     """
-    spark = batches.sparkSession
-    sizes = spark.createDataFrame(
-        [(f, len(v)) for f, v in reference.items()], "feature string, n_reference long")
-    positions = reference_positions(batches, reference, keys)
-    joined = positions.join(F.broadcast(sizes), "feature").filter(F.col("n_reference") > 0)
+    sizes = F.create_map(*[F.lit(x) for f, v in reference.items() for x in (f, len(v))])
+    joined = reference_positions(batches, reference, keys).withColumn(
+        "n_reference", sizes[F.col("feature")].cast("long")).filter(F.col("n_reference") > 0)
     w = Window.partitionBy(*keys, "feature").orderBy("below", "upto")
     group = Window.partitionBy(*keys, "feature")
     run = joined.withColumn("upto_c", F.sum("c").over(
@@ -95,6 +93,5 @@ def ks_statistic(batches: DataFrame, reference: dict, keys: list[str],
     stat = gaps.groupBy(*keys, "feature").agg(
         F.max("gap").alias("ks"), F.max("n_reference").alias("n_reference"),
         F.max("n_current").alias("n_current"))
-    return stat.withColumn("p_value", ks_pvalue(
-        F.col("ks"), F.col("n_reference"),
-        F.least(F.col("n_current"), F.lit(effective_cap).cast("long"))))
+    return stat.withColumn(
+        "p_value", ks_pvalue("ks", "n_reference", f"least(n_current, {effective_cap}L)"))

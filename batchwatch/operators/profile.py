@@ -28,39 +28,38 @@ def bin_edges(long: DataFrame, keys: list[str], bins: int = BIN_COUNT) -> DataFr
     return q.select(*keys, edges_from_quantiles(F.col("quantiles")).alias("bin_edges"))
 
 
-def bin_index(value: Column, edges: Column, bins: int = BIN_COUNT) -> Column:
+def bin_index(value: str, edges: str, bins: int = BIN_COUNT) -> Column:
     """Bin of a value: how many inner edges it reaches. Outer edges count as infinite.
 
     Written as a sum of comparisons on array elements, which stays in generated code.
     """
-    last = F.size(edges) - 1
-    index = F.lit(0)
-    for i in range(1, bins):
-        index = index + F.when((F.lit(i) < last) & (value >= F.get(edges, F.lit(i))), 1).otherwise(0)
-    return index
+    steps = [f"(CASE WHEN size({edges}) > {i + 1} AND {value} >= get({edges}, {i}) THEN 1 ELSE 0 END)"
+             for i in range(1, bins)]
+    return F.expr(f"CASE WHEN {value} IS NOT NULL AND {edges} IS NOT NULL THEN {' + '.join(steps)} END")
 
 
-def bin_count_columns(value: Column, edges: Column, bins: int = BIN_COUNT) -> list[Column]:
-    index = bin_index(value, edges, bins)
-    return [F.count_if(value.isNotNull() & (index == i)).alias(f"_bin{i}") for i in range(bins)]
+def bin_count_columns(bin_column: str = "_bin", bins: int = BIN_COUNT) -> list[Column]:
+    """One fixed-width counter per bin."""
+    return [F.expr(f"count_if({bin_column} = {i})").alias(f"_bin{i}") for i in range(bins)]
 
 
-def bin_array(edges: Column, bins: int = BIN_COUNT) -> Column:
+def bin_array(edges: str, bins: int = BIN_COUNT) -> Column:
     """The per-bin counts as an array as long as the edges allow (no edges: one empty bin)."""
-    width = F.greatest(F.coalesce(F.size(edges), F.lit(0)) - 1, F.lit(1))
-    return F.slice(F.array(*[F.col(f"_bin{i}") for i in range(bins)]), F.lit(1), width)
+    counters = ", ".join(f"_bin{i}" for i in range(bins))
+    return F.expr(f"slice(array({counters}), 1, greatest(coalesce(size({edges}), 0) - 1, 1))")
 
 
 def bin_counts(long: DataFrame, keys: list[str], edges: DataFrame,
                bins: int = BIN_COUNT) -> DataFrame:
     """keys + feature + bin_counts of the rows over the given edges (one row per feature)."""
-    joined = long.join(F.broadcast(edges.select("feature", "bin_edges")), "feature")
+    joined = long.join(F.broadcast(edges.select("feature", "bin_edges")), "feature").withColumn(
+        "_bin", bin_index("value", "bin_edges", bins))
     counted = joined.groupBy(*keys, "feature").agg(
-        *bin_count_columns(F.col("value"), F.col("bin_edges"), bins))
+        *bin_count_columns("_bin", bins))
     # the edges come back by a second small join: an array in the aggregation buffer would
     # turn the hash aggregate into a sort
     counted = counted.join(F.broadcast(edges.select("feature", "bin_edges")), "feature")
-    return counted.select(*keys, "feature", bin_array(F.col("bin_edges"), bins).alias("bin_counts"))
+    return counted.select(*keys, "feature", bin_array("bin_edges", bins).alias("bin_counts"))
 
 
 def numeric_summary(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,14 +104,15 @@ def profile_numeric(df: DataFrame, features: list[str], bins: int = BIN_COUNT) -
     q = exact_quantiles(long, ["feature"], probs).select(
         "feature", "quantiles",
         edges_from_quantiles(F.slice("quantiles", 1, bins + 1)).alias("bin_edges"))
-    joined = long.join(F.broadcast(q), "feature", "left")
+    joined = long.join(F.broadcast(q), "feature", "left").withColumn(
+        "_bin", bin_index("value", "bin_edges", bins))
     empty = F.array().cast("array<double>")
     stats = joined.groupBy("feature").agg(
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"),
         F.count("*").alias("_rows"),
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-        *bin_count_columns(F.col("value"), F.col("bin_edges"), bins))
+        *bin_count_columns("_bin", bins))
     stats = stats.join(F.broadcast(q), "feature", "left")
     return stats.select(
         "feature", "n", "missing", pct(F.col("missing"), F.col("_rows")).alias("missing_pct"),
@@ -121,7 +121,7 @@ def profile_numeric(df: DataFrame, features: list[str], bins: int = BIN_COUNT) -
         F.get("quantiles", F.lit(bins + 3)).alias("q3"), "max",
         F.coalesce("bin_edges", empty).alias("bin_edges"),
         F.when(F.col("bin_edges").isNull(), F.array(F.lit(0).cast("long")))
-        .otherwise(bin_array(F.col("bin_edges"), bins)).alias("bin_counts"))
+        .otherwise(bin_array("bin_edges", bins)).alias("bin_counts"))
 
 
 def profile_categories(df: DataFrame, features: list[str]) -> DataFrame:
@@ -131,3 +131,11 @@ def profile_categories(df: DataFrame, features: list[str]) -> DataFrame:
 
 def profile_categorical(df: DataFrame, features: list[str]) -> DataFrame:
     return categorical_summary(category_long(df, features, []), ["feature"])
+
+
+def stored_profile(profile: DataFrame) -> DataFrame:
+    """The numeric profile as a local table: one row per feature column, a few hundred bytes each.
+
+    A profile is computed once and only read afterwards, so jobs never recompute the baseline.
+    """
+    return profile.sparkSession.createDataFrame(profile.toArrow())

@@ -76,8 +76,11 @@ def take_sample(df: DataFrame, keys: list[str], seed: int | str, row_key: list[s
 def reference_sample(df: DataFrame, features: list[str], row_key: list[str],
                      cap: int = REFERENCE_CAP, seed: int = SEED) -> DataFrame:
     """At most ``cap`` raw feature rows, the lowest in hash order."""
-    keyed = take_sample(df, [], seed, row_key, F.lit(cap).cast("long"))
-    return keyed.select(*row_key, *[f for f in features if f not in row_key])
+    columns = [*row_key, *[f for f in features if f not in row_key]]
+    # no choice to make for a table under the cap, which a count tells
+    if df.limit(cap + 1).count() <= cap:
+        return df.select(*columns)
+    return take_sample(df, [], seed, row_key, F.lit(cap).cast("long")).select(*columns)
 
 
 def stratified_split(df: DataFrame, target: str, row_key: list[str], test_share: float = 0.25,
@@ -102,3 +105,14 @@ def three_way_split(df: DataFrame, target: str, row_key: list[str], seed: int =
     return flagged.withColumn(
         "split", F.when(F.col("_test"), "test").when(F.col("_rest"), "holdout")
         .otherwise("baseline")).drop("_rest", "_test")
+
+
+def validation_sample(reference: DataFrame, features: list[str], row_key: list[str], n: int = 50,
+                      seed: int = SEED) -> DataFrame:
+    """The first n reference rows in hash order: what a new model has to score for admission."""
+    return reference.orderBy(row_hash(seed, *row_key)).limit(n).select(*features)
+
+
+def target_classes(df: DataFrame, target: str) -> DataFrame:
+    return df.filter(F.col(target).isNotNull()).select(
+        F.col(target).cast("string").alias("label")).distinct()

@@ -21,6 +21,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.values import as_category, as_number
@@ -123,7 +124,7 @@ def score_with_function(df: DataFrame, features: list[str], predict) -> DataFram
 
     A result of another length than its input fails the job, as does an error in the model.
     """
-    schema = df.schema.add(_PREDICTION, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(_PREDICTION, T.StringType())])
 
     def run(frames):
         for frame in frames:

@@ -16,7 +16,7 @@ from ..operators import health as H
 from ..operators import performance as P
 from ..operators import quality as Q
 from ..operators.ks import ks_statistic, sorted_reference
-from ..operators.profile import profile_categories, profile_numeric
+from ..operators.profile import profile_categories, profile_numeric, stored_profile
 from ..operators.sampling import reference_sample
 from ..storage import materialise
 
@@ -38,7 +38,7 @@ def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str],
                      cap: int = S.REFERENCE_CAP) -> Baseline:
     """Profile once; the tables are written out, so no later job reads the baseline again."""
     types = {f.name: f.dataType for f in df.schema}
-    profile = materialise(profile_numeric(df, numeric), "profile-numeric") if numeric else None
+    profile = stored_profile(profile_numeric(df, numeric)) if numeric else None
     counts = materialise(profile_categories(df, categorical), "profile-categories") if categorical else None
     reference = sorted_reference(reference_sample(df, numeric, row_key, cap), numeric) if numeric else {}
     return Baseline(

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
 from ..functions import divergence as D
 from ..functions.values import pct
 from ..operators.history import missing_required
 from ..operators.longform import numeric_long
-from ..operators.profile import bin_array, bin_count_columns
+from ..operators.ordered import newest
+from ..operators.profile import bin_array, bin_count_columns, bin_index
+from ..operators.retrain import consecutive_below
 from ..plans.monitor import Baseline, run_monitoring
 from ..sources.sinks import persist_runs
 from .sources import drain_batches
@@ -51,25 +49,25 @@ def windowed_state(stream: DataFrame, profile: DataFrame, features: list[str], t
     window = F.window("_ts", width, slide) if slide else F.window("_ts", width)
     long = numeric_long(timed, features, ["_ts"])
     v = F.col("value")
-    counted = long.join(base, "feature").groupBy(window.alias("w"), "feature").agg(
+    counted = long.join(base, "feature").withColumn("_bin", bin_index("value", "bin_edges")).groupBy(window.alias("w"), "feature").agg(
         F.count("*").alias("rows"), F.count(v).alias("n"),
         F.count_if(v < F.col("base_min")).alias("below_min"),
         F.count_if(v > F.col("base_max")).alias("above_max"),
         F.count_if((v < F.col("lower_fence")) | (v > F.col("upper_fence"))).alias("outliers"),
-        *bin_count_columns(v, F.col("bin_edges")))
+        *bin_count_columns())
     edges = F.broadcast(profile.select("feature", "bin_edges", F.col("bin_counts").alias("base_counts")))
     return counted.join(edges, "feature").select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "feature",
         "rows", "n", "below_min", "above_max", "outliers",
-        bin_array(F.col("bin_edges")).alias("bin_counts"), "base_counts")
+        bin_array("bin_edges").alias("bin_counts"), "base_counts")
 
 
 def windowed_drift(state: DataFrame) -> DataFrame:
     """PSI and JSD per closed window."""
     return state.select(
         "window_start", "feature", "n",
-        D.psi(F.col("base_counts"), F.col("bin_counts")).alias("psi"),
-        D.jsd(F.col("base_counts"), F.col("bin_counts")).alias("jsd"))
+        D.psi("base_counts", "bin_counts").alias("psi"),
+        D.jsd("base_counts", "bin_counts").alias("jsd"))
 
 
 def windowed_quality(state: DataFrame) -> DataFrame:
@@ -91,35 +89,30 @@ def stream_alert_dedup(occurrences: DataFrame, keys: list[str], ts: str, tie: st
     return grouped.drop("s")
 
 
-_STREAK_OUT = "model_id string, run_id string, created_at timestamp, health_score double, critical_streak int, alarm boolean"
-_STREAK_STATE = "streak int"
-
-
-def stream_consecutive(runs: DataFrame, limit: float, k: int = S.CONSECUTIVE_RUNS) -> DataFrame:
-    """Scored runs with the length of their model's current critical streak, across micro-batches.
+def stream_consecutive(runs: DataFrame, score: str, limit: Column, out: str, state: str,
+                       checkpoint: str) -> None:
+    """Flag scored runs that, with the scored run before, are both below the limit.
 
-    State is one counter per model. Runs are small rows, one per batch, and arrive in order of
-    micro-batches; inside one they are ordered by time.
+    The run before may have arrived in an earlier micro-batch: the newest scored run of every
+    model is carried in a small table, one version per epoch, so a replayed epoch starts from the
+    same state.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["created_at", "run_id"])
-        streaks = []
-        for score in rows["health_score"]:
-            streak = streak + 1 if score < limit else 0
-            streaks.append(streak)
-        state.update((streak,))
-        out = rows[["model_id", "run_id", "created_at", "health_score"]].copy()
-        out["critical_streak"] = pd.Series(streaks, index=out.index, dtype="int32")
-        out["alarm"] = out["critical_streak"] >= k
-        yield out
-
-    scored = runs.filter(F.col("health_score").isNotNull()).select(
-        F.col("model_id").cast("string").alias("model_id"), F.col("run_id").cast("string").alias("run_id"),
-        F.col("created_at").cast("timestamp").alias("created_at"),
-        F.col("health_score").cast("double").alias("health_score"))
-    return scored.groupBy("model_id").applyInPandasWithState(
-        step, _STREAK_OUT, _STREAK_STATE, "append", GroupStateTimeout.NoTimeout)
+    columns = ["model_id", "run_id", "created_at", score]
+
+    def handle(frame: DataFrame, epoch: int) -> None:
+        spark = frame.sparkSession
+        arrived = frame.filter(F.col(score).isNotNull()).select(*columns).withColumn(
+            "arrived", F.lit(True))
+        both = arrived
+        if epoch > 0:
+            carried = spark.read.schema(arrived.schema).parquet(f"{state}/epoch={epoch - 1}")
+            both = arrived.unionByName(carried.withColumn("arrived", F.lit(False)))
+        flagged = consecutive_below(both, score, limit, "alarm").filter("arrived").drop("arrived")
+        flagged.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        newest(both, ["model_id"], ["created_at", "run_id"]).write.mode("overwrite").parquet(
+            f"{state}/epoch={epoch}")
+
+    drain_batches(runs, handle, checkpoint)
 
 
 def skip_rejected(stream: DataFrame, keys: list[str], required: DataFrame, accepted: str,
