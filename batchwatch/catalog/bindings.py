@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.categories import CategoryBaseline, category_baseline
 from ..operators.ks import sorted_reference
 from ..operators.profile import profile_categories, profile_numeric, stored_profile
 from ..storage import materialise
@@ -230,7 +231,7 @@ def reference(base: DataFrame, features: list[str], row_key: list[str]) -> dict:
     return sorted_reference(reference_sample(base, features, row_key), features)
 
 
-def profiled(base: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, DataFrame]:
+def profiled(base: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, CategoryBaseline]:
     return numeric_profile(base, numeric), category_profile(base, categorical)
 
 
@@ -238,5 +239,9 @@ def numeric_profile(base: DataFrame, numeric: list[str]) -> DataFrame:
     return stored_profile(profile_numeric(base, numeric))
 
 
-def category_profile(base: DataFrame, categorical: list[str]) -> DataFrame:
+def category_counts(base: DataFrame, categorical: list[str]) -> DataFrame:
     return materialise(profile_categories(base, categorical), "profile-categories")
+
+
+def category_profile(base: DataFrame, categorical: list[str]) -> CategoryBaseline:
+    return category_baseline(category_counts(base, categorical))

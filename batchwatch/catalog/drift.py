@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -20,7 +22,7 @@ from ..operators.longform import numeric_long
 from ..operators.train import score_with_rule
 from ..plans.monitor import profile_baseline, run_monitoring
 from ..sources.sinks import persist_runs, read_children, read_runs
-from ..storage import scratch
+from ..storage import materialise, scratch
 from . import bindings as B
 from . import sql as Q
 from .bindings import rounded
@@ -31,9 +33,13 @@ _MEASURES = ("test_statistic", "p_value", "psi", "jsd")
 
 
 # ── pieces shared by several queries ───────────────────────────────────────────────────────────
+def _category_state(spark, sf):
+    return materialise(D.category_state(B.events_drifted(spark, sf), _CAT, KEY), "category-state")
+
+
 def _counts(spark, sf):
     """Present categories of the drifted batches and the baseline's frequencies."""
-    state = D.category_state(B.events_drifted(spark, sf), _CAT, KEY)
+    state = _category_state(spark, sf)
     return state.filter(F.col("category").isNotNull()), B.category_profile(B.events_baseline(spark, sf), _CAT)
 
 
@@ -49,7 +55,7 @@ def _numeric(spark, sf):
 
 
 def _categorical(spark, sf):
-    state = D.category_state(B.events_drifted(spark, sf), _CAT, KEY)
+    state = _category_state(spark, sf)
     base = B.category_profile(B.events_baseline(spark, sf), _CAT)
     return D.categorical_drift(state, base, KEY), state, base
 
@@ -178,7 +184,7 @@ def _quality_columns(spark, sf):
     batches, base = B.events_drifted(spark, sf), B.events_baseline(spark, sf)
     profile, counts = B.profiled(base, _NUM, _CAT)
     num = Qu.numeric_quality(D.numeric_state(batches, profile, _NUM, KEY), KEY)
-    return num.unionByName(Qu.categorical_quality(D.category_state(batches, _CAT, KEY), counts, KEY))
+    return num.unionByName(Qu.categorical_quality(_category_state(spark, sf), counts, KEY))
 
 
 def missing_rates(spark, sf):
@@ -370,7 +376,7 @@ def top_movers(spark, sf):
 def first_k_values(spark, sf):
     counts, base = _counts(spark, sf)
     # against the baseline without its first letters' categories, so that lists get long
-    thin = base.filter(~F.col("category").rlike("5"))
+    thin = replace(base, counts=base.counts.filter(~F.col("category").rlike("5")))
     out = E.first_unseen(C.unseen_categories(counts, thin, KEY), KEY)
     return out.withColumn("first_values", F.array_join("first_values", ","))
 
@@ -418,14 +424,13 @@ def distribution_compare_bins(spark, sf):
 _RUN_RULE = "CASE WHEN props > '{\"k\": 5' THEN 'error' ELSE 'view' END"
 
 
-def _monitored(spark, sf, stored=False):
+def _monitored(spark, sf):
     base = profile_baseline(B.events_baseline(spark, sf), _NUM, ["props"], ["event_id"])
     mix = B.events_baseline(spark, sf).select(F.expr(_RUN_RULE).alias("y_pred")).groupBy("y_pred").agg(
         F.count("*").alias("n"))
     return run_monitoring(
         B.events_drifted(spark, sf), base, KEY, F.expr(_RUN_RULE), target="event_type",
-        labels=["error", "view"], positive="error", baseline_mix=mix, reference_accuracy=0.3,
-        stored_state=stored)
+        labels=["error", "view"], positive="error", baseline_mix=mix, reference_accuracy=0.3)
 
 
 _RUN_COLUMNS = ["batch_id", "row_count", "quality_score", "features_total", "features_high",
@@ -439,7 +444,7 @@ def run_monitoring_query(spark, sf):
 
 def persist_run(spark, sf):
     root = scratch(spark, "history")
-    persist_runs(_monitored(spark, sf, stored=True).tables(), root, "1")
+    persist_runs(_monitored(spark, sf).tables(), root, "1")
     counts = read_children(spark, root, "feature_results").groupBy("batch_id").agg(
         F.count("*").alias("stored_features"))
     runs = read_runs(spark, root).join(counts, "batch_id")

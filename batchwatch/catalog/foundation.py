@@ -256,18 +256,18 @@ def build_profile(spark, sf):
     return rounded(num.unionByName(cat), "mean", "std", "q1", "median", "q3")
 
 
+def _shares(spark, sf):
+    return baseline_shares(B.category_profile(B.lines_baseline(spark, sf), B.LINES_CATEGORICAL))
+
+
 def proportions(spark, sf):
-    counts = P.profile_categories(B.lines_baseline(spark, sf), B.LINES_CATEGORICAL)
-    shares, _ = baseline_shares(counts)
-    return rounded(shares.select("feature", "category", F.col("b").alias("n"), F.col("p").alias("share")), "share")
+    return rounded(_shares(spark, sf).select(
+        "feature", "category", F.col("b").alias("n"), F.col("p").alias("share")), "share")
 
 
 def smoothed(spark, sf):
-    counts = P.profile_categories(B.lines_baseline(spark, sf), B.LINES_CATEGORICAL)
-    shares, totals = baseline_shares(counts)
-    out = shares.join(totals.select("feature", "k0"), "feature").select(
-        "feature", "category", ((F.col("p") + S.EPSILON) / (1.0 + F.col("k0") * S.EPSILON)).alias("smooth"))
-    return rounded(out, "smooth")
+    return rounded(_shares(spark, sf).select("feature", "category", (
+        (F.col("p") + S.EPSILON) / (1.0 + F.col("k0") * S.EPSILON)).alias("smooth")), "smooth")
 
 
 _LINES_PROFILE = [B.LINES_SQL, Q.numeric_rows("bl", "base", B.LINES_NUMERIC),

@@ -66,7 +66,7 @@ def sample_batch(spark, sf):
 
 
 def _plan(spark, sf):
-    counts = B.category_profile(B.events_baseline(spark, sf), ["event_type"])
+    counts = B.category_counts(B.events_baseline(spark, sf), ["event_type"])
     return P.default_plan("value", "event_type", counts)
 
 

@@ -76,7 +76,7 @@ catcells AS (SELECT u.batch_id, u.feature, u.cell, coalesce(b0.n, 0) AS b, coale
 
 def chi2_p(stat: str, dof: str) -> str:
     """1 - P(dof/2, stat/2) by the series of Poisson-like terms."""
-    return (f"(CASE WHEN {stat} <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0 - list_sum(list_transform(range(0, 1500), "
+    return (f"(CASE WHEN {stat} <= 0 THEN 1.0 WHEN {stat} > {dof} + 400 + 60 * sqrt({dof}) THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - list_sum(list_transform(range(0, 1500), "
             f"lambda term: exp(({dof} / 2.0 + term) * ln({stat} / 2.0) - {stat} / 2.0 - lgamma({dof} / 2.0 + term + 1)))))) END)")
 
 

@@ -11,12 +11,15 @@ and the only join is an equi-join of batch counts with baseline counts on (featu
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.divergence import clamp_unit, jsd_term, psi_term
 from ..functions.pvalues import with_chi2_pvalue
 from ..schemas import EPSILON, MIN_EXPECTED_CELL
+from ..storage import materialise
 
 _EPS = f"{EPSILON:.4f}D"
 
@@ -26,32 +29,39 @@ def _absent(term, share: str) -> str:
     return term(f"{share} + {_EPS}", _EPS)
 
 
-def baseline_counts_by_size(base_counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, at) -> m categories with that count, s their sum, and the baseline's totals b0, k0.
+@dataclass
+class CategoryBaseline:
+    """A baseline's category frequencies, prepared once and read by every comparison.
 
-    A baseline of n rows has at most about sqrt(2n) different counts, so a feature's list is short
-    enough for one window.
+    counts: (feature, category, n). by_size: (feature, at, m, s): how many categories have the
+    count ``at``, and their sum; a baseline of n rows has at most about sqrt(2n) different counts.
+    totals: per feature the rows b0, the categories k0 and the measures' totals over absent
+    categories, one row per feature.
     """
-    by_size = base_counts.groupBy(*keys, F.col("n").alias("at")).agg(
-        F.count("*").alias("m"), F.sum("n").alias("s"))
-    w = Window.partitionBy(*keys)
-    return by_size.withColumns({"b0": F.sum("s").over(w), "k0": F.sum("m").over(w)})
 
+    counts: DataFrame
+    by_size: DataFrame
+    totals: DataFrame
+    keys: list[str]
 
-def baseline_totals(by_size: DataFrame, keys: list[str]) -> DataFrame:
-    """Per feature: rows, categories, and the measures' totals over absent categories."""
-    return by_size.groupBy(*keys).agg(
+
+def category_baseline(counts: DataFrame, keys: list[str] | None = None) -> CategoryBaseline:
+    """``counts`` should be a stored table: it is read twice here and once per comparison."""
+    keys = keys or ["feature"]
+    by_size = materialise(counts.groupBy(*keys, F.col("n").alias("at")).agg(
+        F.count("*").alias("m"), F.sum("n").alias("s")), "category-sizes")
+    w = Window.partitionBy(*keys)
+    totals = by_size.withColumns({"b0": F.sum("s").over(w), "k0": F.sum("m").over(w)}).groupBy(*keys).agg(
         F.max("b0").alias("b0"), F.max("k0").alias("k0"),
         F.expr(f"sum(m * ({_absent(psi_term, 'at / b0')}))").alias("w_psi"),
         F.expr(f"sum(m * ({_absent(jsd_term, 'at / b0')}))").alias("w_jsd"))
+    return CategoryBaseline(counts, by_size, materialise(totals, "category-totals"), keys)
 
 
-def baseline_shares(base_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(feature, category, b, p) and per-feature totals (b0, k0)."""
-    totals = baseline_totals(baseline_counts_by_size(base_counts, ["feature"]), ["feature"])
-    shares = base_counts.join(totals, "feature").select(
-        "feature", "category", F.col("n").alias("b"), (F.col("n") / F.col("b0")).alias("p"))
-    return shares, totals
+def baseline_shares(base: CategoryBaseline) -> DataFrame:
+    """(feature, category, b, p, k0): counts, proportions and the number of categories."""
+    return base.counts.join(base.totals, base.keys).select(
+        *base.keys, "category", F.col("n").alias("b"), (F.col("n") / F.col("b0")).alias("p"), "k0")
 
 
 def _sizes(batch_counts: DataFrame, totals: DataFrame, group: list[str],
@@ -93,21 +103,18 @@ def _divergence_columns() -> list:
             "n_unseen", F.col("c0").alias("n_current")]
 
 
-def category_divergence(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str],
-                        feature_keys: list[str] | None = None) -> DataFrame:
+def category_divergence(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str]) -> DataFrame:
     """keys + feature: psi, jsd, n_unseen, n_current over the union of category sets.
 
-    ``batch_counts`` has keys, feature, category, n; ``base_counts`` feature, category, n.
+    ``batch_counts`` has keys, feature, category, n and should be a stored table.
     """
-    feature_keys = feature_keys or ["feature"]
-    group = [*keys, *[k for k in feature_keys if k not in keys]]
-    totals = baseline_totals(baseline_counts_by_size(base_counts, feature_keys), feature_keys)
-    sizes = _sizes(batch_counts, totals, group, feature_keys)
-    cells = _cells(batch_counts, base_counts, group, feature_keys, sizes)
+    group = [*keys, *[k for k in base.keys if k not in keys]]
+    sizes = _sizes(batch_counts, base.totals, group, base.keys)
+    cells = _cells(batch_counts, base.counts, group, base.keys, sizes)
     return cells.groupBy(*group).agg(*_divergence_sums()).select(*group, *_divergence_columns())
 
 
-def category_scores(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str]) -> DataFrame:
+def category_scores(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str]) -> DataFrame:
     """keys + feature: psi, jsd, chi2, p_value, columns, n_unseen, n_current.
 
     Chi-square is the 2 x k independence test of batch and baseline. Categories whose smaller
@@ -118,13 +125,11 @@ def category_scores(batch_counts: DataFrame, base_counts: DataFrame, keys: list[
     half off the deviation, which is the same in all four cells.
     """
     group = [*keys, "feature"]
-    by_size = baseline_counts_by_size(base_counts, ["feature"])
-    totals = baseline_totals(by_size, ["feature"])
-    sizes = _sizes(batch_counts, totals, group, ["feature"])
+    sizes = _sizes(batch_counts, base.totals, group, ["feature"])
     # the look-up joins the small table of totals, before the categories meet it
-    sizes = sizes.join(_reached(sizes, by_size), ["feature", "limit"], "left").fillna(
+    sizes = sizes.join(_reached(sizes, base.by_size), ["feature", "limit"], "left").fillna(
         0, ["reach_n", "reach_b"])
-    cells = _cells(batch_counts, base_counts, group, ["feature"], sizes)
+    cells = _cells(batch_counts, base.counts, group, ["feature"], sizes)
     column_chi = "dev2 * (CAST(b0 + c0 AS DOUBLE) / (b + c)) * (1.0D / b0 + 1.0D / c0)"
     sums = cells.groupBy(*group).agg(
         *_divergence_sums(),
@@ -166,9 +171,9 @@ def category_scores(batch_counts: DataFrame, base_counts: DataFrame, keys: list[
         *group, *_divergence_columns(), "chi2", "p_value", "columns")
 
 
-def chi_square(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str]) -> DataFrame:
+def chi_square(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str]) -> DataFrame:
     """keys + feature: chi2, p_value, columns after pooling, n_current."""
-    return category_scores(batch_counts, base_counts, keys).select(
+    return category_scores(batch_counts, base, keys).select(
         *keys, "feature", "chi2", "p_value", "columns", "n_current")
 
 
@@ -187,17 +192,17 @@ def _reached(sizes: DataFrame, by_size: DataFrame) -> DataFrame:
         "feature", F.col("at").alias("limit"), "reach_n", "reach_b")
 
 
-def unseen_categories(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str]) -> DataFrame:
+def unseen_categories(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str]) -> DataFrame:
     """keys, feature, category, n of categories the baseline never had."""
-    known = base_counts.select("feature", "category")
+    known = base.counts.select("feature", "category")
     return batch_counts.join(known, ["feature", "category"], "left_anti").select(
         *keys, "feature", "category", "n")
 
 
-def aligned_categories(batch_counts: DataFrame, base_counts: DataFrame) -> DataFrame:
+def aligned_categories(batch_counts: DataFrame, base: CategoryBaseline) -> DataFrame:
     """Full outer alignment of one batch with the baseline, missing side 0."""
     return batch_counts.select("feature", "category", F.col("n").alias("n_current")).join(
-        base_counts.select("feature", "category", F.col("n").alias("n_baseline")),
+        base.counts.select("feature", "category", F.col("n").alias("n_baseline")),
         ["feature", "category"], "full").select(
         "feature", "category",
         F.coalesce("n_baseline", F.lit(0)).alias("n_baseline"),

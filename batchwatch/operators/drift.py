@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import divergence as D
 from ..functions.status import classify_feature, literal_thresholds, rollup
-from .categories import category_scores
+from ..storage import materialise
+from .categories import CategoryBaseline, category_scores
 from .ks import ks_statistic
 from .longform import category_long, numeric_long
 from .profile import bin_array, bin_count_columns, bin_index
@@ -84,13 +85,16 @@ def numeric_drift(state: DataFrame, profile: DataFrame, ks: DataFrame, keys: lis
     return _with_status(scored, thresholds)
 
 
-def categorical_drift(state: DataFrame, base_counts: DataFrame, keys: list[str],
+def categorical_drift(state: DataFrame, base: CategoryBaseline, keys: list[str],
                       thresholds: dict | None = None) -> DataFrame:
-    """PSI and JSD over the union of categories, chi-square, and the combined status."""
+    """PSI and JSD over the union of categories, chi-square, and the combined status.
+
+    ``state`` is read several times: pass a stored table, not a plan over the raw rows.
+    """
     counts = state.filter(F.col("category").isNotNull())
     sizes = category_sizes(state, keys).select(*keys, "feature", F.col("n").alias("n_current"))
-    base_sizes = base_counts.groupBy("feature").agg(F.sum("n").alias("n_baseline"))
-    scores = category_scores(counts, base_counts, keys).drop("n_current")
+    base_sizes = base.totals.select("feature", F.col("b0").alias("n_baseline"))
+    scores = category_scores(counts, base, keys).drop("n_current")
     joined = sizes.join(base_sizes, "feature").join(scores, [*keys, "feature"], "left")
     scored = joined.select(
         *keys, "feature", F.lit(S.CATEGORICAL).alias("feature_type"),
@@ -172,10 +176,14 @@ def sorted_results(results: DataFrame, by: str = "status") -> DataFrame:
         *orders.get(by, [severity_order(), F.desc(F.coalesce("psi", zero))]), "feature")
 
 
-def drift_report(batches: DataFrame, profile_num: DataFrame | None, base_counts: DataFrame | None,
+def drift_report(batches: DataFrame, profile_num: DataFrame | None, base: CategoryBaseline | None,
                  reference: dict, numeric: list[str], categorical: list[str], keys: list[str],
                  thresholds: dict | None = None, declared: dict[str, str] | None = None) -> DataFrame:
-    """All monitored features of all batches. Features the table lacks are reported as such."""
+    """All monitored features of all batches. Features the table lacks are reported as such.
+
+    The raw rows are read three times, each time only the columns needed: for the numeric state,
+    the reference positions and the category state.
+    """
     here = set(batches.columns)
     parts = []
     num = [f for f in numeric if f in here]
@@ -185,8 +193,8 @@ def drift_report(batches: DataFrame, profile_num: DataFrame | None, base_counts:
         ks = ks_statistic(batches, {f: reference[f] for f in num if f in reference}, keys)
         parts.append(numeric_drift(state, profile_num, ks, keys, thresholds))
     if cat:
-        parts.append(categorical_drift(
-            category_state(batches, cat, keys, declared), base_counts, keys, thresholds))
+        stored = materialise(category_state(batches, cat, keys, declared), "category-state")
+        parts.append(categorical_drift(stored, base, keys, thresholds))
     gone = [(f, S.NUMERIC) for f in numeric if f not in here] + [
         (f, S.CATEGORICAL) for f in categorical if f not in here]
     if gone:

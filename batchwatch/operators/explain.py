@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import text as X
 from ..functions.status import Thresholds, literal_thresholds
+from .categories import CategoryBaseline, baseline_shares
 
 _POINTS = 0.5
 
@@ -84,7 +85,7 @@ def numeric_text(t: Thresholds) -> Column:
                                 significance_clause(F.col("p_value"), F.col("test_name")), missing)))
 
 
-def top_movers(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str],
+def top_movers(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str],
                drifted: DataFrame | None = None) -> DataFrame:
     """Per batch and feature the two categories gaining and the two losing most share.
 
@@ -96,11 +97,10 @@ def top_movers(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str],
     cur = batch_counts.join(
         batch_counts.groupBy(*group).agg(F.sum("n").alias("t")), group).select(
         *group, "category", (100.0 * F.col("n") / F.col("t")).alias("after"))
-    base = base_counts.join(
-        base_counts.groupBy("feature").agg(F.sum("n").alias("t")), "feature").select(
-        "feature", "category", (100.0 * F.col("n") / F.col("t")).alias("before"))
+    shares = baseline_shares(base).select(
+        "feature", "category", (100.0 * F.col("p")).alias("before"))
     asked = (drifted if drifted is not None else batch_counts).select(*group).distinct()
-    major_list = base.filter(F.col("before") > _POINTS).groupBy("feature").agg(
+    major_list = shares.filter(F.col("before") > _POINTS).groupBy("feature").agg(
         F.collect_list("category").alias("major"))  # fewer than 200 entries per feature
     from_base = asked.join(F.broadcast(major_list), "feature").select(
         *group, F.explode("major").alias("category"))
@@ -108,7 +108,7 @@ def top_movers(batch_counts: DataFrame, base_counts: DataFrame, keys: list[str],
         *group, "category")
     candidates = from_base.unionByName(from_batch).distinct()
     moves = (candidates.join(cur, [*group, "category"], "left")
-             .join(base, ["feature", "category"], "left")
+             .join(shares, ["feature", "category"], "left")
              .fillna(0.0, ["after", "before"]))
     delta = F.col("after") - F.col("before")
     w = Window.partitionBy(*group)
@@ -193,16 +193,16 @@ def explain_numeric(results: DataFrame, state: DataFrame, profile: DataFrame, ke
     return joined.select(*results.columns, numeric_text(t).alias("explanation"))
 
 
-def explain_categorical(results: DataFrame, state: DataFrame, base_counts: DataFrame,
+def explain_categorical(results: DataFrame, state: DataFrame, base: CategoryBaseline,
                         unseen: DataFrame, keys: list[str],
                         thresholds: dict | None = None) -> DataFrame:
     t = literal_thresholds(thresholds)
     group = [*keys, "feature"]
     counts = state.filter(F.col("category").isNotNull())
     drifted = results.filter(F.col("status").isin(S.HIGH, S.MODERATE))
-    movers = mover_sentences(top_movers(counts, base_counts, keys, drifted), keys)
+    movers = mover_sentences(top_movers(counts, base, keys, drifted), keys)
     first = first_unseen(unseen, keys).select(*group, "first_values", "more")
-    known = base_counts.groupBy("feature").agg(F.count("*").alias("base_categories"))
+    known = base.totals.select("feature", F.col("k0").alias("base_categories"))
     joined = (results.join(movers, group, "left").join(first, group, "left")
               .join(known, "feature", "left"))
     return joined.select(*results.columns, categorical_text(t).alias("explanation"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as St
-from .categories import category_divergence
+from .categories import category_baseline, category_divergence
 
 
 def mix_divergence(counts: DataFrame, baseline_mix: DataFrame, keys: list[str],
@@ -20,7 +20,7 @@ def mix_divergence(counts: DataFrame, baseline_mix: DataFrame, keys: list[str],
     base = baseline_mix.withColumnRenamed("y_pred", "category")
     if not model_keys:
         batch, base = batch.withColumn("feature", F.lit("mix")), base.withColumn("feature", F.lit("mix"))
-    out = category_divergence(batch, base, keys, model_keys or ["feature"])
+    out = category_divergence(batch, category_baseline(base, model_keys), keys)
     return out.select(*keys, F.col("jsd").alias("mix_jsd"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.values import as_category, as_number
+from ..functions.values import as_category, as_number, dtype_kind
 
 
 def _melt(df: DataFrame, keys: list[str], columns: dict, value: str) -> DataFrame:
@@ -15,12 +16,15 @@ def _melt(df: DataFrame, keys: list[str], columns: dict, value: str) -> DataFram
 
 
 def numeric_long(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """keys, feature, value double (null = missing or unparsable), present boolean."""
+    """keys, feature, value double (null = missing or unparsable), present boolean.
+
+    While long, an unparsable value travels as NaN, so a row carries one double and no struct.
+    """
     types = {f.name: f.dataType for f in df.schema}
-    columns = {f: F.struct(
-        as_number(f, types[f]).alias("value"),
-        _present(f, types[f]).alias("present")) for f in features if f in types}
-    return _melt(df, keys, columns, "cell").select(*keys, "feature", "cell.value", "cell.present")
+    columns = {f: _marked_number(f, types[f]) for f in features if f in types}
+    raw = F.col("_raw")
+    return _melt(df, keys, columns, "_raw").select(
+        *keys, "feature", F.when(~F.isnan(raw), raw).alias("value"), raw.isNotNull().alias("present"))
 
 
 def category_long(df: DataFrame, features: list[str], keys: list[str],
@@ -32,8 +36,9 @@ def category_long(df: DataFrame, features: list[str], keys: list[str],
     return _melt(df, keys, columns, "category")
 
 
-def _present(name: str, dtype) -> Column:
-    c = F.col(f"`{name}`")
-    if dtype.typeName() in ("double", "float"):
-        return c.isNotNull() & ~F.isnan(c)
-    return c.isNotNull()
+def _marked_number(name: str, dtype: T.DataType) -> Column:
+    """The column as double; null where it is missing, NaN where it is text that does not parse."""
+    number = as_number(name, dtype)
+    if dtype_kind(dtype) != "text":
+        return number
+    return F.when(F.col(f"`{name}`").isNotNull(), F.coalesce(number, F.lit(float("nan"))))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.values import dtype_kind, half_even, pct
-from .categories import unseen_categories
+from .categories import CategoryBaseline, unseen_categories
 from .drift import category_sizes
 
 
@@ -83,12 +83,12 @@ def numeric_quality(state: DataFrame, keys: list[str],
         F.lit(0).cast("long").alias("unseen"))
 
 
-def categorical_quality(state: DataFrame, base_counts: DataFrame, keys: list[str],
+def categorical_quality(state: DataFrame, base: CategoryBaseline, keys: list[str],
                         kinds: dict[str, tuple[str, str, bool]] | None = None) -> DataFrame:
     """Per-column report of categorical features, from the category batch state."""
     sizes = category_sizes(state, keys)
     unseen = unseen_categories(
-        state.filter(F.col("category").isNotNull()), base_counts, keys
+        state.filter(F.col("category").isNotNull()), base, keys
     ).groupBy(*keys, "feature").agg(F.count("*").alias("unseen"))
     zero = F.lit(0).cast("long")
     return sizes.join(unseen, [*keys, "feature"], "left").select(

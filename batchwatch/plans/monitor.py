@@ -28,7 +28,7 @@ class Baseline:
     numeric: list[str]
     categorical: list[str]
     profile: DataFrame | None
-    counts: DataFrame | None
+    categories: C.CategoryBaseline | None
     reference: dict
     kinds: dict[str, str] = field(default_factory=dict)
     declared: dict[str, str] = field(default_factory=dict)
@@ -39,10 +39,11 @@ def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str],
     """Profile once; the tables are written out, so no later job reads the baseline again."""
     types = {f.name: f.dataType for f in df.schema}
     profile = stored_profile(profile_numeric(df, numeric)) if numeric else None
-    counts = materialise(profile_categories(df, categorical), "profile-categories") if categorical else None
+    categories = C.category_baseline(
+        materialise(profile_categories(df, categorical), "profile-categories")) if categorical else None
     reference = sorted_reference(reference_sample(df, numeric, row_key, cap), numeric) if numeric else {}
     return Baseline(
-        numeric, categorical, profile, counts, reference,
+        numeric, categorical, profile, categories, reference,
         {f: dtype_kind(types[f]) for f in [*numeric, *categorical]},
         {f: types[f].simpleString() for f in categorical})
 
@@ -72,16 +73,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], prediction: Column,
                    target: str | None = None, labels: list | None = None,
                    positive: str | None = None, baseline_mix: DataFrame | None = None,
-                   reference_accuracy: float | None = None, thresholds: dict | None = None,
-                   stored_state: bool = False) -> MonitoringResult:
+                   reference_accuracy: float | None = None,
+                   thresholds: dict | None = None) -> MonitoringResult:
     """Monitor every batch of the table in one go.
 
-    Rows are read by three aggregations (numeric state, category state, row digests) and one
-    count of outcomes; all results are derived from those small tables. With ``stored_state`` they
-    are written to the shared folder first, which is what to do when several result tables are
-    saved one after the other.
+    Rows are read by five aggregations, each over its own columns: numeric state, reference
+    positions, category state, row digests and outcomes. What they leave is written to the shared
+    folder, since every result table is derived from it and none should read the rows again.
     """
-    keep = materialise if stored_state else (lambda df, name: df)
     here = set(batches.columns)
     num = [f for f in baseline.numeric if f in here]
     cat = [f for f in baseline.categorical if f in here]
@@ -89,33 +88,33 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
     truth = target if target in here else None
     scored = batches.withColumn("_prediction", prediction).withColumn(
         "_truth", F.col(truth) if truth else F.lit(None).cast("string"))
-    outcomes = keep(P.outcome_counts(scored, keys, "_truth", "_prediction"), "outcomes")
-    duplicates = keep(Q.duplicate_rows(batches, keys), "duplicates")
+    outcomes = materialise(P.outcome_counts(scored, keys, "_truth", "_prediction"), "outcomes")
+    duplicates = materialise(Q.duplicate_rows(batches, keys), "duplicates")
 
     results, columns = [], []
     if num:
-        state = keep(D.numeric_state(batches, baseline.profile, num, keys), "numeric-state")
-        ks = keep(ks_statistic(
+        state = materialise(D.numeric_state(batches, baseline.profile, num, keys), "numeric-state")
+        ks = materialise(ks_statistic(
             batches, {f: baseline.reference[f] for f in num}, keys), "ks")
         drift = D.numeric_drift(state, baseline.profile, ks, keys, thresholds)
         results.append(E.explain_numeric(drift, state, baseline.profile, keys, thresholds))
         columns.append(Q.numeric_quality(state, keys, kinds))
     if cat:
-        state = keep(D.category_state(batches, cat, keys, baseline.declared), "category-state")
+        state = materialise(D.category_state(batches, cat, keys, baseline.declared), "category-state")
         present = state.filter(F.col("category").isNotNull())
-        drift = D.categorical_drift(state, baseline.counts, keys, thresholds)
-        unseen = C.unseen_categories(present, baseline.counts, keys)
+        drift = D.categorical_drift(state, baseline.categories, keys, thresholds)
+        unseen = C.unseen_categories(present, baseline.categories, keys)
         results.append(E.explain_categorical(
-            drift, state, baseline.counts, unseen, keys, thresholds))
-        columns.append(Q.categorical_quality(state, baseline.counts, keys, kinds))
+            drift, state, baseline.categories, unseen, keys, thresholds))
+        columns.append(Q.categorical_quality(state, baseline.categories, keys, kinds))
     gone = [(f, S.NUMERIC) for f in baseline.numeric if f not in here] + [
         (f, S.CATEGORICAL) for f in baseline.categorical if f not in here]
     if gone:
         results.append(E.explain_absent(D.absent_features(duplicates.select(*keys), gone, keys)))
 
-    features = keep(_union(results), "features")
+    features = materialise(_union(results), "features")
     quality_columns = _union(columns)
-    quality = keep(Q.quality_report(quality_columns, duplicates, keys), "quality")
+    quality = materialise(Q.quality_report(quality_columns, duplicates, keys), "quality")
     rolled = D.drift_rollup(features, keys, thresholds)
     block = P.performance_block(outcomes, keys, labels, positive)
     mix = P.prediction_distribution(outcomes, keys, labels)

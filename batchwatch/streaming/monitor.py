@@ -27,7 +27,7 @@ def stream_monitor(stream: DataFrame, baseline: Baseline, keys: list[str], predi
     def handle(frame: DataFrame, epoch: int) -> None:
         if frame.isEmpty():
             return
-        result = run_monitoring(frame, baseline, keys, prediction, stored_state=True, **options)
+        result = run_monitoring(frame, baseline, keys, prediction, **options)
         persist_runs(result.tables(), root, str(epoch))
 
     drain_batches(stream, handle, checkpoint)
