@@ -341,6 +341,7 @@ def explain_numeric(spark, sf):
 
 def explain_categorical(spark, sf):
     drift, state, base = _categorical(spark, sf)
+    drift = materialise(drift, "categorical-drift")
     gone = C.unseen_categories(state.filter(F.col("category").isNotNull()), base, KEY)
     return E.explain_categorical(drift, state, base, gone, KEY).select(
         "batch_id", "feature", "status", "explanation")

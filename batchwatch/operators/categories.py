@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.divergence import clamp_unit, jsd_term, psi_term
 from ..functions.pvalues import with_chi2_pvalue
 from ..schemas import EPSILON, MIN_EXPECTED_CELL
-from ..storage import materialise
+from ..storage import local_copy
 
 _EPS = f"{EPSILON:.4f}D"
 
@@ -46,16 +46,16 @@ class CategoryBaseline:
 
 
 def category_baseline(counts: DataFrame, keys: list[str] | None = None) -> CategoryBaseline:
-    """``counts`` should be a stored table: it is read twice here and once per comparison."""
+    """``counts`` should be a stored table: it is read once here and by every comparison."""
     keys = keys or ["feature"]
-    by_size = materialise(counts.groupBy(*keys, F.col("n").alias("at")).agg(
-        F.count("*").alias("m"), F.sum("n").alias("s")), "category-sizes")
+    by_size = counts.groupBy(*keys, F.col("n").alias("at")).agg(
+        F.count("*").alias("m"), F.sum("n").alias("s"))
     w = Window.partitionBy(*keys)
     totals = by_size.withColumns({"b0": F.sum("s").over(w), "k0": F.sum("m").over(w)}).groupBy(*keys).agg(
         F.max("b0").alias("b0"), F.max("k0").alias("k0"),
         F.expr(f"sum(m * ({_absent(psi_term, 'at / b0')}))").alias("w_psi"),
         F.expr(f"sum(m * ({_absent(jsd_term, 'at / b0')}))").alias("w_jsd"))
-    return CategoryBaseline(counts, by_size, materialise(totals, "category-totals"), keys)
+    return CategoryBaseline(counts, by_size, local_copy(totals), keys)
 
 
 def baseline_shares(base: CategoryBaseline) -> DataFrame:

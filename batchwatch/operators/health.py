@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as St
+from ..storage import local_copy
 from .categories import category_baseline, category_divergence
 
 
-def mix_divergence(counts: DataFrame, baseline_mix: DataFrame, keys: list[str],
-                   model_keys: list[str] | None = None) -> DataFrame:
+def mix_divergence(counts: DataFrame, baseline_mix: DataFrame, keys: list[str]) -> DataFrame:
     """JSD of every batch's predicted class mix to the model's mix on its baseline.
 
-    ``counts`` has keys, y_pred, n; ``baseline_mix`` (model keys,) y_pred, n.
+    ``counts`` has keys, y_pred, n; ``baseline_mix`` y_pred, n, one row per class.
     """
-    batch = counts.groupBy(*keys, "y_pred").agg(F.sum("n").alias("n")).withColumnRenamed(
-        "y_pred", "category")
-    base = baseline_mix.withColumnRenamed("y_pred", "category")
-    if not model_keys:
-        batch, base = batch.withColumn("feature", F.lit("mix")), base.withColumn("feature", F.lit("mix"))
-    out = category_divergence(batch, category_baseline(base, model_keys), keys)
-    return out.select(*keys, F.col("jsd").alias("mix_jsd"))
+    def as_categories(df: DataFrame) -> DataFrame:
+        return df.withColumnRenamed("y_pred", "category").withColumn("feature", F.lit("mix"))
+
+    batch = as_categories(counts.groupBy(*keys, "y_pred").agg(F.sum("n").alias("n")))
+    base = category_baseline(local_copy(as_categories(baseline_mix.select("y_pred", "n"))))
+    return category_divergence(batch, base, keys).select(*keys, F.col("jsd").alias("mix_jsd"))
 
 
 def health_score(runs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import pct
 from ..schemas import BIN_COUNT
+from ..storage import local_copy
 from .longform import category_long, numeric_long
 from .quantiles import exact_quantiles
 
@@ -134,8 +135,5 @@ def profile_categorical(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def stored_profile(profile: DataFrame) -> DataFrame:
-    """The numeric profile as a local table: one row per feature column, a few hundred bytes each.
-
-    A profile is computed once and only read afterwards, so jobs never recompute the baseline.
-    """
-    return profile.sparkSession.createDataFrame(profile.toArrow())
+    """The numeric profile, one row per feature column, kept so that no job recomputes it."""
+    return local_copy(profile)

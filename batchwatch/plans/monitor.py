@@ -94,15 +94,16 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
     results, columns = [], []
     if num:
         state = materialise(D.numeric_state(batches, baseline.profile, num, keys), "numeric-state")
-        ks = materialise(ks_statistic(
-            batches, {f: baseline.reference[f] for f in num}, keys), "ks")
+        ks = ks_statistic(batches, {f: baseline.reference[f] for f in num}, keys)
         drift = D.numeric_drift(state, baseline.profile, ks, keys, thresholds)
         results.append(E.explain_numeric(drift, state, baseline.profile, keys, thresholds))
         columns.append(Q.numeric_quality(state, keys, kinds))
     if cat:
         state = materialise(D.category_state(batches, cat, keys, baseline.declared), "category-state")
         present = state.filter(F.col("category").isNotNull())
-        drift = D.categorical_drift(state, baseline.categories, keys, thresholds)
+        # explanations look at the results several times
+        drift = materialise(D.categorical_drift(state, baseline.categories, keys, thresholds),
+                            "categorical-drift")
         unseen = C.unseen_categories(present, baseline.categories, keys)
         results.append(E.explain_categorical(
             drift, state, baseline.categories, unseen, keys, thresholds))
@@ -114,7 +115,7 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
 
     features = materialise(_union(results), "features")
     quality_columns = _union(columns)
-    quality = materialise(Q.quality_report(quality_columns, duplicates, keys), "quality")
+    quality = Q.quality_report(quality_columns, duplicates, keys)
     rolled = D.drift_rollup(features, keys, thresholds)
     block = P.performance_block(outcomes, keys, labels, positive)
     mix = P.prediction_distribution(outcomes, keys, labels)

@@ -38,3 +38,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_copy(df: DataFrame) -> DataFrame:
+    """A table with one row per feature column (or per model) as a local relation.
+
+    Only for tables whose size is bounded by the width of the schema; Spark knows the size of a
+    local relation and joins it by broadcast.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow())
