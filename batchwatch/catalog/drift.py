@@ -498,7 +498,7 @@ _PERF = [B.SCORED_SQL, """oc AS (SELECT batch_id, y_true, y_pred, count(*) AS n
   FROM grid g JOIN lab USING (batch_id) GROUP BY g.batch_id, g.label)""",
          """cm AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall,
   coalesce(2 * tp / nullif(predicted + support, 0), 0.0) AS f1 FROM ct)""",
-         """acc AS (SELECT batch_id, sum(n) FILTER (y_true = y_pred) AS hits, sum(n) AS sample_count FROM lab GROUP BY batch_id)""",
+         """acc AS (SELECT batch_id, coalesce(sum(n) FILTER (y_true = y_pred), 0) AS hits, sum(n) AS sample_count FROM lab GROUP BY batch_id)""",
          """mac AS (SELECT batch_id, avg(precision) AS pm, avg(recall) AS rm, avg(f1) AS fm FROM cm GROUP BY batch_id)""",
          """pos AS (SELECT batch_id, precision AS pp, recall AS rp, f1 AS fp FROM cm WHERE label = '1')"""]
 

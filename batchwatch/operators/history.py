@@ -74,14 +74,14 @@ def resolve_thresholds(models: DataFrame, profiles: DataFrame) -> DataFrame:
     names = list(S.THRESHOLDS)
     own = profiles.filter(F.col("model_id").isNotNull()).select(
         "model_id", F.struct(*names).alias("_own"))
-    shared = profiles.filter(F.col("model_id").isNull()).select(F.struct(*names).alias("_shared")).limit(1)
+    row = profiles.filter(F.col("model_id").isNull()).select(*names).first()
+    shared = F.struct(*[F.lit(float(row[k])).alias(k) for k in names]) if row else None
     defaults = F.struct(*[F.lit(float(v)).alias(k) for k, v in S.THRESHOLDS.items()])
-    joined = models.select("model_id").join(own, "model_id", "left").join(
-        F.broadcast(shared), F.lit(True), "left")
-    source = (F.when(F.col("_own").isNotNull(), "model").when(F.col("_shared").isNotNull(), "global")
-              .otherwise("default"))
+    joined = models.select("model_id").join(own, "model_id", "left")
+    source = F.when(F.col("_own").isNotNull(), "model").otherwise("default" if shared is None else "global")
+    fallback = defaults if shared is None else shared
     return joined.select("model_id", source.alias("source"),
-                         F.coalesce("_own", "_shared", defaults).alias("t")).select(
+                         F.coalesce("_own", fallback).alias("t")).select(
         "model_id", "source", "t.*")
 
 
@@ -392,10 +392,16 @@ def comparison_verdict(comparison: DataFrame) -> DataFrame:
 
 def dashboard_counts(models: DataFrame, alerts: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Totals of the start page."""
-    m = models.agg(F.count("*").alias("total_models"))
-    a = alerts.agg(F.count_if(F.col("status").isin("NEW", "ACKNOWLEDGED")).alias("unresolved_alerts"))
-    r = recommendations.agg(F.count_if(F.col("status") == "OPEN").alias("open_recommendations"))
-    return m.join(F.broadcast(a), F.lit(True)).join(F.broadcast(r), F.lit(True))
+    counted = {
+        "total_models": models.agg(F.count("*").alias("n")),
+        "unresolved_alerts": alerts.agg(
+            F.count_if(F.col("status").isin("NEW", "ACKNOWLEDGED")).alias("n")),
+        "open_recommendations": recommendations.agg(F.count_if(F.col("status") == "OPEN").alias("n"))}
+    rows = None
+    for name, one in counted.items():
+        part = one.select(F.lit(name).alias("name"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in counted])
 
 
 def active_users(logins: DataFrame, now: Column) -> DataFrame:
@@ -421,13 +427,12 @@ def missing_required(present: DataFrame, required: DataFrame, keys: list[str]) -
 
     ``present`` has keys and feature; ``required`` has feature, one row per monitored column.
     """
-    batches = present.select(*keys).distinct()
-    names = required.agg(F.array_sort(F.collect_list("feature")).alias("_required"))
-    seen = present.join(F.broadcast(required), "feature", "left_semi").groupBy(*keys).agg(
-        F.collect_set("feature").alias("_seen"))  # at most one entry per monitored column
-    lacking = (batches.join(seen, keys, "left").join(F.broadcast(names), F.lit(True))
-               .withColumn("missing", F.array_sort(F.array_except(
-                   "_required", F.coalesce("_seen", F.array().cast("array<string>"))))))
+    names = sorted(r["feature"] for r in required.select("feature").distinct().collect())
+    monitored = F.array(*[F.lit(n) for n in names])
+    # at most one entry per monitored column
+    seen = present.groupBy(*keys).agg(F.collect_set(
+        F.when(F.col("feature").isin(names), F.col("feature"))).alias("_seen"))
+    lacking = seen.withColumn("missing", F.array_except(monitored, "_seen"))
     return lacking.filter(F.size("missing") > 0).select(*keys, rejection_message(F.col("missing")).alias("message"))
 
 

@@ -121,9 +121,10 @@ def prediction_gate(scored_counts: DataFrame, classes: DataFrame, rows_in: int)
 
     ``scored_counts`` has y_pred and n, ``classes`` the column y_pred.
     """
-    foreign = scored_counts.join(classes, "y_pred", "left_anti").agg(
-        F.count("*").alias("foreign_classes"))
-    sizes = scored_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("predictions"))
-    return sizes.join(F.broadcast(foreign), F.lit(True)).select(
+    known = classes.select("y_pred").distinct().withColumn("_known", F.lit(True))
+    return scored_counts.join(known, "y_pred", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("predictions"),
+        F.count_if(F.col("_known").isNull()).alias("foreign_classes"),
+    ).select(
         F.lit(rows_in).cast("long").alias("rows"), "predictions", "foreign_classes",
         ((F.col("predictions") == rows_in) & (F.col("foreign_classes") == 0)).alias("passed"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..schemas import REFERENCE_CAP, SEED
 
 _PREFIX = 4
+_ABOVE_ALL = "g"  # sorts after every hexadecimal digit
 
 
 def row_hash(seed: int | str, *key: str) -> Column:
@@ -37,40 +38,60 @@ def hash_cuts(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str
     sizes = per_prefix.groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("_k", wanted)
     w = Window.partitionBy(*keys).orderBy("_p")
     boundary = (
-        per_prefix.join(sizes, keys) if keys else per_prefix.join(
-            F.broadcast(sizes.limit(1)), F.lit(True)))
-    boundary = (
-        boundary.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+        per_prefix.join(sizes, keys)
+        .withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
         .filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
         .select(*keys, "_p", (F.col("_k") - F.col("_before")).alias("_need")))
     inside = hashed.join(boundary, [*keys, "_p"])
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h"))
     cuts = (inside.withColumn("_r", rank).filter(F.col("_r") == F.col("_need"))
             .select(*keys, F.col("_h").alias("cut")))
-    if keys:
-        out = sizes.join(cuts, keys, "left")
-    else:
-        out = sizes.join(F.broadcast(cuts), F.lit(True), "left")
     # wanting every row needs no boundary row
-    return out.select(
+    return sizes.join(cuts, keys, "left").select(
         *keys, "n", F.col("_k").alias("k"),
-        F.when(F.col("_k") >= F.col("n"), F.lit("g")).otherwise(F.col("cut")).alias("cut"))
+        F.when(F.col("_k") >= F.col("n"), F.lit(_ABOVE_ALL)).otherwise(F.col("cut")).alias("cut"))
+
+
+def table_cut(df: DataFrame, seed: int | str, row_key: list[str], wanted: int) -> str | None:
+    """The cut of a whole table as a single value: three small jobs, each one row or less."""
+    hashed = df.select(row_hash(seed, *row_key).alias("_h")).withColumn(
+        "_p", F.substring("_h", 1, _PREFIX))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    running = hashed.groupBy("_p").agg(F.count("*").alias("_c")).withColumn(
+        "_upto", F.sum("_c").over(w))  # at most 65,536 prefixes
+    boundary = running.filter(F.col("_upto") >= wanted).orderBy("_p").first()
+    if wanted <= 0 or boundary is None:
+        return _ABOVE_ALL if wanted > 0 else None
+    need = wanted - (boundary["_upto"] - boundary["_c"])
+    inside = hashed.filter(F.col("_p") == boundary["_p"]).orderBy("_h").offset(need - 1).first()
+    return inside["_h"]
 
 
 def flag_sample(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str],
                 wanted: Column, flag: str = "picked") -> DataFrame:
     """Add a boolean: is this one of the first ``wanted`` rows of its group in hash order."""
-    cuts = hash_cuts(df, keys, seed, row_key, wanted)
-    narrow = cuts.select(*keys, F.col("cut").alias("_cut"))
-    joined = df.join(narrow, keys, "left") if keys else df.join(
-        F.broadcast(narrow), F.lit(True), "left")
-    return joined.withColumn(
+    narrow = hash_cuts(df, keys, seed, row_key, wanted).select(*keys, F.col("cut").alias("_cut"))
+    return df.join(narrow, keys, "left").withColumn(
         flag, F.coalesce(row_hash(seed, *row_key) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
-def take_sample(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str],
-                wanted: Column) -> DataFrame:
-    return flag_sample(df, keys, seed, row_key, wanted, "_picked").filter("_picked").drop("_picked")
+def flag_table_sample(df: DataFrame, seed: int | str, row_key: list[str], wanted: int,
+                      flag: str = "picked") -> DataFrame:
+    """The same over a whole table, where the size wanted is a number."""
+    cut = table_cut(df, seed, row_key, wanted)
+    return df.withColumn(flag, row_hash(seed, *row_key) <= cut if cut else F.lit(False))
+
+
+def flag_share(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str], rate: float,
+               flag: str = "picked") -> DataFrame:
+    """Flag round(n * rate) rows per group, or of the whole table where there are no keys."""
+    if keys:
+        return flag_sample(df, keys, seed, row_key, half_even_share(F.col("n"), rate), flag)
+    return flag_table_sample(df, seed, row_key, round(df.count() * min(max(rate, 0.0), 1.0)), flag)
+
+
+def take_table_sample(df: DataFrame, seed: int | str, row_key: list[str], wanted: int) -> DataFrame:
+    return flag_table_sample(df, seed, row_key, wanted, "_picked").filter("_picked").drop("_picked")
 
 
 def reference_sample(df: DataFrame, features: list[str], row_key: list[str],
@@ -80,7 +101,7 @@ def reference_sample(df: DataFrame, features: list[str], row_key: list[str],
     # no choice to make for a table under the cap, which a count tells
     if df.limit(cap + 1).count() <= cap:
         return df.select(*columns)
-    return take_sample(df, [], seed, row_key, F.lit(cap).cast("long")).select(*columns)
+    return take_table_sample(df, seed, row_key, cap).select(*columns)
 
 
 def stratified_split(df: DataFrame, target: str, row_key: list[str], test_share: float = 0.25,

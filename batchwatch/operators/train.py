@@ -55,9 +55,8 @@ class Trained:
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """n / (classes * n_class) per class."""
     per = df.groupBy(target).agg(F.count("*").alias("c"))
-    total = per.agg(F.sum("c").alias("n"), F.count("*").alias("k"))
-    return per.join(F.broadcast(total), F.lit(True)).select(
-        target, (F.col("n") / (F.col("k") * F.col("c"))).alias(_WEIGHT))
+    total = per.agg(F.sum("c").alias("n"), F.count("*").alias("k")).first()
+    return per.select(target, (F.lit(total["n"]) / (F.lit(total["k"]) * F.col("c"))).alias(_WEIGHT))
 
 
 def preprocessing(numeric: list[str], categorical: list[str]) -> list:
@@ -177,6 +176,5 @@ def train_classifier(df: DataFrame, target: str, numeric: list[str], categorical
 def baseline_prediction_mix(scored_baseline: DataFrame) -> DataFrame:
     """Class counts and shares of a version's predictions on its baseline."""
     per = scored_baseline.groupBy(F.col(_PREDICTION).alias("y_pred")).agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    return per.join(F.broadcast(total), F.lit(True)).select(
-        "y_pred", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = scored_baseline.count()
+    return per.select("y_pred", "n", (F.col("n") / F.lit(total)).alias("share"))
