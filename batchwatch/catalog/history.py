@@ -11,6 +11,7 @@ from ..operators import alerts as A
 from ..operators import drift as D
 from ..operators import history as H
 from ..operators import retrain as R
+from ..storage import materialise
 from . import bindings as B
 from . import sql as Q
 from .bindings import rounded
@@ -174,7 +175,9 @@ def alert_dedup_resolved(spark, sf):
 def _triggered(spark, sf):
     runs = B.runs(spark, sf).filter("status = 'COMPLETED'").join(
         H.reference_accuracy(B.versions(spark, sf), B.runs(spark, sf)), "version_id")
-    flagged = R.consecutive_below(runs, "health_score", F.lit(60), "health_critical_twice")
+    runs = materialise(runs, "scored-runs")
+    flagged = materialise(R.consecutive_below(
+        runs, "health_score", F.lit(60), "health_critical_twice"), "flagged-runs")
     flagged = R.consecutive_below(flagged, "quality_score", F.lit(50), "quality_poor_twice")
     return R.retrain_triggers(flagged, St.literal_thresholds())
 
@@ -199,16 +202,17 @@ def retrain_recommendation(spark, sf):
 
 def _opened(spark, sf):
     columns = ["model_id", "run_id", "version_id", "created_at", "severity", "message"]
-    return R.open_recommendations(_recommended(spark, sf).select(*columns), _closings(spark, sf))
+    recommended = materialise(_recommended(spark, sf).select(*columns), "recommended")
+    return R.open_recommendations(recommended, _closings(spark, sf)), recommended
 
 
 def open_recommendation(spark, sf):
-    return _opened(spark, sf).select("model_id", "updates", "opened_at", "updated_at", "run_id", "severity", "status")
+    return _opened(spark, sf)[0].select("model_id", "updates", "opened_at", "updated_at", "run_id", "severity", "status")
 
 
 def recommendation_alert(spark, sf):
-    out = R.recommendation_alerts(_opened(spark, sf), _recommended(spark, sf),
-                                  F.concat(F.lit("model "), F.col("model_id").cast("string")))
+    out = R.recommendation_alerts(
+        *_opened(spark, sf), F.concat(F.lit("model "), F.col("model_id").cast("string")))
     return out.select("model_id", "category", "severity", "rule_code", "headline", "run_id", "seen_at")
 
 
@@ -316,7 +320,8 @@ def model_overview(spark, sf):
 
 
 def _comparison(spark, sf):
-    stats = H.version_stats(B.versions(spark, sf), B.runs(spark, sf), B.alerts(spark, sf))
+    stats = materialise(H.version_stats(
+        B.versions(spark, sf), B.runs(spark, sf), B.alerts(spark, sf)), "version-stats")
     pairs = _pairs(spark, sf).withColumn("compatible", F.col("model_id") % 2 == 0)
     return H.version_comparison(pairs, stats)
 

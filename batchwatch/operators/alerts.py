@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import text as X
 from ..functions.status import Thresholds, accuracy_drop
+from ..storage import materialise
 from .ordered import newest, previous_values, running_sums
 
 _FIELDS = ["category", "feature", "severity", "rule_code", "headline", "message"]
@@ -90,7 +91,8 @@ def dedup_alerts(occurrences: DataFrame, keys: list[str], ts: str, tie: str,
     """Occurrences of one key whose gap is at most the cooldown form one alert.
 
     Texts come from the latest occurrence. A RESOLVED action (keys, ts) between two occurrences
-    also starts a new alert. The island number of an occurrence is a running sum of starts.
+    also starts a new alert. The island number of an occurrence is a running sum of starts; the
+    starts are stored first, because the sum reads them twice.
     """
     cooldown = F.lit(float(cooldown_minutes)) if not isinstance(cooldown_minutes, Column) else cooldown_minutes
     extra = [c for c in occurrences.columns if c not in (*keys, ts, tie)]
@@ -110,8 +112,10 @@ def dedup_alerts(occurrences: DataFrame, keys: list[str], ts: str, tie: str,
         F.col("_prev_ts").isNull() | gap_open
         | ((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp")))
            > cooldown * 60_000_000), 1).otherwise(0)
-    islands = running_sums(before, keys, [ts, "_resolve", tie], slice_by,
-                           {"island": starts.cast("long")}).filter(F.col("_resolve") == 0)
+    started = materialise(before.withColumn("_start", starts.cast("long")).drop(
+        "_prev_ts", "_prev_resolve"), "alert-starts")
+    islands = running_sums(started, keys, [ts, "_resolve", tie], slice_by,
+                           {"island": F.col("_start")}).filter(F.col("_resolve") == 0)
     latest = F.struct(ts, tie)
     return islands.groupBy(*keys, "island").agg(
         F.count("*").alias("occurrence_count"), F.min(ts).alias("first_seen_at"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import text as X
 from ..functions.status import Thresholds, accuracy_drop
+from ..storage import materialise
 from .ordered import previous_values, running_sums
 
 
@@ -89,7 +90,7 @@ def open_recommendations(recommended: DataFrame, closings: DataFrame) -> DataFra
     order = ["created_at", "_close", "run_id"]
     rows = recommended.withColumn("_close", F.lit(0)).withColumn("action", F.lit(None).cast("string"))
     marks = closings.select("model_id", "created_at", "action").withColumn("_close", F.lit(1))
-    both = rows.unionByName(marks, allowMissingColumns=True)
+    both = materialise(rows.unionByName(marks, allowMissingColumns=True), "recommendation-log")
     numbered = running_sums(both, ["model_id"], order, F.date_trunc("month", F.col("created_at")),
                             {"closings": F.col("_close").cast("long")})
     # a closing row is itself counted, so it belongs to the recommendation before it
