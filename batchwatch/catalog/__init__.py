@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("foundation", "drift", "history", "perturbation", "learning", "streams")
+_MODULES = ("foundation", "drift", "rules", "history", "perturbation", "learning", "streams")
 
 
 def _collect(attribute: str) -> dict:

@@ -29,7 +29,7 @@ def _metrics(algorithm: str):
     return query
 
 
-def preprocess_pipeline(spark, sf):
+def preprocess_features(spark, sf):
     from pyspark.ml import Pipeline
 
     data = T.prepared(B.table(spark, sf, "documents").select("doc_id", *_NUMERIC, *_CATEGORICAL),
@@ -66,12 +66,12 @@ QUERIES = {
     "train_classifier": _metrics("logistic_regression"),
     "train_decision_tree": _metrics("decision_tree"),
     "train_balanced_forest": _metrics("balanced_random_forest"),
-    "preprocess_pipeline": preprocess_pipeline, "score_with_function": score_with_function,
+    "preprocess_features": preprocess_features, "score_with_function": score_with_function,
     "class_weights": class_weights, "validation_sample": validation_sample, "target_classes": target_classes,
 }
 
 ORACLES = {
-    "preprocess_pipeline": """SELECT doc_id, 1 + (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM documents WHERE lang <> 'en') AS width,
+    "preprocess_features": """SELECT doc_id, 1 + (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM documents WHERE lang <> 'en') AS width,
   CASE WHEN lang = 'en' THEN 0 ELSE 1 END + CASE WHEN source IN (SELECT source FROM documents WHERE lang <> 'en') THEN 1 ELSE 0 END AS bits_set FROM documents""",
     "score_with_function": f"SELECT doc_id, {B.PREDICTION_RULE} AS prediction_label FROM documents",
     "class_weights": """SELECT CAST(quality AS VARCHAR) AS quality, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight

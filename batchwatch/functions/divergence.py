@@ -46,7 +46,8 @@ def _measure(baseline: str, current: str, term: str) -> str:
 
 def _checked(baseline: str, current: str, value: str) -> Column:
     return F.expr(
-        f"CASE WHEN size({baseline}) <> size({current}) THEN "
+        f"CASE WHEN {baseline} IS NULL OR {current} IS NULL THEN NULL "
+        f"WHEN size({baseline}) <> size({current}) THEN "
         "CAST(raise_error('both sides need the same number of bins') AS DOUBLE) "
         f"WHEN size({baseline}) <= 0 THEN 0.0D ELSE {value} END")
 

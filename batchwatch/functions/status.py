@@ -65,7 +65,8 @@ def rollup(high: Column, moderate: Column, evaluated: Column, t: Thresholds) ->
 
 
 def clamp(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), value.cast("double")))
+    """Limit to 0..100; unknown stays unknown (greatest and least alone would skip the null)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), value.cast("double"))))
 
 
 def accuracy_drop(accuracy: Column, reference: Column) -> Column:

@@ -137,3 +137,11 @@ def test_cap_and_bands(spark):
               c=St.coherence_cap(F.lit(50), F.lit(S.HIGH)), d=St.health_band(F.lit(80)),
               e=St.health_band(F.lit(79)), f=St.health_band(F.lit(59))).first()
     assert tuple(row) == (79, 81, 50, "HEALTHY", "WARNING", "CRITICAL")
+
+
+def test_unknown_values_stay_unknown(spark):
+    row = one(spark, a=St.clamp(F.lit(None).cast("double")), b=St.clamp(F.lit(130)), c=St.clamp(F.lit(-3)),
+              d=St.stability_component(F.lit(None).cast("double"))).first()
+    assert tuple(row) == (None, 100.0, 0.0, 100.0)
+    df = spark.createDataFrame([(None, [1, 2])], "a array<bigint>, b array<bigint>")
+    assert df.select(D.jsd("a", "b").alias("x")).first()["x"] is None
