@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.divergence import clamp_unit, jsd_term, psi_term
 from ..functions.pvalues import with_chi2_pvalue
 from ..schemas import EPSILON, MIN_EXPECTED_CELL
-from ..storage import local_copy
+from ..storage import local_copy, materialise
 
 _EPS = f"{EPSILON:.4f}D"
 
@@ -109,7 +109,7 @@ def category_divergence(batch_counts: DataFrame, base: CategoryBaseline, keys: l
     ``batch_counts`` has keys, feature, category, n and should be a stored table.
     """
     group = [*keys, *[k for k in base.keys if k not in keys]]
-    sizes = _sizes(batch_counts, base.totals, group, base.keys)
+    sizes = materialise(_sizes(batch_counts, base.totals, group, base.keys), "category-sizes")
     cells = _cells(batch_counts, base.counts, group, base.keys, sizes)
     return cells.groupBy(*group).agg(*_divergence_sums()).select(*group, *_divergence_columns())
 
@@ -126,9 +126,11 @@ def category_scores(batch_counts: DataFrame, base: CategoryBaseline, keys: list[
     """
     group = [*keys, "feature"]
     sizes = _sizes(batch_counts, base.totals, group, ["feature"])
-    # the look-up joins the small table of totals, before the categories meet it
-    sizes = sizes.join(_reached(sizes, base.by_size), ["feature", "limit"], "left").fillna(
-        0, ["reach_n", "reach_b"])
+    # the look-up joins the small table of totals, which is stored before the categories meet it:
+    # its size then lets Spark broadcast it, and a feature with very many categories is summed up
+    # before the shuffle
+    sizes = materialise(sizes.join(_reached(sizes, base.by_size), ["feature", "limit"], "left").fillna(
+        0, ["reach_n", "reach_b"]), "category-sizes")
     cells = _cells(batch_counts, base.counts, group, ["feature"], sizes)
     column_chi = "dev2 * (CAST(b0 + c0 AS DOUBLE) / (b + c)) * (1.0D / b0 + 1.0D / c0)"
     sums = cells.groupBy(*group).agg(

@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 SMALL_GROUP = 200_000
 _ACCURACY = 20_000
+_BROADCAST_GROUPS = 1_000_000
 
 
 def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float],
@@ -20,11 +23,11 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float],
     """keys + ``quantiles``: one linearly interpolated value per probability."""
     clean = long.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     sizes = clean.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= small_group:
+    facts = sizes.agg(F.max("_n").alias("largest"), F.count("*").alias("groups")).first()
+    if (facts["largest"] or 0) <= small_group:
         return _by_map(clean, keys, probs)
-    # group keys above the limit are few: each holds more than small_group rows
-    marked = clean.join(sizes, keys)
+    # one row per group: sent to the rows while there are at most a million groups
+    marked = clean.join(F.broadcast(sizes) if facts["groups"] <= _BROADCAST_GROUPS else sizes, keys)
     small = marked.filter(F.col("_n") <= small_group).drop("_n")
     large = marked.filter(F.col("_n") > small_group)
     return _by_map(small, keys, probs).unionByName(_by_bracket(large, keys, probs))
@@ -43,6 +46,7 @@ def _by_bracket(large: DataFrame, keys: list[str], probs: list[float]) -> DataFr
         F.max("_n").alias("_n"),
         F.percentile_approx("_v", low, _ACCURACY).alias("_low"),
         F.percentile_approx("_v", high, _ACCURACY).alias("_high"))
+    summary = materialise(summary, "quantile-brackets")
     joined = large.drop("_n").join(summary, keys)
     below = joined.groupBy(*keys).agg(*[
         F.count_if(F.col("_v") < F.get("_low", F.lit(i))).alias(f"_b{i}")

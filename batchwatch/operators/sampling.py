@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import REFERENCE_CAP, SEED
+from ..storage import materialise
 
 _PREFIX = 4
 _ABOVE_ALL = "g"  # sorts after every hexadecimal digit
@@ -42,6 +43,8 @@ def hash_cuts(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str
         .withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
         .filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
         .select(*keys, "_p", (F.col("_k") - F.col("_before")).alias("_need")))
+    # one row per group: stored, so that its size decides how the rows meet it
+    boundary = materialise(boundary, "sample-boundary")
     inside = hashed.join(boundary, [*keys, "_p"])
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h"))
     cuts = (inside.withColumn("_r", rank).filter(F.col("_r") == F.col("_need"))
@@ -70,7 +73,8 @@ def table_cut(df: DataFrame, seed: int | str, row_key: list[str], wanted: int) -
 def flag_sample(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str],
                 wanted: Column, flag: str = "picked") -> DataFrame:
     """Add a boolean: is this one of the first ``wanted`` rows of its group in hash order."""
-    narrow = hash_cuts(df, keys, seed, row_key, wanted).select(*keys, F.col("cut").alias("_cut"))
+    narrow = materialise(hash_cuts(df, keys, seed, row_key, wanted).select(
+        *keys, F.col("cut").alias("_cut")), "sample-cuts")
     return df.join(narrow, keys, "left").withColumn(
         flag, F.coalesce(row_hash(seed, *row_key) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
