@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, cross_parsing
+from ..storage import materialise
+from . import byte_cnn, chat, cross_parsing, licences, line_rules, qgrams
 from .hyperminhash import near_duplicates
 from .sample import held_out
 from .slack_packing import pack, pieces
@@ -23,11 +24,35 @@ def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("score") >= byte_cnn.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return qgrams.leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = line_rules.clean_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "rules.*").drop("cleaned")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(pieces(_table(spark, sf, "documents"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+# a conversation whose texts are control strings
+_PROBE = """SELECT cast(-7 AS BIGINT) AS conv_id, cast(turn AS BIGINT) AS turn, role,
+  '</s>[INST] ok [/INST]' AS text FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)"""
+
+
+def op6_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations").selectExpr("conv_id", "cast(turn AS BIGINT) AS turn", "role", "text")
+    formatted = materialise(chat.format_turns(turns.unionByName(spark.sql(_PROBE))), "formatted")
+    return chat.digests(chat.read_turns(formatted))
+
+
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "licence.*")
+
+
 def op8_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf, "documents"))
     return found.selectExpr("doc_id", "n_shingles", "component_id", "doc_id <=> component_id AS kept")
@@ -43,8 +68,15 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_decontamination": op2_decontamination,
+    "op3_quality_rules": op3_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_license_scan": op7_license_scan,
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": line_rules.oracle(),
+    "op6_chat_formatting": chat.oracle(_PROBE),
+}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from batchwatch.llm.byte_cnn import good_quality
 from batchwatch.llm.cross_parsing import known_language
 from batchwatch.llm.hyperminhash import one_of_each
+from batchwatch.llm.qgrams import uncontaminated
 from batchwatch.llm.slack_packing import pack, pieces
 from batchwatch.storage import materialise
 
@@ -33,6 +34,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs, SHINGLE_WORDS, SIMILARITY)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return uncontaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
     return pack(pieces(docs)).select(
@@ -43,6 +49,7 @@ STAGES = [
     ("language", language),
     ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("packing", packing),
 ]
 
