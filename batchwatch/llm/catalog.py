@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise
-from . import byte_cnn, chat, cross_parsing, licences, line_rules, qgrams
+from ..storage import materialise, scratch
+from . import byte_cnn, chat, cross_parsing, licences, line_rules, qgrams, warc
 from .hyperminhash import near_duplicates
 from .sample import held_out
 from .slack_packing import pack, pieces
@@ -33,6 +33,13 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "rules.*").drop("cleaned")
 
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = warc.stored(warc.chunk_records(_table(spark, sf, "pages")))
+    archives = warc.write_archives(chunks, scratch(spark, "warc"))
+    return warc.read_archives(archives, with_data=False).where("last").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(pieces(_table(spark, sf, "documents"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -70,6 +77,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_license_scan": op7_license_scan,
@@ -78,5 +86,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": line_rules.oracle(),
+    "op4_warc": warc.oracle(),
     "op6_chat_formatting": chat.oracle(_PROBE),
 }
