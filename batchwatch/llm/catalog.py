@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import materialise, scratch
 from . import byte_cnn, chat, cross_parsing, licences, line_rules, qgrams, warc
 from .hyperminhash import near_duplicates
+from .label_shards import shard_documents
 from .sample import held_out
 from .slack_packing import pack, pieces
 
@@ -73,6 +74,10 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
         "language.score")
 
 
+def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_documents(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +88,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": line_rules.oracle(),

@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .ranks import numbered
 from .tokens import codec, default_vocabulary
 
 SEQUENCE, END = 1024, 2
-#: rows of a block in which pieces of one length are numbered
-BLOCK = 20_000
 _PIECES = "row_no long, doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
@@ -107,22 +106,6 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
     return rows.mapInPandas(run, _PIECES)
 
 
-def numbered(rows: DataFrame, group: str, key: list[str], name: str, total: int) -> DataFrame:
-    """``rows`` with ``name``: 0, 1, 2, ... within ``group``, in any order.
-
-    Groups are cut into hashed blocks of about ``BLOCK`` rows, numbered one by one; a block starts where
-    the counts of the blocks before it end.  No task holds a whole group.
-    """
-    blocks = max(1, -(-total // BLOCK))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
-    starts = dealt.groupBy(group, "_block").agg(F.count("*").alias("_n")).selectExpr(
-        group, "_block", f"sum(_n) OVER (PARTITION BY {group} ORDER BY _block) - _n AS _before")
-    ranked = dealt.withColumn("_rank", F.expr(
-        f"row_number() OVER (PARTITION BY {group}, _block ORDER BY {', '.join(key)})"))
-    return ranked.join(starts, [group, "_block"]).withColumn(name, F.expr("_before + _rank - 1")).drop(
-        "_block", "_before", "_rank")
-
-
 def pack(rows: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """``rows`` (row_no, piece, length, ...) with sequence_id and offset, gapless from 0 in each sequence."""
     stored = materialise(rows, "pieces")
