@@ -79,7 +79,8 @@ class Model:
     """Automata of all languages in one table of steps.
 
     ``step[state * width + symbol]`` is twice the next state's row offset, plus 1 where the phrase had to
-    end before the symbol; a symbol that a language never shows is a phrase of its own.
+    end before the symbol; a symbol that a language never shows is a phrase of its own, after which the
+    last state of the language waits.
     """
 
     def __init__(self, texts: dict[str, list[str]]):
@@ -100,11 +101,12 @@ class Model:
             coded = np.where(sequence == 0, 0, np.searchsorted(alphabet, sequence) + 2)
             base = sum(map(len, rows))
             go = suffix_automaton(coded.tolist())
-            table = np.zeros((len(go), self.width), np.int64)
-            fresh = np.full(self.width, 2 * base * self.width + 1, np.int64)
+            waiting = base + len(go)
+            fresh = np.full(self.width, 2 * waiting * self.width + 1, np.int64)
             for c, to in go[0].items():
                 fresh[c] = 2 * (base + to) * self.width + 1
-            table[:] = fresh
+            table = np.tile(fresh, (len(go) + 1, 1))
+            table[0] -= 1  # nothing ends before the first symbol
             for state, edges in enumerate(go):
                 for c, to in edges.items():
                     table[state, c] = 2 * (base + to) * self.width
