@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.categories import CategoryBaseline, category_baseline
-from ..operators.ks import sorted_reference
+from ..operators.ks import baseline_values
 from ..operators.profile import profile_categories, profile_numeric, stored_profile
 from ..storage import materialise
-from ..operators.sampling import reference_sample
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -227,8 +226,8 @@ OCCURRENCES_SQL = f"occ AS ({_OCCURRENCES.format(events='events')})"
 
 
 # ── profiles, prepared once per query ──────────────────────────────────────────────────────────
-def reference(base: DataFrame, features: list[str], row_key: list[str]) -> dict:
-    return sorted_reference(reference_sample(base, features, row_key), features)
+def reference(base: DataFrame, features: list[str]) -> DataFrame:
+    return baseline_values(base, features)
 
 
 def profiled(base: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, CategoryBaseline]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -43,15 +42,15 @@ def _counts(spark, sf):
     return state.filter(F.col("category").isNotNull()), B.category_profile(B.events_baseline(spark, sf), _CAT)
 
 
-def _ks(spark, sf, batches, base, features, key):
-    return K.ks_statistic(batches, B.reference(base, features, key), KEY)
+def _ks(batches, base, features):
+    return K.ks_statistic(batches, B.reference(base, features), features, KEY)
 
 
 def _numeric(spark, sf):
     base, batches = B.events_baseline(spark, sf), B.events_drifted(spark, sf)
     profile = B.numeric_profile(base, _NUM)
     state = D.numeric_state(batches, profile, _NUM, KEY)
-    return D.numeric_drift(state, profile, _ks(spark, sf, batches, base, _NUM, ["event_id"]), KEY), state, profile
+    return D.numeric_drift(state, profile, _ks(batches, base, _NUM), KEY), state, profile
 
 
 def _categorical(spark, sf):
@@ -84,12 +83,12 @@ def jsd(spark, sf):
 
 
 def ks_statistic(spark, sf):
-    out = _ks(spark, sf, B.lines_batches(spark, sf), B.lines_baseline(spark, sf), B.LINES_NUMERIC, B.LINES_KEY)
+    out = _ks(B.lines_batches(spark, sf), B.lines_baseline(spark, sf), B.LINES_NUMERIC)
     return rounded(out.select("batch_id", "feature", "ks", "n_reference", "n_current"), "ks")
 
 
 def ks_pvalue(spark, sf):
-    out = _ks(spark, sf, B.events_drifted(spark, sf), B.events_baseline(spark, sf), _NUM, ["event_id"])
+    out = _ks(B.events_drifted(spark, sf), B.events_baseline(spark, sf), _NUM)
     return rounded(out.select("batch_id", "feature", "ks", "p_value"), "ks", "p_value")
 
 
@@ -109,15 +108,14 @@ def unseen(spark, sf):
 
 def category_alignment(spark, sf):
     counts, base = _counts(spark, sf)
-    newest = counts.agg(F.max("batch_id").alias("batch_id"))
-    return C.aligned_categories(counts.join(F.broadcast(newest), "batch_id"), base)
+    return C.aligned_categories(counts, base, KEY)
 
 
 def profile_join(spark, sf):
     base = B.events_baseline(spark, sf)
     batches = B.events_batches(spark, sf).drop("props")
     profile, counts = B.profiled(base, _NUM, _CAT)
-    out = D.drift_report(batches, profile, counts, B.reference(base, _NUM, ["event_id"]), _NUM, _CAT, KEY)
+    out = D.drift_report(batches, profile, counts, B.reference(base, _NUM), _NUM, _CAT, KEY)
     return out.select("batch_id", "feature", "feature_type", "test_name",
                       F.round("psi", 6).alias("psi"), "status")
 
@@ -138,7 +136,7 @@ def drift_lines(spark, sf):
     """The drift report on lineitem: six yearly batches, six features, against the first year."""
     base, batches = B.lines_baseline(spark, sf), B.lines_batches(spark, sf)
     profile, counts = B.profiled(base, B.LINES_NUMERIC, B.LINES_CATEGORICAL)
-    out = D.drift_report(batches, profile, counts, B.reference(base, B.LINES_NUMERIC, B.LINES_KEY),
+    out = D.drift_report(batches, profile, counts, B.reference(base, B.LINES_NUMERIC),
                          B.LINES_NUMERIC, B.LINES_CATEGORICAL, KEY)
     return rounded(out, *_MEASURES)
 
@@ -370,15 +368,12 @@ def significance_clause(spark, sf):
 
 def top_movers(spark, sf):
     counts, base = _counts(spark, sf)
-    out = E.top_movers(counts, base, KEY).filter("feature = 'event_type'")
-    return rounded(out, "before", "after", "delta")
+    return rounded(E.top_movers(counts, base, KEY), "before", "after", "delta")
 
 
 def first_k_values(spark, sf):
     counts, base = _counts(spark, sf)
-    # against the baseline without its first letters' categories, so that lists get long
-    thin = replace(base, counts=base.counts.filter(~F.col("category").rlike("5")))
-    out = E.first_unseen(C.unseen_categories(counts, thin, KEY), KEY)
+    out = E.first_unseen(C.unseen_categories(counts, base, KEY), KEY)
     return out.withColumn("first_values", F.array_join("first_values", ","))
 
 
@@ -412,7 +407,7 @@ def summary_rows(spark, sf):
 
 
 def distribution_compare(spark, sf):
-    return Hi.compare_categories(category_alignment(spark, sf))
+    return Hi.compare_categories(category_alignment(spark, sf), KEY)
 
 
 def distribution_compare_bins(spark, sf):
@@ -426,7 +421,7 @@ _RUN_RULE = "CASE WHEN props > '{\"k\": 5' THEN 'error' ELSE 'view' END"
 
 
 def _monitored(spark, sf):
-    base = profile_baseline(B.events_baseline(spark, sf), _NUM, ["props"], ["event_id"])
+    base = profile_baseline(B.events_baseline(spark, sf), _NUM, _CAT)
     mix = B.events_baseline(spark, sf).select(F.expr(_RUN_RULE).alias("y_pred")).groupBy("y_pred").agg(
         F.count("*").alias("n"))
     return run_monitoring(
@@ -483,7 +478,7 @@ _EVENTS_CAT = [B.EVENTS_DRIFTED_SQL, *Q.categorical_drift(_CAT)]
 _EVENTS_ALL = [B.EVENTS_DRIFTED_SQL, *Q.drift(_NUM, _CAT)]
 _ROW = "event_id, ts, user_id, event_type, value, props"
 _EVENTS_QUALITY = [*_EVENTS_ALL, *Q.quality(_NUM, _CAT, _ROW)]
-_LINES_NUM = [B.LINES_SQL, *Q.numeric_drift(B.LINES_NUMERIC, B.LINES_KEY)]
+_LINES_NUM = [B.LINES_SQL, *Q.numeric_drift(B.LINES_NUMERIC)]
 _DRIFT_COLUMNS = """batch_id, feature, feature_type, test_name, round(stat, 6) AS test_statistic, round(p, 6) AS p_value,
   round(psi, 6) AS psi, round(jsd, 6) AS jsd, n0 AS n_baseline, n1 AS n_current, n_unseen, status"""
 _RANK = "CASE status WHEN 'HIGH' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'NONE' THEN 2 ELSE 3 END"
@@ -586,7 +581,7 @@ _EXPLAIN_CAT = [*_EVENTS_CAT, *_MOVERS,
   FROM cd JOIN bs USING (feature) LEFT JOIN mj USING (batch_id, feature) LEFT JOIN un USING (batch_id, feature))"""]
 
 _RULE = _RUN_RULE
-_RUN_SQL = [*[b for b in (B.EVENTS_DRIFTED_SQL, *Q.drift(_NUM, ["props"]))], Q.ROLLUP, *Q.quality(_NUM, ["props"], _ROW),
+_RUN_SQL = [*[b for b in (B.EVENTS_DRIFTED_SQL, *Q.drift(_NUM, _CAT))], Q.ROLLUP, *Q.quality(_NUM, _CAT, _ROW),
             f"""sc AS (SELECT batch_id, event_type AS y_true, {_RULE} AS y_pred FROM batch)""",
             """ac AS (SELECT batch_id, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM sc GROUP BY batch_id)""",
             f"""m0 AS (SELECT {_RULE} AS k, count(*) AS n FROM base GROUP BY k)""",
@@ -607,8 +602,7 @@ _RUN_SQL = [*[b for b in (B.EVENTS_DRIFTED_SQL, *Q.drift(_NUM, ["props"]))], Q.R
 _RUN_SELECT = f"""SELECT batch_id, row_count, quality_score, features_total, features_high, features_moderate, features_insufficient,
   drift_status, round(accuracy, 6) AS accuracy, round(mix_jsd, 6) AS mix_jsd, raw AS health_raw_score, score AS health_score,
   {_BANDS} AS health_band, 'with_labels' AS weighting"""
-_ALIGNED = [*_EVENTS_CAT, """al AS (SELECT feature, cell AS category, b AS n_baseline, c AS n_current FROM catcells
-  WHERE batch_id = (SELECT max(batch_id) FROM c0))"""]
+_ALIGNED = [*_EVENTS_CAT, """al AS (SELECT batch_id, feature, cell AS category, b AS n_baseline, c AS n_current FROM catcells)"""]
 
 ORACLES = {
     "psi": Q.with_(*_LINES_NUM[:-2]) + "SELECT batch_id, feature, round(psi, 6) AS psi FROM div",
@@ -625,7 +619,7 @@ UNION ALL SELECT DISTINCT batch_id, 'props', 'CATEGORICAL', 'CHI2', NULL, 'INSUF
     "drift_numeric_features": Q.with_(*_EVENTS_NUM) + f"SELECT {_DRIFT_COLUMNS} FROM nd",
     "drift_categorical_features": Q.with_(*_EVENTS_CAT) + f"SELECT {_DRIFT_COLUMNS} FROM cd",
     "drift_report": Q.with_(*_EVENTS_ALL) + f"SELECT {_DRIFT_COLUMNS}, {_RANK} AS severity FROM dr",
-    "drift_report_lineitem": Q.with_(B.LINES_SQL, *Q.drift(B.LINES_NUMERIC, B.LINES_CATEGORICAL, B.LINES_KEY)) + f"SELECT {_DRIFT_COLUMNS} FROM dr",
+    "drift_report_lineitem": Q.with_(B.LINES_SQL, *Q.drift(B.LINES_NUMERIC, B.LINES_CATEGORICAL)) + f"SELECT {_DRIFT_COLUMNS} FROM dr",
     "status_counts": Q.with_(*_EVENTS_ALL, Q.ROLLUP) + "SELECT * FROM roll",
     "drift_rollup": Q.with_(*_EVENTS_ALL, Q.ROLLUP) + "SELECT * FROM rolled",
     "worst_first": Q.with_(B.RUNS_SQL, B.FEATURES_SQL) + f"""SELECT run_id, feature, status, round(psi, 6) AS psi, {_RANK} AS severity FROM feature_results""",
@@ -717,9 +711,9 @@ FROM feature_results) WHERE driver IS NOT NULL""",
     "significance_clause": f"""WITH x AS (SELECT CASE WHEN l_linenumber < 7 THEN l_tax END AS p, l_returnflag = 'R' AS k FROM lineitem)
 SELECT {_clause('p', 'k')} AS clause, count(*) AS n FROM x GROUP BY 1""",
     "top_movers": Q.with_(*_EVENTS_CAT, *_MOVERS) + """SELECT batch_id, feature, category, direction, place, round(before, 6) AS before,
-  round(after, 6) AS after, round(delta, 6) AS delta FROM mt WHERE feature = 'event_type'""",
+  round(after, 6) AS after, round(delta, 6) AS delta FROM mt""",
     "first_k_values": Q.with_(*_EVENTS_CAT, """u AS (SELECT batch_id, feature, list(cell ORDER BY cell) AS l FROM (
-  SELECT batch_id, feature, cell FROM c0 ANTI JOIN (SELECT * FROM b0 WHERE cell NOT LIKE '%5%') k USING (feature, cell))
+  SELECT batch_id, feature, cell FROM c0 ANTI JOIN b0 USING (feature, cell))
   GROUP BY batch_id, feature)""") + """SELECT batch_id, feature, array_to_string(l[1:3], ',') AS first_values, len(l) AS n_unseen,
   greatest(len(l) - 3, 0) AS more FROM u""",
     "format_number_pct_p": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_n('l_extendedprice')} AS price,
@@ -732,7 +726,7 @@ SELECT {_clause('p', 'k')} AS clause, count(*) AS n FROM x GROUP BY 1""",
   CASE status WHEN 'HIGH' THEN '✕' WHEN 'MODERATE' THEN '▲' WHEN 'NONE' THEN '✓' ELSE '–' END AS icon,
   CASE status WHEN 'HIGH' THEN 'High' WHEN 'MODERATE' THEN 'Moderate' WHEN 'NONE' THEN 'No drift' ELSE 'Not enough data' END AS label
 FROM feature_results""",
-    "bin_labels": Q.with_(*_LINES_NUM[:6]) + """SELECT feature, i - 1 AS bin, concat(format('{:,.1f}', eds[i]), '–', format('{:,.1f}', eds[i + 1])) AS label
+    "bin_labels": Q.with_(*_LINES_NUM[:5]) + """SELECT feature, i - 1 AS bin, concat(format('{:,.1f}', eds[i]), '–', format('{:,.1f}', eds[i + 1])) AS label
 FROM (SELECT feature, eds, unnest(range(1, len(eds))) AS i FROM prof)""",
     "summary_rows": Q.with_(*_LINES_NUM[:3]) + "".join([
         ", s AS (SELECT feature, avg(v) AS a, stddev_pop(v) AS b, min(v) AS c, quantile_cont(v, 0.25) AS d, quantile_cont(v, 0.5) AS e,"
@@ -744,9 +738,9 @@ FROM (SELECT feature, eds, unnest(range(1, len(eds))) AS i FROM prof)""",
             " FROM t JOIN s USING (feature)"
             for i, (c, label) in enumerate(zip("abcdefgh", (
                 "Mean", "Std deviation", "Minimum", "25th percentile", "Median", "75th percentile", "Maximum", "Missing %"))))]),
-    "distribution_compare": Q.with_(*_ALIGNED) + """SELECT feature, category, round_even(100.0 * n_baseline / sum(n_baseline) OVER w, 2) AS baseline_pct,
-  round_even(100.0 * n_current / sum(n_current) OVER w, 2) AS current_pct FROM al WINDOW w AS (PARTITION BY feature)""",
-    "distribution_compare_bins": Q.with_(*_LINES_NUM[:9]) + """SELECT batch_id, feature, CAST(cell AS BIGINT) AS bin,
+    "distribution_compare": Q.with_(*_ALIGNED) + """SELECT batch_id, feature, category, round_even(100.0 * n_baseline / sum(n_baseline) OVER w, 2) AS baseline_pct,
+  round_even(100.0 * n_current / sum(n_current) OVER w, 2) AS current_pct FROM al WINDOW w AS (PARTITION BY batch_id, feature)""",
+    "distribution_compare_bins": Q.with_(*_LINES_NUM[:8]) + """SELECT batch_id, feature, CAST(cell AS BIGINT) AS bin,
   concat(format('{:,.1f}', eds[CAST(cell AS BIGINT) + 1]), '–', format('{:,.1f}', eds[CAST(cell AS BIGINT) + 2])) AS label,
   b AS baseline, c AS current FROM cells JOIN prof USING (feature)""",
     "run_monitoring": Q.with_(*_RUN_SQL) + _RUN_SELECT + " FROM h3",

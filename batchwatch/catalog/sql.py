@@ -102,7 +102,7 @@ cum AS (SELECT batch_id, feature, sum(x0) OVER w AS f0, sum(x1) OVER w AS f1,
   FROM pv WINDOW w AS (PARTITION BY batch_id, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ksd AS (SELECT batch_id, feature, max(abs(f0 / m0 - f1 / m1)) AS d, any_value(m0) AS m0, any_value(m1) AS m1
   FROM cum WHERE m0 > 0 AND m1 > 0 GROUP BY batch_id, feature),
-ksl AS (SELECT *, sqrt(m0 * least(m1, 50000) / (m0 + least(m1, 50000))) AS en FROM ksd),
+ksl AS (SELECT *, sqrt(CAST(m0 AS DOUBLE) * m1 / (m0 + m1)) AS en FROM ksd),
 ks AS (SELECT batch_id, feature, d, m0, m1, CASE WHEN (en + 0.12 + 0.11 / en) * d < 0.2 THEN 1.0 ELSE
   greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k:
     (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * pow((en + 0.12 + 0.11 / en) * d, 2)))))) END AS p
@@ -119,15 +119,10 @@ def status(psi: str, jsd: str, p: str, n0: str, n1: str) -> str:
             f"ELSE ['NONE', 'MODERATE', 'HIGH'][1 + CASE WHEN {mag} = 0 THEN 0 WHEN {p} < 0.05 THEN {mag} ELSE {mag} - 1 END] END)")
 
 
-def sample(key: list[str], cap: int = 50_000) -> str:
-    text = ", ".join(f"CAST({k} AS VARCHAR)" for k in key)
-    return f"ref AS (SELECT * FROM base ORDER BY md5(concat_ws('|', '42', {text})) LIMIT {cap})"
-
-
-def numeric_drift(features: list[str], key: list[str] | None = None) -> list[str]:
+def numeric_drift(features: list[str]) -> list[str]:
     """Blocks ending in nd: one row per batch and numeric feature."""
     return [numeric_rows("bl", "base", features), numeric_rows("cl", "batch", features, "batch_id, "),
-            sample(key or ["event_id"]), numeric_rows("rl", "ref", features), PROFILE, BASE_BINS, BATCH_BINS, BIN_CELLS, divergence(), KS,
+            numeric_rows("rl", "base", features), PROFILE, BASE_BINS, BATCH_BINS, BIN_CELLS, divergence(), KS,
             f"""nd AS (SELECT bt.batch_id, bt.feature, 'NUMERIC' AS feature_type, 'KS' AS test_name,
   coalesce(d, 0.0) AS stat, coalesce(p, 1.0) AS p, psi, jsd, n0, n1, 0 AS n_unseen,
   {status('psi', 'jsd', 'coalesce(p, 1.0)', 'n0', 'n1')} AS status
@@ -148,9 +143,9 @@ def categorical_drift(features: list[str]) -> list[str]:
   LEFT JOIN chi USING (batch_id, feature) LEFT JOIN uns USING (batch_id, feature))"""]
 
 
-def drift(numeric: list[str], categorical: list[str], key: list[str] | None = None) -> list[str]:
+def drift(numeric: list[str], categorical: list[str]) -> list[str]:
     """Blocks ending in dr: every feature of every batch."""
-    return [*numeric_drift(numeric, key), *categorical_drift(categorical),
+    return [*numeric_drift(numeric), *categorical_drift(categorical),
             "dr AS (SELECT * FROM nd UNION ALL SELECT * FROM cd)"]
 
 

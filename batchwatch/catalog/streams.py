@@ -62,7 +62,7 @@ def stream_consecutive(spark, sf):
 
 
 def stream_monitor(spark, sf):
-    base = profile_baseline(B.events_baseline(spark, sf), B.EVENTS_NUMERIC, ["props"], ["event_id"])
+    base = profile_baseline(B.events_baseline(spark, sf), B.EVENTS_NUMERIC, B.EVENTS_CATEGORICAL)
     mix = B.events_baseline(spark, sf).select(F.expr(D._RUN_RULE).alias("y_pred")).groupBy("y_pred").agg(
         F.count("*").alias("n"))
     later = St.table_stream(spark, sf, "events").filter(f"ts >= {B._EVENTS_SPLIT}").withColumn(

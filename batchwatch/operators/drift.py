@@ -177,12 +177,12 @@ def sorted_results(results: DataFrame, by: str = "status") -> DataFrame:
 
 
 def drift_report(batches: DataFrame, profile_num: DataFrame | None, base: CategoryBaseline | None,
-                 reference: dict, numeric: list[str], categorical: list[str], keys: list[str],
+                 reference: DataFrame | None, numeric: list[str], categorical: list[str], keys: list[str],
                  thresholds: dict | None = None, declared: dict[str, str] | None = None) -> DataFrame:
     """All monitored features of all batches. Features the table lacks are reported as such.
 
     The raw rows are read three times, each time only the columns needed: for the numeric state,
-    the reference positions and the category state.
+    the value counts that KS ranks against ``reference`` (feature, value, n), and the category state.
     """
     here = set(batches.columns)
     parts = []
@@ -190,7 +190,7 @@ def drift_report(batches: DataFrame, profile_num: DataFrame | None, base: Catego
     cat = [f for f in categorical if f in here]
     if num:
         state = numeric_state(batches, profile_num, num, keys)
-        ks = ks_statistic(batches, {f: reference[f] for f in num if f in reference}, keys)
+        ks = ks_statistic(batches, reference, num, keys)
         parts.append(numeric_drift(state, profile_num, ks, keys, thresholds))
     if cat:
         stored = materialise(category_state(batches, cat, keys, declared), "category-state")

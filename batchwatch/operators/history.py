@@ -1,5 +1,6 @@
 """Run-history, access and version-comparison queries."""
 
+# Fixed texts: the sentences in this module are part of the results and have to stay as they are.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -214,12 +215,12 @@ def prediction_mix_series(runs: DataFrame, mix: DataFrame) -> DataFrame:
         F.bround(F.coalesce(100.0 * F.col("n") / F.col("total"), F.lit(0.0)), 2).alias("share"))
 
 
-def compare_categories(aligned: DataFrame) -> DataFrame:
+def compare_categories(aligned: DataFrame, keys: list[str]) -> DataFrame:
     """Baseline and current share in percent of every category either side has."""
-    totals = aligned.groupBy("feature").agg(
+    totals = aligned.groupBy(*keys, "feature").agg(
         F.sum("n_baseline").alias("_b"), F.sum("n_current").alias("_c"))
     share = {"baseline_pct": ("n_baseline", "_b"), "current_pct": ("n_current", "_c")}
-    return aligned.join(totals, "feature").select("feature", "category", *[
+    return aligned.join(totals, [*keys, "feature"]).select(*keys, "feature", "category", *[
         F.bround(F.coalesce(F.try_divide(100.0 * F.col(n), F.col(t)), F.lit(0.0)), 2).alias(out)
         for out, (n, t) in share.items()])
 

@@ -1,97 +1,64 @@
-"""Two-sample Kolmogorov-Smirnov distance of every batch to the stored reference sample.
+"""Two-sample Kolmogorov-Smirnov distance of every batch to the whole baseline.
 
-Every batch value is replaced by its position in the sorted reference sample (how many reference
-values lie below it, how many at or below it). Positions are counted, not values: a batch of any
-size collapses map-side to at most 2 x 50,000 + 1 positions per feature, the exact distance comes
-from running sums over those, and the reference sample is never repeated per batch. The lookup is
-a binary search in a sorted array, which no built-in expression does, so it is a pandas UDF.
+Baseline and batch values are counted per distinct value and dealt into value ranges by one range
+partitioning. Counts per range tell where a range starts, so running counts inside a range give every
+batch value its exact rank in the baseline and in its own batch. Nothing is sampled, nothing reaches
+the driver, and no window is larger than a range.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import ks_pvalue
-from ..functions.values import as_number
-from ..schemas import REFERENCE_CAP
+from ..storage import materialise
+from .longform import numeric_long
 
-_SHIFT = 32
-_FEATURES_PER_BROADCAST = 128
 
+def baseline_values(base: DataFrame, features: list[str]) -> DataFrame:
+    """feature, value, n: the distinct values of the baseline, stored."""
+    counted = numeric_long(base, features, []).filter(F.col("value").isNotNull())
+    return materialise(counted.groupBy("feature", "value").agg(F.count("*").alias("n")), "baseline-values")
 
-def sorted_reference(sample: DataFrame, features: list[str], cap: int = REFERENCE_CAP) -> dict:
-    """feature -> sorted values. The sample is bounded by ``cap`` rows, which is checked."""
-    types = {f.name: f.dataType for f in sample.schema}
-    known = [f for f in features if f in types]
-    frame = sample.select(*[as_number(f, types[f]).alias(f) for f in known]).limit(cap + 1).toPandas()
-    if len(frame) > cap:
-        raise ValueError(f"the reference sample holds more than {cap} rows; sample it first")
-    return {f: np.sort(frame[f].dropna().to_numpy(dtype="float64")) for f in known}
 
-
-def _position_udf(shared, feature: str):
-    @F.pandas_udf("long")
-    def position(values: pd.Series) -> pd.Series:
-        reference = shared.value[feature]
-        v = values.to_numpy(dtype="float64", na_value=np.nan)
-        below = np.searchsorted(reference, v, side="left").astype("int64")
-        upto = np.searchsorted(reference, v, side="right").astype("int64")
-        return pd.Series((below << _SHIFT) | upto).where(~np.isnan(v))
-
-    return position
-
-
-def reference_positions(batches: DataFrame, reference: dict, keys: list[str]) -> DataFrame:
-    """keys, feature, below, upto, c: how many batch values sit at each reference position."""
-    spark = batches.sparkSession
-    types = {f.name: f.dataType for f in batches.schema}
-    features = [f for f in reference if f in types]
-    parts = []
-    # each group of features is one broadcast of at most 128 x 50,000 doubles and reads only its
-    # own columns
-    for start in range(0, len(features), _FEATURES_PER_BROADCAST):
-        chunk = features[start:start + _FEATURES_PER_BROADCAST]
-        shared = spark.sparkContext.broadcast({f: reference[f] for f in chunk})
-        coded = batches.select(*keys, *[
-            _position_udf(shared, f)(as_number(f, types[f])).alias(f) for f in chunk])
-        long = coded.unpivot(keys, [F.col(f"`{f}`") for f in chunk], "feature", "position")
-        parts.append(long.filter(F.col("position").isNotNull())
-                     .groupBy(*keys, "feature", "position").agg(F.count("*").alias("c")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(
-        *keys, "feature", F.shiftright("position", _SHIFT).alias("below"),
-        F.col("position").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("upto"), "c")
-
-
-def ks_statistic(batches: DataFrame, reference: dict, keys: list[str],
-                 effective_cap: int = REFERENCE_CAP) -> DataFrame:
+def ks_statistic(batches: DataFrame, reference: DataFrame, features: list[str], keys: list[str],
+                 effective_size: int | None = None) -> DataFrame:
     """keys, feature, ks, p_value, n_reference, n_current.
 
-    The distance uses every batch row. The p-value is computed at a batch size of at most
-    ``effective_cap``, the size the test is defined at, so that very large batches do not make
-    any difference significant. Groups in which one side has no values yield no row.
+    ``reference`` is (feature, value, n). The p-value is taken at the true sizes; ``effective_size``
+    bounds the batch size it is taken at, for users who want large batches judged like smaller ones.
+    Groups in which one side has no values yield no row.
     """
-    sizes = F.create_map(*[F.lit(x) for f, v in reference.items() for x in (f, len(v))])
-    joined = reference_positions(batches, reference, keys).withColumn(
-        "n_reference", sizes[F.col("feature")].cast("long")).filter(F.col("n_reference") > 0)
-    w = Window.partitionBy(*keys, "feature").orderBy("below", "upto")
-    group = Window.partitionBy(*keys, "feature")
-    run = joined.withColumn("upto_c", F.sum("c").over(
-        w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "n_current", F.sum("c").over(group))
-    gaps = run.select(
-        *keys, "feature", "n_reference", "n_current",
+    group = [*keys, "feature"]
+    counted = numeric_long(batches, features, keys).filter(F.col("value").isNotNull()).groupBy(
+        *group, "value").agg(F.count("*").alias("_c"))
+    known = reference.filter(F.col("feature").isin(features)).select("feature", "value", F.col("n").alias("_r"))
+    both = counted.withColumn("_r", F.lit(0).cast("long")).unionByName(
+        known.withColumn("_c", F.lit(0).cast("long")), allowMissingColumns=True)
+    ranged = materialise(both.repartitionByRange("feature", "value").withColumn(
+        "_slice", F.spark_partition_id()), "value-ranges")
+
+    starts = ranged.groupBy("feature", "_slice").agg(F.sum("_r").alias("_n")).selectExpr(
+        "feature", "_slice", "sum(_n) OVER (PARTITION BY feature) AS n_reference",
+        "sum(_n) OVER (PARTITION BY feature ORDER BY _slice) - _n AS _r_before")
+    own = ", ".join(f"`{k}`" for k in group)
+    begun = ranged.filter("_c > 0").groupBy(*group, "_slice").agg(F.sum("_c").alias("_n")).selectExpr(
+        *[f"`{k}`" for k in group], "_slice", f"sum(_n) OVER (PARTITION BY {own}) AS n_current",
+        f"sum(_n) OVER (PARTITION BY {own} ORDER BY _slice) - _n AS _c_before")
+    ranked = ranged.selectExpr(
+        "*", "sum(_r) OVER (PARTITION BY feature, _slice ORDER BY value) AS _upto",
+        "sum(_r) OVER (PARTITION BY feature, _slice, value) AS _at").filter("_c > 0").withColumn(
+        "_seen", F.expr(f"sum(_c) OVER (PARTITION BY {own}, _slice ORDER BY value)"))
+    placed = ranked.join(starts, ["feature", "_slice"]).join(begun, [*group, "_slice"]).filter("n_reference > 0")
+    gaps = placed.select(
+        *group, "n_reference", "n_current",
         F.greatest(
-            F.abs(F.col("upto") / F.col("n_reference") - F.col("upto_c") / F.col("n_current")),
-            F.abs(F.col("below") / F.col("n_reference")
-                  - (F.col("upto_c") - F.col("c")) / F.col("n_current"))).alias("gap"))
-    stat = gaps.groupBy(*keys, "feature").agg(
-        F.max("gap").alias("ks"), F.max("n_reference").alias("n_reference"),
-        F.max("n_current").alias("n_current"))
-    return stat.withColumn(
-        "p_value", ks_pvalue("ks", "n_reference", f"least(n_current, {effective_cap}L)"))
+            F.abs((F.col("_r_before") + F.col("_upto")) / F.col("n_reference")
+                  - (F.col("_c_before") + F.col("_seen")) / F.col("n_current")),
+            F.abs((F.col("_r_before") + F.col("_upto") - F.col("_at")) / F.col("n_reference")
+                  - (F.col("_c_before") + F.col("_seen") - F.col("_c")) / F.col("n_current"))).alias("gap"))
+    stat = gaps.groupBy(*group).agg(
+        F.max("gap").alias("ks"), F.max("n_reference").alias("n_reference"), F.max("n_current").alias("n_current"))
+    size = "n_current" if effective_size is None else f"least(n_current, {effective_size}L)"
+    return stat.withColumn("p_value", ks_pvalue("ks", "n_reference", size))

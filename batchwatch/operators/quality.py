@@ -100,6 +100,16 @@ def categorical_quality(state: DataFrame, base: CategoryBaseline, keys: list[str
         F.lit(0.0).alias("outlier_pct"), F.coalesce("unseen", F.lit(0)).alias("unseen"))
 
 
+def no_columns(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """The per-column report of batches that have none of the features: no rows."""
+    zero = F.lit(0).cast("long")
+    counts = ["numeric_values", "below_min", "above_max", "out_of_range", "outliers", "unseen"]
+    return batches.limit(0).select(
+        *keys, F.lit("").alias("feature"), F.lit("").alias("type"), zero.alias("rows"), zero.alias("missing"),
+        F.lit(0.0).alias("missing_pct"), F.lit(False).alias("type_mismatch"), *[zero.alias(c) for c in counts],
+        F.lit(0.0).alias("out_of_range_pct"), F.lit(0.0).alias("outlier_pct"))
+
+
 def quality_report(columns: DataFrame, duplicates: DataFrame, keys: list[str],
                    weights: dict | None = None) -> DataFrame:
     """One row per batch: rates, five capped penalties and the 0-100 score."""
@@ -110,7 +120,8 @@ def quality_report(columns: DataFrame, duplicates: DataFrame, keys: list[str],
         F.sum("outliers").alias("outlier_total"),
         F.count_if("type_mismatch").alias("mismatch_columns"),
         F.count_if(F.col("unseen") > 0).alias("unseen_columns"))
-    report = duplicates.join(per, keys).withColumn(
+    # a batch without any of the checked columns is still reported
+    report = duplicates.join(per, keys, "left").fillna(0, [c for c in per.columns if c not in keys]).withColumn(
         "missing_pct", pct(F.col("missing_total"), F.col("_cells"))).withColumn(
         "outlier_pct", pct(F.col("outlier_total"), F.col("_numeric")))
 

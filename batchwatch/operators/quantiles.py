@@ -1,74 +1,41 @@
 """Exact interpolated quantiles per group, whatever the size of the group.
 
-The built-in ``percentile`` keeps one value->count map per group, which is fine for a group of
-known moderate size and not for a column of a very large table. So group sizes are checked first.
-Large groups go through rank brackets: an approximate summary brackets every wanted rank, one pass
-counts what lies below each bracket, and only the few values inside brackets are sorted.
+Values are counted per distinct value and dealt into ranges; counts per range tell the rank at which a
+range starts, so running counts inside ranges find the values at the wanted ranks. No task sorts a
+whole group, and every size goes the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-SMALL_GROUP = 200_000
-_ACCURACY = 20_000
-_BROADCAST_GROUPS = 1_000_000
 
-
-def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float],
-                    value: str = "value", small_group: int = SMALL_GROUP) -> DataFrame:
+def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float], value: str = "value") -> DataFrame:
     """keys + ``quantiles``: one linearly interpolated value per probability."""
-    clean = long.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = clean.groupBy(*keys).agg(F.count("*").alias("_n"))
-    facts = sizes.agg(F.max("_n").alias("largest"), F.count("*").alias("groups")).first()
-    if (facts["largest"] or 0) <= small_group:
-        return _by_map(clean, keys, probs)
-    # one row per group: sent to the rows while there are at most a million groups
-    marked = clean.join(F.broadcast(sizes) if facts["groups"] <= _BROADCAST_GROUPS else sizes, keys)
-    small = marked.filter(F.col("_n") <= small_group).drop("_n")
-    large = marked.filter(F.col("_n") > small_group)
-    return _by_map(small, keys, probs).unionByName(_by_bracket(large, keys, probs))
-
-
-def _by_map(clean: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    return clean.groupBy(*keys).agg(
-        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles"))
-
-
-def _by_bracket(large: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    delta = 4.0 / _ACCURACY
-    low = [max(p - delta, 0.0) for p in probs]
-    high = [min(p + delta, 1.0) for p in probs]
-    summary = large.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        F.percentile_approx("_v", low, _ACCURACY).alias("_low"),
-        F.percentile_approx("_v", high, _ACCURACY).alias("_high"))
-    summary = materialise(summary, "quantile-brackets")
-    joined = large.drop("_n").join(summary, keys)
-    below = joined.groupBy(*keys).agg(*[
-        F.count_if(F.col("_v") < F.get("_low", F.lit(i))).alias(f"_b{i}")
-        for i in range(len(probs))])
-    below = below.select(*keys, F.array(*[f"_b{i}" for i in range(len(probs))]).alias("_below"))
-    hits = F.filter(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: (
-        (F.col("_v") >= F.get("_low", i)) & (F.col("_v") <= F.get("_high", i))))
-    inside = (joined.withColumn("_q", F.explode(hits)).groupBy(*keys, "_q", "_v")
-              .agg(F.count("*").alias("_c")))
-    w = Window.partitionBy(*keys, "_q").orderBy("_v")
-    ranked = (inside.withColumn("_upto", F.sum("_c").over(w)).join(below, keys)
-              .join(summary.select(*keys, "_n"), keys)
-              .withColumn("_upto", F.col("_upto") + F.get("_below", F.col("_q")))
-              .withColumn("_h", (F.col("_n") - 1) * F.get(
-                  F.array(*[F.lit(float(p)) for p in probs]), F.col("_q"))))
-    picked = ranked.groupBy(*keys, "_q").agg(
-        F.max("_h").alias("_h"),
-        F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v"))).alias("_hi"))
-    checked = picked.withColumn("_x", F.when(
-        F.col("_hi").isNull(), F.raise_error(F.lit("rank outside its bracket")).cast("double"),
-    ).otherwise(F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo"))))
+    counted = long.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).groupBy(
+        *keys, "_v").agg(F.count("*").alias("_c"))
+    ranged = materialise(counted.repartitionByRange(*keys, "_v").withColumn(
+        "_slice", F.spark_partition_id()), "value-ranges")
+    own = ", ".join(f"`{k}`" for k in keys)
+    starts = ranged.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_m")).selectExpr(
+        *[f"`{k}`" for k in keys], "_slice", f"sum(_m) OVER (PARTITION BY {own}) AS _n",
+        f"sum(_m) OVER (PARTITION BY {own} ORDER BY _slice) - _m AS _before")
+    ranked = ranged.withColumn(
+        "_upto", F.expr(f"sum(_c) OVER (PARTITION BY {own}, _slice ORDER BY _v)")).join(
+        starts, [*keys, "_slice"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    # the two ranks around each probability; a value holds the ranks upto - c .. upto - 1
+    wanted = ", ".join(f"struct({i} AS i, {j} AS j, {step}((_n - 1) * {float(p)!r}D) AS h)"
+                       for i, p in enumerate(probs) for j, step in enumerate(("floor", "ceil")))
+    held = ranked.withColumn("_q", F.expr(
+        f"explode(filter(array({wanted}), q -> q.h >= _upto - _c AND q.h < _upto))"))
+    ends = held.groupBy(*keys, "_q.i").agg(
+        F.max("_n").alias("_n"), F.max(F.when(F.col("_q.j") == 0, F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_q.j") == 1, F.col("_v"))).alias("_hi"))
+    at = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i")) * (F.col("_n") - 1)
+    valued = ends.withColumn("_x", F.col("_lo") + (at - F.floor(at)) * (F.col("_hi") - F.col("_lo")))
     # one entry per probability: an array of at most len(probs) values
-    return checked.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_q", "_x"))), lambda s: s["_x"]).alias("quantiles"))
+    return valued.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "_x"))), lambda s: s["_x"]).alias("quantiles"))

@@ -15,9 +15,8 @@ from ..operators import explain as E
 from ..operators import health as H
 from ..operators import performance as P
 from ..operators import quality as Q
-from ..operators.ks import ks_statistic, sorted_reference
+from ..operators.ks import baseline_values, ks_statistic
 from ..operators.profile import profile_categories, profile_numeric, stored_profile
-from ..operators.sampling import reference_sample
 from ..storage import materialise
 
 
@@ -29,21 +28,20 @@ class Baseline:
     categorical: list[str]
     profile: DataFrame | None
     categories: C.CategoryBaseline | None
-    reference: dict
+    values: DataFrame | None
     kinds: dict[str, str] = field(default_factory=dict)
     declared: dict[str, str] = field(default_factory=dict)
 
 
-def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str], row_key: list[str],
-                     cap: int = S.REFERENCE_CAP) -> Baseline:
+def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str]) -> Baseline:
     """Profile once; the tables are written out, so no later job reads the baseline again."""
     types = {f.name: f.dataType for f in df.schema}
     profile = stored_profile(profile_numeric(df, numeric)) if numeric else None
     categories = C.category_baseline(
         materialise(profile_categories(df, categorical), "profile-categories")) if categorical else None
-    reference = sorted_reference(reference_sample(df, numeric, row_key, cap), numeric) if numeric else {}
+    values = baseline_values(df, numeric) if numeric else None
     return Baseline(
-        numeric, categorical, profile, categories, reference,
+        numeric, categorical, profile, categories, values,
         {f: dtype_kind(types[f]) for f in [*numeric, *categorical]},
         {f: types[f].simpleString() for f in categorical})
 
@@ -56,11 +54,12 @@ class MonitoringResult:
     quality_columns: DataFrame
     performance: DataFrame
     mix: DataFrame
+    confusion: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {"runs": self.runs, "feature_results": self.feature_results,
                 "quality_reports": self.quality_reports, "quality_columns": self.quality_columns,
-                "performance": self.performance, "mix": self.mix}
+                "performance": self.performance, "mix": self.mix, "confusion": self.confusion}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -77,8 +76,8 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
                    thresholds: dict | None = None) -> MonitoringResult:
     """Monitor every batch of the table in one go.
 
-    Rows are read by five aggregations, each over its own columns: numeric state, reference
-    positions, category state, row digests and outcomes. What they leave is written to the shared
+    Rows are read by five aggregations, each over its own columns: numeric state, value
+    counts, category state, row digests and outcomes. What they leave is written to the shared
     folder, since every result table is derived from it and none should read the rows again.
     """
     here = set(batches.columns)
@@ -94,7 +93,7 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
     results, columns = [], []
     if num:
         state = materialise(D.numeric_state(batches, baseline.profile, num, keys), "numeric-state")
-        ks = ks_statistic(batches, {f: baseline.reference[f] for f in num}, keys)
+        ks = ks_statistic(batches, baseline.values, num, keys)
         drift = D.numeric_drift(state, baseline.profile, ks, keys, thresholds)
         results.append(E.explain_numeric(drift, state, baseline.profile, keys, thresholds))
         columns.append(Q.numeric_quality(state, keys, kinds))
@@ -113,8 +112,10 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
     if gone:
         results.append(E.explain_absent(D.absent_features(duplicates.select(*keys), gone, keys)))
 
+    if not results:
+        raise ValueError("the baseline has no features to monitor")
     features = materialise(_union(results), "features")
-    quality_columns = _union(columns)
+    quality_columns = _union(columns) if columns else Q.no_columns(duplicates, keys)
     quality = Q.quality_report(quality_columns, duplicates, keys)
     rolled = D.drift_rollup(features, keys, thresholds)
     block = P.performance_block(outcomes, keys, labels, positive)
@@ -126,4 +127,7 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
     else:
         joined = joined.withColumn("mix_jsd", F.lit(None).cast("double"))
     runs = H.health_score(joined.withColumn("reference_accuracy", reference))
-    return MonitoringResult(runs, features, quality, quality_columns, block, mix)
+    # the limits the run was judged by stay with it
+    limits = {**S.THRESHOLDS, **(thresholds or {})}
+    runs = runs.withColumn("thresholds", F.struct(*[F.lit(float(v)).alias(k) for k, v in limits.items()]))
+    return MonitoringResult(runs, features, quality, quality_columns, block, mix, outcomes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHILD_TABLES = ("feature_results", "quality_reports", "quality_columns", "performance", "mix")
+CHILD_TABLES = ("feature_results", "quality_reports", "quality_columns", "performance", "mix", "confusion")
 
 
 def persist_runs(tables: dict[str, DataFrame], root: str, commit_id: str) -> None:
@@ -26,7 +26,7 @@ def read_children(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Child rows of committed runs only."""
     commits = read_runs(spark, root).select(F.col("commit").cast("string").alias("commit")).distinct()
     rows = spark.read.parquet(f"{root}/{name}").withColumn("commit", F.col("commit").cast("string"))
-    return rows.join(F.broadcast(commits), "commit", "left_semi")
+    return rows.join(commits, "commit", "left_semi")
 
 
 def write_history_csv(export: DataFrame, path: str, order: str = "Timestamp") -> None:

@@ -62,17 +62,31 @@ def test_numeric_bins_of_text_columns_count_unparsable_as_present(spark):
     assert (row["rows"], row["missing"], row["n"], row["unparsable"]) == (4, 1, 1, 2)
 
 
-@pytest.mark.parametrize("limit", [10, 10**6])
-def test_quantiles_by_map_and_by_bracket_are_exact(spark, limit):
+def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.exponential(10, 3000).round(3), np.zeros(700)])
     long = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", 4.0)], "feature string, value double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    rows = {r["feature"]: r["quantiles"] for r in Q.exact_quantiles(long, ["feature"], probs, small_group=limit).collect()}
+    rows = {r["feature"]: r["quantiles"] for r in Q.exact_quantiles(long, ["feature"], probs).collect()}
     assert rows["a"] == pytest.approx(np.quantile(values, probs).tolist())
     assert rows["b"] == pytest.approx(np.quantile([1.0, 4.0], probs).tolist())
 
 
+def ks_reference(spark, values):
+    return K.baseline_values(spark.createDataFrame([(float(v),) for v in values], "x double"), ["x"])
+
+
+def test_ks_of_more_than_50000_rows_a_side_uses_all_of_them(spark):
+    base = spark.range(70000).select((F.col("id") * 7919 % 70001).cast("double").alias("x"))
+    batch = spark.range(60000).select(F.lit("b").alias("batch_id"), (F.col("id") * 104729 % 69997 + 400).cast("double").alias("x"))
+    row = K.ks_statistic(batch, K.baseline_values(base, ["x"]), ["x"], KEY).first()
+    a, b = (np.array([r.x for r in df.select("x").collect()]) for df in (base, batch))
+    assert row["ks"] == pytest.approx(brute_ks(a, b), abs=1e-12)
+    assert (row["n_reference"], row["n_current"]) == (70000, 60000)
+    smaller = K.ks_statistic(batch, K.baseline_values(base, ["x"]), ["x"], KEY, effective_size=1000).first()
+    assert smaller["ks"] == row["ks"] and smaller["p_value"] > row["p_value"]
+
+
 def brute_ks(a, b):
     pooled = np.union1d(a, b)
     fa = np.searchsorted(np.sort(a), pooled, side="right") / len(a)
@@ -87,7 +101,7 @@ def test_ks_equals_brute_force_with_ties_gaps_and_outliers(spark):
                "one": np.array([7.0]), "mixed": np.concatenate([rng.normal(10, 3, 300), base[:20]])}
     rows = [(k, float(v)) for k, vs in batches.items() for v in vs] + [("mixed", None), ("gone", None)]
     df = spark.createDataFrame(rows, "batch_id string, x double")
-    got = {r["batch_id"]: r for r in K.ks_statistic(df, {"x": np.sort(base)}, KEY).collect()}
+    got = {r["batch_id"]: r for r in K.ks_statistic(df, ks_reference(spark, base), ["x"], KEY).collect()}
     assert set(got) == set(batches)
     for k, v in batches.items():
         assert got[k]["ks"] == pytest.approx(brute_ks(base, v)), k
@@ -101,8 +115,6 @@ def test_reference_sample_is_capped_exact_and_repeatable(spark):
     two = {r["id"] for r in SA.reference_sample(df.repartition(7), ["x"], ["id"], 700).collect()}
     assert len(one) == 700 and one == two
     assert SA.reference_sample(df, ["x"], ["id"], 5000).count() == 5000
-    with pytest.raises(ValueError):
-        K.sorted_reference(df, ["x"], cap=100)
 
 
 def test_hash_samples_have_exact_sizes_per_group(spark):
@@ -183,7 +195,7 @@ def test_large_sample_tiny_shift_is_significant_but_not_drift(spark):
     base = spark.range(40000).select(F.randn(1).alias("x"), "id")
     batch = spark.range(40000).select(F.lit("b").alias("batch_id"), (F.randn(2) + 0.05).alias("x"))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
-    ref = K.sorted_reference(SA.reference_sample(base, ["x"], ["id"]), ["x"])
+    ref = K.baseline_values(base, ["x"])
     row = D.drift_report(batch, profile, None, ref, ["x"], [], KEY).first()
     assert row["p_value"] < 0.05 and row["status"] == "NONE"
 
@@ -194,7 +206,7 @@ def test_two_sigma_shift_is_high_small_batches_insufficient_and_absent_reported(
         spark.range(29).select(F.lit("small").alias("batch_id"), F.randn(3).alias("x")))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
     counts = C.category_baseline(P.profile_categories(base, ["c"]))
-    ref = K.sorted_reference(SA.reference_sample(base, ["x"], ["id"]), ["x"])
+    ref = K.baseline_values(base, ["x"])
     rows = {(r["batch_id"], r["feature"]): r for r in D.drift_report(
         batch, profile, counts, ref, ["x"], ["c"], KEY).collect()}
     assert rows[("b", "x")]["status"] == "HIGH"
@@ -207,7 +219,7 @@ def test_batch_equal_to_baseline_shows_no_drift(spark):
     same = base.withColumn("batch_id", F.lit("b"))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
     counts = C.category_baseline(P.profile_categories(base, ["c"]))
-    ref = K.sorted_reference(SA.reference_sample(base, ["x"], ["id"]), ["x"])
+    ref = K.baseline_values(base, ["x"])
     for r in D.drift_report(same, profile, counts, ref, ["x"], ["c"], KEY).collect():
         assert r["status"] == "NONE" and r["psi"] == pytest.approx(0, abs=1e-9)
         assert r["test_statistic"] == pytest.approx(0, abs=1e-9) and r["p_value"] == 1.0
@@ -218,7 +230,7 @@ def test_constant_columns(spark):
     batch = spark.range(50).select(F.lit("same").alias("batch_id"), F.lit(4.0).alias("x")).unionByName(
         spark.range(50).select(F.lit("other").alias("batch_id"), F.lit(5.0).alias("x")))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
-    rows = {r["batch_id"]: r for r in D.drift_report(batch, profile, None, {"x": np.full(100, 4.0)}, ["x"], [], KEY).collect()}
+    rows = {r["batch_id"]: r for r in D.drift_report(batch, profile, None, K.baseline_values(base, ["x"]), ["x"], [], KEY).collect()}
     assert (rows["same"]["test_statistic"], rows["same"]["p_value"]) == (0.0, 1.0)
     assert (rows["other"]["test_statistic"], rows["other"]["p_value"]) == (1.0, 0.0)
     assert rows["other"]["psi"] == pytest.approx(0)

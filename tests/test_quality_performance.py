@@ -90,7 +90,7 @@ def monitored(spark):
         F.when(F.col("id") % 10 > 0, F.randn(3) * 14 + 72).alias("amount"),
         F.when(F.col("id") % 10 < 9, "Crypto Wallet").otherwise("One year").alias("contract"),
         F.lit(None).cast("string").alias("target"))
-    baseline = profile_baseline(base, ["amount"], ["contract"], ["id"])
+    baseline = profile_baseline(base, ["amount"], ["contract"])
     mix = spark.createDataFrame([("no", 1500), ("yes", 500)], "y_pred string, n long")
     result = run_monitoring(
         clean.unionByName(bad), baseline, KEY, F.when(F.col("amount") > 60, "yes").otherwise("no"),

@@ -40,9 +40,13 @@ def test_chi_square_odd_dof_agrees_with_erfc(spark):
         assert P.with_chi2_pvalue(df, "stat", "dof").first()["p_value"] == pytest.approx(want, abs=1e-10)
 
 
-def test_large_dof_uses_the_normal_limit(spark):
-    df = one(spark, stat=F.lit(5165.6), dof=F.lit(5000.0))
-    assert P.with_chi2_pvalue(df, "stat", "dof").first()["p_value"] == pytest.approx(0.05, abs=2e-3)
+@pytest.mark.parametrize("dof", [3999.0, 4000.0, 4001.0, 5000.0, 200000.0])
+@pytest.mark.parametrize("z", [-1.5, 0.3, 1.6448536269514722])
+def test_one_formula_for_every_dof(spark, dof, z):
+    # the cube root of chi-square / dof is normal up to terms of the order of 1 / dof
+    stat = dof * (1 - 2 / (9 * dof) + z * math.sqrt(2 / (9 * dof))) ** 3
+    got = P.with_chi2_pvalue(one(spark, stat=F.lit(stat), dof=F.lit(dof)), "stat", "dof").first()["p_value"]
+    assert got == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=2e-5)
 
 
 def test_kolmogorov_critical_value(spark):
