@@ -28,7 +28,7 @@ _FILE = "CASE WHEN o_orderstatus = 'P' THEN '' ELSE concat('batch-', CAST(o_orde
 _ORDER_FIELDS = T.StructType([
     T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
     T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()),
-    T.StructField("o_orderpriority", T.StringType())])
+    T.StructField("o_orderdate", T.TimestampNTZType()), T.StructField("o_orderpriority", T.StringType())])
 
 
 def read_table(spark, sf):
@@ -122,8 +122,17 @@ def stratified_split(spark, sf):
         table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"])
 
 
+# tables whose values both engines write alike, with their columns
+_PRINTED = {"documents": "doc_id, text, lang, source, n_chars", "conversations": "conv_id, turn, role, text",
+            "pages": "page_id, url, html", "labels": "doc_id, quality, toxic"}
+
+
 def content_fingerprint(spark, sf):
-    return R.fingerprints(spark, f"{sf}/*.parquet")
+    parts = [R.fingerprint(table(spark, sf, name)).select(F.lit(name).alias("name"), "*") for name in _PRINTED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ── schema ─────────────────────────────────────────────────────────────────────────────────────
@@ -299,9 +308,13 @@ QUERIES = {
 }
 
 ORACLES = {
-    "read_table": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "read_table": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
     "baseline_check": " UNION ALL ".join(_check_sql(n, t) for n, t in (
         ("events", "event_type"), ("orders", "o_orderstatus"), ("region", "r_name"), ("labels", "quality"))),
+    "content_fingerprint": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', "
+        + ", ".join(f"coalesce(replace(replace(CAST({c} AS VARCHAR), '!', '!!'), '|', '!/'), '!-')" for c in columns.split(", "))
+        + f")), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM {name}" for name, columns in _PRINTED.items()),
     "reference_sample": _SAMPLE_SQL,
     "load_reference": _SAMPLE_SQL,
     "ingest_batches": f"""WITH {B.EVENTS_SQL}, b AS (SELECT batch_id, count(*) AS row_count, true AS has_labels,

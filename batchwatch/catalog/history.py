@@ -221,7 +221,7 @@ def version_numbering(spark, sf):
 
 
 def single_active_version(spark, sf):
-    events = B.runs(spark, sf).filter("trigger_source <> 'MANUAL'").select(
+    events = B.runs(spark, sf).select(
         "model_id", "version_id", F.col("created_at").alias("activated_at"))
     checks = B.versions(spark, sf).select("version_id", "validation_status")
     return H.single_active_version(events.join(checks, "version_id"))
@@ -242,7 +242,7 @@ def sortable_results(spark, sf):
 
 def worst_health_first(spark, sf):
     overview = H.model_overview(B.models(spark, sf), B.runs(spark, sf), B.versions(spark, sf))
-    return overview.orderBy("rank_score", "model_id").select("model_id", "rank_score").limit(20)
+    return overview.orderBy("rank_score", "model_id").select("model_id", "rank_score")
 
 
 def recent_k(spark, sf):
@@ -514,14 +514,14 @@ SELECT *, row_number() OVER (PARTITION BY model_id, feature ORDER BY created_at,
     "version_numbering": _RV + """, n AS (SELECT version_id, row_number() OVER (PARTITION BY model_id ORDER BY uploaded_at, version_id) AS version_number FROM versions)
 SELECT *, concat('V', version_number) AS label FROM n""",
     "single_active_version": _RV + """SELECT model_id, arg_max(version_id, (created_at, version_id)) AS version_id, max(created_at) AS activated_at
-FROM (SELECT r.* FROM runs r JOIN versions v USING (version_id) WHERE r.trigger_source <> 'MANUAL' AND validation_status <> 'FAILED') GROUP BY model_id""",
+FROM (SELECT r.* FROM runs r JOIN versions v USING (version_id) WHERE validation_status <> 'FAILED') GROUP BY model_id""",
     "downsample_series": Q.with_(B.RUNS_SQL) + """, p AS (SELECT model_id, run_id, row_number() OVER (PARTITION BY model_id ORDER BY created_at, run_id) AS position,
   count(*) OVER (PARTITION BY model_id) AS n FROM runs)
 SELECT model_id, run_id, position FROM p WHERE n <= 7 OR position = n
   OR list_contains(list_transform(range(0, 6), lambda j: CAST(floor(j * (n / 7.0::DOUBLE)) AS BIGINT)), position - 1)""",
     "sortable_results": Q.with_(B.RUNS_SQL, B.FEATURES_SQL) + """SELECT run_id, feature, line_key, CASE WHEN p_value > 0 THEN p_value ELSE 1.0 END AS sort_key FROM feature_results""",
     "worst_health_first": Q.with_(B.RUNS_SQL, B.MODELS_SQL, _LATEST) + """SELECT m.model_id, coalesce(health_score, 101) AS rank_score
-FROM models m LEFT JOIN latest USING (model_id) ORDER BY rank_score, model_id LIMIT 20""",
+FROM models m LEFT JOIN latest USING (model_id) """,
     "recent_k": Q.with_(B.RUNS_SQL) + "SELECT run_id, created_at FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 8",
     "page": Q.with_(B.RUNS_SQL) + "SELECT run_id, created_at FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 25 OFFSET 50",
     "schema_compatible": Q.with_(B.RUNS_SQL, B.VERSIONS_SQL, B.FEATURES_SQL, _PAIRS) + """, fs AS (SELECT version_id, list_sort(list(DISTINCT feature)) AS l

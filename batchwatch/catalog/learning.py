@@ -34,12 +34,11 @@ def preprocess_features(spark, sf):
 
     data = T.prepared(B.table(spark, sf, "documents").select("doc_id", *_NUMERIC, *_CATEGORICAL),
                       _NUMERIC, _CATEGORICAL)
-    known = data.filter("lang <> 'en'")
-    model = Pipeline(stages=T.preprocessing(_NUMERIC, _CATEGORICAL)).fit(known)
+    model = Pipeline(stages=T.preprocessing(_NUMERIC, _CATEGORICAL)).fit(data)
     out = model.transform(data).select("doc_id", "lang", vector_to_array("features").alias("v"))
-    # one scaled number, then the one-hot parts; an unseen language has no language bit set
+    # one scaled number, then the one-hot parts
     return out.select("doc_id", F.size("v").cast("long").alias("width"),
-                      F.aggregate(F.slice("v", 2, 10_000), F.lit(0.0), lambda a, x: a + x).alias("bits_set"))
+                      F.aggregate(F.slice("v", 2, F.size("v")), F.lit(0.0), lambda a, x: a + x).alias("bits_set"))
 
 
 def score_with_function(spark, sf):
@@ -71,8 +70,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "preprocess_features": """SELECT doc_id, 1 + (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM documents WHERE lang <> 'en') AS width,
-  CASE WHEN lang = 'en' THEN 0 ELSE 1 END + CASE WHEN source IN (SELECT source FROM documents WHERE lang <> 'en') THEN 1 ELSE 0 END AS bits_set FROM documents""",
+    "preprocess_features": """SELECT doc_id, 1 + (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM documents) AS width, 2 AS bits_set FROM documents""",
     "score_with_function": f"SELECT doc_id, {B.PREDICTION_RULE} AS prediction_label FROM documents",
     "class_weights": """SELECT CAST(quality AS VARCHAR) AS quality, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
 FROM labels JOIN documents USING (doc_id) GROUP BY quality""",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inference as I
 from ..operators import perturb as P
 from . import bindings as B
 from . import sql as Q
@@ -51,69 +50,9 @@ def category_shift(spark, sf):
         "batch_id", "event_id", "event_type")
 
 
-def resolve_phase(spark, sf):
-    batches = B.events_batches(spark, sf).select(
-        "batch_id", (F.dayofmonth("ts") - 11).alias("batch_index")).distinct()
-    # the phase table comes from the days that hold the first and the last event of each type
-    starts = B.events_batches(spark, sf).groupBy("event_type").agg(
-        (F.dayofmonth(F.max("ts")) - F.dayofmonth(F.min("ts"))).alias("span"))
-    phases = starts.select(F.explode(F.array(F.lit(3), F.col("span") - 9)).alias("from_batch"))
-    return P.resolve_phases(batches, phases)
-
-
-def sample_batch(spark, sf):
-    return P.sample_batch(B.events_baseline(spark, sf), 300, 7, ROW).select("event_id", "value")
-
-
-def _plan(spark, sf):
-    counts = B.category_counts(B.events_baseline(spark, sf), ["event_type"])
-    return P.default_plan("value", "event_type", counts)
-
-
-def apply_plan(spark, sf):
-    batch = P.build_batch(B.events_baseline(spark, sf), _summary(spark, sf), _plan(spark, sf), 30, 300, ROW)
-    return rounded(batch.select(F.col("event_id").cast("string").alias("event_id"), "event_type", "value"), "value")
-
-
-def default_plan(spark, sf):
-    plan = _plan(spark, sf)
-    mix = plan["phases"][2]["transformations"][2]["target_proportions"]
-    counts = B.events_baseline(spark, sf).groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n"))
-    share = F.create_map(*[F.lit(x) for c, p in mix.items() for x in (c, float(p))])
-    text = P.describe_phase(plan["phases"][2])
-    return rounded(counts.select("category", "n", share[F.col("category")].alias("target"),
-                                 F.lit(text).alias("phase")), "target")
-
-
-def validate_plan(spark, sf):
-    """Verdicts on a sound plan and on plans with one fault each, against the inferred schema."""
-    schema = I.infer_schema(B.table(spark, sf, "events"), "event_type")
-    good = {"phases": [{"from_batch": 0, "transformations": [
-        {"type": "numeric_shift", "column": "value", "mean_delta_sigma": 1.0}]}]}
-    plans = {
-        "good": good, "empty": {"phases": []},
-        "twice": {"phases": [{"from_batch": 1}, {"from_batch": 1}]},
-        "negative": {"phases": [{"from_batch": -1}]},
-        "unknown type": {"phases": [{"from_batch": 0, "transformations": [{"type": "melt"}]}]},
-        "no column": {"phases": [{"from_batch": 0, "transformations": [{"type": "numeric_scale"}]}]},
-        "not monitored": {"phases": [{"from_batch": 0, "transformations": [
-            {"type": "missing_injection", "column": "user_id", "rate": 0.1}]}]},
-    }
-    verdicts = {}
-    for name, plan in plans.items():
-        try:
-            P.validate_plan(plan, schema)
-            verdicts[name] = "valid"
-        except P.PlanError as exc:
-            verdicts[name] = str(exc)
-    cells = F.array(*[F.struct(F.lit(n).alias("plan"), F.lit(v).alias("verdict")) for n, v in verdicts.items()])
-    monitored = schema.agg(F.count_if("is_feature").alias("monitored"))
-    return monitored.select("monitored", F.explode(cells).alias("c")).select("c.*", "monitored")
-
-
 QUERIES = {f.__name__: f for f in (
     numeric_shift, numeric_scale, missing_injection, outlier_injection, duplicate_injection,
-    category_shift, resolve_phase, sample_batch, apply_plan, default_plan, validate_plan)}
+    category_shift)}
 
 _RANKED = f"""{B.EVENTS_SQL}, s AS (SELECT stddev_pop(value) AS std, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM base),
 r AS (SELECT batch_id, event_id, value, event_type, count(*) OVER (PARTITION BY batch_id) AS n,
@@ -144,27 +83,4 @@ r AS (SELECT b.batch_id, b.event_id, b.event_type, k, avail,
   FROM batch b JOIN x USING (batch_id, event_type)),
 c AS (SELECT *, unnest(range(1, CAST(k // avail + CASE WHEN rn <= k % avail THEN 1 ELSE 0 END + 1 AS BIGINT))) AS copy FROM r)
 SELECT batch_id, CASE WHEN copy = 1 THEN CAST(event_id AS VARCHAR) ELSE concat(event_id, '#', copy) END AS event_id, event_type FROM c""",
-    "resolve_phase": Q.with_(B.EVENTS_SQL) + """, b AS (SELECT DISTINCT batch_id, day(ts) - 11 AS batch_index FROM batch),
-ph AS (SELECT 3 AS f UNION SELECT day(max(ts)) - day(min(ts)) - 9 FROM batch GROUP BY event_type)
-SELECT batch_id, batch_index, (SELECT max(f) FROM ph WHERE f <= batch_index) AS from_batch FROM b""",
-    "sample_batch": Q.with_(B.EVENTS_SQL) + """SELECT event_id, value FROM base ORDER BY md5(concat_ws('|', '49', CAST(event_id AS VARCHAR))) LIMIT 300""",
-    "apply_plan": Q.with_(B.EVENTS_SQL) + """, s AS (SELECT stddev_pop(value) AS std, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM base),
-a AS (SELECT event_type, count(*) AS avail, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place, count(*) OVER () AS kinds FROM base GROUP BY event_type),
-p AS (SELECT *, CASE WHEN place = 1 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE / (kinds - 1) END AS share FROM a),
-w AS (SELECT *, CAST(round_even(300 * share / sum(share) OVER (), 0) AS BIGINT) AS wanted FROM p),
-x AS (SELECT *, wanted + CASE WHEN place = 1 THEN 300 - sum(wanted) OVER () ELSE 0 END AS k FROM w),
-r AS (SELECT event_id, event_type, value, k, avail, row_number() OVER (PARTITION BY event_type
-  ORDER BY md5(concat_ws('|', '72.0', CAST(event_id AS VARCHAR)))) AS rn FROM base JOIN x USING (event_type)),
-c AS (SELECT event_type, value, event_id, unnest(range(1, CAST(k // avail + CASE WHEN rn <= k % avail THEN 1 ELSE 0 END + 1 AS BIGINT))) AS copy FROM r),
-d AS (SELECT CASE WHEN copy = 1 THEN CAST(event_id AS VARCHAR) ELSE concat(event_id, '#', copy) END AS event_id, event_type, value + 2.2 * std AS value FROM c CROSS JOIN s),
-e AS (SELECT event_id, event_type, avg(value) OVER () + (value - avg(value) OVER ()) * 1.4 AS value, count(*) OVER () AS n FROM d),
-f AS (SELECT event_id, event_type, n, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '72.3', event_id))) <= round_even(n * 0.04::DOUBLE, 0)
-  THEN q3 + 5 * (q3 - q1) ELSE value END AS value FROM e CROSS JOIN s),
-g AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '72.4', event_id))) AS rn FROM f)
-SELECT event_id, event_type, round(value, 6) AS value FROM g
-UNION ALL SELECT event_id, event_type, round(value, 6) FROM g WHERE rn <= round_even(n * 0.05::DOUBLE, 0)""",
-    "default_plan": Q.with_(B.EVENTS_SQL) + """, a AS (SELECT event_type AS category, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place,
-  count(*) OVER () AS kinds FROM base GROUP BY event_type)
-SELECT category, n, CASE WHEN place = 1 THEN 0.9::DOUBLE ELSE round(0.1::DOUBLE / (kinds - 1), 6) END AS target,
-  'value shifted +2.2σ · value spread ×1.4 · event_type mix changed · value 4% outliers · 5% duplicate rows' AS phase FROM a""",
 }

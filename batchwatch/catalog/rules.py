@@ -64,12 +64,11 @@ def health_weights(spark, sf):
 
 
 def prediction_rows(spark, sf):
-    """Class, count and share of the newest batch's predictions."""
+    """Class, count and share of every batch's predictions."""
     scored = B.scored_documents(spark, sf)
     counts = P.outcome_counts(scored, ["batch_id"], "y_true", "y_pred")
-    newest = counts.agg(F.max("batch_id").alias("batch_id"))
-    rows = P.prediction_distribution(counts.join(F.broadcast(newest), "batch_id"), ["batch_id"], B.CLASSES)
-    return rounded(rows.select("label", "n", "share"), "share")
+    rows = P.prediction_distribution(counts, ["batch_id"], B.CLASSES)
+    return rounded(rows.select("batch_id", "label", "n", "share"), "share")
 
 
 def summary_rows_categorical(spark, sf):
@@ -106,9 +105,10 @@ FROM runs WHERE health_score IS NOT NULL""",
     "health_weights": Q.with_(B.RUNS_SQL) + """SELECT run_id, CASE WHEN labels_available THEN 40.0 ELSE 0.0 END AS performance,
   CASE WHEN labels_available THEN 30.0 ELSE 50.0 END AS drift, CASE WHEN labels_available THEN 20.0 ELSE 35.0 END AS quality,
   CASE WHEN labels_available THEN 10.0 ELSE 15.0 END AS stability FROM runs""",
-    "prediction_rows": f"""WITH {B.SCORED_SQL}, s AS (SELECT * FROM scored WHERE batch_id = (SELECT max(batch_id) FROM scored))
-SELECT label, count(y_pred) AS n, round(count(y_pred) / (SELECT count(*) FROM s), 6) AS share
-FROM (VALUES ('0'), ('1')) l(label) LEFT JOIN s ON y_pred = label GROUP BY label""",
+    "prediction_rows": f"""WITH {B.SCORED_SQL}, s AS (SELECT batch_id, count(*) AS total FROM scored GROUP BY batch_id)
+SELECT s.batch_id, label, count(y_pred) AS n, round(count(y_pred) / any_value(total), 6) AS share
+FROM s CROSS JOIN (VALUES ('0'), ('1')) l(label) LEFT JOIN scored d ON y_pred = label AND d.batch_id = s.batch_id
+GROUP BY s.batch_id, label""",
     "summary_rows_categorical": Q.with_(*_CATS) + " UNION ALL ".join(
         f"SELECT cs.batch_id, cs.feature, {i} AS position, '{label}' AS label, CAST({b} AS DOUBLE) AS baseline, CAST({c} AS DOUBLE) AS current "
         "FROM cs JOIN bs USING (feature)"

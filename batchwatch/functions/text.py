@@ -23,6 +23,7 @@ BADGES = {
     "ACKNOWLEDGED": ("warning", "◐", "Acknowledged"),
     "RESOLVED": ("good", "✓", "Resolved"),
 }
+# Fixed texts: part of the results.
 STATUS_PHRASES = {"HIGH": "High drift", "MODERATE": "Moderate drift", "NONE": "No drift",
                   "INSUFFICIENT_DATA": "Not enough data"}
 
@@ -64,11 +65,16 @@ def test_label(test: Column) -> Column:
             .otherwise(F.coalesce(test, F.lit("—"))))
 
 
+def plain_number(c: Column) -> Column:
+    """The value as text, whole numbers without a fraction."""
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+
+
 def words(key: Column) -> Column:
     """snake_case to words, first letter upper, the rest lower."""
     spaced = F.lower(F.replace(key, F.lit("_"), F.lit(" ")))
     return F.coalesce(F.concat(F.upper(F.substring(spaced, 1, 1)), F.expr("''"),
-                               F.substring(spaced, 2, 1_000_000)), F.lit(""))
+                               F.substr(spaced, F.lit(2))), F.lit(""))
 
 
 def badge(status: Column) -> Column:

@@ -1,5 +1,6 @@
 """Alert rules, deduplication into alerts, and their lifecycle."""
 
+# Fixed texts: the sentences in this module are part of the results and have to stay as they are.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,7 @@ def run_alerts(runs: DataFrame, keep: list[str], t: Thresholds) -> DataFrame:
 
     def health_text(level: str, limit: Column) -> Column:
         return F.concat(F.lit("Health score "), score.cast("string"), F.lit(f"/100, below the {level} threshold of "),
-                        F.floor(limit).cast("string"), F.lit("."))
+                        X.plain_number(limit), F.lit("."))
 
     performance = F.when(drop >= t["accuracy_drop_major"], _alert(
         "PERFORMANCE", S.CRITICAL, "PERFORMANCE_DROP_MAJOR", "Accuracy has fallen sharply",
@@ -81,7 +82,7 @@ def system_alerts(batches: DataFrame, runs: DataFrame, keep: list[str]) -> DataF
     failed = runs.filter(F.col("status") == S.FAILED).select(*keep, _alert(
         "SYSTEM", S.CRITICAL, "RUN_FAILED",
         F.concat(F.lit("Monitoring run #"), F.col("run_id").cast("string"), F.lit(" failed")),
-        F.substring("message", 1, 1000)).alias("a"))
+        F.col("message")).alias("a"))
     return rejected.unionByName(failed).select(*keep, "a.*").select(*keep, *_FIELDS)
 
 

@@ -201,11 +201,16 @@ def unseen_categories(batch_counts: DataFrame, base: CategoryBaseline, keys: lis
         *keys, "feature", "category", "n")
 
 
-def aligned_categories(batch_counts: DataFrame, base: CategoryBaseline) -> DataFrame:
-    """Full outer alignment of one batch with the baseline, missing side 0."""
-    return batch_counts.select("feature", "category", F.col("n").alias("n_current")).join(
-        base.counts.select("feature", "category", F.col("n").alias("n_baseline")),
-        ["feature", "category"], "full").select(
-        "feature", "category",
+def aligned_categories(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str]) -> DataFrame:
+    """Full outer alignment of every batch with the baseline, missing side 0.
+
+    The result has a row per batch and baseline category; scores do not need it (see above), only
+    displays of whole distributions do.
+    """
+    counted = batch_counts.select(*keys, "feature", "category", F.col("n").alias("n_current"))
+    known = base.counts.select("feature", "category", F.col("n").alias("n_baseline"))
+    expected = counted.select(*keys, "feature").distinct().join(known, "feature")
+    return expected.join(counted, [*keys, "feature", "category"], "full").select(
+        *keys, "feature", "category",
         F.coalesce("n_baseline", F.lit(0)).alias("n_baseline"),
         F.coalesce("n_current", F.lit(0)).alias("n_current"))

@@ -1,5 +1,6 @@
 """Retraining advice from the run history. Advice only: nothing here trains a model."""
 
+# Fixed texts: the sentences in this module are part of the results and have to stay as they are.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ def retrain_triggers(runs: DataFrame, t: Thresholds) -> DataFrame:
     k = S.CONSECUTIVE_RUNS
     drifted = F.col("features_high") + F.col("features_moderate")
     drop = accuracy_drop(F.col("accuracy"), F.col("reference_accuracy"))
-    critical = F.floor(t["health_critical_threshold"]).cast("string")
+    critical = X.plain_number(t["health_critical_threshold"])
     rules = [
         F.when(F.col("drift_status") == S.HIGH, _trigger(
             "Overall drift status is HIGH",

@@ -15,6 +15,8 @@ from ..schemas import REFERENCE_CAP, SEED
 from ..storage import materialise
 
 _PREFIX = 4
+#: rows with the same leading digits that are sorted at once
+_FEW = 10_000
 _ABOVE_ALL = "g"  # sorts after every hexadecimal digit
 
 
@@ -37,15 +39,13 @@ def hash_cuts(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str
         "_p", F.substring("_h", 1, _PREFIX))
     per_prefix = hashed.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
     sizes = per_prefix.groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("_k", wanted)
-    w = Window.partitionBy(*keys).orderBy("_p")
-    boundary = (
-        per_prefix.join(sizes, keys)
-        .withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
-        .filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
-        .select(*keys, "_p", (F.col("_k") - F.col("_before")).alias("_need")))
+    boundary = _boundary(per_prefix.join(sizes, keys), keys, F.col("_k"))
     # one row per group: stored, so that its size decides how the rows meet it
     boundary = materialise(boundary, "sample-boundary")
-    inside = hashed.join(boundary, [*keys, "_p"])
+    finer = hashed.join(boundary, [*keys, "_p"]).withColumn("_p", F.substring("_h", 1, 2 * _PREFIX))
+    counted = finer.groupBy(*keys, "_p").agg(F.count("*").alias("_c"), F.max("_need").alias("_k"))
+    boundary = materialise(_boundary(counted, keys, F.col("_k")), "sample-boundary")
+    inside = hashed.withColumn("_p", F.substring("_h", 1, 2 * _PREFIX)).join(boundary, [*keys, "_p"])
     rank = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h"))
     cuts = (inside.withColumn("_r", rank).filter(F.col("_r") == F.col("_need"))
             .select(*keys, F.col("_h").alias("cut")))
@@ -55,19 +55,33 @@ def hash_cuts(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str
         F.when(F.col("_k") >= F.col("n"), F.lit(_ABOVE_ALL)).otherwise(F.col("cut")).alias("cut"))
 
 
+def _boundary(counts: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
+    """keys, _p, _need: the prefix in which the wanted row lies and its place among the prefix's rows."""
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_c")
+    return counts.withColumn("_before", before).filter(
+        (F.col("_before") < wanted) & (F.col("_before") + F.col("_c") >= wanted)).select(
+        *keys, "_p", (wanted - F.col("_before")).alias("_need"))
+
+
 def table_cut(df: DataFrame, seed: int | str, row_key: list[str], wanted: int) -> str | None:
-    """The cut of a whole table as a single value: three small jobs, each one row or less."""
-    hashed = df.select(row_hash(seed, *row_key).alias("_h")).withColumn(
-        "_p", F.substring("_h", 1, _PREFIX))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    running = hashed.groupBy("_p").agg(F.count("*").alias("_c")).withColumn(
-        "_upto", F.sum("_c").over(w))  # at most 65,536 prefixes
-    boundary = running.filter(F.col("_upto") >= wanted).orderBy("_p").first()
-    if wanted <= 0 or boundary is None:
-        return _ABOVE_ALL if wanted > 0 else None
-    need = wanted - (boundary["_upto"] - boundary["_c"])
-    inside = hashed.filter(F.col("_p") == boundary["_p"]).orderBy("_h").offset(need - 1).first()
-    return inside["_h"]
+    """The cut of a whole table as a single value: the hash is read four digits further each time.
+
+    Each step counts the next digits of the rows that share the digits so far, 65,536 counts at most.
+    """
+    if wanted <= 0:
+        return None
+    inside, need, digits = df.select(row_hash(seed, *row_key).alias("_h")), wanted, 0
+    while True:
+        digits += _PREFIX
+        counts = inside.withColumn("_p", F.substring("_h", 1, digits)).groupBy("_p").agg(F.count("*").alias("_c"))
+        found = _boundary(counts, [], F.lit(need)).join(counts, "_p").first()
+        if found is None:
+            return _ABOVE_ALL
+        if digits >= 32 or found["_c"] <= _FEW:
+            break
+        inside, need = inside.filter(F.col("_h").startswith(found["_p"])), found["_need"]
+    last = inside.filter(F.col("_h").startswith(found["_p"])).orderBy("_h").limit(_FEW)
+    return last.offset(found["_need"] - 1).first()["_h"] if digits < 32 else found["_p"]
 
 
 def flag_sample(df: DataFrame, keys: list[str], seed: int | str, row_key: list[str],

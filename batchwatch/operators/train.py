@@ -96,7 +96,7 @@ def fit_classifier(train: DataFrame, target: str, numeric: list[str], categorica
     estimator = ALGORITHMS[algorithm]().setLabelCol(_LABEL).setFeaturesCol("features")
     data = prepared(train, numeric, categorical)
     if algorithm.startswith("balanced"):
-        data = data.join(F.broadcast(class_weights(train, target)), target)
+        data = data.join(class_weights(train, target), target)
         estimator = estimator.setWeightCol(_WEIGHT)
     stages = [*preprocessing(numeric, categorical), estimator]
     fitted = Pipeline(stages=stages).fit(labels.transform(data))
@@ -136,17 +136,34 @@ def score_with_function(df: DataFrame, features: list[str], predict) -> DataFram
 
 
 def holdout_metrics(scored: DataFrame, target: str, positive: str | None = None) -> DataFrame:
-    """One row: accuracy, precision, recall, F1; of the positive class if binary, else macro."""
-    # the test is one batch: a constant key lets the per-batch operators serve it
-    counts = P.outcome_counts(scored.withColumn("_all", F.lit(0)), ["_all"], target, _PREDICTION)
-    truths = counts.filter("y_true IS NOT NULL").select("y_true").distinct()
-    classes = sorted(r[0] for r in truths.limit(1000).collect())
-    block = P.performance_block(counts, ["_all"], classes, positive)
-    binary = positive is not None and len(classes) == 2 and positive in classes
-    suffix = "positive" if binary else "macro"
-    return block.select(
-        "accuracy", *[F.col(f"{m}_{suffix}").alias(m) for m in ("precision", "recall", "f1")],
-        F.lit("positive class" if binary else "macro").alias("averaging"), "sample_count")
+    """One row: accuracy, precision, recall, F1; of the positive class if binary, else macro.
+
+    Macro values average over the labels seen on either side, however many there are; a class without
+    predictions has precision 0, one without true rows recall 0. Rows without a true label do not count.
+    """
+    counts = P.outcome_counts(scored.withColumn("_all", F.lit(0)), ["_all"], target, _PREDICTION).filter(
+        "y_true IS NOT NULL")
+    sides = counts.select(F.explode(F.array(
+        F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")))).alias("s")).select("s.*")
+    per = sides.filter("label IS NOT NULL").groupBy("label").agg(
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "hit")])
+    ratio = {"precision": ("hit", "predicted"), "recall": ("hit", "support")}
+    scores = per.withColumns({k: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) for k, (a, b) in ratio.items()})
+    scores = scores.withColumn("f1", F.coalesce(F.try_divide(
+        2 * F.col("hit"), F.col("predicted") + F.col("support")), F.lit(0.0)))
+    is_positive = F.lit(False) if positive is None else F.col("label") == positive
+    names = ("precision", "recall", "f1")
+    totals = scores.agg(
+        F.count_if(F.col("support") > 0).alias("_true"), F.count_if(is_positive & (F.col("support") > 0)).alias("_known"),
+        F.sum("support").alias("sample_count"), F.try_divide(F.sum("hit"), F.sum("support")).alias("accuracy"),
+        *[F.avg(m).alias(m) for m in names], *[F.max(F.when(is_positive, F.col(m))).alias(f"_{m}") for m in names])
+    binary = (F.col("_true") == 2) & (F.col("_known") == 1)
+    return totals.select(
+        "accuracy", *[F.when(binary, F.col(f"_{m}")).otherwise(F.col(m)).alias(m) for m in names],
+        F.when(binary, "positive class").otherwise("macro").alias("averaging"), "sample_count")
 
 
 def train_classifier(df: DataFrame, target: str, numeric: list[str], categorical: list[str],

@@ -40,10 +40,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_copy(df: DataFrame) -> DataFrame:
-    """A table with one row per feature column (or per model) as a local relation.
+def local_copy(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A small table as a local relation, whose size Spark knows and which it joins by broadcast.
 
-    Only for tables whose size is bounded by the width of the schema; Spark knows the size of a
-    local relation and joins it by broadcast.
+    A table of more than ``most`` rows is stored instead and joined as Spark sees fit.
     """
-    return df.sparkSession.createDataFrame(df.toArrow())
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return materialise(df, "large")
+    return df.sparkSession.createDataFrame(rows)

@@ -5,7 +5,6 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from batchwatch.operators import inference as I
 from batchwatch.operators import perturb as P
 from batchwatch.operators import train as T
 from batchwatch.sources import readers as R
@@ -55,44 +54,6 @@ def test_category_shift_reaches_the_mix_and_keeps_the_size(spark, batches):
     assert P.category_shift(batches, "grade", {"absent": 1.0}, KEY, ROW).count() == 1000
 
 
-def test_batches_are_drawn_without_repeats_and_repeatably(spark, batches):
-    one = P.sample_batch(batches, 300, 3, ROW)
-    assert one.distinct().count() == 300
-    assert {r["id"] for r in one.collect()} == {r["id"] for r in P.sample_batch(batches, 300, 3, ROW).collect()}
-    assert {r["id"] for r in one.collect()} != {r["id"] for r in P.sample_batch(batches, 300, 4, ROW).collect()}
-    assert P.sample_batch(batches, 2500, 3, ROW).count() == 2500
-
-
-def test_phases(spark):
-    plan = P.default_plan("amount", "grade")
-    assert [P.resolve_phase(plan, i)["from_batch"] for i in (0, 9, 10, 24, 25, 99)] == [0, 0, 10, 10, 25, 25]
-    assert P.resolve_phase({"phases": [{"from_batch": 5, "transformations": []}]}, 3)["transformations"] == []
-    assert P.describe_phase(plan["phases"][0]) == "No drift — clean replay of held-out data"
-    assert P.describe_phase(plan["phases"][1]) == "amount shifted +2σ · amount 3% missing"
-
-
-def test_plan_faults_are_found(spark, batches):
-    schema = I.infer_schema(batches.drop("batch_id"), "grade")
-    step = lambda **t: {"phases": [{"from_batch": 0, "transformations": [t]}]}
-    P.validate_plan(step(type="numeric_shift", column="amount"), schema)
-    for bad in ({}, {"phases": []}, {"phases": [{"from_batch": -1}]}, {"phases": [{"from_batch": 1}, {"from_batch": 1}]},
-                step(type="melt"), step(type="numeric_shift"), step(type="numeric_shift", column="nope"),
-                step(type="numeric_shift", column="id")):
-        with pytest.raises(P.PlanError):
-            P.validate_plan(bad, schema)
-
-
-def test_applying_a_whole_phase(spark, batches):
-    pool = batches.drop("batch_id")
-    plan = P.default_plan("amount", "grade")
-    plan["phases"][2]["transformations"][2]["target_proportions"] = {"A": 0.05, "B": 0.05, "C": 0.9}
-    profile = {"amount": {"std": 10.0, "q1": 90.0, "q3": 110.0, "max": 140.0}}
-    out = P.build_batch(pool, profile, plan, 30, 200, ROW, include_labels=False, target="missing")
-    assert out.count() == 210
-    assert out.filter("grade = 'C'").count() >= 175 and out.filter("amount = 210.0").count() >= 8
-    assert P.build_batch(pool, profile, plan, 0, 200, ROW, include_labels=False, target="grade").columns == ["id", "amount"]
-
-
 def training_rows(spark):
     return spark.createDataFrame(
         [(i, float(i % 50), "x" if i % 3 else "y", None if i % 97 == 0 else ("yes" if (i % 50) > 38 or i % 11 == 0 else "no"))
@@ -176,3 +137,48 @@ def test_splits_can_be_written(spark, batches):
     write_splits(three_way_split(batches, "grade", ["id"]), root)
     got = {r["split"]: r["count"] for r in spark.read.parquet(root).groupBy("split").count().collect()}
     assert got == {"baseline": 600, "holdout": 200, "test": 200}
+
+
+def test_holdout_metrics_over_many_classes_and_both_sides(spark):
+    from batchwatch.operators.train import holdout_metrics
+
+    # the last third of 1,500 classes is always wrong; one class is predicted and never true
+    rows = [(str(k), str(k) if k < 1000 else "never true") for k in range(1500)] + [(None, "3")]
+    row = holdout_metrics(spark.createDataFrame(rows, "truth string, prediction_label string"), "truth").first()
+    assert row["accuracy"] == pytest.approx(1000 / 1500) and row["sample_count"] == 1500
+    assert row["recall"] == pytest.approx(1000 / 1501) and row["f1"] == pytest.approx(1000 / 1501)
+    assert row["averaging"] == "macro"
+
+
+def test_whole_messages_and_names_are_kept(spark):
+    from batchwatch.functions.text import plain_number, words
+    from batchwatch.operators.alerts import system_alerts
+
+    runs = spark.createDataFrame([(1, "FAILED", "x" * 1500)], "run_id long, status string, message string")
+    assert len(system_alerts(runs.limit(0), runs, ["run_id"]).first()["message"]) == 1500
+    row = spark.createDataFrame([("a_" * 600_000, 62.5, 60.0)], "t string, a double, b double").select(
+        words(F.col("t")).alias("t"), plain_number(F.col("a")).alias("a"), plain_number(F.col("b")).alias("b")).first()
+    assert (len(row["t"]), row["a"], row["b"]) == (1_200_000, "62.5", "60")
+
+
+def test_samples_of_a_hot_group_are_exact(spark):
+    from batchwatch.operators.sampling import flag_sample, table_cut
+
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"))
+    picked = flag_sample(rows, ["g"], 1, ["id"], F.lit(777)).where("picked").groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in picked} == {"a": 777, "b": 777}
+    cut = table_cut(rows, 5, ["id"], 15001)
+    from batchwatch.operators.sampling import row_hash
+    assert rows.where(row_hash(5, "id") <= cut).count() == 15001
+    assert table_cut(rows, 5, ["id"], 0) is None
+
+
+def test_a_batch_without_any_profiled_feature_is_reported(spark):
+    from batchwatch.plans.monitor import profile_baseline, run_monitoring
+
+    base = spark.range(200).select("id", (F.col("id") * 1.5).alias("x"), (F.col("id") % 3).cast("string").alias("c"))
+    batch = spark.range(50).select(F.lit("b").alias("batch_id"), F.col("id").alias("other"))
+    result = run_monitoring(batch, profile_baseline(base, ["x"], ["c"]), ["batch_id"], F.lit("yes"))
+    assert {r["status"] for r in result.feature_results.collect()} == {"INSUFFICIENT_DATA"}
+    run = result.runs.first()
+    assert run["row_count"] == 50 and run["thresholds"]["psi_high"] == 0.25
