@@ -224,14 +224,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     return out
 
 
+def _holds_nothing(shared):
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.matches(t) for t in texts], dtype=bool)
+
+    return run
+
+
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows whose text holds no benchmark item; all columns stay."""
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not shared.value.matches(t) for t in texts], dtype=bool)
-
-        docs = docs.where(clean(F.col("text")))
+        docs = docs.where(_holds_nothing(shared)(F.col("text")))
     return docs
