@@ -206,9 +206,8 @@ def prediction_mix_series(runs: DataFrame, mix: DataFrame) -> DataFrame:
     """Run x class share in percent, absent classes 0. Classes of a model are a short list."""
     per_run = mix.join(runs.select("run_id", "model_id"), "run_id")
     totals = per_run.groupBy("run_id").agg(F.sum("n").alias("total"))
-    classes = per_run.groupBy("model_id").agg(F.collect_set("label").alias("labels"))
-    grid = runs.select("run_id", "model_id").join(classes, "model_id").select(
-        "model_id", "run_id", F.explode("labels").alias("label"))
+    classes = per_run.select("model_id", "label").distinct()
+    grid = runs.select("run_id", "model_id").join(classes, "model_id").select("model_id", "run_id", "label")
     return grid.join(per_run.select("run_id", "label", "n"), ["run_id", "label"], "left").join(
         totals, "run_id", "left").select(
         "model_id", "run_id", "label",
