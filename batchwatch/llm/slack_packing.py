@@ -123,6 +123,6 @@ def pack(rows: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         return pd.DataFrame({"sequence_id": row[:, 3] + nth // row[:, 4],
                              "offset": row[:, 5] + nth % row[:, 4] * length.to_numpy()})
 
-    ranked = numbered(stored, "length", ["row_no", "piece"], "rank", sum(counts.values()))
+    ranked = numbered(stored, "length", ["row_no", "piece"], "rank", counts)
     placed = ranked.withColumn("place", place("length", "rank"))
     return placed.select(*[c for c in stored.columns], "place.sequence_id", "place.offset")
