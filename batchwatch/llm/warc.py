@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,6 +163,17 @@ class _Archives:
         self.size += len(data)
 
 
+def _packed():
+    """Compresses chunks one by one, for the way through the shuffle."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return data.map(lambda d: None if d is None else pack(d))
+
+    return run
+
+
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
     """Write the records of a stored chunk table; returns (path, bytes, records) of the archives, stored.
 
@@ -170,7 +182,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archives = _Archives(folder)
-        whole = False
+        whole, unpack = False, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if row.chunk_no < 0:
@@ -178,12 +190,13 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
                     archives.begin(_header(row))
                     whole = row.record_type == "response"
                 elif whole:
-                    archives.add(row.data)
+                    archives.add(unpack(row.data))
         archives.end()
         archives.close()
         yield pd.DataFrame(archives.done, columns=["path", "bytes", "records"])
 
-    dealt = record_heads(chunks).unionByName(chunks).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    small = chunks.withColumn("data", _packed()("data"))
+    dealt = record_heads(chunks).unionByName(small).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
     written = dealt.mapInPandas(run, "path string, bytes long, records long")
     manifest = scratch(chunks.sparkSession, "archives")
     written.write.parquet(manifest)
