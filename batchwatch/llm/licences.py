@@ -1,8 +1,9 @@
 """License scan by a positional index of rare template words.
 
-A file's words of the templates' vocabulary with the highest IDF are looked up; the places where the
-templates have them are intersected by relative position.  A template and offset that enough of these words
-agree on is compared word by word, and its mandatory phrase has to stand there.  IDF counts all documents.
+Of each template the words with the highest IDF are looked up, as many as it may lack and ``AGREEING`` more, so
+a notice that covers enough of it agrees on its offset whatever the frequencies are; their places in the file are
+intersected by relative position.  A template and offset that enough of these words agree on is compared word by
+word, and its mandatory phrase has to stand there.  IDF counts all documents.
 """
 
 from __future__ import annotations
@@ -51,12 +52,10 @@ TEMPLATES = (
     ("cc-by", "creative commons attribution 4 0",
      "this work is licensed under a creative commons attribution 4 0 international license"),
 )
-#: words of a file that are looked up, and how many of them have to agree on an offset
-LOOKED_UP, AGREEING = 6, 2
+#: looked-up words that have to agree on an offset
+AGREEING = 2
 #: share of a template's words that has to stand at its place
 COVERAGE = 0.8
-#: words in more than this share of all documents are not rare
-COMMON = 0.2
 
 #: bytes outside words become blanks, A-Z become a-z
 _WORD_BYTES = bytes(
@@ -72,41 +71,36 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Positional postings of the templates' words, with the words' IDF."""
+    """Places of the templates' rarest words, by the words' IDF."""
 
     def __init__(self, frequency: dict[str, int], documents: int, templates=TEMPLATES):
         self.templates = [(label, key.encode().split(), body.encode().split()) for label, key, body in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, _, body) in enumerate(self.templates):
-            for place, word in enumerate(body):
-                self.postings.setdefault(word, []).append((t, place))
-        self.idf = {w: math.log((documents + 1) / (frequency.get(w.decode(), 0) + 1)) for w in self.postings}
-        self.rare = {w for w in self.postings if frequency.get(w.decode(), 0) <= COMMON * documents}
+        vocabulary = {w for _, _, body in self.templates for w in body}
+        self.idf = {w: math.log((documents + 1) / (frequency.get(w.decode(), 0) + 1)) for w in vocabulary}
+        self.postings: list[list[tuple[bytes, int]]] = []
+        for _, _, body in self.templates:
+            lacking = max(n for n in range(len(body)) if (len(body) - n) / len(body) >= COVERAGE)
+            rarest = sorted(range(len(body)), key=lambda k: (-self.idf[body[k]], body[k], k))
+            self.postings.append([(body[k], k) for k in rarest[:lacking + AGREEING]])
 
     def best(self, found: list[bytes], present: set[bytes]) -> tuple[dict[str, float], tuple[float, str | None, int | None]]:
         """(coverage by label, best (coverage, template, start))."""
-        ranked = sorted(present & self.rare, key=lambda w: (-self.idf[w], w))
         labels: dict[str, float] = {}
         top: tuple[float, str | None, int | None] = (0.0, None, None)
-        if len(ranked) < AGREEING:
+        # a template whose mandatory phrase has a word the file lacks stands nowhere in it
+        possible = [t for t, (_, key, _) in enumerate(self.templates) if present.issuperset(key)]
+        place_of: dict[bytes, list[int]] = {w: [] for t in possible for w, _ in self.postings[t]}
+        if not place_of:
             return labels, top
-        # every rare word of the file is tried, the rarest first, in groups that are looked up together
-        votes: Counter = Counter()
-        place_of: dict[bytes, list[int]] = {w: [] for w in ranked}
         for at, word in enumerate(found):
             if word in place_of:
                 place_of[word].append(at)
-        tried: set[tuple[int, int]] = set()
-        for begin in range(0, len(ranked), LOOKED_UP):
-            for word in ranked[begin:begin + LOOKED_UP]:
-                for template, place in self.postings[word]:
-                    for at in place_of[word]:
-                        votes[template, at - place] += 1
-            for (template, start), n in votes.items():
-                if n < AGREEING or (template, start) in tried:
+        for t in possible:
+            label, key, body = self.templates[t]
+            votes = Counter(at - place for word, place in self.postings[t] for at in place_of[word])
+            for start, n in votes.items():
+                if n < AGREEING:
                     continue
-                tried.add((template, start))
-                label, key, body = self.templates[template]
                 covered = sum(a == b for a, b in zip(found[max(0, start):start + len(body)], body[max(0, -start):]))
                 share = covered / len(body)
                 if share < COVERAGE or not self._holds(found, key, max(0, start), start + len(body)):

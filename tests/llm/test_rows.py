@@ -153,3 +153,52 @@ def test_positional_index_labels_notices_and_not_loose_words():
     damaged = notice.replace("this work is", "this thing is")
     assert index.scan(damaged)[5] == "gpl-3" and index.scan(damaged)[6] < 1
     assert index.scan(notice.replace("general public", "general private"))[5] == ""
+
+
+NOTICES = {
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+           "the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+           "Public License as published by the Free Software Foundation.",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+           "documentation files (the Software), to deal in the Software without restriction.",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+}
+
+
+@pytest.mark.parametrize("label", NOTICES)
+def test_a_notice_of_many_documents_is_found_in_each(spark, label):
+    notice = f"{PROSE} {NOTICES[label]} {PROSE}"
+    start = len(L.words(PROSE))
+    one = L.scan_licences(documents(spark, [(1, notice)]).select("doc_id", "text")).first().licence
+    assert (one.labels, one.template, one.score, one.start_word) == (label, label, 1.0, start)
+    docs = documents(spark, [(k, notice if k % 3 == 0 else f"{PROSE} {k}") for k in range(60)])
+    for r in L.scan_licences(docs.select("doc_id", "text")).collect():
+        want = (label, 1.0, start) if r.doc_id % 3 == 0 else ("", 0.0, None)
+        assert (r.licence.labels, r.licence.score, r.licence.start_word) == want
+
+
+def test_index_finds_what_a_comparison_at_every_word_finds():
+    rng = random.Random(3)
+    vocabulary = sorted({w for _, _, body in L.TEMPLATES for w in body.split()})
+    found = Counter()
+    for turn in range(400):
+        index = L.Index({w: rng.randrange(101) for w in vocabulary}, 100)
+        body = rng.choice(L.TEMPLATES)[2].split()
+        for _ in range(rng.randrange(len(body) // 4 + 1)):
+            body[rng.randrange(len(body))] = rng.choice([*vocabulary, "zebra"])
+        body = body[rng.choice([0, 0, 0, 1]):len(body) - rng.choice([0, 0, 0, 1])]
+        text = " ".join(rng.choices(vocabulary, k=rng.randrange(9)) + body + rng.choices(vocabulary, k=rng.randrange(9)))
+        words = L.words(text)
+        want: dict[str, float] = {}
+        for label, key, template in index.templates:
+            for start in range(-len(template), len(words)):
+                share = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template)) / len(template)
+                near = words[max(0, max(0, start) - 2):start + len(template) + 2]
+                if share >= L.COVERAGE and any(near[k:k + len(key)] == key for k in range(len(near))):
+                    want[label] = max(want.get(label, 0.0), share)
+        labels, top = index.best(words, set(words))
+        assert labels == want and top[0] == max(want.values(), default=0.0)
+        found.update(want)
+    assert len(found) > 6
