@@ -188,6 +188,24 @@ def test_shards_are_even_and_keep_groups_that_fit(spark, copies):
         assert sum(n for _, n in groups["hot"].most_common(3)) >= 0.8 * copies and len(split) <= 4
 
 
+@pytest.mark.parametrize("copies,blocks", [(0, 2000), (500, 2000), (500, 40)])
+def test_groups_stay_whole_where_every_row_has_copies(spark, monkeypatch, copies, blocks):
+    monkeypatch.setattr(label_shards, "TOGETHER", blocks, raising=False)
+    rows = [(k, f"text {k // 4}") for k in range(1200)] + [(5000 + k, "hot") for k in range(copies)]
+    got = label_shards.shard_documents(documents(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    slots, groups = defaultdict(list), defaultdict(Counter)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        groups[dict(rows)[r.doc_id]][r.shard] += 1
+    sizes = [len(slots[s]) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    # fewer cuts than shards, besides the group that no shard can hold
+    assert sum(len(g) > 1 for t, g in groups.items() if t != "hot") < 8
+    if copies:
+        assert max(groups["hot"].values()) in (min(sizes), max(sizes))  # it fills a whole shard
+
+
 def test_empty_table_has_no_shards(spark):
     assert label_shards.shard_documents(documents(spark, [])).count() == 0
 
