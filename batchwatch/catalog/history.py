@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -59,6 +60,11 @@ def range_filter(spark, sf):
     return out
 
 
+def range_filter_all(spark, sf):
+    """The runs of the range ``all``."""
+    return H.in_range(B.runs(spark, sf), "all", F.expr(_NOW)).select(F.lit("all").alias("range_name"), "run_id", "created_at")
+
+
 def history_filter(spark, sf):
     return H.filter_history(B.runs(spark, sf), "COMPLETED", "MODERATE", "API").select("run_id", "created_at")
 
@@ -254,12 +260,15 @@ def page(spark, sf):
 
 
 def schema_compatible(spark, sf):
+    return _with_compatible(spark, sf, _pairs(spark, sf))
+
+
+def _with_compatible(spark, sf, pairs):
     features = B.feature_results(spark, sf).join(
         B.runs(spark, sf).select("run_id", "version_id"), "run_id").groupBy("model_id", "version_id").agg(
         F.collect_set("feature").alias("names"))  # at most one entry per feature column
     a = features.select("model_id", F.col("version_id").alias("a_id"), F.col("names").alias("a_names"))
     b = features.select("model_id", F.col("version_id").alias("b_id"), F.col("names").alias("b_names"))
-    pairs = _pairs(spark, sf)
     return pairs.join(a, ["model_id", "a_id"], "left").join(b, ["model_id", "b_id"], "left").select(
         "model_id", "a_id", "b_id", H.schema_compatible(F.col("a_names"), F.col("b_names")).alias("compatible"))
 
@@ -270,6 +279,13 @@ def _pairs(spark, sf):
         F.max("version_id").alias("a_id"), F.min("version_id").alias("b_id")).filter("a_id <> b_id")
 
 
+def _steps(spark, sf):
+    """Every version with its predecessor in the model."""
+    before = F.lag("version_id").over(Window.partitionBy("model_id").orderBy("version_id"))
+    return B.versions(spark, sf).select("model_id", F.col("version_id").alias("a_id"), before.alias("b_id")).filter(
+        "b_id IS NOT NULL")
+
+
 # ── alert rules ────────────────────────────────────────────────────────────────────────────────
 def alert_rules(spark, sf):
     runs = B.runs(spark, sf).filter("status = 'COMPLETED'").join(
@@ -334,6 +350,22 @@ def comparison_verdict(spark, sf):
     return H.comparison_verdict(_comparison(spark, sf))
 
 
+def _step_comparison(spark, sf):
+    stats = materialise(H.version_stats(
+        B.versions(spark, sf), B.runs(spark, sf), B.alerts(spark, sf)), "version-stats")
+    pairs = materialise(_with_compatible(spark, sf, _steps(spark, sf)), "version-pairs")
+    return H.version_comparison(pairs, stats)
+
+
+def version_steps(spark, sf):
+    """Every version beside its predecessor; drift is compared if their features are the same."""
+    return rounded(_step_comparison(spark, sf), "a_value", "b_value", "delta")
+
+
+def version_steps_verdict(spark, sf):
+    return H.comparison_verdict(_step_comparison(spark, sf))
+
+
 def time_labels(spark, sf):
     return B.table(spark, sf, "events").select(
         "event_id", X.time_label(F.col("ts")).alias("label"), F.to_date("ts").cast("string").alias("day"))
@@ -347,7 +379,7 @@ def accuracy_drop(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    preflight, visible_models, range_filter, history_filter, alert_filter, threshold_validity,
+    preflight, visible_models, range_filter, range_filter_all, history_filter, alert_filter, threshold_validity,
     resolve_thresholds, active_baseline, reference_accuracy, runs_wide, alerts_by_version, grants_report,
     max_psi_per_run, alerts_per_day, dashboard_counts, active_users, version_stats, minority_share,
     latest_run_per_model, consecutive_critical_health, consecutive_poor_quality, auto_resolve,
@@ -356,6 +388,7 @@ QUERIES = {f.__name__: f for f in (
     downsample_series, sortable_results, worst_health_first, recent_k, page, schema_compatible,
     alert_rules, system_alerts, lifecycle_state, performance_series, labelled_runs, drift_series,
     health_series, prediction_mix_series, model_overview, version_comparison, comparison_verdict,
+    version_steps, version_steps_verdict,
     time_labels, accuracy_drop)}
 
 # ── the same in SQL ────────────────────────────────────────────────────────────────────────────
@@ -415,13 +448,13 @@ stats AS (SELECT version_id, model_id, label, training_accuracy, CASE WHEN la >=
   mean_recall, mean_health, mean_high_drift, runs_ AS run_count, alerts_ AS alert_count FROM st)"""
 
 
-def _compare_row(i: int, name: str, label: str, more: bool | None) -> str:
+def _compare_row(i: int, name: str, label: str, more: bool | None, compatible: str = "p.model_id % 2 = 0") -> str:
     if more is None:
         winner, delta = "CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)"
     else:
         winner = f"CASE WHEN a.{name} <> b.{name} THEN CASE WHEN a.{name} {'>' if more else '<'} b.{name} THEN 'a' ELSE 'b' END END"
         delta = f"CASE WHEN a.{name} <> b.{name} THEN CAST(abs(a.{name} - b.{name}) AS DOUBLE) END"
-    where = " WHERE p.model_id % 2 = 0" if name == "mean_high_drift" else ""
+    where = f" WHERE {compatible}" if name == "mean_high_drift" else ""
     return (f"SELECT p.model_id, a_id, b_id, a.label AS a_label, b.label AS b_label, {i} AS position, '{label}' AS measure, "
             f"CAST(a.{name} AS DOUBLE) AS a_value, CAST(b.{name} AS DOUBLE) AS b_value, {winner} AS winner, {delta} AS delta "
             f"FROM pairs p JOIN stats a ON a.version_id = a_id JOIN stats b ON b.version_id = b_id{where}")
@@ -430,6 +463,23 @@ def _compare_row(i: int, name: str, label: str, more: bool | None) -> str:
 _PAIRS = """pairs AS (SELECT model_id, max(version_id) AS a_id, min(version_id) AS b_id FROM versions GROUP BY model_id HAVING max(version_id) <> min(version_id))"""
 _COMPARE = [B.RUNS_SQL, B.VERSIONS_SQL, B.ALERTS_SQL, _COMPARE_STATS, _PAIRS,
             "cmp AS (" + " UNION ALL ".join(_compare_row(i, *c) for i, c in enumerate(H.COMPARED)) + ")"]
+_STEPS = """fs AS (SELECT version_id, list_sort(list(DISTINCT feature)) AS l
+  FROM feature_results f JOIN runs r ON r.run_id = f.run_id GROUP BY version_id),
+steps AS (SELECT model_id, version_id AS a_id, lag(version_id) OVER (PARTITION BY model_id ORDER BY version_id) AS b_id FROM versions),
+pairs AS (SELECT s.model_id, a_id, b_id, a.l IS NULL OR b.l IS NULL OR a.l = b.l AS compatible FROM steps s
+  LEFT JOIN fs a ON a.version_id = a_id LEFT JOIN fs b ON b.version_id = b_id WHERE b_id IS NOT NULL)"""
+_COMPARE_STEPS = [B.RUNS_SQL, B.VERSIONS_SQL, B.ALERTS_SQL, B.FEATURES_SQL, _COMPARE_STATS, _STEPS,
+                  "cmp AS (" + " UNION ALL ".join(_compare_row(i, *c, "p.compatible") for i, c in enumerate(H.COMPARED)) + ")"]
+_SIDE_BY_SIDE = """SELECT model_id, a_id, b_id, a_label, b_label, position, measure, round(a_value, 6) AS a_value,
+  round(b_value, 6) AS b_value, winner, round(delta, 6) AS delta FROM cmp"""
+_VERDICT = """, v AS (SELECT model_id, a_id, b_id, a_label, b_label, count(*) FILTER (winner = 'a') AS wa,
+  count(*) FILTER (winner = 'b') AS wb, count(*) AS n, CAST(sum(a_value + b_value) FILTER (measure = 'Monitoring runs') AS BIGINT) AS runs,
+  max(winner) FILTER (measure = 'Mean accuracy') AS aw, max(delta) FILTER (measure = 'Mean accuracy') AS ad FROM cmp GROUP BY ALL)
+SELECT model_id, a_id, b_id, CASE WHEN wa = wb THEN concat(a_label, ' and ', b_label, ' are evenly matched across ', n, ' measures over ', runs, ' runs.')
+  ELSE concat(CASE WHEN wa > wb THEN a_label ELSE b_label END, ' outperforms ', CASE WHEN wa > wb THEN b_label ELSE a_label END, ' on ',
+    greatest(wa, wb), ' of ', n, ' measures', CASE WHEN ad IS NOT NULL THEN concat(', ',
+      CASE WHEN aw = CASE WHEN wa > wb THEN 'a' ELSE 'b' END THEN 'ahead on' ELSE 'behind on' END, ' mean accuracy by ',
+      format('{:.1f}', ad * 100), ' points') ELSE '' END, ', across ', runs, ' runs.') END AS verdict FROM v"""
 
 
 def _dedup_sql(resolutions: bool) -> str:
@@ -454,6 +504,7 @@ ORACLES = {
 WHERE owner_id = 3 OR model_id IN (SELECT model_id FROM grants WHERE user_id = 3)""",
     "range_filter": Q.with_(B.RUNS_SQL) + " UNION ALL ".join(
         _range_sql(n, d) for n, d in (("24h", 1), ("7d", 7), ("30d", 30), ("nonsense", 30))),
+    "range_filter_all": Q.with_(B.RUNS_SQL) + "SELECT 'all' AS range_name, run_id, created_at FROM runs WHERE status = 'COMPLETED'",
     "history_filter": Q.with_(B.RUNS_SQL) + """SELECT run_id, created_at FROM runs
 WHERE status = 'COMPLETED' AND drift_status = 'MODERATE' AND trigger_source = 'API'""",
     "alert_filter": Q.with_(B.RUNS_SQL, B.MODELS_SQL, B.GRANTS_SQL, B.ALERTS_SQL) + """SELECT model_id, run_id, alert_key, line, category FROM alerts
@@ -572,16 +623,10 @@ LEFT JOIN mix ON mix.run_id = r.run_id AND mix.label = cl.label LEFT JOIN tot ON
   (SELECT count(*) FROM versions v WHERE v.model_id = m.model_id) AS version_count,
   coalesce(l.health_band IN ('WARNING', 'CRITICAL'), false) AS needs_attention, coalesce(l.health_score, 101) AS rank_score
 FROM models m LEFT JOIN latest l USING (model_id)""",
-    "version_comparison": Q.with_(*_COMPARE) + """SELECT model_id, a_id, b_id, a_label, b_label, position, measure, round(a_value, 6) AS a_value,
-  round(b_value, 6) AS b_value, winner, round(delta, 6) AS delta FROM cmp""",
-    "comparison_verdict": Q.with_(*_COMPARE) + """, v AS (SELECT model_id, a_id, b_id, a_label, b_label, count(*) FILTER (winner = 'a') AS wa,
-  count(*) FILTER (winner = 'b') AS wb, count(*) AS n, CAST(sum(a_value + b_value) FILTER (measure = 'Monitoring runs') AS BIGINT) AS runs,
-  max(winner) FILTER (measure = 'Mean accuracy') AS aw, max(delta) FILTER (measure = 'Mean accuracy') AS ad FROM cmp GROUP BY ALL)
-SELECT model_id, a_id, b_id, CASE WHEN wa = wb THEN concat(a_label, ' and ', b_label, ' are evenly matched across ', n, ' measures over ', runs, ' runs.')
-  ELSE concat(CASE WHEN wa > wb THEN a_label ELSE b_label END, ' outperforms ', CASE WHEN wa > wb THEN b_label ELSE a_label END, ' on ',
-    greatest(wa, wb), ' of ', n, ' measures', CASE WHEN ad IS NOT NULL THEN concat(', ',
-      CASE WHEN aw = CASE WHEN wa > wb THEN 'a' ELSE 'b' END THEN 'ahead on' ELSE 'behind on' END, ' mean accuracy by ',
-      format('{:.1f}', ad * 100), ' points') ELSE '' END, ', across ', runs, ' runs.') END AS verdict FROM v""",
+    "version_comparison": Q.with_(*_COMPARE) + _SIDE_BY_SIDE,
+    "comparison_verdict": Q.with_(*_COMPARE) + _VERDICT,
+    "version_steps": Q.with_(*_COMPARE_STEPS) + _SIDE_BY_SIDE,
+    "version_steps_verdict": Q.with_(*_COMPARE_STEPS) + _VERDICT,
     "time_labels": "SELECT event_id, strftime(ts, '%d %b %H:%M') AS label, strftime(ts, '%Y-%m-%d') AS day FROM events",
     "accuracy_drop": _RVR + """SELECT run_id, round((reference_accuracy - accuracy) * 100, 6) AS points FROM runs JOIN refacc USING (version_id) WHERE labels_available""",
 }
