@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, scratch
-from . import byte_cnn, chat, cross_parsing, licences, line_rules, qgrams, warc
+from . import byte_cnn, chat, cross_parsing, licences, line_rules, qgrams, source_audit, warc, zfast_trie
 from .hyperminhash import near_duplicates
 from .label_shards import shard_documents
+from .prefix_hashes import fingerprint_documents
 from .sample import held_out
 from .slack_packing import pack, pieces
 
@@ -78,6 +79,18 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(_table(spark, sf, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return zfast_trie.prefix_trie(_table(spark, sf, "conversations"))
+
+
+def op13_source_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return source_audit.audit_sources(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -89,9 +102,14 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_audit": op13_source_audit,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": line_rules.oracle(),
     "op4_warc": warc.oracle(),
     "op6_chat_formatting": chat.oracle(_PROBE),
+    "op12_prefix_trie": zfast_trie.oracle(),
+    "op13_source_audit": source_audit.oracle(),
 }
