@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.categories import CategoryBaseline, category_baseline
-from ..operators.ks import baseline_values
 from ..operators.profile import profile_categories, profile_numeric, stored_profile
+from ..operators.rank_index import RankIndex, rank_index
 from ..storage import materialise
 
 
@@ -226,8 +226,8 @@ OCCURRENCES_SQL = f"occ AS ({_OCCURRENCES.format(events='events')})"
 
 
 # ── profiles, prepared once per query ──────────────────────────────────────────────────────────
-def reference(base: DataFrame, features: list[str]) -> DataFrame:
-    return baseline_values(base, features)
+def reference(base: DataFrame, features: list[str]) -> RankIndex:
+    return rank_index(base, features)
 
 
 def profiled(base: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, CategoryBaseline]:

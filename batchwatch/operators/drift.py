@@ -13,6 +13,7 @@ from .categories import CategoryBaseline, category_scores
 from .ks import ks_statistic
 from .longform import category_long, numeric_long
 from .profile import bin_array, bin_count_columns, bin_index
+from .rank_index import RankIndex
 
 
 def numeric_state(batches: DataFrame, profile: DataFrame, features: list[str],
@@ -177,12 +178,12 @@ def sorted_results(results: DataFrame, by: str = "status") -> DataFrame:
 
 
 def drift_report(batches: DataFrame, profile_num: DataFrame | None, base: CategoryBaseline | None,
-                 reference: DataFrame | None, numeric: list[str], categorical: list[str], keys: list[str],
+                 reference: RankIndex | None, numeric: list[str], categorical: list[str], keys: list[str],
                  thresholds: dict | None = None, declared: dict[str, str] | None = None) -> DataFrame:
     """All monitored features of all batches. Features the table lacks are reported as such.
 
     The raw rows are read three times, each time only the columns needed: for the numeric state,
-    the value counts that KS ranks against ``reference`` (feature, value, n), and the category state.
+    the value counts that KS looks up in the rank index ``reference``, and the category state.
     """
     here = set(batches.columns)
     parts = []

@@ -1,9 +1,9 @@
 """Two-sample Kolmogorov-Smirnov distance of every batch to the whole baseline.
 
-Baseline and batch values are counted per distinct value and dealt into value ranges by one range
-partitioning. Counts per range tell where a range starts, so running counts inside a range give every
-batch value its exact rank in the baseline and in its own batch. Nothing is sampled, nothing reaches
-the driver, and no window is larger than a range.
+Batch values are counted per distinct value and looked up in the baseline's stored rank index. Between two
+neighbouring baseline values only the first and the last batch value can be farthest apart, so counts are summed
+per pair of ranks and the distance comes from running counts over those. Nothing is sampled, and a run costs
+what the batches hold: the baseline is neither shuffled nor written again.
 """
 
 from __future__ import annotations
@@ -14,51 +14,42 @@ from pyspark.sql import functions as F
 from ..functions.pvalues import ks_pvalue
 from ..storage import materialise
 from .longform import numeric_long
+from .rank_index import RankIndex, rank_of
 
+#: windows over a batch's ranks are cut into so many slices
+SLICES = 1024
 
-def baseline_values(base: DataFrame, features: list[str]) -> DataFrame:
-    """feature, value, n: the distinct values of the baseline, stored."""
-    counted = numeric_long(base, features, []).filter(F.col("value").isNotNull())
-    return materialise(counted.groupBy("feature", "value").agg(F.count("*").alias("n")), "baseline-values")
 
-
-def ks_statistic(batches: DataFrame, reference: DataFrame, features: list[str], keys: list[str],
+def ks_statistic(batches: DataFrame, reference: RankIndex, features: list[str], keys: list[str],
                  effective_size: int | None = None) -> DataFrame:
     """keys, feature, ks, p_value, n_reference, n_current.
 
-    ``reference`` is (feature, value, n). The p-value is taken at the true sizes; ``effective_size``
-    bounds the batch size it is taken at, for users who want large batches judged like smaller ones.
-    Groups in which one side has no values yield no row.
+    The p-value is taken at the true sizes; ``effective_size`` bounds the batch size it is taken at,
+    for users who want large batches judged like smaller ones. Groups in which one side has no values
+    yield no row.
     """
-    group = [*keys, "feature"]
     counted = numeric_long(batches, features, keys).filter(F.col("value").isNotNull()).groupBy(
-        *group, "value").agg(F.count("*").alias("_c"))
-    known = reference.filter(F.col("feature").isin(features)).select("feature", "value", F.col("n").alias("_r"))
-    both = counted.withColumn("_r", F.lit(0).cast("long")).unionByName(
-        known.withColumn("_c", F.lit(0).cast("long")), allowMissingColumns=True)
-    ranged = materialise(both.repartitionByRange("feature", "value").withColumn(
-        "_slice", F.spark_partition_id()), "value-ranges")
+        *keys, "feature", "value").agg(F.count("*").alias("c"))
+    return ks_of_counts(counted, reference, keys, effective_size)
+
 
-    starts = ranged.groupBy("feature", "_slice").agg(F.sum("_r").alias("_n")).selectExpr(
-        "feature", "_slice", "sum(_n) OVER (PARTITION BY feature) AS n_reference",
-        "sum(_n) OVER (PARTITION BY feature ORDER BY _slice) - _n AS _r_before")
+def ks_of_counts(counted: DataFrame, reference: RankIndex, keys: list[str],
+                 effective_size: int | None = None) -> DataFrame:
+    """``ks_statistic`` of value counts (keys, the index's group columns, value, c)."""
+    group = [*keys, *[g for g in reference.group if g not in keys]]
+    totals = F.broadcast(reference.totals.where("n > 0").select(*reference.group, F.col("n").alias("n_reference")))
+    placed = materialise(rank_of(counted, reference).groupBy(*group, "below", "upto").agg(F.sum("c").alias("c")).join(
+        totals, reference.group).withColumn("_slice", F.expr(f"upto * {SLICES} div n_reference")), "batch-ranks")
     own = ", ".join(f"`{k}`" for k in group)
-    begun = ranged.filter("_c > 0").groupBy(*group, "_slice").agg(F.sum("_c").alias("_n")).selectExpr(
+    begun = placed.groupBy(*group, "_slice").agg(F.sum("c").alias("_n")).selectExpr(
         *[f"`{k}`" for k in group], "_slice", f"sum(_n) OVER (PARTITION BY {own}) AS n_current",
-        f"sum(_n) OVER (PARTITION BY {own} ORDER BY _slice) - _n AS _c_before")
-    ranked = ranged.selectExpr(
-        "*", "sum(_r) OVER (PARTITION BY feature, _slice ORDER BY value) AS _upto",
-        "sum(_r) OVER (PARTITION BY feature, _slice, value) AS _at").filter("_c > 0").withColumn(
-        "_seen", F.expr(f"sum(_c) OVER (PARTITION BY {own}, _slice ORDER BY value)"))
-    placed = ranked.join(starts, ["feature", "_slice"]).join(begun, [*group, "_slice"]).filter("n_reference > 0")
-    gaps = placed.select(
-        *group, "n_reference", "n_current",
-        F.greatest(
-            F.abs((F.col("_r_before") + F.col("_upto")) / F.col("n_reference")
-                  - (F.col("_c_before") + F.col("_seen")) / F.col("n_current")),
-            F.abs((F.col("_r_before") + F.col("_upto") - F.col("_at")) / F.col("n_reference")
-                  - (F.col("_c_before") + F.col("_seen") - F.col("_c")) / F.col("n_current"))).alias("gap"))
-    stat = gaps.groupBy(*group).agg(
-        F.max("gap").alias("ks"), F.max("n_reference").alias("n_reference"), F.max("n_current").alias("n_current"))
+        f"sum(_n) OVER (PARTITION BY {own} ORDER BY _slice) - _n AS _before")
+    seen = placed.withColumn("_seen", F.expr(f"sum(c) OVER (PARTITION BY {own}, _slice ORDER BY upto, below)")).join(
+        begun, [*group, "_slice"]).withColumn("_seen", F.col("_before") + F.col("_seen"))
+    gap = F.greatest(
+        F.abs(F.col("upto") / F.col("n_reference") - F.col("_seen") / F.col("n_current")),
+        F.abs(F.col("below") / F.col("n_reference") - (F.col("_seen") - F.col("c")) / F.col("n_current")))
+    stat = seen.groupBy(*group).agg(
+        F.max(gap).alias("ks"), F.max("n_reference").alias("n_reference"), F.max("n_current").alias("n_current"))
     size = "n_current" if effective_size is None else f"least(n_current, {effective_size}L)"
     return stat.withColumn("p_value", ks_pvalue("ks", "n_reference", size))

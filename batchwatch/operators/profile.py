@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.values import pct
 from ..schemas import BIN_COUNT
 from ..storage import local_copy
-from .longform import category_long, numeric_long
+from .longform import category_long
 from .quantiles import exact_quantiles
+from .rank_index import RankIndex, moments_of, quantiles_of, rank_index
 
 _QUARTILES = [0.25, 0.5, 0.75]
 
@@ -100,23 +101,21 @@ def categorical_summary(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def profile_numeric(df: DataFrame, features: list[str], bins: int = BIN_COUNT) -> DataFrame:
     """One row per numeric feature: summary, bin edges, bin counts."""
-    long = numeric_long(df, features, [])
-    probs = _edge_probs(bins) + _QUARTILES
-    q = exact_quantiles(long, ["feature"], probs).select(
-        "feature", "quantiles",
-        edges_from_quantiles(F.slice("quantiles", 1, bins + 1)).alias("bin_edges"))
-    joined = long.join(F.broadcast(q), "feature", "left").withColumn(
+    return profile_index(rank_index(df, features), bins)
+
+
+def profile_index(index: RankIndex, bins: int = BIN_COUNT) -> DataFrame:
+    """The numeric profile, from value counts and quantiles of the index; the rows are not read again."""
+    group = index.group
+    q = local_copy(quantiles_of(index, _edge_probs(bins) + _QUARTILES).select(
+        *group, "quantiles", edges_from_quantiles(F.slice("quantiles", 1, bins + 1)).alias("bin_edges")))
+    binned = index.counts.join(F.broadcast(q), group, "left").withColumn(
         "_bin", bin_index("value", "bin_edges", bins))
+    counters = [F.expr(f"coalesce(sum(CASE WHEN _bin = {i} THEN n END), 0L)").alias(f"_bin{i}") for i in range(bins)]
+    stats = moments_of(index, counters, binned).join(F.broadcast(q), group, "left")
     empty = F.array().cast("array<double>")
-    stats = joined.groupBy("feature").agg(
-        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"),
-        F.count("*").alias("_rows"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        *bin_count_columns("_bin", bins))
-    stats = stats.join(F.broadcast(q), "feature", "left")
     return stats.select(
-        "feature", "n", "missing", pct(F.col("missing"), F.col("_rows")).alias("missing_pct"),
+        *group, "n", "missing", pct(F.col("missing"), F.col("n") + F.col("missing")).alias("missing_pct"),
         "mean", "std", "min", F.get("quantiles", F.lit(bins + 1)).alias("q1"),
         F.get("quantiles", F.lit(bins + 2)).alias("median"),
         F.get("quantiles", F.lit(bins + 3)).alias("q3"), "max",

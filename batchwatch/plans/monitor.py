@@ -15,8 +15,9 @@ from ..operators import explain as E
 from ..operators import health as H
 from ..operators import performance as P
 from ..operators import quality as Q
-from ..operators.ks import baseline_values, ks_statistic
-from ..operators.profile import profile_categories, profile_numeric, stored_profile
+from ..operators.ks import ks_statistic
+from ..operators.profile import profile_categories, profile_index, stored_profile
+from ..operators.rank_index import RankIndex, rank_index
 from ..storage import materialise
 
 
@@ -28,7 +29,7 @@ class Baseline:
     categorical: list[str]
     profile: DataFrame | None
     categories: C.CategoryBaseline | None
-    values: DataFrame | None
+    index: RankIndex | None
     kinds: dict[str, str] = field(default_factory=dict)
     declared: dict[str, str] = field(default_factory=dict)
 
@@ -36,12 +37,12 @@ class Baseline:
 def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str]) -> Baseline:
     """Profile once; the tables are written out, so no later job reads the baseline again."""
     types = {f.name: f.dataType for f in df.schema}
-    profile = stored_profile(profile_numeric(df, numeric)) if numeric else None
+    index = rank_index(df, numeric) if numeric else None
+    profile = stored_profile(profile_index(index)) if numeric else None
     categories = C.category_baseline(
         materialise(profile_categories(df, categorical), "profile-categories")) if categorical else None
-    values = baseline_values(df, numeric) if numeric else None
     return Baseline(
-        numeric, categorical, profile, categories, values,
+        numeric, categorical, profile, categories, index,
         {f: dtype_kind(types[f]) for f in [*numeric, *categorical]},
         {f: types[f].simpleString() for f in categorical})
 
@@ -93,7 +94,7 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
     results, columns = [], []
     if num:
         state = materialise(D.numeric_state(batches, baseline.profile, num, keys), "numeric-state")
-        ks = ks_statistic(batches, baseline.values, num, keys)
+        ks = ks_statistic(batches, baseline.index, num, keys)
         drift = D.numeric_drift(state, baseline.profile, ks, keys, thresholds)
         results.append(E.explain_numeric(drift, state, baseline.profile, keys, thresholds))
         columns.append(Q.numeric_quality(state, keys, kinds))

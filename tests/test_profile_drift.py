@@ -12,6 +12,7 @@ from batchwatch.operators import inference as I
 from batchwatch.operators import ks as K
 from batchwatch.operators import profile as P
 from batchwatch.operators import quantiles as Q
+from batchwatch.operators import rank_index as R
 from batchwatch.operators import sampling as SA
 from batchwatch.operators.longform import category_long, numeric_long
 
@@ -73,17 +74,17 @@ def test_quantiles_are_exact(spark):
 
 
 def ks_reference(spark, values):
-    return K.baseline_values(spark.createDataFrame([(float(v),) for v in values], "x double"), ["x"])
+    return R.rank_index(spark.createDataFrame([(float(v),) for v in values], "x double"), ["x"])
 
 
 def test_ks_of_more_than_50000_rows_a_side_uses_all_of_them(spark):
     base = spark.range(70000).select((F.col("id") * 7919 % 70001).cast("double").alias("x"))
     batch = spark.range(60000).select(F.lit("b").alias("batch_id"), (F.col("id") * 104729 % 69997 + 400).cast("double").alias("x"))
-    row = K.ks_statistic(batch, K.baseline_values(base, ["x"]), ["x"], KEY).first()
+    row = K.ks_statistic(batch, R.rank_index(base, ["x"]), ["x"], KEY).first()
     a, b = (np.array([r.x for r in df.select("x").collect()]) for df in (base, batch))
     assert row["ks"] == pytest.approx(brute_ks(a, b), abs=1e-12)
     assert (row["n_reference"], row["n_current"]) == (70000, 60000)
-    smaller = K.ks_statistic(batch, K.baseline_values(base, ["x"]), ["x"], KEY, effective_size=1000).first()
+    smaller = K.ks_statistic(batch, R.rank_index(base, ["x"]), ["x"], KEY, effective_size=1000).first()
     assert smaller["ks"] == row["ks"] and smaller["p_value"] > row["p_value"]
 
 
@@ -109,6 +110,69 @@ def test_ks_equals_brute_force_with_ties_gaps_and_outliers(spark):
     assert got["far"]["p_value"] < 1e-6 and got["same"]["p_value"] > 0.5
 
 
+@pytest.mark.parametrize("side", [2, 3, 32])
+def test_ranks_and_quantiles_of_an_index_of_many_levels(spark, side):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 5, 300).round(1), np.array([7.0])
+    rows = [("a", float(v)) for v in a] + [("b", 7.0), ("a", None), ("none", None)]
+    long = spark.createDataFrame(rows, "feature string, value double").select("feature", "value")
+    index = R.build_index(long, ["feature"], side)
+    asked = [*np.unique(a), *(np.unique(a) + 0.05), -1e9, 1e9]
+    frame = spark.createDataFrame([("a", float(v)) for v in asked] + [("b", 7.0), ("b", 8.0), ("b", 6.0), ("else", 1.0)],
+                                  "feature string, value double")
+    for busy in (R.BUSY_PAGE, 3):
+        got = {(r.feature, r.value): (r.below, r.upto) for r in R.rank_of(frame, index, busy).collect()}
+        assert got == {("b", 7.0): (0, 1), ("b", 8.0): (1, 1), ("b", 6.0): (0, 0), **{
+            ("a", float(v)): (int((a < v).sum()), int((a <= v).sum())) for v in asked}}
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    quantiles = {r.feature: r.quantiles for r in R.quantiles_of(index, probs).collect()}
+    assert quantiles["a"] == pytest.approx(np.quantile(a, probs).tolist()) and quantiles["b"] == [7.0] * 6
+    moments = {r.feature: r for r in R.moments_of(index).collect()}
+    assert moments["a"]["std"] == pytest.approx(a.std()) and moments["a"]["missing"] == 1 and moments["none"]["n"] == 0
+
+
+def test_a_run_neither_shuffles_nor_writes_the_baseline(spark, tmp_path):
+    base = spark.range(300_000).select(F.xxhash64("id").cast("double").alias("x"))
+    index = R.rank_index(base, ["x"])
+    batch = spark.range(200).select(F.lit("b").alias("batch_id"), (F.xxhash64("id") + F.col("id")).cast("double").alias("x"))
+    written = []
+    store = R.materialise
+
+    def watched(df, name):
+        stored = store(df, name)
+        written.append((name, stored.count()))
+        return stored
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(R, "materialise", watched)
+        patch.setattr(K, "materialise", watched)
+        ks = K.ks_statistic(batch, index, ["x"], KEY).first()["ks"]
+        assert written and max(n for _, n in written) <= 200
+    assert ks == pytest.approx(brute_ks(np.array([r.x for r in base.collect()]), np.array([r.x for r in batch.collect()])))
+    asked = batch.select(F.lit("x").alias("feature"), F.col("x").alias("value"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = R.rank_of(asked, index)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    page_scan = plan[:plan.index("rank_pages")].splitlines()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    after_join = page_scan[max(k for k, line in enumerate(page_scan) if "SortMergeJoin" in line):]
+    assert sum("Exchange" in line for line in after_join) <= 1  # that of the values asked for
+
+
+def test_ks_of_one_value_that_all_batches_share(spark):
+    base = spark.range(5000).select((F.col("id") % 50).cast("double").alias("x"))
+    batches = spark.range(30_000).select(F.concat(F.lit("b"), F.col("id") % 3000).alias("batch_id"), F.lit(7.0).alias("x"))
+    index = R.rank_index(base, ["x"], side=2)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(R, "BUSY_PAGE", 100)
+        counted = batches.groupBy("batch_id", F.lit("x").alias("feature"), F.col("x").alias("value")).agg(F.count("*").alias("c"))
+        assert R.rank_of(counted, index, 100).select("below", "upto").distinct().collect() == [(700, 800)]
+    got = K.ks_statistic(batches, index, ["x"], KEY).agg(F.count("*").alias("n"), F.min("ks").alias("a"), F.max("ks").alias("b")).first()
+    assert (got["n"], got["a"]) == (3000, got["b"]) and got["a"] == pytest.approx(0.84)
+
+
 def test_reference_sample_is_capped_exact_and_repeatable(spark):
     df = spark.range(5000).select(F.col("id"), (F.col("id") * 1.5).alias("x"))
     one = {r["id"] for r in SA.reference_sample(df, ["x"], ["id"], 700).collect()}
@@ -195,7 +259,7 @@ def test_large_sample_tiny_shift_is_significant_but_not_drift(spark):
     base = spark.range(40000).select(F.randn(1).alias("x"), "id")
     batch = spark.range(40000).select(F.lit("b").alias("batch_id"), (F.randn(2) + 0.05).alias("x"))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
-    ref = K.baseline_values(base, ["x"])
+    ref = R.rank_index(base, ["x"])
     row = D.drift_report(batch, profile, None, ref, ["x"], [], KEY).first()
     assert row["p_value"] < 0.05 and row["status"] == "NONE"
 
@@ -206,7 +270,7 @@ def test_two_sigma_shift_is_high_small_batches_insufficient_and_absent_reported(
         spark.range(29).select(F.lit("small").alias("batch_id"), F.randn(3).alias("x")))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
     counts = C.category_baseline(P.profile_categories(base, ["c"]))
-    ref = K.baseline_values(base, ["x"])
+    ref = R.rank_index(base, ["x"])
     rows = {(r["batch_id"], r["feature"]): r for r in D.drift_report(
         batch, profile, counts, ref, ["x"], ["c"], KEY).collect()}
     assert rows[("b", "x")]["status"] == "HIGH"
@@ -219,7 +283,7 @@ def test_batch_equal_to_baseline_shows_no_drift(spark):
     same = base.withColumn("batch_id", F.lit("b"))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
     counts = C.category_baseline(P.profile_categories(base, ["c"]))
-    ref = K.baseline_values(base, ["x"])
+    ref = R.rank_index(base, ["x"])
     for r in D.drift_report(same, profile, counts, ref, ["x"], ["c"], KEY).collect():
         assert r["status"] == "NONE" and r["psi"] == pytest.approx(0, abs=1e-9)
         assert r["test_statistic"] == pytest.approx(0, abs=1e-9) and r["p_value"] == 1.0
@@ -230,7 +294,7 @@ def test_constant_columns(spark):
     batch = spark.range(50).select(F.lit("same").alias("batch_id"), F.lit(4.0).alias("x")).unionByName(
         spark.range(50).select(F.lit("other").alias("batch_id"), F.lit(5.0).alias("x")))
     profile = P.stored_profile(P.profile_numeric(base, ["x"]))
-    rows = {r["batch_id"]: r for r in D.drift_report(batch, profile, None, K.baseline_values(base, ["x"]), ["x"], [], KEY).collect()}
+    rows = {r["batch_id"]: r for r in D.drift_report(batch, profile, None, R.rank_index(base, ["x"]), ["x"], [], KEY).collect()}
     assert (rows["same"]["test_statistic"], rows["same"]["p_value"]) == (0.0, 1.0)
     assert (rows["other"]["test_statistic"], rows["other"]["p_value"]) == (1.0, 0.0)
     assert rows["other"]["psi"] == pytest.approx(0)
