@@ -353,7 +353,9 @@ def prefix_trie(turns: DataFrame, batch: int = BATCH, group: int = GROUP) -> Dat
     are empty, null turns come first.  A repeated row is another turn.  No rows, no node.  Other columns are
     not read.  A task holds 16 bytes a turn of one sequence at a time, and of a whole group of ``group`` sequences.
     """
-    ordered = rebuilt(turns).repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    # stored first: above a union whose parts are partitioned alike Spark takes the repartitioning for redundant, and
+    # then changes the parts' partitions one by one
+    ordered = materialise(rebuilt(turns), "rebuilt").repartition("conv_id").sortWithinPartitions("conv_id", "depth")
     chained = materialise(ordered.mapInPandas(
         _chained, "conv_id long, seq binary, turns int, hashes binary, chars binary"), "chained")
     sequences = materialise(chained.groupBy("seq").agg(
