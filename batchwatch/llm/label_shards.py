@@ -1,16 +1,17 @@
 """Balanced label propagation: linked documents move to their neighbours' shards under quotas.
 
 Documents are linked through keys they share; a key stands for all links among its documents, so a group of
-copies is never written out as pairs.  Linked documents start at a hash of their key, so documents with the
-same key agree from the start.  Each round counts, per key, the documents in each shard, and every document
-wishes for the shard that holds most of its neighbours and still has room.  Wishes are admitted by size of the
-neighbourhood until a shard's quota is full; a neighbourhood larger than the room left moves in part, and its
-rest finds the next shard in a later round.  At the end shards above their quota give up whole groups, the
-smaller ones first, which follow one another into the room of the others.  Documents without links fill the
-rest, so that counts are at most one apart.  Besides groups larger than a quota, fewer groups are cut than
-there are shards.
-
-Everything is DataFrame functions; the driver sees a few numbers per shard.
+copies is never written out as pairs.  Documents start evenly spread, whatever their links.  Each round counts, per
+key, the documents in each shard, and every document wishes for the shard that holds most of its neighbours.  How many
+wishes from one shard for another come true follows from all of them together: a full shard takes as many as
+it sends away, so full shards swap documents.  Wishes are admitted by size of the neighbourhood.
+
+What the rounds leave apart of a group follows its majority; then shards above their quota give
+up whole groups, the smaller ones first, which follow one another into the room of the others.  Documents without
+links fill the rest, so that counts are at most one apart.  Besides groups larger than a quota, fewer groups are cut
+than there are shards.
+
+Everything is DataFrame functions; the driver sees a few numbers per pair of shards.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..storage import materialise
 from .ranks import numbered
 
 SHARDS, ROUNDS = 8, 8
+#: one part in so many of a quota may be exceeded until the end
+SLACK = 16
 #: neighbourhoods are admitted by power of two of their size, then in this many hashed parts
 _PARTS = 1024
 #: rows of a block in which the rows of a shard are numbered group by group
@@ -38,47 +41,115 @@ def _loads(labels: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(links: DataFrame, labels: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
+def admitted(wanted: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many of the ``wanted`` moves from shard to shard are made so that no shard gains more than its room.
+
+    First shards swap in cycles, which changes no size; then moves go where room is, and what they leave is room again.
+    """
+    left, room = [list(row) for row in wanted], list(room)
+    shards = range(len(room))
+    flow = [[0] * len(room) for _ in shards]
+
+    def push(path: list[int], n: int) -> None:
+        for a, b in zip(path, path[1:]):
+            flow[a][b] += n
+            left[a][b] -= n
+
+    def way(a: int, b: int) -> list[int] | None:
+        """A shortest path over moves that are still wanted."""
+        came, queue = {a: a}, [a]
+        for at in queue:
+            for to in shards:
+                if left[at][to] > 0 and to not in came:
+                    came[to] = at
+                    queue.append(to)
+        if b not in came:
+            return None
+        path = [b]
+        while path[-1] != a:
+            path.append(came[path[-1]])
+        return path[::-1]
+
+    for a in shards:
+        for b in shards:
+            while a != b and left[a][b] > 0 and (back := way(b, a)):
+                cycle = [a, *back]
+                push(cycle, min(left[x][y] for x, y in zip(cycle, cycle[1:])))
+    moving = True
+    while moving:
+        moving = False
+        for to in shards:
+            for a in shards:
+                n = min(left[a][to], room[to])
+                if n > 0:
+                    push([a, to], n)
+                    room[to] -= n
+                    room[a] += n
+                    moving = True
+    return flow
+
+
+def _votes(links: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
+    """Per key, the documents in each shard."""
+    return links.join(labels, "node").groupBy("key").agg(
+        *[F.count(F.when(F.col("label") == s, 1)).alias(f"_{s}") for s in range(shards)])
+
+
+def _first(shards: int) -> Column:
+    """(n, o, s) of the shard with the highest count; ties fall the same way for all documents of a ``hub``."""
+    return F.greatest(*[F.struct(
+        F.col(f"_{s}").alias("n"), F.xxhash64("hub", F.lit(s)).alias("o"), F.lit(s).alias("s"))
+        for s in range(shards)])
+
+
+def cut_links(links: DataFrame, labels: DataFrame, shards: int) -> int:
+    """Pairs of documents that share a key and lie in different shards."""
+    n = " + ".join(f"_{s}" for s in range(shards))
+    same = " + ".join(f"_{s} * _{s}" for s in range(shards))
+    return _votes(links, labels, shards).agg(F.expr(f"sum((({n}) * ({n}) - ({same})) div 2)")).first()[0] or 0
+
+
+def propagate(links: DataFrame, labels: DataFrame, quotas: list[int], rounds: int = ROUNDS, first: int = 0) -> DataFrame:
     """Labels (node, label) after at most ``rounds`` rounds over links (node, key).
 
-    ``labels`` holds every linked node once.  A shard at or above its quota admits nobody.  Equal wishes
-    go to the same shard for all documents of a key, so neighbours do not swap places for ever.
+    ``labels`` holds every linked node once.  During the rounds a shard may exceed its quota by ``SLACK``; one that is
+    above does not gain.  Ties between shards are drawn anew each round, for all documents of a key alike.
     """
-    shards = range(len(quotas))
-    for turn in range(rounds):
-        room = [q - n for q, n in zip(quotas, _loads(labels, len(quotas)))]
-        votes = links.join(labels, "node").groupBy("key").agg(
-            *[F.count(F.when(F.col("label") == s, 1)).alias(f"_{s}") for s in shards])
-        scores = links.join(votes, "key").groupBy("node").agg(
-            *[F.sum(f"_{s}").alias(f"_{s}") for s in shards], F.min(F.xxhash64("key")).alias("hub"))
-
-        def wish(s: int) -> Column:
-            rank = F.struct(F.col(f"_{s}").alias("n"), F.pmod(F.col("hub") + F.lit(s), F.lit(len(quotas))).alias("o"),
-                            F.lit(s).alias("s"))
-            return rank if room[s] > 0 else F.when(F.col("label") == s, rank)
-
-        wished = scores.join(labels, "node").withColumn("best", F.greatest(*[wish(s) for s in shards]))
+    shards = len(quotas)
+    for turn in range(first, first + rounds):
+        room = [q + q // SLACK - n for q, n in zip(quotas, _loads(labels, shards))]
+        scores = links.join(_votes(links, labels, shards), "key").groupBy("node").agg(
+            *[F.sum(f"_{s}").alias(f"_{s}") for s in range(shards)], F.min(F.xxhash64("key", F.lit(turn))).alias("hub"))
+        wished = scores.withColumn("best", _first(shards)).join(labels, "node")
         moves = materialise(wished.where("best.s <> label").selectExpr(
-            "node", "best.s AS to", "cast(floor(log2(best.n)) AS int) AS size",
-            f"pmod(xxhash64(hub, {turn}), {_PARTS}) AS part"), "moves")
-        if moves.isEmpty():
+            "node", "best.s AS to", f"label * {shards} + best.s AS pair", "cast(floor(log2(best.n)) AS int) AS size",
+            f"pmod(xxhash64(hub), {_PARTS}) AS part"), "moves")
+        counts = {r["pair"]: r.n for r in moves.groupBy("pair").agg(F.count("*").alias("n")).collect()}
+        flow = admitted([[counts.get(a * shards + b, 0) for b in range(shards)] for a in range(shards)], room)
+        if not any(map(sum, flow)):
             break
-        cells = moves.groupBy("to", "size", "part").agg(F.count("*").alias("n")).selectExpr(
-            "to", "size", "part", "n",
-            f"{_spread(room, 'to')} - sum(n) OVER (PARTITION BY to ORDER BY size DESC, part) + n AS left_for")
-        ready = moves.join(cells.where("left_for > 0"), ["to", "size", "part"])
-        admitted = ready.where("n <= left_for").select("node", "to")
-        # the first cell of a shard that does not fit sends as many rows as there is room for
+        cells = moves.groupBy("pair", "size", "part").agg(F.count("*").alias("n")).selectExpr(
+            "pair", "size", "part", "n", f"{_spread([n for row in flow for n in row], 'pair')} "
+            "- sum(n) OVER (PARTITION BY pair ORDER BY size DESC, part) + n AS left_for")
+        ready = moves.join(cells.where("left_for > 0"), ["pair", "size", "part"])
+        going = ready.where("n <= left_for").select("node", "to")
+        # the first cell of a pair that does not fit sends as many rows as may still move
         partly = ready.where("n > left_for")
-        waiting = {r["to"]: r["n"] for r in partly.groupBy("to").agg(F.count("*").alias("n")).collect()}
+        waiting = {r["pair"]: r.n for r in partly.groupBy("pair").agg(F.count("*").alias("n")).collect()}
         if waiting:
-            admitted = admitted.unionByName(
-                numbered(partly, "to", ["node"], "rank", waiting).where("rank < left_for").select("node", "to"))
-        labels = materialise(labels.join(admitted, "node", "left").selectExpr(
+            going = going.unionByName(
+                numbered(partly, "pair", ["node"], "rank", waiting).where("rank < left_for").select("node", "to"))
+        labels = materialise(labels.join(going, "node", "left").selectExpr(
             "node", "cast(coalesce(to, label) AS int) AS label"), "labels")
     return labels
 
 
+def gathered(links: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
+    """Labels in which all documents of a key follow their majority; ``links`` has one key per node."""
+    to = _votes(links, labels, shards).withColumn("hub", F.xxhash64("key")).select("key", _first(shards)["s"].alias("label"))
+    return links.join(to, "key").select("node", "label")
+
+
 def _together(rows: DataFrame, loads: list[int], quotas: list[int]) -> DataFrame:
     """Rows (node, hub, n, label) with rank: 0, 1, 2, ... within ``label``, one group (``hub``) after the other.
 
@@ -131,8 +202,9 @@ def shard_rows(rows: DataFrame, key: str, shards: int = SHARDS, rounds: int = RO
     start = rows.select(F.col("row_no").alias("node"), F.col(key).alias("key"))
     shared = start.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     linked = materialise(start.join(shared, "key").selectExpr(
-        "node", "key", "n", "xxhash64(key) AS hub", f"cast(pmod(xxhash64(key), {shards}) AS int) AS label"), "linked")
+        "node", "key", "n", "xxhash64(key) AS hub", f"cast(pmod(node, {shards}) AS int) AS label"), "linked")
     labels = propagate(linked.select("node", "key"), linked.select("node", "label"), quotas, rounds)
+    labels = materialise(gathered(linked.select("node", "key"), labels, shards), "gathered")
 
     loads = _loads(labels, shards)
     ranked = materialise(_together(linked.select("node", "hub", "n").join(labels, "node"), loads, quotas), "ranked")

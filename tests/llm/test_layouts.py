@@ -206,6 +206,45 @@ def test_groups_stay_whole_where_every_row_has_copies(spark, monkeypatch, copies
         assert max(groups["hot"].values()) in (min(sizes), max(sizes))  # it fills a whole shard
 
 
+def test_moves_are_admitted_within_room_and_full_shards_swap():
+    assert label_shards.admitted([[0, 9], [9, 0]], [0, 0]) == [[0, 9], [9, 0]]
+    assert label_shards.admitted([[0, 9], [4, 0]], [0, 0]) == [[0, 4], [4, 0]]
+    assert label_shards.admitted([[0, 9], [4, 0]], [0, 2]) == [[0, 6], [4, 0]]
+    assert label_shards.admitted([[0, 5, 0], [0, 0, 5], [5, 0, 0]], [0, 0, 0]) == [[0, 5, 0], [0, 0, 5], [5, 0, 0]]
+    assert label_shards.admitted([[0, 9], [4, 0]], [3, -3]) == [[0, 4], [4, 0]]
+    rng = random.Random(2)
+    for _ in range(200):
+        wanted = [[0 if a == b else rng.randrange(50) for b in range(5)] for a in range(5)]
+        room = [rng.randrange(-5, 20) for _ in range(5)]
+        flow = label_shards.admitted(wanted, room)
+        for k in range(5):
+            gain = sum(flow[s][k] for s in range(5)) - sum(flow[k])
+            assert gain <= max(room[k], 0) and all(0 <= f <= w for f, w in zip(flow[k], wanted[k]))
+
+
+# shares of the links that may be left cut: 8 shards of 75 hold 8 whole groups of 50, and none of 400
+@pytest.mark.parametrize("groups,size,single,apart", [(150, 4, 0, 0.1), (12, 50, 0, 0.4), (150, 4, 600, 0.0), (3, 400, 0, 0.95)])
+def test_rounds_move_rows_and_cut_fewer_links_each(spark, groups, size, single, apart):
+    links = spark.range(groups * size).selectExpr("id AS node", f"concat('g', id div {size}) AS key")
+    labels = links.selectExpr("node", "cast(pmod(node, 8) AS int) AS label")
+    total = groups * size + single
+    quotas = [total // 8 + (s < total % 8) for s in range(8)]
+    cut = [label_shards.cut_links(links, labels, 8)]
+    plain = defaultdict(list)
+    for r in links.join(labels, "node").collect():
+        plain[r.key].append(r.label)
+    assert cut[0] == sum(a != b for g in plain.values() for k, a in enumerate(g) for b in g[k + 1:])
+    for _ in range(5):
+        moved = label_shards.propagate(links, labels, quotas, rounds=1, first=len(cut))
+        assert moved.count() == groups * size
+        loads = Counter(r.label for r in moved.collect())
+        assert all(loads[s] <= quotas[s] * (1 + 1 / label_shards.SLACK) for s in range(8))
+        cut.append(label_shards.cut_links(links, moved, 8))
+        labels = moved
+    assert cut[-1] <= apart * cut[0]
+    assert cut[1] < cut[0] and all(b <= a for a, b in zip(cut, cut[1:]))
+
+
 def test_empty_table_has_no_shards(spark):
     assert label_shards.shard_documents(documents(spark, [])).count() == 0
 
@@ -232,5 +271,5 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 14))
     assert "pipeline" in entry.queries()
