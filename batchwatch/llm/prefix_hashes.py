@@ -113,34 +113,37 @@ class PrefixHashes:
         ends = np.arange(first + 1, self.length + 1)
         starts = np.maximum(ends - SPAN, 0)
         spans = _reduced(_reduced(sums[first + 1:] + (PRIME - sums[starts])) * down[starts])
-        return mix(spans | (ends - starts).astype(np.uint64) << np.uint64(32))
+        return mix(spans | (ends - starts).astype(np.uint64) << np.uint64(32)) >> np.uint64(32)
 
-    def fingerprint(self) -> str:
-        """Length, hash of the whole and the smallest span hashes, in hexadecimal."""
+    def fingerprint(self) -> bytes:
+        """Length and hash of the whole (8 bytes each), then the smallest span hashes (4 bytes each)."""
         few = self.ending
         if len(few) > 8 * KEPT:  # repeats can leave too few below the cut; then all are sorted
-            few = few[few < np.uint64(2**64 * 4 * KEPT // len(few))]
+            few = few[few < np.uint64(2**32 * 4 * KEPT // len(few))]
         least = sorted_distinct(few)
         if len(least) < KEPT and len(few) < self.length:
             least = sorted_distinct(self.ending)
-        return f"{self.length:x}.{self.span(0, self.length):x}." + least[:KEPT].astype(">u8").tobytes().hex()
+        head = np.array([self.length, self.span(0, self.length)], ">u8")
+        return head.tobytes() + least[:KEPT].astype(">u4").tobytes()
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: bytes, b: bytes) -> float:
     """1 for equal fingerprints, else the share of common span hashes among the smallest of both."""
     if a == b:
         return 1.0
-    one, two = ({f[k:k + 16] for k in range(0, len(f), 16)} for f in (a.rpartition(".")[2], b.rpartition(".")[2]))
-    both = sorted(one | two)
+    one, two = (set(np.frombuffer(f, ">u4", offset=16).tolist()) for f in (a, b))
+    both = one | two
     # beyond the largest hash of a full side nothing is known of that side
-    known = min((max(s) for s in (one, two) if len(s) >= KEPT), default="g")
+    known = min((max(s) for s in (one, two) if len(s) >= KEPT), default=2**32)
     both = [h for h in both if h <= known]
     return sum(h in one and h in two for h in both) / len(both) if both else 0.0
 
 
 _RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
            "common_start", "common_end"]
-_KIND = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+#: digests are hexadecimal only in the result
+_BYTES = ("edited_sha256", "fingerprint", "edited_fingerprint")
+_KIND = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
          "near_edited double, near_next double, common_start long, common_end long")
 
 
@@ -159,7 +162,7 @@ class _Read:
         n = len(self.points)
         taken = following.points[:n // 4]
         edited = PrefixHashes(taken, self.prefixes, n - n // 4)
-        sha = hashlib.sha256(utf8(self.text[:n - n // 4] + following.text[:n // 4])).hexdigest()
+        sha = hashlib.sha256(utf8(self.text[:n - n // 4] + following.text[:n // 4])).digest()
         fingerprint = edited.fingerprint()
         end = n - n // 4
         return (self.doc_id, n, sha, self.fingerprint, fingerprint, likeness(self.fingerprint, fingerprint),
@@ -231,4 +234,5 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", doc_id: str = "do
     ends = read.where("place = 'last'").select(F.col("part").alias("from"), "doc_id", "text").join(
         firsts.select("from", "following"), "from")
     return read.where("place = 'inner'").select(*_RESULT).unionByName(
-        ends.select("doc_id", "text", "following").mapInPandas(_at_ends, _KIND))
+        ends.select("doc_id", "text", "following").mapInPandas(_at_ends, _KIND)).withColumns(
+        {c: F.lower(F.hex(c)) for c in _BYTES})
