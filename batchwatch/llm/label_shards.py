@@ -2,9 +2,10 @@
 
 Documents are linked through keys they share; a key stands for all links among its documents, so a group of
 copies is never written out as pairs.  Documents start evenly spread, whatever their links.  Each round counts, per
-key, the documents in each shard, and every document wishes for the shard that holds most of its neighbours.  How many
-wishes from one shard for another come true follows from all of them together: a full shard takes as many as
-it sends away, so full shards swap documents.  Wishes are admitted by size of the neighbourhood.
+key, the documents in each shard, and every document wishes for the shard that holds most of its neighbours.  In even
+rounds all shards can be wished for; how many wishes from one shard for another come true follows from all of them
+together: a full shard takes as many as it sends away, so full shards swap documents.  In odd rounds the groups
+that are still apart go to the best shard that has room.  Wishes are admitted by size of the neighbourhood.
 
 What the rounds leave apart of a group follows its majority; then shards above their quota give
 up whole groups, the smaller ones first, which follow one another into the room of the others.  Documents without
@@ -16,6 +17,8 @@ Everything is DataFrame functions; the driver sees a few numbers per pair of sha
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,11 +98,10 @@ def _votes(links: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
         *[F.count(F.when(F.col("label") == s, 1)).alias(f"_{s}") for s in range(shards)])
 
 
-def _first(shards: int) -> Column:
+def _first(shards: Iterable[int]) -> Column:
     """(n, o, s) of the shard with the highest count; ties fall the same way for all documents of a ``hub``."""
-    return F.greatest(*[F.struct(
-        F.col(f"_{s}").alias("n"), F.xxhash64("hub", F.lit(s)).alias("o"), F.lit(s).alias("s"))
-        for s in range(shards)])
+    ranks = [F.struct(F.col(f"_{s}").alias("n"), F.xxhash64("hub", F.lit(s)).alias("o"), F.lit(s).alias("s")) for s in shards]
+    return F.greatest(*ranks) if len(ranks) > 1 else ranks[0]
 
 
 def cut_links(links: DataFrame, labels: DataFrame, shards: int) -> int:
@@ -116,20 +118,32 @@ def propagate(links: DataFrame, labels: DataFrame, quotas: list[int], rounds: in
     above does not gain.  Ties between shards are drawn anew each round, for all documents of a key alike.
     """
     shards = len(quotas)
+    votes = [f"_{s}" for s in range(shards)]
+    idle = 0
     for turn in range(first, first + rounds):
         room = [q + q // SLACK - n for q, n in zip(quotas, _loads(labels, shards))]
         scores = links.join(_votes(links, labels, shards), "key").groupBy("node").agg(
-            *[F.sum(f"_{s}").alias(f"_{s}") for s in range(shards)], F.min(F.xxhash64("key", F.lit(turn))).alias("hub"))
-        wished = scores.withColumn("best", _first(shards)).join(labels, "node")
+            *[F.sum(v).alias(v) for v in votes], F.min(F.xxhash64("key", F.lit(turn))).alias("hub"))
+        apart = scores.where(f"greatest({', '.join(votes)}) < {' + '.join(votes)}")
+        swap = turn % 2 == 0
+        open_to = [s for s in range(shards) if swap or room[s] > 0]
+        if not open_to:
+            continue
+        wished = apart.withColumn("best", _first(open_to)).join(labels, "node")
         moves = materialise(wished.where("best.s <> label").selectExpr(
-            "node", "best.s AS to", f"label * {shards} + best.s AS pair", "cast(floor(log2(best.n)) AS int) AS size",
-            f"pmod(xxhash64(hub), {_PARTS}) AS part"), "moves")
+            "node", "best.s AS to", f"{f'label * {shards} + ' if swap else ''}best.s AS pair",
+            "cast(floor(log2(best.n + 1)) AS int) AS size", f"pmod(xxhash64(hub), {_PARTS}) AS part"), "moves")
         counts = {r["pair"]: r.n for r in moves.groupBy("pair").agg(F.count("*").alias("n")).collect()}
-        flow = admitted([[counts.get(a * shards + b, 0) for b in range(shards)] for a in range(shards)], room)
-        if not any(map(sum, flow)):
+        if swap:
+            flow = admitted([[counts.get(a * shards + b, 0) for b in range(shards)] for a in range(shards)], room)
+            limits = [n for row in flow for n in row]
+        else:
+            limits = [min(counts.get(s, 0), max(0, room[s])) for s in range(shards)]
+        idle = 0 if any(limits) else idle + 1
+        if idle == 2:
             break
         cells = moves.groupBy("pair", "size", "part").agg(F.count("*").alias("n")).selectExpr(
-            "pair", "size", "part", "n", f"{_spread([n for row in flow for n in row], 'pair')} "
+            "pair", "size", "part", "n", f"{_spread(limits, 'pair')} "
             "- sum(n) OVER (PARTITION BY pair ORDER BY size DESC, part) + n AS left_for")
         ready = moves.join(cells.where("left_for > 0"), ["pair", "size", "part"])
         going = ready.where("n <= left_for").select("node", "to")
@@ -146,7 +160,7 @@ def propagate(links: DataFrame, labels: DataFrame, quotas: list[int], rounds: in
 
 def gathered(links: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
     """Labels in which all documents of a key follow their majority; ``links`` has one key per node."""
-    to = _votes(links, labels, shards).withColumn("hub", F.xxhash64("key")).select("key", _first(shards)["s"].alias("label"))
+    to = _votes(links, labels, shards).withColumn("hub", F.xxhash64("key")).select("key", _first(range(shards))["s"].alias("label"))
     return links.join(to, "key").select("node", "label")
 
 
