@@ -27,13 +27,18 @@ THRESHOLD = 0.3
 _SLAB = 512
 
 
-def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all texts, each filled up with zeros to whole chunks; chunks and unfilled share per text)."""
-    span = CHUNK * STRIDE
+def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts; where each chunk starts; chunks and unfilled share per text).
+
+    A text is filled up with zeros to whole chunks and a gap for the windows at its end, so no window meets the
+    next text.
+    """
+    span, gap = CHUNK * STRIDE, WIDTH - STRIDE
     unfilled = np.array([1 - min(len(t), span) / span for t in texts], np.float32)
     counts = np.array([-(-len(t) // span) for t in texts], np.int64)
-    joined = b"".join(t + bytes(c * span - len(t)) for t, c in zip(texts, counts.tolist()))
-    return np.frombuffer(joined + bytes(WIDTH), np.uint8), counts, unfilled
+    joined = b"".join(t + bytes(c * span + gap - len(t)) for t, c in zip(texts, counts.tolist()))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    return np.frombuffer(joined, np.uint8), np.arange(counts.sum()) * span + owner * gap, counts, unfilled
 
 
 class ByteNet:
@@ -46,22 +51,20 @@ class ByteNet:
         self.last = (rng.standard_normal(2 * FILTERS + 1) * 0.1).astype(np.float32)
         self.offset = np.zeros(1, np.float32)
 
-    def activations(self, data: np.ndarray, chunk: int, n: int) -> np.ndarray:
-        """(n, CHUNK, FILTERS) from the chunk number ``chunk`` on."""
-        start, windows = chunk * CHUNK * STRIDE, n * CHUNK
-        total = self.filters[0].take(data[start:start + windows * STRIDE:STRIDE], axis=0)
+    def activations(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(chunks, CHUNK, FILTERS) of the chunks that start at ``starts``."""
+        windows = (starts[:, None] + np.arange(CHUNK) * STRIDE).ravel()
+        total = self.filters[0].take(data.take(windows), axis=0)
         part = np.empty_like(total)
         for k in range(1, WIDTH):
-            at = start + k
-            np.take(self.filters[k], data[at:at + windows * STRIDE:STRIDE], axis=0, out=part, mode="clip")
+            np.take(self.filters[k], data.take(windows + k), axis=0, out=part, mode="clip")
             total += part
-        return total.reshape(n, CHUNK, FILTERS)
+        return total.reshape(len(starts), CHUNK, FILTERS)
 
-    def pooled(self, data: np.ndarray, chunks: int) -> np.ndarray:
-        out = np.empty((chunks, FILTERS), np.float32)
-        for at in range(0, chunks, _SLAB):
-            n = min(_SLAB, chunks - at)
-            out[at:at + n] = self.activations(data, at, n).max(axis=1)
+    def pooled(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.empty((len(starts), FILTERS), np.float32)
+        for at in range(0, len(starts), _SLAB):
+            out[at:at + _SLAB] = self.activations(data, starts[at:at + _SLAB]).max(axis=1)
         return out
 
     def combine(self, hidden: np.ndarray, counts: np.ndarray, unfilled: np.ndarray) -> np.ndarray:
@@ -76,22 +79,22 @@ class ByteNet:
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        data, counts, unfilled = chunked([utf8(t) for t in texts])
-        hidden = np.maximum(self.pooled(data, int(counts.sum())) + self.bias, 0)
-        logit = self.combine(hidden, counts, unfilled) @ self.last + self.offset
+        data, starts, counts, unfilled = chunked([utf8(t) for t in texts])
+        hidden = np.maximum(self.pooled(data, starts) + self.bias, 0)
+        # summed row by row: a matrix product may round a row by its place in the batch
+        logit = (self.combine(hidden, counts, unfilled) * self.last).sum(axis=1) + self.offset
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
     def step(self, texts: list[bytes], truth: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         """Gradients of the weighted logistic loss for non-empty texts."""
-        data, counts, unfilled = chunked(texts)
-        chunks = int(counts.sum())
+        data, starts, counts, unfilled = chunked(texts)
+        chunks = len(starts)
         peak = np.empty((chunks, FILTERS), np.int64)
         hidden = np.empty((chunks, FILTERS), np.float32)
         for at in range(0, chunks, _SLAB):
-            n = min(_SLAB, chunks - at)
-            active = self.activations(data, at, n)
-            peak[at:at + n] = active.argmax(axis=1)
-            hidden[at:at + n] = np.take_along_axis(active, peak[at:at + n, None], 1)[:, 0]
+            active = self.activations(data, starts[at:at + _SLAB])
+            peak[at:at + _SLAB] = active.argmax(axis=1)
+            hidden[at:at + _SLAB] = np.take_along_axis(active, peak[at:at + _SLAB, None], 1)[:, 0]
         hidden += self.bias
         np.maximum(hidden, 0, out=hidden)
         features = self.combine(hidden, counts, unfilled)
@@ -101,7 +104,7 @@ class ByteNet:
         back = (error / counts)[owner, None] * self.last[:FILTERS]
         top = hidden == features[owner, FILTERS:-1]
         back = (back + top * error[owner, None] * self.last[FILTERS:-1]) * (hidden > 0)
-        window = (np.arange(chunks)[:, None] * CHUNK + peak) * STRIDE
+        window = starts[:, None] + peak * STRIDE
         place = np.arange(FILTERS)
         filters = np.empty_like(self.filters)
         for k in range(WIDTH):
@@ -157,8 +160,11 @@ def with_score(docs: DataFrame, net: ByteNet, text: str = "text", name: str = "s
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, label) of the rows one may learn from; ids with labels that disagree are left out."""
-    one = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(
+    """(doc_id, label) of the rows one may learn from.
+
+    Labels other than 0 and 1, and ids with labels that disagree, are left out.
+    """
+    one = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(
         F.min("quality").alias("label"), F.max("quality").alias("other"))
     return one.where(~held_out("doc_id", 5, 0) & (F.col("label") == F.col("other"))).select("doc_id", "label")
 

@@ -2,7 +2,8 @@
 
 Each language has a suffix automaton of a bounded amount of labelled text.  A text is cut greedily into the
 longest phrases that occur in that text; a phrase costs log2 of the labelled text's length, so the cost per
-symbol estimates the cross entropy.  The language with the lowest cost wins.
+symbol estimates the cross entropy.  The language with the lowest cost wins.  Of every sampled text of a language an
+equal share of symbols, from a place that depends on the text, goes into its automaton.
 
 Symbols are lower-case letters; a run of anything else is one blank.  Texts are parsed ``SEGMENT`` symbols
 at a time, all segments of a batch side by side, so a very long text takes no longer steps than a short one.
@@ -10,6 +11,8 @@ at a time, all segments of a batch side by side, so a very long text takes no lo
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .sample import held_out, sample_per_class
 
-#: bounds of the labelled sample: texts per language, and symbols of them that go into the automaton
+#: bounds of the labelled sample: texts per language, and symbols of them all that go into the automaton
 TRAIN_TEXTS, TRAIN_SYMBOLS = 200, 30_000
 SEGMENT = 1024
 #: segments parsed side by side
@@ -75,47 +78,82 @@ def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
     return go
 
 
+def share_of_text(sequence: np.ndarray, most: int, at: int) -> np.ndarray:
+    """At most ``most`` symbols of a sequence from a place that ``at`` (any whole number) picks."""
+    spare = len(sequence) - most
+    return sequence if spare <= 0 else sequence[(start := at % (spare + 1)):start + most]
+
+
+class Edges:
+    """Transitions (state, symbol) -> state in one open-addressed table, whatever the size of the alphabet."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.to = np.zeros(1 << bits, np.int32)
+        place, left = self._places(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[place[left]] < 0]
+            self.keys[place[free]] = keys[free]  # of several that want a place one stays
+            settled = self.keys[place[left]] == keys[left]
+            self.to[place[left[settled]]] = to[left[settled]]
+            left = left[~settled]
+            place[left] = (place[left] + 1) & self.mask
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether there is such a transition, where it leads)."""
+        place = self._places(keys)
+        held = self.keys.take(place)
+        other = np.flatnonzero((held != keys) & (held >= 0))
+        while len(other):
+            place[other] = (place[other] + 1) & self.mask
+            held[other] = again = self.keys[place[other]]
+            other = other[(again != keys[other]) & (again >= 0)]
+        return held == keys, self.to.take(place)
+
+
 class Model:
-    """Automata of all languages in one table of steps.
+    """Automata of all languages in one table of transitions.
 
-    ``step[state * width + symbol]`` is twice the next state's row offset, plus 1 where the phrase had to
-    end before the symbol; a symbol that a language never shows is a phrase of its own, after which the
-    last state of the language waits.
+    Where a phrase cannot go on it ends before the symbol and the next one begins with it; a symbol that a language
+    never shows is a phrase of its own, after which the last state of the language waits.  Of each text the same
+    number of symbols goes into the automaton of its language.
     """
 
     def __init__(self, texts: dict[str, list[str]]):
         letter = _letters()
         self.languages, kept = [], []
         for language in sorted(texts):
-            joined = symbols(" ".join(texts[language]), letter)[:TRAIN_SYMBOLS]
-            if len(joined):
+            parts = [p for t in texts[language] if len(p := symbols(t, letter))]
+            most = TRAIN_SYMBOLS // max(1, len(parts))
+            shares = [share_of_text(p, most, zlib.crc32(p.tobytes())) for p in parts]
+            if shares:
                 self.languages.append(language)
-                kept.append(joined)
+                kept.append(np.concatenate([x for p in shares for x in (p, np.zeros(1, p.dtype))])[:-1])
         alphabet = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.uint32)
         alphabet = alphabet[alphabet != 0]
         self.width = len(alphabet) + 2  # 0 blank, 1 unseen anywhere, then the alphabet
         self.alphabet = alphabet
-        self.starts, self.bits = [], []
-        rows = []
+        self.starts, self.bits, self.fresh = [], [], []
+        keys, to, base = [], [], 0
         for sequence in kept:
             coded = np.where(sequence == 0, 0, np.searchsorted(alphabet, sequence) + 2)
-            base = sum(map(len, rows))
             go = suffix_automaton(coded.tolist())
             waiting = base + len(go)
-            fresh = np.full(self.width, 2 * waiting * self.width + 1, np.int64)
-            for c, to in go[0].items():
-                fresh[c] = 2 * (base + to) * self.width + 1
-            table = np.tile(fresh, (len(go) + 1, 1))
-            table[0] -= 1  # nothing ends before the first symbol
-            for state, edges in enumerate(go):
-                for c, to in edges.items():
-                    table[state, c] = 2 * (base + to) * self.width
-            rows.append(table)
-            self.starts.append(base * self.width)
+            fresh = np.full(self.width, waiting, np.int32)
+            for c, state in go[0].items():
+                fresh[c] = base + state
+            keys += [(base + state) * self.width + c for state, edges in enumerate(go) for c in edges]
+            to += [base + state for edges in go for state in edges.values()]
+            self.fresh.append(fresh)
+            self.starts.append(base)
             self.bits.append(np.log2(max(2, len(sequence))))
-        self.step = np.concatenate(rows).ravel() if rows else np.empty(0, np.int64)
-        if self.step.max(initial=0) < 2**31:
-            self.step = self.step.astype(np.int32)
+            base = waiting + 1
+        self.edges = Edges(np.array(keys, np.int64), np.array(to, np.int64))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases per text and language, symbols per text)."""
@@ -147,13 +185,15 @@ class Model:
             grid[:len(piece), k] = piece
         alive = len(pieces) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         out = np.empty((len(pieces), len(self.languages)))
-        for k, start in enumerate(self.starts):
-            state = np.full(len(pieces), start, self.step.dtype)
+        for k, (start, fresh) in enumerate(zip(self.starts, self.fresh)):
+            state = np.full(len(pieces), start, np.int64)
             ended = np.zeros(len(pieces), np.int32)
             for t, n in enumerate(alive):
-                moved = self.step.take(state[:n] + grid[t, :n])
-                ended[:n] += moved & 1
-                np.right_shift(moved, 1, out=state[:n])
+                symbol = grid[t, :n]
+                goes_on, to = self.edges.find(state[:n] * self.width + symbol)
+                if t:  # nothing ends before the first symbol
+                    ended[:n] += ~goes_on
+                state[:n] = np.where(goes_on, to, fresh.take(symbol))
             out[:, k] = ended + 1
         return out
 

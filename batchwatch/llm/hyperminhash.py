@@ -358,27 +358,19 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     keys = materialise(found.groupBy("doc_id", "text_hash").agg(
         F.max("first_of_component").alias("keep"), F.count("*").alias("n")), "keys")
     repeated = keys.where("keep AND n > 1")
-    once = _without(docs, keys.where("NOT keep OR n > 1"))
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, F.struct(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b")))
+    once = keyed.join(_hinted(keys.where("NOT keep OR n > 1"), name), name, "left_anti").drop(name)
     if repeated.isEmpty():
         return once
-    again = _keyed(docs).join(_hinted(repeated), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    again = keyed.join(_hinted(repeated, name), name, "left_semi").dropDuplicates([name]).drop(name)
     return once.unionByName(again)
 
 
-def _key() -> Column:
-    return F.struct(F.col("doc_id").alias("a"), F.col("text_hash").alias("b"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.struct(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b")))
-
-
-def _hinted(keys: DataFrame) -> DataFrame:
-    """Keys as ``_key``, with a broadcast hint where they are few."""
+def _hinted(keys: DataFrame, name: str) -> DataFrame:
+    """Keys as one column, with a broadcast hint where they are few."""
     few = keys.count() <= BROADCAST_ROWS
-    keys = keys.select(_key().alias("_key"))
+    keys = keys.select(F.struct(F.col("doc_id").alias("a"), F.col("text_hash").alias("b")).alias(name))
     return F.broadcast(keys) if few else keys
-
-
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return _keyed(docs).join(_hinted(keys), "_key", "left_anti").drop("_key")

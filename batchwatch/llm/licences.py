@@ -25,7 +25,7 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Openings of public license notices; label, mandatory phrase, words
+# Openings of public license notices and texts; label, mandatory phrase, words
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge",
      "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -49,6 +49,45 @@ TEMPLATES = (
     ("mpl-2", "mozilla public license",
      "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike",
+     "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "creative commons attribution noncommercial",
+     "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc0", "dedicated the work to the public domain",
+     "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his "
+     "or her rights to the work worldwide under copyright law"),
+    ("cc0", "waived all copyright and related",
+     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("agpl", "gnu affero general public license",
+     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+     "public license as published by the free software foundation"),
+    ("isc", "permission to use copy modify and or distribute this software",
+     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+     "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "free and unencumbered software released into the public domain",
+     "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+     "compile sell or distribute this software"),
+    ("epl-2", "eclipse public license",
+     "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty",
+     "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+     "for any damages arising from the use of this software"),
+    ("bsl-1", "boost software license version 1 0", "distributed under the boost software license version 1 0"),
+    # how the full texts begin
+    ("apache-2", "apache license version 2", "apache license version 2 0 january 2004 http www apache org licenses terms and "
+     "conditions for use reproduction and distribution"),
+    ("gpl-3", "gnu general public license version 3",
+     "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc"),
+    ("gpl-2", "gnu general public license version 2",
+     "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc"),
+    ("agpl", "gnu affero general public license version 3",
+     "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc"),
+    ("lgpl", "gnu lesser general public license version",
+     "gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc"),
+    ("mpl-2", "mozilla public license version 2", "mozilla public license version 2 0 1 definitions 1 1 contributor means each "
+     "individual or legal entity that creates contributes to the creation of or owns covered software"),
+    ("epl-2", "eclipse public license", "eclipse public license v 2 0 the accompanying program is provided under the terms of "
+     "this eclipse public license"),
     ("cc-by", "creative commons attribution 4 0",
      "this work is licensed under a creative commons attribution 4 0 international license"),
 )

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,10 @@ from .words import ASCII_LOWER, utf8
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>»›·•"
-CLOSING = ".!?:;…\"')]”’»"
+#: what may end a line: marks that end a sentence in any script, and what may follow them
+CLOSING = "".join(regex.findall(
+    r"\p{Sentence_Terminal}|\p{Pe}|\p{Pf}|\p{Pi}|[:;…\"'：；]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))))
+_CLOSING = frozenset(CLOSING)
 MENU_WORDS, SEPARATOR_SHARE, SYMBOL_SHARE, LOST_SHARE = 3, 20, 10, 30
 LEAST_WORDS, REPEAT_SHARE, WINDOW = 10, 20, 5
 BOILERPLATE = (
@@ -59,7 +63,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def line_verdict(line: str, n_words: int) -> str | None:
     """The rule that a line with words fails, or None."""
-    closed = line.rstrip(BLANKS)[-1] in CLOSING
+    closed = line.rstrip(BLANKS)[-1] in _CLOSING
     if (n_words < MENU_WORDS and not closed) or 100 * sum(map(line.count, SEPARATORS)) >= SEPARATOR_SHARE * n_words:
         return "navigation"
     if not closed or 100 * sum(map(line.count, SYMBOLS)) > SYMBOL_SHARE * _characters(line):
@@ -115,7 +119,7 @@ def oracle() -> str:
     word = "[^\\x20\\x09-\\x0D]+"
     blank = "[\\x20\\x09-\\x0D]"
     quoted = SYMBOLS.replace("|", "\\|").replace("$", "\\$").replace("*", "\\*")
-    closing = CLOSING.replace("]", "\\]").replace(")", "\\)").replace(".", "\\.").replace("?", "\\?").replace("'", "''")
+    closing = "".join("\\" * (c in "])}.?") + c for c in CLOSING).replace("'", "''")
     boiler = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

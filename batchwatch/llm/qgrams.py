@@ -5,7 +5,8 @@ one blank.  Benchmark items are cut into overlapping segments.  An occurrence of
 most k edits shares at least m + 1 - Q * (k + 1) q-grams with the segment, all within k + 1 neighbouring
 diagonals.  Shared q-grams are counted in diagonal bands that overlap so far that some band holds all of
 them; bands that reach the bound are verified by an alignment restricted to the band.  The filter loses
-nothing: every occurrence within the edit budget is found, anywhere in the text.
+nothing: every occurrence within the edit budget is found, anywhere in the text.  Items too short for a budget are
+searched for as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,8 +25,10 @@ from .words import utf8
 Q = 8
 #: bytes of a segment and between the starts of neighbouring segments; edits per byte
 SEGMENT, STRIDE, BUDGET = 160, 80, 0.05
-#: items of fewer normalised bytes are too common to be told from chance and are not searched
+#: items of fewer normalised bytes have to stand as they are, between word boundaries
 LEAST_ITEM = 24
+#: from here on lie scripts that write words without blanks, whose letters bound a word on either side
+_UNSPACED = "\u0e00"
 #: benchmark bytes searched for in one pass over the documents
 BLOCK_BYTES = 4_000_000
 _TABLE_BITS = 21
@@ -61,14 +65,23 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.text = [], []
+        short: dict[str, list[int]] = {}
         for item_id, body in items:
             data = normalise(body)
             if len(data) < LEAST_ITEM:
+                if data:
+                    short.setdefault(data.decode("utf-8", "surrogatepass"), []).append(item_id)
                 continue
             starts = [*range(0, max(1, len(data) - SEGMENT), STRIDE), max(0, len(data) - SEGMENT)]
             for at in dict.fromkeys(starts):
                 self.item.append(item_id)
                 self.text.append(data[at:at + SEGMENT])
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for word, of in short.items():
+                self.short.add_word(word, (word, of))
+            self.short.make_automaton()
         sizes = np.array([len(t) for t in self.text], np.int64)
         # a budget for which the lemma still asks for one shared q-gram
         self.edits = np.minimum((BUDGET * sizes).astype(np.int64), (sizes - Q) // Q) if len(sizes) else sizes
@@ -133,13 +146,36 @@ class Benchmark:
                     out.append((s, *found))
         return _apart(out)
 
+    def short_items(self, text: str | None) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) in the normalised text of items below ``LEAST_ITEM``, unchanged and as whole words."""
+        if self.short is None:
+            return
+        data = normalise(text).decode("utf-8", "surrogatepass")
+        for last, (word, items) in self.short.iter(data):
+            start, end = last + 1 - len(word), last + 1
+            if _bounded(data[start - 1:start], word[0]) and _bounded(data[end:end + 1], word[-1]):
+                at = len(utf8(data[:start]))
+                for item in items:
+                    yield item, at, at + len(utf8(word))
+
+    def clean(self, text: str | None) -> bool:
+        return not self.matches(text) and next(self.short_items(text), None) is None
+
     def items_in(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, segments found, first start, last end, fewest edits) per item."""
+        """(item, segments found, first start, last end, fewest edits) per item; an item without id comes first."""
         merged: dict[int, list[int]] = {}
+        for item, start, end in self.short_items(text):
+            m = merged.setdefault(item, [1, start, end, 0])
+            m[2] = max(m[2], end)
         for s, start, end, edits in self.matches(text):
             m = merged.setdefault(self.item[s], [0, start, end, edits])
             m[:] = [m[0] + 1, min(m[1], start), max(m[2], end), min(m[3], edits)]
-        return [(item, *m) for item, m in sorted(merged.items())]
+        return [(item, *m) for item, m in sorted(merged.items(), key=lambda x: (x[0] is not None, x[0] or 0))]
+
+
+def _bounded(beside: str, own: str) -> bool:
+    """Whether a word may end between two neighbouring characters."""
+    return beside in ("", " ") or beside >= _UNSPACED or own >= _UNSPACED
 
 
 def align(data: bytes, segment: bytes, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
@@ -204,7 +240,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
 
     doc_id, item_id, n_segments, start and end (bytes of the normalised text), edits (of the best segment).
     Null and empty texts hold nothing; a repeated document row repeats its result rows, a repeated
-    benchmark row does not.  Other columns are not read.
+    benchmark row does not.  Items of fewer than ``LEAST_ITEM`` normalised bytes count where they stand unchanged as
+    whole words; an item without letters or digits is in no text.  Items without id are reported without id, together.
+    Other columns are not read.
     """
     kind = "doc_id long, item_id long, n_segments int, start long, end long, edits int"
     out = None
@@ -227,7 +265,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
 def _holds_nothing(shared):
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([not shared.value.matches(t) for t in texts], dtype=bool)
+        return pd.Series([shared.value.clean(t) for t in texts], dtype=bool)
 
     return run
 

@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabula
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = codec(path)[0]
+        encode = codec(path, added=True)[0]
         for batch in batches:
             out = []
             for row_no, key, body in zip(batch["row_no"], batch["doc_id"], batch["text"]):

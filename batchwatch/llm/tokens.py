@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -40,23 +41,32 @@ def _ranks(path: str) -> dict[bytes, int] | None:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> tuple[Callable[[str], array], Callable[[list[int]], bytes], int]:
+def codec(path: str, added: bool = False) -> tuple[Callable[[str], array], Callable[[list[int]], bytes], int]:
     """(text to ids, ids to UTF-8, first id that the vocabulary leaves free), once per worker process.
 
-    Ids equal those of the tokenizers library without special tokens.  A byte-level vocabulary whose ids
-    follow its merges is run by tiktoken, which is several times faster; any other by tokenizers itself.
+    Ids equal those of the tokenizers library with add_special_tokens=False.  With ``added``, strings of the
+    vocabulary's added tokens in a text become their ids, as the library does by default; else they are ordinary
+    text.  A byte-level vocabulary whose ids follow its merges is run by tiktoken, which is several times faster; any
+    other, and texts with added tokens, by tokenizers itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added
     free = tokenizer.get_vocab_size()
     ranks = _ranks(path)
+
+    def by_library(text: str) -> array:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids)
+
     if ranks is None:
-        return (lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids),
-                lambda ids: tokenizer.decode(ids, skip_special_tokens=False).encode(), free)
+        return by_library, lambda ids: tokenizer.decode(ids, skip_special_tokens=False).encode(), free
     import tiktoken
 
     fast = tiktoken.Encoding("ids", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: array("I", fast.encode_ordinary(text)), fast.decode_bytes, free
+    if not added:
+        return lambda text: array("I", fast.encode_ordinary(text)), fast.decode_bytes, free
+    found = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
+    return (lambda text: by_library(text) if found(text) else array("I", fast.encode_ordinary(text)),
+            fast.decode_bytes, free)

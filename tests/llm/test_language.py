@@ -47,6 +47,26 @@ def test_long_texts_are_parsed_in_segments():
     assert counts[0, 0] == sum(phrases_by_search(p, coded(PROSE)) for p in parts)
 
 
+def test_every_sampled_text_has_a_share_and_large_alphabets_stay_small():
+    rng = np.random.default_rng(3)
+    long = [GERMAN * 400] + [f"wort{chr(97 + k)}{chr(97 + k)} haus" for k in range(26)]
+    model = C.Model({"de": long})
+    counts, _ = model.phrases(["wortzz", "wortqq"])
+    assert counts[:, 0].tolist() == [1, 1]
+    texts = {lang: ["".join(map(chr, rng.choice(np.arange(first, first + 3000), 200))) for _ in range(100)]
+             for lang, first in (("x", 0x4E00), ("y", 0x6000))}
+    model = C.Model(texts)
+    edges = sum(1 for k in model.edges.keys if k >= 0)
+    assert len(model.edges.keys) <= 8 * edges and model.width > 5000
+    probe = [t[50:90] for t in texts["x"][:5]] + [t[50:90] for t in texts["y"][:5]]
+    assert model.predict(probe)["language"].tolist() == ["x"] * 5 + ["y"] * 5
+    counts, _ = model.phrases(probe)
+    for text, row in zip(probe, counts):
+        for k, lang in enumerate("xy"):
+            training = coded(" ".join(C.share_of_text(t, 300, 0) for t in texts[lang]))
+            assert row[k] == phrases_by_search(coded(text), training)
+
+
 def test_awkward_texts(spark):
     docs = documents(spark, awkward() + [(12, GERMAN), (13, "Wald und Haus")])
     model = C.Model({"en": [PROSE], "de": [GERMAN]})

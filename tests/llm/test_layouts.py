@@ -68,6 +68,19 @@ def reference_ids():
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_become_their_ids_as_by_default(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = codec(default_vocabulary(), added=True)[0]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n", "<|endoftext", "plain words", ""]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for text in texts:
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    rows = slack_packing.pieces(documents(spark, list(enumerate(texts)))).collect()
+    for r in rows:
+        ids = [*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_ids_are_those_of_the_library():
     encode, decode, free = codec(default_vocabulary())
     plain = reference_ids()

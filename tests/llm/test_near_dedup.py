@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from batchwatch.llm import hyperminhash as H
 from batchwatch.llm.words import shingle_set
 
@@ -68,6 +70,12 @@ def test_kept_row_may_be_repeated(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_a_column_called_like_the_key_stays(spark):
+    rows = documents(spark, awkward()).withColumn("_key", F.lit("mine"))
+    kept = H.one_of_each(rows, width=4)
+    assert kept.columns == rows.columns and {r._key for r in kept.collect()} == {"mine"}
+
+
 def test_empty_table(spark):
     assert H.near_duplicates(documents(spark, [])).count() == 0
     assert H.one_of_each(documents(spark, [])).count() == 0

@@ -28,8 +28,8 @@ def plain_scores(net, text):
 def test_pooled_values_equal_a_plain_loop():
     net = B.ByteNet(3)
     text = PROSE * 3
-    data, counts, _ = B.chunked([text.encode()])
-    np.testing.assert_allclose(net.pooled(data, int(counts.sum()))[:, :4], plain_scores(net, text), rtol=1e-4, atol=1e-4)
+    data, starts, _, _ = B.chunked([text.encode()])
+    np.testing.assert_allclose(net.pooled(data, starts)[:, :4], plain_scores(net, text), rtol=1e-4, atol=1e-4)
 
 
 def test_gradients_equal_differences():
@@ -53,6 +53,17 @@ def test_gradients_equal_differences():
         assert gradient[at] == pytest.approx((up - down) / 2e-3, rel=0.1, abs=2e-3)
 
 
+def test_a_text_scores_the_same_alone_and_in_any_batch():
+    net = B.ByteNet(4)
+    net.bias += 0.05
+    texts = [PROSE[k:k + n] for k, n in ((0, 250), (3, 253), (5, 256), (9, 7), (1, 900), (0, 0), (2, 1))] + [PROSE * 9, None]
+    texts += texts[:3]
+    alone = [net.scores([t])[0] for t in texts]
+    assert net.scores(texts).tolist() == alone
+    assert net.scores(texts[::-1]).tolist() == alone[::-1]
+    assert net.scores([texts[0], "\xff" * 50, texts[1]])[[0, 2]].tolist() == alone[:2]
+
+
 def test_whole_texts_count():
     net = B.ByteNet(2)
     long = PROSE * 200

@@ -68,14 +68,32 @@ def test_leaks_of_awkward_rows(spark):
                         (23, "too short"), (24, ITEMS[0][1] + " " + ITEMS[1][1])]
     bench = spark.createDataFrame(ITEMS + ITEMS[:1], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in Q.leaks(documents(spark, rows), bench).collect())
-    assert got == [(20, 1), (21, 2), (22, 1), (22, 1), (24, 1), (24, 2)]
+    assert got == [(20, 1), (21, 2), (22, 1), (22, 1), (23, 3), (24, 1), (24, 2)]
     kept = Q.uncontaminated(documents(spark, rows), bench)
-    assert kept.columns == documents(spark, []).columns and kept.count() == len(rows) - 5
+    assert kept.columns == documents(spark, []).columns and kept.count() == len(rows) - 6
     none = spark.createDataFrame([], "item_id long, text string")
     assert Q.leaks(documents(spark, rows), none).count() == 0
     assert Q.uncontaminated(documents(spark, []), bench).count() == 0
 
 
+def test_sentences_of_other_scripts_are_kept():
+    for sentence in ("今天 天气 很好 我们 去 公园 散步 吧 明天 见。", "यह एक अच्छा वाक्य है और इसमें बहुत सारे शब्द हैं।",
+                     "هل هذا سؤال جيد أم أنه سؤال لا يفيد أحدا اليوم؟", "Dit is een zin met meer dan tien woorden »zoals hier«"):
+        judged = dict(zip(R._COLUMNS, R.judge(sentence)))
+        assert judged["n_punctuation"] == judged["n_navigation"] == 0 and judged["kept"] == (judged["n_words"] >= 10)
+
+
+def test_short_items_and_items_without_id(spark):
+    items = [(1, "too short"), (2, "为什么天是蓝的"), (3, "42"), (None, ITEMS[0][1]), (None, "été"), (5, ITEMS[1][1]), (6, "?!")]
+    rows = [(1, "this is Too  SHORT, indeed"), (2, "not too shorter, nor stoo short"), (3, "请问为什么天是蓝的呢"), (4, "in 1942"),
+            (5, f"{ITEMS[1][1]} and {ITEMS[0][1]}"), (6, "l'été 42"), (7, "étés"), (8, "42"), (9, None), (10, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in Q.leaks(documents(spark, rows), bench).collect()), key=str)
+    assert got == sorted([(1, 1), (3, 2), (5, None), (5, 5), (6, None), (6, 3), (8, 3)], key=str)
+    kept = sorted(r.doc_id for r in Q.uncontaminated(documents(spark, rows), bench).collect())
+    assert kept == [2, 4, 7, 9, 10]
+
+
 def test_every_planted_item_of_the_tables_is_found(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
