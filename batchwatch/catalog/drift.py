@@ -19,6 +19,8 @@ from ..operators import profile as Pr
 from ..operators import quality as Qu
 from ..operators.longform import numeric_long
 from ..operators.train import score_with_rule
+from ..plans import fleet as Fl
+from ..plans.alerting import raise_alerts
 from ..plans.monitor import profile_baseline, run_monitoring
 from ..sources.sinks import persist_runs, read_children, read_runs
 from ..storage import materialise, scratch
@@ -209,10 +211,15 @@ def duplicate_rows(spark, sf):
     return Qu.duplicate_rows(_redelivered(spark, sf), KEY)
 
 
-def type_mismatch(spark, sf):
-    text = B.events_drifted(spark, sf).withColumn("value", F.when(
+def _mistyped(spark, sf):
+    """The drifted days with their numbers as text, which later does not always parse."""
+    return B.events_drifted(spark, sf).withColumn("value", F.when(
         (F.col("batch_id") >= "2024-01-26") & (F.col("event_type") == "view"), F.lit("12 USD"))
         .otherwise(F.col("value").cast("string")))
+
+
+def type_mismatch(spark, sf):
+    text = _mistyped(spark, sf)
     profile = B.numeric_profile(B.events_baseline(spark, sf), _NUM)
     kinds = Qu.static_mismatches(text, {"value": "numeric"})
     columns = Qu.numeric_quality(D.numeric_state(text, profile, _NUM, KEY), KEY, kinds)
@@ -224,7 +231,14 @@ def _quality_report(spark, sf):
 
 
 def quality_score(spark, sf):
-    return _quality_report(spark, sf).drop("mismatch_columns", "penalty_type_mismatches")
+    """All five penalties: the numbers arrive as text."""
+    text, base = _mistyped(spark, sf), B.events_baseline(spark, sf)
+    profile, counts = B.profiled(base, _NUM, _CAT)
+    kinds = Qu.static_mismatches(text, {"value": "numeric", "event_type": "text", "props": "text"})
+    state = materialise(D.category_state(text, _CAT, KEY), "category-state")
+    columns = Qu.numeric_quality(D.numeric_state(text, profile, _NUM, KEY), KEY, kinds).unionByName(
+        Qu.categorical_quality(state, counts, KEY, kinds))
+    return Qu.quality_report(columns, Qu.duplicate_rows(text, KEY), KEY)
 
 
 def problem_columns(spark, sf):
@@ -420,13 +434,13 @@ def distribution_compare_bins(spark, sf):
 _RUN_RULE = "CASE WHEN props > '{\"k\": 5' THEN 'error' ELSE 'view' END"
 
 
-def _monitored(spark, sf):
+def _monitored(spark, sf, thresholds=None):
     base = profile_baseline(B.events_baseline(spark, sf), _NUM, _CAT)
     mix = B.events_baseline(spark, sf).select(F.expr(_RUN_RULE).alias("y_pred")).groupBy("y_pred").agg(
         F.count("*").alias("n"))
     return run_monitoring(
         B.events_drifted(spark, sf), base, KEY, F.expr(_RUN_RULE), target="event_type",
-        labels=["error", "view"], positive="error", baseline_mix=mix, reference_accuracy=0.3)
+        labels=["error", "view"], positive="error", baseline_mix=mix, reference_accuracy=0.3, thresholds=thresholds)
 
 
 _RUN_COLUMNS = ["batch_id", "row_count", "quality_score", "features_total", "features_high",
@@ -447,6 +461,98 @@ def persist_run(spark, sf):
     return rounded(runs.select(*_RUN_COLUMNS, "stored_features"), "accuracy", "mix_jsd")
 
 
+# two models with tables, classes and limits of their own, in one job
+_FLEET_LIMITS = (0.02, 0.05, 0.02, 0.04)
+
+
+def _fleet(spark, sf):
+    events, lines = [*_NUM, *_CAT], [*B.LINES_NUMERIC, *B.LINES_CATEGORICAL]
+    scored = B.events_drifted(spark, sf).withColumn("y_pred", F.expr(_RUN_RULE)).withColumn("y_true", F.col("event_type"))
+    base = B.events_baseline(spark, sf)
+    rows = Fl.long_rows(scored, "events", "batch_id", ["event_id"], [*events, "ts", "user_id", "y_pred", "y_true"]).unionByName(
+        Fl.long_rows(B.lines_batches(spark, sf), "lines", "batch_id", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                                        "l_shipdate"], [*lines, *B.LINES_KEY[:4]]))
+    history = Fl.long_rows(base, "events", "'base'", ["event_id"], events).unionByName(Fl.long_rows(
+        B.lines_baseline(spark, sf), "lines", "'base'", ["l_orderkey", "l_linenumber"], lines))
+    roles = spark.createDataFrame(
+        [("events", c, S.NUMERIC) for c in _NUM] + [("events", c, S.CATEGORICAL) for c in _CAT]
+        + [("lines", c, S.NUMERIC) for c in B.LINES_NUMERIC] + [("lines", c, S.CATEGORICAL) for c in B.LINES_CATEGORICAL]
+        + [("events", "y_true", Fl.TARGET), ("events", "y_pred", Fl.PREDICTION)], "model_id string, column string, role string")
+    own = dict(zip(("psi_moderate", "psi_high", "jsd_moderate", "jsd_high"), _FLEET_LIMITS))
+
+    def limits(overrides):
+        return F.struct(*[F.lit(float(v)).alias(k) for k, v in {**S.THRESHOLDS, **overrides}.items()])
+
+    models = spark.createDataFrame([("events", ["error", "view"], "error", 0.3), ("lines", [], None, None)],
+                                   "model_id string, labels array<string>, positive string, reference_accuracy double")
+    models = models.withColumn("thresholds", F.when(F.col("model_id") == "lines", limits(own)).otherwise(limits({})))
+    mix = base.select(F.lit("events").alias("model_id"), F.expr(_RUN_RULE).alias("y_pred")).groupBy("model_id", "y_pred").agg(
+        F.count("*").alias("n"))
+    return Fl.run_fleet(rows, Fl.profile_fleet(history, roles), models, mix)
+
+
+def fleet_features(spark, sf):
+    out = _fleet(spark, sf).feature_results.drop("explanation")
+    return rounded(out, "test_statistic", "p_value", "psi", "jsd")
+
+
+def fleet_runs(spark, sf):
+    return rounded(_fleet(spark, sf).runs.select("model_id", *_RUN_COLUMNS), "accuracy", "mix_jsd")
+
+
+#: two days, so that daily runs can continue an alert; the others make daily runs differ
+_ALERT_LIMITS = {"alert_cooldown_minutes": 2880.0, "health_critical_threshold": 55.0}
+_HALVES = ("2024-01-20", "9999")
+
+
+def _alerted(spark, sf):
+    """Stored runs of two commits, alerts raised after each; the second commit is run twice."""
+    root = scratch(spark, "history")
+    tables = _monitored(spark, sf, _ALERT_LIMITS).tables()
+    tables["runs"] = tables["runs"].withColumns({
+        "model_id": F.lit(1).cast("long"), "run_id": F.col("batch_id"), "created_at": F.to_timestamp("batch_id")})
+    names = spark.createDataFrame([(1, "events")], "model_id long, name string")
+    low = ""
+    for commit, high in enumerate(_HALVES, 1):
+        part = {k: t.where((F.col("batch_id") > low) & (F.col("batch_id") <= high)) for k, t in tables.items()}
+        persist_runs(part, root, str(commit))
+        for _ in range(commit):
+            out = raise_alerts(spark, root, str(commit), KEY, names)
+        low = high
+    return out
+
+
+def run_to_alerts(spark, sf):
+    return _alerted(spark, sf).alerts.drop("message", "cooldown").withColumn("first_seen_at", F.to_date("first_seen_at")).withColumn(
+        "last_seen_at", F.to_date("last_seen_at"))
+
+
+def run_to_advice(spark, sf):
+    return _alerted(spark, sf).advice.select("model_id", "number", "first_run_id", "run_id", "severity", "updates", "status")
+
+
+def _stored_lines(spark, sf):
+    """The folder of a stored run of the yearly lineitem batches."""
+    base = profile_baseline(B.lines_baseline(spark, sf), B.LINES_NUMERIC, B.LINES_CATEGORICAL)
+    root = scratch(spark, "history")
+    persist_runs(run_monitoring(B.lines_batches(spark, sf), base, KEY, F.lit(None)).tables(), root, "1")
+    return root
+
+
+def stored_summary_rows(spark, sf):
+    """Both sides of the numeric results, from what a stored run holds."""
+    found = read_children(spark, _stored_lines(spark, sf), "feature_summaries").where(F.col("feature").isin(B.LINES_NUMERIC))
+    base = found.select("feature", "baseline.*").distinct()
+    return rounded(Hi.summary_rows(base, found.select(*KEY, "feature", "current.*"), KEY, True), "baseline", "current")
+
+
+def stored_bins(spark, sf):
+    """Bins of both sides, from what a stored run holds."""
+    found = read_children(spark, _stored_lines(spark, sf), "feature_summaries").where(F.col("feature").isin(B.LINES_NUMERIC))
+    profile = found.select("feature", "baseline.*").distinct()
+    return Hi.compare_bins(profile, found.select(*KEY, "feature", "current.bin_counts"), KEY)
+
+
 QUERIES = {
     "psi": psi, "jsd": jsd, "ks_statistic": ks_statistic, "ks_pvalue": ks_pvalue, "chi_square": chi_square,
     "sparse_merge": sparse_merge, "unseen_categories": unseen, "category_alignment": category_alignment,
@@ -468,7 +574,8 @@ QUERIES = {
     "format_number_pct_p": format_number_pct_p, "display_filters": display_filters, "bin_labels": bin_labels,
     "summary_rows": summary_rows, "distribution_compare": distribution_compare,
     "distribution_compare_bins": distribution_compare_bins, "run_monitoring": run_monitoring_query,
-    "persist_run": persist_run,
+    "persist_run": persist_run, "run_to_alerts": run_to_alerts, "run_to_advice": run_to_advice, "fleet_features": fleet_features, "fleet_runs": fleet_runs,
+    "stored_summary_rows": stored_summary_rows, "stored_bins": stored_bins,
 }
 
 
@@ -478,6 +585,13 @@ _EVENTS_CAT = [B.EVENTS_DRIFTED_SQL, *Q.categorical_drift(_CAT)]
 _EVENTS_ALL = [B.EVENTS_DRIFTED_SQL, *Q.drift(_NUM, _CAT)]
 _ROW = "event_id, ts, user_id, event_type, value, props"
 _EVENTS_QUALITY = [*_EVENTS_ALL, *Q.quality(_NUM, _CAT, _ROW)]
+# numbers as text: what does not parse counts neither as a number nor as missing
+_TEXT_QUALITY = [B.EVENTS_DRIFTED_SQL.replace("batch AS (SELECT", "batch0 AS (SELECT"), """batch AS (SELECT * REPLACE (
+  CASE WHEN batch_id >= '2024-01-26' AND event_type = 'view' THEN NULL ELSE value END AS value) FROM batch0)""",
+                 *Q.drift(_NUM, _CAT), *Q.quality(_NUM, _CAT, _ROW),
+                 """tx AS (SELECT batch_id, count(*) FILTER (batch_id >= '2024-01-26' AND event_type = 'view') AS t FROM batch0 GROUP BY batch_id)""",
+                 """tq AS (SELECT batch_id, row_count, duplicate_rows, columns_checked, missing_total - t AS missing_total, cells, nums,
+  outlier_total, unseen_columns, CAST(t > 0 AS BIGINT) AS mismatch_columns FROM dup JOIN qp USING (batch_id) JOIN tx USING (batch_id))"""]
 _LINES_NUM = [B.LINES_SQL, *Q.numeric_drift(B.LINES_NUMERIC)]
 _DRIFT_COLUMNS = """batch_id, feature, feature_type, test_name, round(stat, 6) AS test_statistic, round(p, 6) AS p_value,
   round(psi, 6) AS psi, round(jsd, 6) AS jsd, n0 AS n_baseline, n1 AS n_current, n_unseen, status"""
@@ -604,7 +718,56 @@ _RUN_SELECT = f"""SELECT batch_id, row_count, quality_score, features_total, fea
   {_BANDS} AS health_band, 'with_labels' AS weighting"""
 _ALIGNED = [*_EVENTS_CAT, """al AS (SELECT batch_id, feature, cell AS category, b AS n_baseline, c AS n_current FROM catcells)"""]
 
+# alerts of the stored event runs
+_ALERTED = [*_RUN_SQL, """rec AS (SELECT batch_id, drift_status, features_high + features_moderate AS drifted, 0.3 - accuracy >= 0.05 AS fell,
+  score < 55 AND lag(score) OVER w < 55 AS twice, quality_score < 50 AND lag(quality_score) OVER w < 50 AS poor
+  FROM h3 WINDOW w AS (ORDER BY batch_id)),
+adv AS (SELECT * FROM rec WHERE drift_status = 'HIGH' OR drifted >= 3 OR fell OR twice OR poor)""",
+            """oc AS (SELECT batch_id, 'DRIFT' AS category, feature, CASE status WHEN 'HIGH' THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+    concat('DRIFT_', status) AS rule_code, concat(CASE status WHEN 'HIGH' THEN 'High' ELSE 'Moderate' END, ' drift detected — ', feature) AS headline
+  FROM dr WHERE status IN ('HIGH', 'MODERATE')
+  UNION ALL SELECT batch_id, 'PERFORMANCE', '', CASE WHEN 0.3 - accuracy >= 0.1 THEN 'CRITICAL' ELSE 'WARNING' END,
+    concat('PERFORMANCE_DROP_', CASE WHEN 0.3 - accuracy >= 0.1 THEN 'MAJOR' ELSE 'MINOR' END),
+    CASE WHEN 0.3 - accuracy >= 0.1 THEN 'Accuracy has fallen sharply' ELSE 'Accuracy has fallen' END FROM h3 WHERE 0.3 - accuracy >= 0.05
+  UNION ALL SELECT batch_id, 'QUALITY', '', CASE WHEN quality_score < 50 THEN 'CRITICAL' ELSE 'WARNING' END,
+    CASE WHEN quality_score < 50 THEN 'QUALITY_POOR' ELSE 'QUALITY_DEGRADED' END,
+    CASE WHEN quality_score < 50 THEN 'Incoming data quality is poor' ELSE 'Incoming data quality has degraded' END FROM h3 WHERE quality_score < 70
+  UNION ALL SELECT batch_id, 'HEALTH', '', CASE WHEN score < 55 THEN 'CRITICAL' ELSE 'WARNING' END,
+    CASE WHEN score < 55 THEN 'HEALTH_CRITICAL' ELSE 'HEALTH_WARNING' END,
+    CASE WHEN score < 55 THEN 'Model health is critical' ELSE 'Model health has degraded' END FROM h3 WHERE score < 80
+  UNION ALL SELECT min(batch_id), 'RETRAIN', '', 'CRITICAL', 'RETRAIN_RECOMMENDED', 'Retraining recommended for events' FROM adv HAVING count(*) > 0),
+os AS (SELECT *, CASE WHEN date_diff('day', lag(CAST(batch_id AS DATE)) OVER w, CAST(batch_id AS DATE)) <= 2 THEN 0 ELSE 1 END AS s
+  FROM oc WINDOW w AS (PARTITION BY category, feature ORDER BY batch_id)),
+oi AS (SELECT *, sum(s) OVER (PARTITION BY category, feature ORDER BY batch_id) AS number FROM os),
+last3 AS (SELECT min(score) >= 80 AND count(*) = 3 AS clean FROM (SELECT score FROM h3 ORDER BY batch_id DESC LIMIT 3)),
+half3 AS (SELECT min(score) >= 80 AND count(*) = 3 AS clean FROM (SELECT score FROM h3 WHERE batch_id <= '2024-01-20' ORDER BY batch_id DESC LIMIT 3))"""]
+
+# lineitem batches have no outcomes: no performance, stable mix
+_LINES_RUN = [B.LINES_SQL, *Q.drift(B.LINES_NUMERIC, B.LINES_CATEGORICAL, _FLEET_LIMITS), Q.ROLLUP,
+              *Q.quality(B.LINES_NUMERIC, B.LINES_CATEGORICAL, ", ".join(dict.fromkeys(
+                  [*B.LINES_NUMERIC, *B.LINES_CATEGORICAL, *B.LINES_KEY[:4]]))),
+              """h1 AS (SELECT batch_id, row_count, quality_score, features_total, features_high, features_moderate,
+  features_insufficient, drift_status, CAST(NULL AS DOUBLE) AS accuracy, CAST(NULL AS DOUBLE) AS mix_jsd,
+  greatest(0.0, least(100.0, 100.0 - 15.0 * features_high - 6.0 * features_moderate)) AS dc FROM qr JOIN rolled USING (batch_id))""",
+              """h2 AS (SELECT *, CAST(round_even((dc * 50 + quality_score * 35 + 100 * 15) / 100, 0) AS BIGINT) AS raw FROM h1)""",
+              """h3 AS (SELECT *, CASE WHEN drift_status = 'HIGH' THEN least(raw, 79) ELSE raw END AS score FROM h2)"""]
+
 ORACLES = {
+    "run_to_alerts": Q.with_(*_ALERTED) + """SELECT CAST(1 AS BIGINT) AS model_id, category, feature, CAST(number AS BIGINT) AS number,
+  arg_max(severity, batch_id) AS severity, arg_max(rule_code, batch_id) AS rule_code, arg_max(headline, batch_id) AS headline,
+  max(batch_id) AS run_id, CAST(min(batch_id) AS DATE) AS first_seen_at, CAST(max(batch_id) AS DATE) AS last_seen_at,
+  count(*) AS occurrence_count, CASE WHEN category = 'HEALTH' AND ((SELECT clean FROM last3) OR (max(batch_id) <= '2024-01-20'
+    AND (SELECT clean FROM half3))) THEN 'RESOLVED' ELSE 'NEW' END AS status
+FROM oi GROUP BY category, feature, number""",
+    "run_to_advice": Q.with_(*_ALERTED) + """SELECT CAST(1 AS BIGINT) AS model_id, CAST(1 AS BIGINT) AS number, min(batch_id) AS first_run_id,
+  max(batch_id) AS run_id, arg_max(CASE WHEN drift_status = 'HIGH' OR fell OR twice
+    OR CAST(drifted >= 3 AS INT) + CAST(poor AS INT) >= 2 THEN 'URGENT' ELSE 'ADVISED' END, batch_id) AS severity,
+  count(*) AS updates, 'OPEN' AS status FROM adv HAVING count(*) > 0""",
+    "fleet_features": f"""SELECT 'events' AS model_id, * FROM ({Q.with_(*_EVENTS_ALL)} SELECT {_DRIFT_COLUMNS} FROM dr)
+UNION ALL SELECT 'lines', * FROM ({Q.with_(B.LINES_SQL, *Q.drift(B.LINES_NUMERIC, B.LINES_CATEGORICAL, _FLEET_LIMITS))}
+  SELECT {_DRIFT_COLUMNS} FROM dr)""",
+    "fleet_runs": f"""SELECT 'events' AS model_id, * FROM ({Q.with_(*_RUN_SQL)} {_RUN_SELECT} FROM h3)
+UNION ALL SELECT 'lines', * FROM ({Q.with_(*_LINES_RUN)} {_RUN_SELECT.replace("'with_labels'", "'without_labels'")} FROM h3)""",
     "psi": Q.with_(*_LINES_NUM[:-2]) + "SELECT batch_id, feature, round(psi, 6) AS psi FROM div",
     "jsd": Q.with_(*_EVENTS_CAT) + "SELECT batch_id, feature, round(psi, 6) AS psi, round(jsd, 6) AS jsd FROM cdiv",
     "ks_statistic": Q.with_(*_LINES_NUM) + """SELECT batch_id, feature, round(d, 6) AS ks, m0 AS n_reference, m1 AS n_current FROM ks""",
@@ -640,9 +803,13 @@ SELECT batch_id, sum(c) AS row_count, sum(c) - count(*) AS duplicate_rows, {Q.pc
 FROM g GROUP BY batch_id""",
     "type_mismatch": Q.with_(B.EVENTS_DRIFTED_SQL) + """SELECT DISTINCT batch_id, 'value' AS feature, 'numeric' AS expected, 'text' AS actual
 FROM batch WHERE batch_id >= '2024-01-26' AND event_type = 'view'""",
-    "quality_score": Q.with_(*_EVENTS_QUALITY) + """SELECT batch_id, row_count, columns_checked, missing_total, missing_pct, duplicate_rows,
-  duplicate_pct, unseen_columns, outlier_total, outlier_pct, round_even(p1, 4) AS penalty_missing, round_even(p2, 4) AS penalty_duplicates,
-  round_even(p4, 4) AS penalty_unseen_categories, round_even(p5, 4) AS penalty_outliers, quality_score FROM qr""",
+    "quality_score": Q.with_(*_TEXT_QUALITY) + f"""SELECT batch_id, row_count, columns_checked, missing_total, mp AS missing_pct, duplicate_rows,
+  dp AS duplicate_pct, mismatch_columns, unseen_columns, outlier_total, op AS outlier_pct, round_even(w1, 4) AS penalty_missing,
+  round_even(w2, 4) AS penalty_duplicates, w3 AS penalty_type_mismatches, round_even(w4, 4) AS penalty_unseen_categories,
+  round_even(w5, 4) AS penalty_outliers, CAST(round_even(greatest(0.0, 100.0 - (w1 + w2 + w3 + w4 + w5)), 0) AS BIGINT) AS quality_score
+FROM (SELECT *, least(30.0, mp * 1.5) AS w1, least(20.0, dp) AS w2, least(20.0, mismatch_columns * 10.0) AS w3,
+  least(15.0, unseen_columns * 3.0) AS w4, least(15.0, op * 0.5) AS w5 FROM (SELECT *, {Q.pct('missing_total', 'cells')} AS mp,
+  {Q.pct('duplicate_rows', 'row_count')} AS dp, {Q.pct('outlier_total', 'nums')} AS op FROM tq))""",
     "problem_columns": Q.with_(*_EVENTS_QUALITY) + """SELECT batch_id, feature, type, missing_pct, concat_ws('; ',
   CASE WHEN missing_pct > 0 THEN 'missing values' END,
   CASE WHEN unseen = 1 THEN '1 unseen category' WHEN unseen > 1 THEN concat(unseen, ' unseen categories') END,
@@ -746,3 +913,4 @@ FROM (SELECT feature, eds, unnest(range(1, len(eds))) AS i FROM prof)""",
     "run_monitoring": Q.with_(*_RUN_SQL) + _RUN_SELECT + " FROM h3",
     "persist_run": Q.with_(*_RUN_SQL) + _RUN_SELECT + ", features_total AS stored_features FROM h3",
 }
+ORACLES |= {"stored_summary_rows": ORACLES["summary_rows"], "stored_bins": ORACLES["distribution_compare_bins"]}

@@ -16,6 +16,7 @@ from ..operators.longform import category_long, numeric_long
 from ..operators.performance import labels_available, outcome_counts
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..sources.arrivals import admit_files
 from ..storage import scratch
 from . import bindings as B
 from . import sql as Q
@@ -55,7 +56,7 @@ FROM (SELECT count(*) AS row_count, count(DISTINCT {target}) AS target_values FR
 
 
 def reference_sample(spark, sf):
-    return SA.reference_sample(B.events_baseline(spark, sf), B.EVENTS_NUMERIC, ["event_id"], 1000)
+    return SA.reference_sample(B.events_baseline(spark, sf), B.EVENTS_NUMERIC, ["event_id"])
 
 
 def load_reference(spark, sf):
@@ -65,7 +66,7 @@ def load_reference(spark, sf):
 
 
 _SAMPLE_SQL = f"""WITH {B.EVENTS_SQL}
-SELECT event_id, value FROM base ORDER BY md5(concat_ws('|', '42', CAST(event_id AS VARCHAR))) LIMIT 1000"""
+SELECT event_id, value FROM base ORDER BY md5(concat_ws('|', '42', CAST(event_id AS VARCHAR))) LIMIT {S.REFERENCE_CAP}"""
 
 
 def ingest_batches(spark, sf):
@@ -202,6 +203,31 @@ def dtype_kind(spark, sf):
         I.column_cardinalities(table(spark, sf, "lineitem")).select("column_name", "non_null"), "column_name")
 
 
+#: what the files of each line number lack
+_LACKING = {1: [], 2: ["l_tax"], 3: ["l_tax", "l_discount", "l_quantity"], 4: []}
+
+
+def _arrived(spark, sf):
+    """One folder of lineitem files, one per line number, some without required columns."""
+    folder = scratch(spark, "arrivals")
+    lines = B.table(spark, sf, "lineitem").select("l_linenumber", *B.LINES_NUMERIC, *B.LINES_CATEGORICAL)
+    for number, lacking in _LACKING.items():
+        lines.where(F.col("l_linenumber") == number).drop(*lacking).coalesce(1).write.parquet(f"{folder}/line={number}")
+    required = spark.createDataFrame([(c,) for c in [*B.LINES_NUMERIC, *B.LINES_CATEGORICAL]], "feature string")
+    return admit_files(spark, folder, required)
+
+
+def wide_schema_check(spark, sf):
+    verdicts = _arrived(spark, sf)[1]
+    return verdicts.select(F.regexp_extract("path", "line=([0-9]+)", 1).cast("long").alias("line"),
+                           F.array_join("missing", ",").alias("missing"), "status", "message")
+
+
+def accepted_files(spark, sf):
+    rows = _arrived(spark, sf)[0]
+    return rows.groupBy("l_linenumber", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_tax"), 4).alias("tax"))
+
+
 def batch_schema_check(spark, sf):
     feed = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS batch_id", "concat('f', CAST(l_linenumber AS STRING)) AS feature")
@@ -293,6 +319,7 @@ SELECT {key}, {target}, {tail} AS split FROM r"""
 
 
 QUERIES = {
+    "wide_schema_check": wide_schema_check, "accepted_files": accepted_files,
     "read_table": read_table, "baseline_check": baseline_check, "reference_sample": reference_sample,
     "load_reference": load_reference, "ingest_batches": ingest_batches, "history_export": history_export,
     "clean_multi_file": clean_multi_file, "clean_coerce": clean_coerce, "blank_count": blank_count,
@@ -308,6 +335,12 @@ QUERIES = {
 }
 
 ORACLES = {
+    "wide_schema_check": """SELECT DISTINCT l_linenumber AS line, CASE l_linenumber WHEN 2 THEN 'l_tax'
+  WHEN 3 THEN 'l_discount,l_quantity,l_tax' ELSE '' END AS missing, CASE WHEN l_linenumber IN (2, 3) THEN 'REJECTED' ELSE 'RECEIVED' END AS status,
+  CASE l_linenumber WHEN 2 THEN 'Batch is missing 1 required column(s): l_tax'
+  WHEN 3 THEN 'Batch is missing 3 required column(s): l_discount, l_quantity, l_tax' END AS message FROM lineitem WHERE l_linenumber <= 4""",
+    "accepted_files": """SELECT l_linenumber, l_returnflag, count(*) AS n, round(sum(l_tax), 4) AS tax FROM lineitem
+WHERE l_linenumber IN (1, 4) GROUP BY ALL""",
     "read_table": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
     "baseline_check": " UNION ALL ".join(_check_sql(n, t) for n, t in (
         ("events", "event_type"), ("orders", "o_orderstatus"), ("region", "r_name"), ("labels", "quality"))),

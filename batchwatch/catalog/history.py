@@ -53,7 +53,7 @@ def visible_models(spark, sf):
 def range_filter(spark, sf):
     runs = B.runs(spark, sf)
     parts = [H.in_range(runs, name, F.expr(_NOW)).select(F.lit(name).alias("range_name"), "run_id", "created_at")
-             for name in ("24h", "7d", "30d", "nonsense")]
+             for name in ("24h", "7d", "30d", "nonsense", "all")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -503,7 +503,8 @@ ORACLES = {
     "visible_models": Q.with_(B.MODELS_SQL, B.GRANTS_SQL) + """SELECT model_id, name FROM models
 WHERE owner_id = 3 OR model_id IN (SELECT model_id FROM grants WHERE user_id = 3)""",
     "range_filter": Q.with_(B.RUNS_SQL) + " UNION ALL ".join(
-        _range_sql(n, d) for n, d in (("24h", 1), ("7d", 7), ("30d", 30), ("nonsense", 30))),
+        _range_sql(n, d) for n, d in (("24h", 1), ("7d", 7), ("30d", 30), ("nonsense", 30)))
+        + " UNION ALL SELECT 'all' AS range_name, run_id, created_at FROM runs WHERE status = 'COMPLETED'",
     "range_filter_all": Q.with_(B.RUNS_SQL) + "SELECT 'all' AS range_name, run_id, created_at FROM runs WHERE status = 'COMPLETED'",
     "history_filter": Q.with_(B.RUNS_SQL) + """SELECT run_id, created_at FROM runs
 WHERE status = 'COMPLETED' AND drift_status = 'MODERATE' AND trigger_source = 'API'""",

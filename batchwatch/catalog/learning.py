@@ -49,6 +49,24 @@ def score_with_function(spark, sf):
     return T.score_with_function(docs, ["n_chars"], predict).select("doc_id", "prediction_label")
 
 
+def _isolated(spark, sf):
+    """Days scored by a model that does not know refunds."""
+    def predict(frame: pd.DataFrame):
+        if (frame["event_type"] == "refund").any():
+            raise ValueError("unknown event type refund")
+        return ["high" if v > 100 else "low" for v in frame["value"].fillna(0)]
+
+    return T.score_isolated(B.events_drifted(spark, sf), ["batch_id"], ["event_type", "value"], predict)
+
+
+def failed_runs(spark, sf):
+    return T.failed_runs(_isolated(spark, sf)[1], ["batch_id"])
+
+
+def isolated_scores(spark, sf):
+    return _isolated(spark, sf)[0].groupBy("batch_id", "prediction_label").agg(F.count("*").alias("n"))
+
+
 def class_weights(spark, sf):
     return rounded(T.class_weights(_labelled(spark, sf), "quality").withColumnRenamed("_weight", "weight"), "weight")
 
@@ -62,6 +80,7 @@ def target_classes(spark, sf):
 
 
 QUERIES = {
+    "failed_runs": failed_runs, "isolated_scores": isolated_scores,
     "train_classifier": _metrics("logistic_regression"),
     "train_decision_tree": _metrics("decision_tree"),
     "train_balanced_forest": _metrics("balanced_random_forest"),
@@ -70,6 +89,12 @@ QUERIES = {
 }
 
 ORACLES = {
+    "failed_runs": f"""WITH {B.EVENTS_DRIFTED_SQL}
+SELECT batch_id, 'FAILED' AS status, count(*) AS row_count, 'ValueError: unknown event type refund' AS message
+FROM batch GROUP BY batch_id HAVING count(*) FILTER (event_type = 'refund') > 0""",
+    "isolated_scores": f"""WITH {B.EVENTS_DRIFTED_SQL}
+SELECT batch_id, CASE WHEN coalesce(value, 0) > 100 THEN 'high' ELSE 'low' END AS prediction_label, count(*) AS n FROM batch
+WHERE batch_id NOT IN (SELECT batch_id FROM batch WHERE event_type = 'refund') GROUP BY 1, 2""",
     "preprocess_features": """SELECT doc_id, 1 + (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM documents) AS width, 2 AS bits_set FROM documents""",
     "score_with_function": f"SELECT doc_id, {B.PREDICTION_RULE} AS prediction_label FROM documents",
     "class_weights": """SELECT CAST(quality AS VARCHAR) AS quality, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight

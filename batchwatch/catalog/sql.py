@@ -113,23 +113,27 @@ def band(value: str, moderate: float, high: float) -> str:
     return f"(CASE WHEN {value} > {high} THEN 2 WHEN {value} >= {moderate} THEN 1 ELSE 0 END)"
 
 
-def status(psi: str, jsd: str, p: str, n0: str, n1: str) -> str:
-    mag = f"greatest({band(psi, 0.10, 0.25)}, {band(jsd, 0.10, 0.20)})"
+#: moderate and high limit of PSI, then of JSD
+LIMITS = (0.10, 0.25, 0.10, 0.20)
+
+
+def status(psi: str, jsd: str, p: str, n0: str, n1: str, limits: tuple = LIMITS) -> str:
+    mag = f"greatest({band(psi, *limits[:2])}, {band(jsd, *limits[2:])})"
     return (f"(CASE WHEN {n0} < 30 OR {n1} < 30 THEN 'INSUFFICIENT_DATA' "
             f"ELSE ['NONE', 'MODERATE', 'HIGH'][1 + CASE WHEN {mag} = 0 THEN 0 WHEN {p} < 0.05 THEN {mag} ELSE {mag} - 1 END] END)")
 
 
-def numeric_drift(features: list[str]) -> list[str]:
+def numeric_drift(features: list[str], limits: tuple = LIMITS) -> list[str]:
     """Blocks ending in nd: one row per batch and numeric feature."""
     return [numeric_rows("bl", "base", features), numeric_rows("cl", "batch", features, "batch_id, "),
             numeric_rows("rl", "base", features), PROFILE, BASE_BINS, BATCH_BINS, BIN_CELLS, divergence(), KS,
             f"""nd AS (SELECT bt.batch_id, bt.feature, 'NUMERIC' AS feature_type, 'KS' AS test_name,
   coalesce(d, 0.0) AS stat, coalesce(p, 1.0) AS p, psi, jsd, n0, n1, 0 AS n_unseen,
-  {status('psi', 'jsd', 'coalesce(p, 1.0)', 'n0', 'n1')} AS status
+  {status('psi', 'jsd', 'coalesce(p, 1.0)', 'n0', 'n1', limits)} AS status
   FROM bt JOIN prof USING (feature) JOIN div USING (batch_id, feature) LEFT JOIN ks USING (batch_id, feature))"""]
 
 
-def categorical_drift(features: list[str]) -> list[str]:
+def categorical_drift(features: list[str], limits: tuple = LIMITS) -> list[str]:
     """Blocks ending in cd: one row per batch and categorical feature."""
     return [category_rows("blc", "base", features), category_rows("clc", "batch", features, "batch_id, "),
             CATEGORY_COUNTS, CATEGORY_CELLS, divergence("catcells", "cdiv"), CHI_SQUARE,
@@ -138,14 +142,14 @@ def categorical_drift(features: list[str]) -> list[str]:
             f"""cd AS (SELECT cs.batch_id, cs.feature, 'CATEGORICAL' AS feature_type, 'CHI2' AS test_name,
   coalesce(chi2, 0.0) AS stat, coalesce(p, 1.0) AS p, coalesce(psi, 0.0) AS psi, coalesce(jsd, 0.0) AS jsd,
   n0, n1, coalesce(n_unseen, 0) AS n_unseen,
-  {status('coalesce(psi, 0.0)', 'coalesce(jsd, 0.0)', 'coalesce(p, 1.0)', 'n0', 'n1')} AS status
+  {status('coalesce(psi, 0.0)', 'coalesce(jsd, 0.0)', 'coalesce(p, 1.0)', 'n0', 'n1', limits)} AS status
   FROM cs JOIN bs USING (feature) LEFT JOIN cdiv USING (batch_id, feature)
   LEFT JOIN chi USING (batch_id, feature) LEFT JOIN uns USING (batch_id, feature))"""]
 
 
-def drift(numeric: list[str], categorical: list[str]) -> list[str]:
+def drift(numeric: list[str], categorical: list[str], limits: tuple = LIMITS) -> list[str]:
     """Blocks ending in dr: every feature of every batch."""
-    return [*numeric_drift(numeric), *categorical_drift(categorical),
+    return [*numeric_drift(numeric, limits), *categorical_drift(categorical, limits),
             "dr AS (SELECT * FROM nd UNION ALL SELECT * FROM cd)"]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -22,6 +22,20 @@ def column_thresholds(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}.{k}") for k in S.THRESHOLDS}
 
 
+def thresholds_of(rows: DataFrame, overrides: dict | DataFrame | None = None) -> dict[str, Column]:
+    """The limits rows are judged by: those of their own struct column ``thresholds``, else the same for all."""
+    if "thresholds" in rows.columns:
+        return column_thresholds("thresholds")
+    return literal_thresholds(overrides)
+
+
+def with_limits(rows: DataFrame, limits: dict | DataFrame | None) -> DataFrame:
+    """Rows with the limits of their model where ``limits`` is a table (model keys, thresholds)."""
+    if not isinstance(limits, DataFrame) or "thresholds" in rows.columns:
+        return rows
+    return rows.join(limits, [c for c in limits.columns if c != "thresholds"])
+
+
 def severity_rank(status: Column) -> Column:
     return F.when(status == S.HIGH, 2).when(status == S.MODERATE, 1).when(status == S.NONE, 0)
 

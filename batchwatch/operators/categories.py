@@ -125,13 +125,13 @@ def category_scores(batch_counts: DataFrame, base: CategoryBaseline, keys: list[
     half off the deviation, which is the same in all four cells.
     """
     group = [*keys, "feature"]
-    sizes = _sizes(batch_counts, base.totals, group, ["feature"])
+    sizes = _sizes(batch_counts, base.totals, group, base.keys)
     # the look-up joins the small table of totals, which is stored before the categories meet it:
     # its size then lets Spark broadcast it, and a feature with very many categories is summed up
     # before the shuffle
-    sizes = materialise(sizes.join(_reached(sizes, base.by_size), ["feature", "limit"], "left").fillna(
+    sizes = materialise(sizes.join(_reached(sizes, base.by_size, base.keys), [*base.keys, "limit"], "left").fillna(
         0, ["reach_n", "reach_b"]), "category-sizes")
-    cells = _cells(batch_counts, base.counts, group, ["feature"], sizes)
+    cells = _cells(batch_counts, base.counts, group, base.keys, sizes)
     column_chi = "dev2 * (CAST(b0 + c0 AS DOUBLE) / (b + c)) * (1.0D / b0 + 1.0D / c0)"
     sums = cells.groupBy(*group).agg(
         *_divergence_sums(),
@@ -179,25 +179,25 @@ def chi_square(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str])
         *keys, "feature", "chi2", "p_value", "columns", "n_current")
 
 
-def _reached(sizes: DataFrame, by_size: DataFrame) -> DataFrame:
+def _reached(sizes: DataFrame, by_size: DataFrame, on: list[str]) -> DataFrame:
     """(feature, limit) -> number and sum of baseline counts that reach the limit.
 
     One window over a feature's list of different counts and the limits its batches ask for.
     """
-    limits = sizes.filter(F.col("limit").isNotNull()).select("feature", F.col("limit").alias("at")).distinct()
-    both = by_size.select("feature", "at", "m", "s", F.lit(0).alias("asked")).unionByName(
-        limits.selectExpr("feature", "at", "0L AS m", "0L AS s", "1 AS asked"))
-    w = (Window.partitionBy("feature").orderBy(F.desc("at"), "asked")
+    limits = sizes.filter(F.col("limit").isNotNull()).select(*on, F.col("limit").alias("at")).distinct()
+    both = by_size.select(*on, "at", "m", "s", F.lit(0).alias("asked")).unionByName(
+        limits.selectExpr(*[f"`{k}`" for k in on], "at", "0L AS m", "0L AS s", "1 AS asked"))
+    w = (Window.partitionBy(*on).orderBy(F.desc("at"), "asked")
          .rowsBetween(Window.unboundedPreceding, 0))
     running = both.withColumns({"reach_n": F.sum("m").over(w), "reach_b": F.sum("s").over(w)})
     return running.filter(F.col("asked") == 1).select(
-        "feature", F.col("at").alias("limit"), "reach_n", "reach_b")
+        *on, F.col("at").alias("limit"), "reach_n", "reach_b")
 
 
 def unseen_categories(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str]) -> DataFrame:
     """keys, feature, category, n of categories the baseline never had."""
-    known = base.counts.select("feature", "category")
-    return batch_counts.join(known, ["feature", "category"], "left_anti").select(
+    known = base.counts.select(*base.keys, "category")
+    return batch_counts.join(known, [*base.keys, "category"], "left_anti").select(
         *keys, "feature", "category", "n")
 
 

@@ -7,45 +7,69 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import divergence as D
-from ..functions.status import classify_feature, literal_thresholds, rollup
-from ..storage import materialise
+from ..functions.status import classify_feature, rollup, thresholds_of, with_limits
+from ..storage import materialise, near
 from .categories import CategoryBaseline, category_scores
-from .ks import ks_statistic
+from .ks import ks_of_counts
 from .longform import category_long, numeric_long
-from .profile import bin_array, bin_count_columns, bin_index
+from .profile import bin_array, bin_index
 from .rank_index import RankIndex
 
 
+def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, value, present) -> n: what every numeric result of a batch is computed from.
+
+    Map-side combine makes one row per task of a value that fills a batch.
+    """
+    return long.groupBy(*keys, "feature", "value", "present").agg(F.count("*").alias("n"))
+
+
 def numeric_state(batches: DataFrame, profile: DataFrame, features: list[str],
                   keys: list[str], bins: int = S.BIN_COUNT) -> DataFrame:
-    """One row per (batch, feature): everything drift, quality and summaries count.
+    """One row per (batch, feature): everything drift, quality and summaries count."""
+    return numeric_state_of(value_counts(numeric_long(batches, features, keys), keys), profile, keys, bins)
 
-    A single aggregation over the long form. Its buffers are fixed-width, so it stays a hash
-    aggregate with map-side combine, and a hot batch shrinks to one row per task and feature.
-    """
-    long = numeric_long(batches, features, keys)
-    # the profile has one row per feature column of the table, which bounds the broadcast
+
+def profiled_on(profile: DataFrame, keys: list[str]) -> list[str]:
+    """The columns a profile is joined on: the feature, with the model where the profile has several."""
+    return [*[k for k in keys if k in profile.columns], "feature"]
+
+
+def numeric_state_of(values: DataFrame, profile: DataFrame, keys: list[str], bins: int = S.BIN_COUNT) -> DataFrame:
+    """``numeric_state`` of value counts. Its buffers are fixed-width, so it stays a hash aggregate."""
+    on = profiled_on(profile, keys)
     spread = F.col("q3") - F.col("q1")
-    base = F.broadcast(profile.select(
-        "feature", "bin_edges", F.col("min").alias("base_min"), F.col("max").alias("base_max"),
+    base = near(profile.select(
+        *on, "bin_edges", F.col("min").alias("base_min"), F.col("max").alias("base_max"),
+        F.coalesce("mean", F.lit(0.0)).alias("_mid"),
         (F.col("q1") - S.OUTLIER_FENCE * spread).alias("lower_fence"),
         (F.col("q3") + S.OUTLIER_FENCE * spread).alias("upper_fence")))
-    v = F.col("value")
-    joined = long.join(base, "feature").withColumn("_bin", bin_index("value", "bin_edges", bins))
+    v, n = F.col("value"), F.when(F.col("value").isNotNull(), F.col("n"))
+
+    def counted(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    # deviations are taken from the baseline's mean, so that squares stay small
+    away = v - F.col("_mid")
+    joined = values.join(base, on).withColumn("_bin", bin_index("value", "bin_edges", bins))
     state = joined.groupBy(*keys, "feature").agg(
-        F.count("*").alias("rows"), F.count_if("present").alias("n_present"),
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+        F.sum("n").alias("rows"), counted(F.col("present")).alias("n_present"), counted(v.isNotNull()).alias("n"),
+        (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum(n * away * away) / F.sum(n) - F.pow(F.sum(n * away) / F.sum(n), F.lit(2.0))))
+        .alias("_std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-        F.count_if(v < F.col("base_min")).alias("below_min"),
-        F.count_if(v > F.col("base_max")).alias("above_max"),
-        F.count_if((v < F.col("lower_fence")) | (v > F.col("upper_fence"))).alias("outliers"),
-        *bin_count_columns("_bin", bins))
-    edges = F.broadcast(profile.select("feature", "bin_edges"))
-    return state.join(edges, "feature").select(
+        counted(v < F.col("base_min")).alias("below_min"), counted(v > F.col("base_max")).alias("above_max"),
+        counted((v < F.col("lower_fence")) | (v > F.col("upper_fence"))).alias("outliers"),
+        *[counted(F.col("_bin") == i).alias(f"_bin{i}") for i in range(bins)])
+    return state.join(near(profile.select(*on, "bin_edges")), on).select(
         *keys, "feature", "rows", (F.col("rows") - F.col("n_present")).alias("missing"),
-        "n", (F.col("n_present") - F.col("n")).alias("unparsable"), "mean", "std", "min", "max",
-        "below_min", "above_max", "outliers", bin_array("bin_edges", bins).alias("bin_counts"))
+        "n", (F.col("n_present") - F.col("n")).alias("unparsable"), "mean", F.when(F.col("n") > 0, F.col("_std")).alias("std"),
+        "min", "max", "below_min", "above_max", "outliers", bin_array("bin_edges", bins).alias("bin_counts"))
+
+
+def known_counts(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, value, c) of the values that are numbers, as KS wants them."""
+    return values.filter(F.col("value").isNotNull()).select(*keys, "feature", "value", F.col("n").alias("c"))
 
 
 def category_state(batches: DataFrame, features: list[str], keys: list[str],
@@ -66,12 +90,16 @@ def category_sizes(state: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numeric_drift(state: DataFrame, profile: DataFrame, ks: DataFrame, keys: list[str],
-                  thresholds: dict | None = None) -> DataFrame:
-    """PSI and JSD over baseline bins, KS, and the combined status."""
-    base = F.broadcast(profile.select(
-        "feature", F.col("bin_counts").alias("_base"), F.col("n").alias("n_baseline"),
+                  thresholds: dict | DataFrame | None = None) -> DataFrame:
+    """PSI and JSD over baseline bins, KS, and the combined status.
+
+    ``thresholds`` are overrides for all, or a table (model keys, thresholds).
+    """
+    on = profiled_on(profile, keys)
+    base = near(profile.select(
+        *on, F.col("bin_counts").alias("_base"), F.col("n").alias("n_baseline"),
         F.col("min").alias("_min"), F.col("max").alias("_max")))
-    joined = state.join(base, "feature").join(
+    joined = state.join(base, on).join(
         ks.select(*keys, "feature", "ks", F.col("p_value").alias("_p")), [*keys, "feature"], "left")
     comparable = F.size("_base") == F.size("bin_counts")
     flat_apart = ((F.col("_min") == F.col("_max")) & (F.col("min") == F.col("max"))
@@ -87,16 +115,16 @@ def numeric_drift(state: DataFrame, profile: DataFrame, ks: DataFrame, keys: lis
 
 
 def categorical_drift(state: DataFrame, base: CategoryBaseline, keys: list[str],
-                      thresholds: dict | None = None) -> DataFrame:
+                      thresholds: dict | DataFrame | None = None) -> DataFrame:
     """PSI and JSD over the union of categories, chi-square, and the combined status.
 
     ``state`` is read several times: pass a stored table, not a plan over the raw rows.
     """
     counts = state.filter(F.col("category").isNotNull())
     sizes = category_sizes(state, keys).select(*keys, "feature", F.col("n").alias("n_current"))
-    base_sizes = base.totals.select("feature", F.col("b0").alias("n_baseline"))
+    base_sizes = base.totals.select(*base.keys, F.col("b0").alias("n_baseline"))
     scores = category_scores(counts, base, keys).drop("n_current")
-    joined = sizes.join(base_sizes, "feature").join(scores, [*keys, "feature"], "left")
+    joined = sizes.join(base_sizes, base.keys).join(scores, [*keys, "feature"], "left")
     scored = joined.select(
         *keys, "feature", F.lit(S.CATEGORICAL).alias("feature_type"),
         F.lit(S.CHI2).alias("test_name"),
@@ -107,10 +135,11 @@ def categorical_drift(state: DataFrame, base: CategoryBaseline, keys: list[str],
     return _with_status(scored, thresholds)
 
 
-def _with_status(scored: DataFrame, thresholds: dict | None) -> DataFrame:
+def _with_status(scored: DataFrame, thresholds: dict | DataFrame | None) -> DataFrame:
+    scored = with_limits(scored, thresholds)
     return scored.withColumn("status", classify_feature(
         F.col("psi"), F.col("jsd"), F.col("p_value"), F.col("n_baseline"), F.col("n_current"),
-        literal_thresholds(thresholds)))
+        thresholds_of(scored, thresholds)))
 
 
 def absent_features(batch_keys: DataFrame, absent: list[tuple[str, str]], keys: list[str],
@@ -121,7 +150,11 @@ def absent_features(batch_keys: DataFrame, absent: list[tuple[str, str]], keys:
     """
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("feature_type"))
                       for f, t in absent])
-    rows = batch_keys.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+    return absent_rows(batch_keys.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*"), keys)
+
+
+def absent_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Result rows of (keys, feature, feature_type) that a batch has no values of."""
     null = F.lit(None).cast("double")
     out = rows.select(
         *keys, "feature", "feature_type",
@@ -142,12 +175,12 @@ def status_counts(results: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("status") == S.INSUFFICIENT).alias("features_insufficient"))
 
 
-def drift_rollup(results: DataFrame, keys: list[str], thresholds: dict | None = None) -> DataFrame:
-    counts = status_counts(results, keys)
+def drift_rollup(results: DataFrame, keys: list[str], thresholds: dict | DataFrame | None = None) -> DataFrame:
+    counts = with_limits(status_counts(results, keys), thresholds)
     evaluated = F.col("features_total") - F.col("features_insufficient")
     return counts.withColumn("drift_status", rollup(
         F.col("features_high"), F.col("features_moderate"), evaluated,
-        literal_thresholds(thresholds)))
+        thresholds_of(counts, thresholds)))
 
 
 def severity_order(status: Column | None = None) -> Column:
@@ -182,16 +215,17 @@ def drift_report(batches: DataFrame, profile_num: DataFrame | None, base: Catego
                  thresholds: dict | None = None, declared: dict[str, str] | None = None) -> DataFrame:
     """All monitored features of all batches. Features the table lacks are reported as such.
 
-    The raw rows are read three times, each time only the columns needed: for the numeric state,
-    the value counts that KS looks up in the rank index ``reference``, and the category state.
+    The raw rows are read twice, each time only the columns needed: for the value counts, which KS looks up in
+    the rank index ``reference``, and for the category state.
     """
     here = set(batches.columns)
     parts = []
     num = [f for f in numeric if f in here]
     cat = [f for f in categorical if f in here]
     if num:
-        state = numeric_state(batches, profile_num, num, keys)
-        ks = ks_statistic(batches, reference, num, keys)
+        values = materialise(value_counts(numeric_long(batches, num, keys), keys), "value-counts")
+        state = numeric_state_of(values, profile_num, keys)
+        ks = ks_of_counts(known_counts(values, keys), reference, keys)
         parts.append(numeric_drift(state, profile_num, ks, keys, thresholds))
     if cat:
         stored = materialise(category_state(batches, cat, keys, declared), "category-state")

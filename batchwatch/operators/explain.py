@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
-from ..functions.status import Thresholds, literal_thresholds
+from ..functions.status import Thresholds, thresholds_of
+from ..storage import near
 from .categories import CategoryBaseline, baseline_shares
+from .drift import profiled_on
 
 _POINTS = 0.5
 
@@ -99,17 +101,17 @@ def top_movers(batch_counts: DataFrame, base: CategoryBaseline, keys: list[str],
         batch_counts.groupBy(*group).agg(F.sum("n").alias("t")), group).select(
         *group, "category", (100.0 * F.col("n") / F.col("t")).alias("after"))
     shares = baseline_shares(base).select(
-        "feature", "category", (100.0 * F.col("p")).alias("before"))
+        *base.keys, "category", (100.0 * F.col("p")).alias("before"))
     asked = (drifted if drifted is not None else batch_counts).select(*group).distinct()
-    major_list = shares.filter(F.col("before") > _POINTS).groupBy("feature").agg(
+    major_list = shares.filter(F.col("before") > _POINTS).groupBy(*base.keys).agg(
         F.collect_list("category").alias("major"))  # fewer than 200 entries per feature
-    from_base = asked.join(F.broadcast(major_list), "feature").select(
+    from_base = asked.join(major_list if len(base.keys) > 1 else F.broadcast(major_list), base.keys).select(
         *group, F.explode("major").alias("category"))
     from_batch = cur.filter(F.col("after") > _POINTS).join(asked, group, "left_semi").select(
         *group, "category")
     candidates = from_base.unionByName(from_batch).distinct()
     moves = (candidates.join(cur, [*group, "category"], "left")
-             .join(shares, ["feature", "category"], "left")
+             .join(shares, [*base.keys, "category"], "left")
              .fillna(0.0, ["after", "before"]))
     delta = F.col("after") - F.col("before")
     w = Window.partitionBy(*group)
@@ -182,30 +184,31 @@ def categorical_text(t: Thresholds) -> Column:
 
 def explain_numeric(results: DataFrame, state: DataFrame, profile: DataFrame, keys: list[str],
                     thresholds: dict | None = None) -> DataFrame:
-    t = literal_thresholds(thresholds)
+    t = thresholds_of(results, thresholds)
+    on = profiled_on(profile, keys)
     cur = state.select(
         *keys, "feature", F.col("mean").alias("cur_mean"), F.col("std").alias("cur_std"),
         F.when(F.col("rows") > 0, F.bround(100.0 * (F.col("rows") - F.col("n")) / F.col("rows"), 4))
         .alias("cur_missing_pct"))
-    base = F.broadcast(profile.select(
-        "feature", F.col("mean").alias("base_mean"), F.col("std").alias("base_std"),
+    base = near(profile.select(
+        *on, F.col("mean").alias("base_mean"), F.col("std").alias("base_std"),
         F.col("missing_pct").alias("base_missing_pct")))
-    joined = results.join(cur, [*keys, "feature"], "left").join(base, "feature", "left")
+    joined = results.join(cur, [*keys, "feature"], "left").join(base, on, "left")
     return joined.select(*results.columns, numeric_text(t).alias("explanation"))
 
 
 def explain_categorical(results: DataFrame, state: DataFrame, base: CategoryBaseline,
                         unseen: DataFrame, keys: list[str],
                         thresholds: dict | None = None) -> DataFrame:
-    t = literal_thresholds(thresholds)
+    t = thresholds_of(results, thresholds)
     group = [*keys, "feature"]
     counts = state.filter(F.col("category").isNotNull())
     drifted = results.filter(F.col("status").isin(S.HIGH, S.MODERATE))
     movers = mover_sentences(top_movers(counts, base, keys, drifted), keys)
     first = first_unseen(unseen, keys).select(*group, "first_values", "more")
-    known = base.totals.select("feature", F.col("k0").alias("base_categories"))
+    known = base.totals.select(*base.keys, F.col("k0").alias("base_categories"))
     joined = (results.join(movers, group, "left").join(first, group, "left")
-              .join(known, "feature", "left"))
+              .join(known, base.keys, "left"))
     return joined.select(*results.columns, categorical_text(t).alias("explanation"))
 
 

@@ -13,13 +13,17 @@ from .categories import category_baseline, category_divergence
 def mix_divergence(counts: DataFrame, baseline_mix: DataFrame, keys: list[str]) -> DataFrame:
     """JSD of every batch's predicted class mix to the model's mix on its baseline.
 
-    ``counts`` has keys, y_pred, n; ``baseline_mix`` y_pred, n, one row per class.
+    ``counts`` has keys, y_pred, n; ``baseline_mix`` y_pred, n, one row per class, with model keys if of several.
     """
+    own = [k for k in keys if k in baseline_mix.columns]
+
     def as_categories(df: DataFrame) -> DataFrame:
         return df.withColumnRenamed("y_pred", "category").withColumn("feature", F.lit("mix"))
 
     batch = as_categories(counts.groupBy(*keys, "y_pred").agg(F.sum("n").alias("n")))
-    base = category_baseline(local_copy(as_categories(baseline_mix.select("y_pred", "n"))))
+    if own:  # the mix of other models is not known
+        batch = batch.join(baseline_mix.select(*own).distinct(), own, "left_semi")
+    base = category_baseline(local_copy(as_categories(baseline_mix.select(*own, "y_pred", "n"))), [*own, "feature"])
     return category_divergence(batch, base, keys).select(*keys, F.col("jsd").alias("mix_jsd"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import ks_pvalue
-from ..storage import materialise
+from ..storage import materialise, near
 from .longform import numeric_long
 from .rank_index import RankIndex, rank_of
 
@@ -37,7 +37,7 @@ def ks_of_counts(counted: DataFrame, reference: RankIndex, keys: list[str],
                  effective_size: int | None = None) -> DataFrame:
     """``ks_statistic`` of value counts (keys, the index's group columns, value, c)."""
     group = [*keys, *[g for g in reference.group if g not in keys]]
-    totals = F.broadcast(reference.totals.where("n > 0").select(*reference.group, F.col("n").alias("n_reference")))
+    totals = near(reference.totals.where("n > 0").select(*reference.group, F.col("n").alias("n_reference")))
     placed = materialise(rank_of(counted, reference).groupBy(*group, "below", "upto").agg(F.sum("c").alias("c")).join(
         totals, reference.group).withColumn("_slice", F.expr(f"upto * {SLICES} div n_reference")), "batch-ranks")
     own = ", ".join(f"`{k}`" for k in group)

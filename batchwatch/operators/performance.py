@@ -19,21 +19,30 @@ def labels_available(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.max(F.col("y_true").isNotNull()).alias("labels_available"))
 
 
-def _with_labels(per_class: DataFrame, batches: DataFrame, keys: list[str], labels: list,
+def _with_labels(per_class: DataFrame, batches: DataFrame, keys: list[str], labels: list | DataFrame,
                  name: str) -> DataFrame:
-    """One row per batch and known class; the class list is the model's, so it is short."""
-    grid = batches.select(
-        *keys, F.explode(F.array(*[F.lit(str(x)) for x in labels])).alias(name))
+    """One row per batch and known class; the class list is the model's, so it is short.
+
+    ``labels`` as a table has model keys and ``label``.
+    """
+    if isinstance(labels, DataFrame):
+        grid = batches.select(*keys).join(labels.withColumnRenamed("label", name), [c for c in labels.columns if c in keys])
+    else:
+        grid = batches.select(
+            *keys, F.explode(F.array(*[F.lit(str(x)) for x in labels])).alias(name))
     return grid.join(per_class, [*keys, name], "left").fillna(0)
 
 
-def prediction_distribution(counts: DataFrame, keys: list[str], labels: list | None = None) -> DataFrame:
+def prediction_distribution(counts: DataFrame, keys: list[str], labels: list | DataFrame | None = None) -> DataFrame:
     """Per batch and class: count, share and total. Known classes never predicted show as 0."""
     per = counts.groupBy(*keys, "y_pred").agg(F.sum("n").alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     if labels is not None:
         known = _with_labels(per, totals.select(*keys), keys, labels, "y_pred")
-        other = per.filter(~F.col("y_pred").isin([str(x) for x in labels]))
+        if isinstance(labels, DataFrame):
+            other = per.join(known.select(*keys, "y_pred"), [*keys, "y_pred"], "left_anti")
+        else:
+            other = per.filter(~F.col("y_pred").isin([str(x) for x in labels]))
         per = known.unionByName(other)
     return per.join(totals, keys).select(
         *keys, F.col("y_pred").alias("label"), "n",
@@ -49,7 +58,7 @@ def confusion_matrix(counts: DataFrame, keys: list[str], labels: list) -> DataFr
     return grid.join(labelled, [*keys, "y_true", "y_pred"], "left").fillna(0, ["n"])
 
 
-def class_totals(counts: DataFrame, keys: list[str], labels: list | None = None) -> DataFrame:
+def class_totals(counts: DataFrame, keys: list[str], labels: list | DataFrame | None = None) -> DataFrame:
     """Per batch and class: support, predicted and true-positive counts over labelled rows."""
     labelled = counts.filter(F.col("y_true").isNotNull())
     zero = F.lit(0).cast("long")
@@ -94,18 +103,26 @@ def macro_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("f1").alias("f1_macro"))
 
 
-def positive_metrics(metrics: DataFrame, keys: list[str], positive: str | None) -> DataFrame:
-    """Metrics of the positive class; null unless there are exactly two classes incl. it."""
-    is_positive = F.col("label") == F.lit(positive)
+def positive_metrics(metrics: DataFrame, keys: list[str], positive: str | DataFrame | None) -> DataFrame:
+    """Metrics of the positive class; null unless there are exactly two classes incl. it.
+
+    ``positive`` as a table has model keys and ``positive``.
+    """
+    if isinstance(positive, DataFrame):
+        metrics = metrics.join(positive, [c for c in positive.columns if c in keys], "left")
+        own = F.col("positive")
+    else:
+        own = F.lit(positive).cast("string")
+    is_positive = F.col("label") == own
     binary = (F.count("*") == 2) & (F.count_if(is_positive) == 1)
     return metrics.groupBy(*keys).agg(*[
         F.when(binary, F.max(F.when(is_positive, F.col(m)))).alias(f"{m}_positive")
         for m in ("precision", "recall", "f1")],
-        F.when(binary, F.lit(positive)).alias("positive_class"))
+        F.when(binary, F.max(own)).alias("positive_class"))
 
 
-def performance_block(counts: DataFrame, keys: list[str], labels: list | None = None,
-                      positive: str | None = None) -> DataFrame:
+def performance_block(counts: DataFrame, keys: list[str], labels: list | DataFrame | None = None,
+                      positive: str | DataFrame | None = None) -> DataFrame:
     """Everything known about a batch; metrics of unlabelled batches are null, never 0."""
     per_class = class_metrics(class_totals(counts, keys, labels))
     sizes = counts.groupBy(*keys).agg(

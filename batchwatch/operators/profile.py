@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import pct
 from ..schemas import BIN_COUNT
-from ..storage import local_copy
+from ..storage import local_copy, near
 from .longform import category_long
 from .quantiles import exact_quantiles
 from .rank_index import RankIndex, moments_of, quantiles_of, rank_index
@@ -107,12 +107,12 @@ def profile_numeric(df: DataFrame, features: list[str], bins: int = BIN_COUNT) -
 def profile_index(index: RankIndex, bins: int = BIN_COUNT) -> DataFrame:
     """The numeric profile, from value counts and quantiles of the index; the rows are not read again."""
     group = index.group
-    q = local_copy(quantiles_of(index, _edge_probs(bins) + _QUARTILES).select(
-        *group, "quantiles", edges_from_quantiles(F.slice("quantiles", 1, bins + 1)).alias("bin_edges")))
-    binned = index.counts.join(F.broadcast(q), group, "left").withColumn(
+    q = near(local_copy(quantiles_of(index, _edge_probs(bins) + _QUARTILES).select(
+        *group, "quantiles", edges_from_quantiles(F.slice("quantiles", 1, bins + 1)).alias("bin_edges"))))
+    binned = index.counts.join(q, group, "left").withColumn(
         "_bin", bin_index("value", "bin_edges", bins))
     counters = [F.expr(f"coalesce(sum(CASE WHEN _bin = {i} THEN n END), 0L)").alias(f"_bin{i}") for i in range(bins)]
-    stats = moments_of(index, counters, binned).join(F.broadcast(q), group, "left")
+    stats = moments_of(index, counters, binned).join(q, group, "left")
     empty = F.array().cast("array<double>")
     return stats.select(
         *group, "n", "missing", pct(F.col("missing"), F.col("n") + F.col("missing")).alias("missing_pct"),

@@ -12,6 +12,10 @@ from .categories import CategoryBaseline, unseen_categories
 from .drift import category_sizes
 
 
+#: instead of kinds: every value arrived as text, so a numeric column mismatches when a value does not parse
+BY_CONTENT = "content"
+
+
 def _row_digest(df: DataFrame, columns: list[str]) -> Column:
     """SHA-256 of a row: 32 bytes to shuffle instead of the row. Nulls and types are kept apart."""
     types = {f.name: f.dataType for f in df.schema}
@@ -53,7 +57,9 @@ def static_mismatches(batches: DataFrame, expected: dict[str, str]) -> dict[str,
     return out
 
 
-def _mismatch(kinds: dict[str, tuple[str, str, bool]], unparsable: Column) -> Column:
+def _mismatch(kinds: dict[str, tuple[str, str, bool]] | str, unparsable: Column) -> Column:
+    if kinds == BY_CONTENT:
+        return unparsable > 0
     by_content = [f for f, (_, _, content) in kinds.items() if content]
     fixed = [f for f, (want, got, content) in kinds.items() if want != got and not content]
     never = F.lit(False)
@@ -70,7 +76,7 @@ def type_mismatches(columns: DataFrame, kinds: dict[str, tuple[str, str, bool]])
 
 
 def numeric_quality(state: DataFrame, keys: list[str],
-                    kinds: dict[str, tuple[str, str, bool]] | None = None) -> DataFrame:
+                    kinds: dict[str, tuple[str, str, bool]] | str | None = None) -> DataFrame:
     """Per-column report of numeric features, from the numeric batch state."""
     return state.select(
         *keys, "feature", F.lit(S.NUMERIC).alias("type"), "rows", "missing",
@@ -84,7 +90,7 @@ def numeric_quality(state: DataFrame, keys: list[str],
 
 
 def categorical_quality(state: DataFrame, base: CategoryBaseline, keys: list[str],
-                        kinds: dict[str, tuple[str, str, bool]] | None = None) -> DataFrame:
+                        kinds: dict[str, tuple[str, str, bool]] | str | None = None) -> DataFrame:
     """Per-column report of categorical features, from the category batch state."""
     sizes = category_sizes(state, keys)
     unseen = unseen_categories(

@@ -15,8 +15,12 @@ from ..storage import materialise
 
 def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float], value: str = "value") -> DataFrame:
     """keys + ``quantiles``: one linearly interpolated value per probability."""
-    counted = long.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).groupBy(
-        *keys, "_v").agg(F.count("*").alias("_c"))
+    return counted_quantiles(long.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull()).groupBy(
+        *keys, "_v").agg(F.count("*").alias("_c")), keys, probs)
+
+
+def counted_quantiles(counted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """``exact_quantiles`` of counts (keys, _v, _c) of distinct values."""
     ranged = materialise(counted.repartitionByRange(*keys, "_v").withColumn(
         "_slice", F.spark_partition_id()), "value-ranges")
     own = ", ".join(f"`{k}`" for k in keys)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import local_copy, materialise, scratch
+from ..storage import local_copy, materialise, near, scratch
 from .longform import numeric_long
 
 #: a page is searched in two steps of SIDE places
@@ -130,8 +130,7 @@ def quantiles_of(index: RankIndex, probs: list[float]) -> DataFrame:
     """group + ``quantiles``: one linearly interpolated value per probability, read from the pages that hold them."""
     wanted = ", ".join(f"struct({i} AS i, {j} AS j, {step}((n - 1) * {float(p)!r}D) AS h)"
                        for i, p in enumerate(probs) for j, step in enumerate(("floor", "ceil")))
-    # totals have one row per group
-    pages = index.levels[0].join(F.broadcast(index.totals.select(*index.group, "n")), index.group)
+    pages = index.levels[0].join(near(index.totals.select(*index.group, "n")), index.group)
     held = pages.withColumn("_q", F.expr(
         f"explode(filter(array({wanted}), q -> q.h >= before AND q.h < element_at(upto, -1)))"))
     value = "get(vals, size(filter(upto, u -> u <= _q.h)))"
@@ -149,7 +148,7 @@ def moments_of(index: RankIndex, extra: list[Column] | None = None, on: DataFram
     rows = index.counts if on is None else on
     v, n = F.col("value"), F.when(F.col("value").isNotNull(), F.col("n"))
     mean = index.counts.groupBy(*index.group).agg((F.sum(v * n) / F.sum(n)).alias("_mean"))
-    return rows.join(F.broadcast(local_copy(mean)), index.group).groupBy(*index.group).agg(
+    return rows.join(near(local_copy(mean)), index.group).groupBy(*index.group).agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.when(v.isNull(), F.col("n"))), F.lit(0)).alias("missing"),
         F.max("_mean").alias("mean"), F.sqrt(F.sum(n * F.pow(v - F.col("_mean"), 2)) / F.sum(n)).alias("std"),

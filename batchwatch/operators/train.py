@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.values import as_category, as_number
 from . import performance as P
+from ..storage import materialise
 from .sampling import stratified_split
 
 MIN_TRAINING_ROWS = 100
@@ -135,6 +136,39 @@ def score_with_function(df: DataFrame, features: list[str], predict) -> DataFram
     return df.mapInPandas(run, schema)
 
 
+def score_isolated(df: DataFrame, keys: list[str], features: list[str], predict) -> tuple[DataFrame, DataFrame]:
+    """(scored rows, failures): like ``score_with_function``, but an error fails its batch and no other.
+
+    The model sees the rows of one batch at a time. A batch with an error in any of its parts is in failures (keys,
+    row_count, message of the first error by text) and has no scored rows. Rows and errors are written in one pass.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(_PREDICTION, T.StringType()), T.StructField("_error", T.StringType())])
+
+    def judged(part):
+        try:
+            labels = list(predict(part[features]))
+            if len(labels) != len(part):
+                raise ValueError(f"model returned {len(labels)} predictions for {len(part)} rows")
+        except Exception as error:  # whatever a model raises is the batch's result
+            return part.assign(**{_PREDICTION: None, "_error": f"{type(error).__name__}: {error}"})
+        return part.assign(**{_PREDICTION: [str(x) for x in labels], "_error": None})
+
+    def run(frames):
+        for frame in frames:
+            for _, part in frame.groupby(keys, sort=False, dropna=False):
+                yield judged(part)
+
+    stored = materialise(df.mapInPandas(run, schema), "scored")
+    sizes = stored.groupBy(*keys).agg(F.count("*").alias("row_count"), F.min("_error").alias("message"))
+    failures = materialise(sizes.where("message IS NOT NULL"), "failures")
+    return stored.join(failures.select(*keys), keys, "left_anti").drop("_error"), failures
+
+
+def failed_runs(failures: DataFrame, keys: list[str]) -> DataFrame:
+    """A FAILED run for every batch whose scoring failed; readers see it beside the runs of the others."""
+    return failures.select(*keys, F.lit(S.FAILED).alias("status"), "row_count", "message")
+
+
 def holdout_metrics(scored: DataFrame, target: str, positive: str | None = None) -> DataFrame:
     """One row: accuracy, precision, recall, F1; of the positive class if binary, else macro.
 

@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.values import dtype_kind
+from ..functions.status import with_limits
+from ..functions.values import dtype_kind, pct
 from ..operators import categories as C
 from ..operators import drift as D
 from ..operators import explain as E
 from ..operators import health as H
 from ..operators import performance as P
 from ..operators import quality as Q
-from ..operators.ks import ks_statistic
-from ..operators.profile import profile_categories, profile_index, stored_profile
+from ..operators.ks import ks_of_counts
+from ..operators.longform import numeric_long
+from ..operators.profile import profile_categorical, profile_categories, profile_index, stored_profile
+from ..operators.quantiles import counted_quantiles
 from ..operators.rank_index import RankIndex, rank_index
-from ..storage import materialise
+from ..storage import local_copy, materialise, near
 
 
 @dataclass
@@ -30,8 +33,10 @@ class Baseline:
     profile: DataFrame | None
     categories: C.CategoryBaseline | None
     index: RankIndex | None
+    sizes: DataFrame | None = None
     kinds: dict[str, str] = field(default_factory=dict)
     declared: dict[str, str] = field(default_factory=dict)
+    roles: DataFrame | None = None
 
 
 def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str]) -> Baseline:
@@ -43,6 +48,7 @@ def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str])
         materialise(profile_categories(df, categorical), "profile-categories")) if categorical else None
     return Baseline(
         numeric, categorical, profile, categories, index,
+        local_copy(profile_categorical(df, categorical)) if categorical else None,
         {f: dtype_kind(types[f]) for f in [*numeric, *categorical]},
         {f: types[f].simpleString() for f in categorical})
 
@@ -56,11 +62,16 @@ class MonitoringResult:
     performance: DataFrame
     mix: DataFrame
     confusion: DataFrame
+    feature_summaries: DataFrame | None = None
+    unseen_values: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"runs": self.runs, "feature_results": self.feature_results,
-                "quality_reports": self.quality_reports, "quality_columns": self.quality_columns,
-                "performance": self.performance, "mix": self.mix, "confusion": self.confusion}
+        """What to store; a run without categorical features has no unseen values."""
+        found = {"runs": self.runs, "feature_results": self.feature_results,
+                 "quality_reports": self.quality_reports, "quality_columns": self.quality_columns,
+                 "performance": self.performance, "mix": self.mix, "confusion": self.confusion,
+                 "feature_summaries": self.feature_summaries, "unseen_values": self.unseen_values}
+        return {name: table for name, table in found.items() if table is not None}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -77,58 +88,117 @@ def run_monitoring(batches: DataFrame, baseline: Baseline, keys: list[str], pred
                    thresholds: dict | None = None) -> MonitoringResult:
     """Monitor every batch of the table in one go.
 
-    Rows are read by five aggregations, each over its own columns: numeric state, value
-    counts, category state, row digests and outcomes. What they leave is written to the shared
-    folder, since every result table is derived from it and none should read the rows again.
+    Rows are read by four aggregations, each over its own columns: value counts, category state, row
+    digests and outcomes. What they leave is written to the shared folder, since every result table is
+    derived from it and none should read the rows again.
     """
     here = set(batches.columns)
     num = [f for f in baseline.numeric if f in here]
     cat = [f for f in baseline.categorical if f in here]
-    kinds = Q.static_mismatches(batches, baseline.kinds)
+    if not baseline.numeric and not baseline.categorical:
+        raise ValueError("the baseline has no features to monitor")
     truth = target if target in here else None
     scored = batches.withColumn("_prediction", prediction).withColumn(
         "_truth", F.col(truth) if truth else F.lit(None).cast("string"))
     outcomes = materialise(P.outcome_counts(scored, keys, "_truth", "_prediction"), "outcomes")
     duplicates = materialise(Q.duplicate_rows(batches, keys), "duplicates")
+    values = materialise(D.value_counts(numeric_long(batches, num, keys), keys), "value-counts") if num else None
+    state = materialise(D.category_state(batches, cat, keys, baseline.declared), "category-state") if cat else None
+    gone = [(f, S.NUMERIC) for f in baseline.numeric if f not in here] + [
+        (f, S.CATEGORICAL) for f in baseline.categorical if f not in here]
+    absent = D.absent_features(duplicates.select(*keys), gone, keys) if gone else None
+    limits = {**S.THRESHOLDS, **(thresholds or {})}
+    models = duplicates.select(*keys).withColumn("reference_accuracy", F.lit(reference_accuracy).cast("double")).withColumn(
+        "thresholds", F.struct(*[F.lit(float(v)).alias(k) for k, v in limits.items()]))
+    return derive(values, state, duplicates, outcomes, baseline, keys, models, absent, labels, positive, baseline_mix,
+                  thresholds, Q.static_mismatches(batches, baseline.kinds))
 
-    results, columns = [], []
-    if num:
-        state = materialise(D.numeric_state(batches, baseline.profile, num, keys), "numeric-state")
-        ks = ks_statistic(batches, baseline.index, num, keys)
-        drift = D.numeric_drift(state, baseline.profile, ks, keys, thresholds)
-        results.append(E.explain_numeric(drift, state, baseline.profile, keys, thresholds))
-        columns.append(Q.numeric_quality(state, keys, kinds))
-    if cat:
-        state = materialise(D.category_state(batches, cat, keys, baseline.declared), "category-state")
+
+def derive(values: DataFrame | None, state: DataFrame | None, duplicates: DataFrame, outcomes: DataFrame,
+           baseline: Baseline, keys: list[str], models: DataFrame, absent: DataFrame | None,
+           labels: list | DataFrame | None, positive: str | DataFrame | None, baseline_mix: DataFrame | None,
+           thresholds: dict | DataFrame | None, kinds: dict | None) -> MonitoringResult:
+    """All result tables of a run from its aggregated states; no raw row is read.
+
+    ``values`` and ``state``, both stored, count numeric values and categories, ``models`` gives reference_accuracy and thresholds
+    per model or batch. With a baseline of many models, ``keys`` and the tables carry the model's key.
+    """
+    results, columns, unseen_values = [], [], None
+    if values is not None:
+        numbers = materialise(D.numeric_state_of(values, baseline.profile, keys), "numeric-state")
+        ks = ks_of_counts(D.known_counts(values, keys), baseline.index, keys)
+        drift = D.numeric_drift(numbers, baseline.profile, ks, keys, thresholds)
+        results.append(E.explain_numeric(drift, numbers, baseline.profile, keys, thresholds))
+        columns.append(Q.numeric_quality(numbers, keys, kinds))
+    if state is not None:
         present = state.filter(F.col("category").isNotNull())
         # explanations look at the results several times
         drift = materialise(D.categorical_drift(state, baseline.categories, keys, thresholds),
                             "categorical-drift")
-        unseen = C.unseen_categories(present, baseline.categories, keys)
+        unseen_values = materialise(C.unseen_categories(present, baseline.categories, keys), "unseen")
         results.append(E.explain_categorical(
-            drift, state, baseline.categories, unseen, keys, thresholds))
+            drift, state, baseline.categories, unseen_values, keys, thresholds))
         columns.append(Q.categorical_quality(state, baseline.categories, keys, kinds))
-    gone = [(f, S.NUMERIC) for f in baseline.numeric if f not in here] + [
-        (f, S.CATEGORICAL) for f in baseline.categorical if f not in here]
-    if gone:
-        results.append(E.explain_absent(D.absent_features(duplicates.select(*keys), gone, keys)))
+    if absent is not None:
+        results.append(E.explain_absent(with_limits(absent, thresholds)))
 
-    if not results:
-        raise ValueError("the baseline has no features to monitor")
-    features = materialise(_union(results), "features")
+    features = materialise(_union(results).drop("thresholds"), "features")
     quality_columns = _union(columns) if columns else Q.no_columns(duplicates, keys)
     quality = Q.quality_report(quality_columns, duplicates, keys)
-    rolled = D.drift_rollup(features, keys, thresholds)
+    rolled = D.drift_rollup(features, keys, thresholds).drop("thresholds")
     block = P.performance_block(outcomes, keys, labels, positive)
     mix = P.prediction_distribution(outcomes, keys, labels)
-    reference = F.lit(reference_accuracy).cast("double")
-    joined = quality.select(*keys, "row_count", "quality_score").join(rolled, keys).join(block, keys)
+    joined = quality.select(*keys, "row_count", "quality_score").join(rolled, keys, "left").join(block, keys)
     if baseline_mix is not None:
         joined = joined.join(H.mix_divergence(outcomes, baseline_mix, keys), keys, "left")
     else:
         joined = joined.withColumn("mix_jsd", F.lit(None).cast("double"))
-    runs = H.health_score(joined.withColumn("reference_accuracy", reference))
     # the limits the run was judged by stay with it
-    limits = {**S.THRESHOLDS, **(thresholds or {})}
-    runs = runs.withColumn("thresholds", F.struct(*[F.lit(float(v)).alias(k) for k, v in limits.items()]))
-    return MonitoringResult(runs, features, quality, quality_columns, block, mix, outcomes)
+    joined = joined.join(models, [k for k in keys if k in models.columns])
+    runs = H.health_score(joined)
+    return MonitoringResult(
+        runs, features, quality, quality_columns, block, mix, outcomes,
+        summaries(values, state, baseline, keys) if values is not None or state is not None else None, unseen_values)
+
+
+def summaries(values: DataFrame | None, state: DataFrame | None, baseline: Baseline, keys: list[str]) -> DataFrame:
+    """Baseline and current side of every feature result as a reader of the stored run shows them.
+
+    keys, feature, and a struct each: n, missing, missing_pct, mean, std, min, q1, median, q3, max, bin_edges and
+    bin_counts of numeric features; n, missing, missing_pct and n_unique of categorical ones. The counts that the
+    results came from hold all of it.
+    """
+    numeric = ["mean", "std", "min", "q1", "median", "q3", "max"]
+    both = ["n", "missing", "missing_pct"]
+    lists = {"bin_edges": "array<double>", "bin_counts": "array<bigint>"}
+    null = {**{c: F.lit(None).cast("double") for c in numeric}, **{c: F.lit(None).cast(t) for c, t in lists.items()},
+            "n_unique": F.lit(None).cast("long")}
+
+    def side(known: dict[str, Column]) -> Column:
+        given = {**null, **known}
+        return F.struct(*[given[c].alias(c) for c in (*both, *numeric, *lists, "n_unique")])
+
+    parts = []
+    if values is not None:
+        on = D.profiled_on(baseline.profile, keys)
+        group = [*keys, "feature"]
+        state_of = D.numeric_state_of(values, baseline.profile, keys)
+        q = counted_quantiles(values.filter(F.col("value").isNotNull()).select(*group, F.col("value").alias("_v"),
+                                                                                F.col("n").alias("_c")), group, [0.25, 0.5, 0.75])
+        current = state_of.join(q, group, "left").join(near(baseline.profile.select(*on, "bin_edges")), on).withColumn(
+            "missing", F.col("rows") - F.col("n")).select(*group, side({
+                **{c: F.col(c) for c in ("n", "missing", "mean", "std", "min", "max", "bin_edges", "bin_counts")},
+                "missing_pct": pct(F.col("missing"), F.col("rows")),
+                **{c: F.get("quantiles", F.lit(i)) for i, c in enumerate(("q1", "median", "q3"))}}).alias("current"))
+        base = baseline.profile.select(*on, side({
+            c: F.col(c) for c in (*both, *numeric, *lists)}).alias("baseline"))
+        parts.append(current.join(near(base), on))
+    if state is not None:
+        sizes = D.category_sizes(state, keys)
+        current = sizes.select(*keys, "feature", side({
+            "n": F.col("n"), "missing": F.col("missing"), "missing_pct": pct(F.col("missing"), F.col("rows")),
+            "n_unique": F.col("n_unique")}).alias("current"))
+        base = baseline.sizes.select(*baseline.categories.keys, side({
+            c: F.col(c) for c in (*both, "n_unique")}).alias("baseline"))
+        parts.append(current.join(base, baseline.categories.keys))
+    return _union(parts)

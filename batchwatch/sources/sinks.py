@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHILD_TABLES = ("feature_results", "quality_reports", "quality_columns", "performance", "mix", "confusion")
+CHILD_TABLES = ("feature_results", "feature_summaries", "unseen_values", "quality_reports", "quality_columns",
+                "performance", "mix", "confusion")
 
 
 def persist_runs(tables: dict[str, DataFrame], root: str, commit_id: str) -> None:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,8 @@ def local_copy(df: DataFrame, most: int = 100_000) -> DataFrame:
     if rows.num_rows > most:
         return materialise(df, "large")
     return df.sparkSession.createDataFrame(rows)
+
+
+def near(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored or local table with a broadcast hint if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
