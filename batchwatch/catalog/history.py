@@ -260,7 +260,8 @@ def page(spark, sf):
 
 
 def schema_compatible(spark, sf):
-    return _with_compatible(spark, sf, _pairs(spark, sf))
+    """Every version and its predecessor: are their features the same?"""
+    return _with_compatible(spark, sf, _steps(spark, sf))
 
 
 def _with_compatible(spark, sf, pairs):
@@ -273,12 +274,6 @@ def _with_compatible(spark, sf, pairs):
         "model_id", "a_id", "b_id", H.schema_compatible(F.col("a_names"), F.col("b_names")).alias("compatible"))
 
 
-def _pairs(spark, sf):
-    """Per model its first and last version, as the comparison screen offers by default."""
-    return B.versions(spark, sf).groupBy("model_id").agg(
-        F.max("version_id").alias("a_id"), F.min("version_id").alias("b_id")).filter("a_id <> b_id")
-
-
 def _steps(spark, sf):
     """Every version with its predecessor in the model."""
     before = F.lag("version_id").over(Window.partitionBy("model_id").orderBy("version_id"))
@@ -335,35 +330,29 @@ def model_overview(spark, sf):
     return H.model_overview(B.models(spark, sf), B.runs(spark, sf), B.versions(spark, sf)).drop("name")
 
 
-def _comparison(spark, sf):
+def _step_comparison(spark, sf):
     stats = materialise(H.version_stats(
         B.versions(spark, sf), B.runs(spark, sf), B.alerts(spark, sf)), "version-stats")
-    pairs = _pairs(spark, sf).withColumn("compatible", F.col("model_id") % 2 == 0)
+    pairs = materialise(_with_compatible(spark, sf, _steps(spark, sf)), "version-pairs")
     return H.version_comparison(pairs, stats)
 
 
 def version_comparison(spark, sf):
-    return rounded(_comparison(spark, sf), "a_value", "b_value", "delta")
+    """Every version beside its predecessor; drift is compared if their features are the same."""
+    return rounded(_step_comparison(spark, sf), "a_value", "b_value", "delta")
 
 
 def comparison_verdict(spark, sf):
-    return H.comparison_verdict(_comparison(spark, sf))
-
-
-def _step_comparison(spark, sf):
-    stats = materialise(H.version_stats(
-        B.versions(spark, sf), B.runs(spark, sf), B.alerts(spark, sf)), "version-stats")
-    pairs = materialise(_with_compatible(spark, sf, _steps(spark, sf)), "version-pairs")
-    return H.version_comparison(pairs, stats)
+    return H.comparison_verdict(_step_comparison(spark, sf))
 
 
+# the same under the names they first had
 def version_steps(spark, sf):
-    """Every version beside its predecessor; drift is compared if their features are the same."""
-    return rounded(_step_comparison(spark, sf), "a_value", "b_value", "delta")
+    return version_comparison(spark, sf)
 
 
 def version_steps_verdict(spark, sf):
-    return H.comparison_verdict(_step_comparison(spark, sf))
+    return comparison_verdict(spark, sf)
 
 
 def time_labels(spark, sf):
@@ -460,9 +449,6 @@ def _compare_row(i: int, name: str, label: str, more: bool | None, compatible: s
             f"FROM pairs p JOIN stats a ON a.version_id = a_id JOIN stats b ON b.version_id = b_id{where}")
 
 
-_PAIRS = """pairs AS (SELECT model_id, max(version_id) AS a_id, min(version_id) AS b_id FROM versions GROUP BY model_id HAVING max(version_id) <> min(version_id))"""
-_COMPARE = [B.RUNS_SQL, B.VERSIONS_SQL, B.ALERTS_SQL, _COMPARE_STATS, _PAIRS,
-            "cmp AS (" + " UNION ALL ".join(_compare_row(i, *c) for i, c in enumerate(H.COMPARED)) + ")"]
 _STEPS = """fs AS (SELECT version_id, list_sort(list(DISTINCT feature)) AS l
   FROM feature_results f JOIN runs r ON r.run_id = f.run_id GROUP BY version_id),
 steps AS (SELECT model_id, version_id AS a_id, lag(version_id) OVER (PARTITION BY model_id ORDER BY version_id) AS b_id FROM versions),
@@ -576,10 +562,7 @@ SELECT model_id, run_id, position FROM p WHERE n <= 7 OR position = n
 FROM models m LEFT JOIN latest USING (model_id) """,
     "recent_k": Q.with_(B.RUNS_SQL) + "SELECT run_id, created_at FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 8",
     "page": Q.with_(B.RUNS_SQL) + "SELECT run_id, created_at FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 25 OFFSET 50",
-    "schema_compatible": Q.with_(B.RUNS_SQL, B.VERSIONS_SQL, B.FEATURES_SQL, _PAIRS) + """, fs AS (SELECT version_id, list_sort(list(DISTINCT feature)) AS l
-  FROM feature_results f JOIN runs r ON r.run_id = f.run_id GROUP BY version_id)
-SELECT p.model_id, a_id, b_id, a.l IS NULL OR b.l IS NULL OR a.l = b.l AS compatible FROM pairs p
-LEFT JOIN fs a ON a.version_id = a_id LEFT JOIN fs b ON b.version_id = b_id""",
+    "schema_compatible": Q.with_(B.RUNS_SQL, B.VERSIONS_SQL, B.FEATURES_SQL, _STEPS) + "SELECT model_id, a_id, b_id, compatible FROM pairs",
     "alert_rules": Q.with_(B.RUNS_SQL, B.VERSIONS_SQL, _REF, B.FEATURES_SQL, _RUN_ALERTS) + """
 SELECT run_id, 'PERFORMANCE' AS category, '' AS feature, CASE WHEN dr >= 0.1 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
   CASE WHEN dr >= 0.1 THEN 'PERFORMANCE_DROP_MAJOR' ELSE 'PERFORMANCE_DROP_MINOR' END AS rule_code,
@@ -624,8 +607,8 @@ LEFT JOIN mix ON mix.run_id = r.run_id AND mix.label = cl.label LEFT JOIN tot ON
   (SELECT count(*) FROM versions v WHERE v.model_id = m.model_id) AS version_count,
   coalesce(l.health_band IN ('WARNING', 'CRITICAL'), false) AS needs_attention, coalesce(l.health_score, 101) AS rank_score
 FROM models m LEFT JOIN latest l USING (model_id)""",
-    "version_comparison": Q.with_(*_COMPARE) + _SIDE_BY_SIDE,
-    "comparison_verdict": Q.with_(*_COMPARE) + _VERDICT,
+    "version_comparison": Q.with_(*_COMPARE_STEPS) + _SIDE_BY_SIDE,
+    "comparison_verdict": Q.with_(*_COMPARE_STEPS) + _VERDICT,
     "version_steps": Q.with_(*_COMPARE_STEPS) + _SIDE_BY_SIDE,
     "version_steps_verdict": Q.with_(*_COMPARE_STEPS) + _VERDICT,
     "time_labels": "SELECT event_id, strftime(ts, '%d %b %H:%M') AS label, strftime(ts, '%Y-%m-%d') AS day FROM events",
