@@ -10,7 +10,7 @@ from .. import schemas as S
 from ..functions import text as X
 from ..functions.status import Thresholds, accuracy_drop
 from ..storage import materialise
-from .ordered import newest, previous_values, running_sums
+from .ordered import in_ranges, newest, previous_values, running_sums
 
 _FIELDS = ["category", "feature", "severity", "rule_code", "headline", "message"]
 
@@ -101,7 +101,7 @@ def dedup_alerts(occurrences: DataFrame, keys: list[str], ts: str, tie: str,
     if resolutions is not None:
         marks = resolutions.select(*keys, ts).withColumn("_resolve", F.lit(1))
         rows = rows.unionByName(marks, allowMissingColumns=True)
-    slice_by = F.date_trunc("day", F.col(ts))
+    rows, slice_by = in_ranges(rows, keys, [ts, "_resolve", tie]), F.col("_range")
     before = previous_values(
         rows, keys, [ts, "_resolve", tie], slice_by, {"_prev_ts": ts, "_prev_resolve": "_resolve"})
     if resolutions is not None:
@@ -116,7 +116,7 @@ def dedup_alerts(occurrences: DataFrame, keys: list[str], ts: str, tie: str,
     started = materialise(before.withColumn("_start", starts.cast("long")).drop(
         "_prev_ts", "_prev_resolve"), "alert-starts")
     islands = running_sums(started, keys, [ts, "_resolve", tie], slice_by,
-                           {"island": F.col("_start")}).filter(F.col("_resolve") == 0)
+                           {"island": F.col("_start")}).filter(F.col("_resolve") == 0).drop("_range")
     latest = F.struct(ts, tie)
     return islands.groupBy(*keys, "island").agg(
         F.count("*").alias("occurrence_count"), F.min(ts).alias("first_seen_at"),

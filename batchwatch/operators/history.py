@@ -16,10 +16,6 @@ DEFAULT_RANGE = "30d"
 _RUN_ORDER = ["created_at", "run_id"]
 
 
-def _month(column: str) -> Column:
-    return F.date_trunc("month", F.col(column))
-
-
 def visible_models(models: DataFrame, grants: DataFrame, user_id: Column, is_admin: bool = False) -> DataFrame:
     """Everything for an admin; else models the user owns or was granted, each once."""
     if is_admin:
@@ -134,8 +130,7 @@ def feature_history(results: DataFrame, k: int = 30) -> DataFrame:
 
 
 def version_numbers(versions: DataFrame) -> DataFrame:
-    numbered = positions(versions, ["model_id"], ["uploaded_at", "version_id"],
-                         _month("uploaded_at"), "version_number")
+    numbered = positions(versions, ["model_id"], ["uploaded_at", "version_id"], out="version_number")
     return numbered.withColumn("label", F.concat(F.lit("V"), F.col("version_number").cast("string")))
 
 

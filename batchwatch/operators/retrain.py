@@ -17,7 +17,7 @@ def consecutive_below(runs: DataFrame, score: str, limit: Column, out: str,
                       order: tuple[str, str] = ("created_at", "run_id")) -> DataFrame:
     """Flag scored runs that, with the scored run before, are both below the limit (K = 2)."""
     scored = runs.filter(F.col(score).isNotNull())
-    prev = previous_values(scored, ["model_id"], list(order), F.date_trunc("month", F.col(order[0])),
+    prev = previous_values(scored, ["model_id"], list(order), None,
                            {"_before": score})
     return prev.withColumn(out, F.coalesce(
         (F.col(score) < limit) & (F.col("_before") < limit), F.lit(False))).drop("_before")
@@ -92,7 +92,7 @@ def open_recommendations(recommended: DataFrame, closings: DataFrame) -> DataFra
     rows = recommended.withColumn("_close", F.lit(0)).withColumn("action", F.lit(None).cast("string"))
     marks = closings.select("model_id", "created_at", "action").withColumn("_close", F.lit(1))
     both = materialise(rows.unionByName(marks, allowMissingColumns=True), "recommendation-log")
-    numbered = running_sums(both, ["model_id"], order, F.date_trunc("month", F.col("created_at")),
+    numbered = running_sums(both, ["model_id"], order, None,
                             {"closings": F.col("_close").cast("long")})
     # a closing row is itself counted, so it belongs to the recommendation before it
     numbered = numbered.withColumn("island", F.col("closings") - F.col("_close"))

@@ -16,7 +16,7 @@ from .. import schemas as S
 from ..functions.status import column_thresholds
 from ..operators import alerts as A
 from ..operators import retrain as R
-from ..operators.ordered import previous_values, running_sums
+from ..operators.ordered import in_ranges, previous_values, running_sums
 from ..sources.sinks import read_children, read_runs
 from ..storage import materialise
 
@@ -122,8 +122,8 @@ def merge_alerts(before: DataFrame, raised: DataFrame) -> DataFrame:
         F.col("created_at").alias("seen_at"), F.col("created_at").alias("first_seen_at"), F.lit(1).cast("long").alias("n"),
         "cooldown", F.lit(None).cast("long").alias("_number"), F.lit(None).cast("string").alias("status"))
     touched = open_now.join(new.select(*ALERT_KEY).distinct(), ALERT_KEY, "left_semi").unionByName(new)
-    order, by = ["seen_at", "run_id"], F.date_trunc("month", F.col("seen_at"))
-    apart = previous_values(materialise(touched, "touched"), ALERT_KEY, order, by, {"_before": "seen_at"})
+    order, by = ["seen_at", "run_id"], F.col("_range")
+    apart = previous_values(in_ranges(touched, ALERT_KEY, order), ALERT_KEY, order, by, {"_before": "seen_at"})
     gap = F.unix_micros("seen_at") - F.unix_micros("_before")
     started = materialise(apart.withColumn("_start", F.when(
         F.col("_before").isNull() | (gap > F.col("cooldown") * 60_000_000), 1).otherwise(0).cast("long")).drop("_before"), "starts")

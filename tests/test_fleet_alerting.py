@@ -140,3 +140,24 @@ def test_files_are_judged_by_their_schemas(spark, tmp_path):
     refusals = spark.createDataFrame([("1", None), ("2", "'m' is deactivated and accepts no batches.")], "model_id string, refusal_reason string")
     judged = {r.path: (r.status, r.message) for r in Ar.judge_files(of, spark.createDataFrame([("1", "a"), ("2", "a")], "model_id string, feature string"), refusals).collect()}
     assert judged == {"p": ("RECEIVED", None), "q": ("REJECTED", "'m' is deactivated and accepts no batches.")}
+
+
+def test_a_key_with_most_rows_in_one_hour_is_cut_into_ranges(spark):
+    from batchwatch.operators import alerts as Al
+    from batchwatch.operators import ordered as O
+
+    rows = spark.range(20_000).selectExpr(
+        "IF(id % 10 < 9, 1L, id) AS model_id", "IF(id % 10 < 9, timestamp_seconds(id % 3600), timestamp_seconds(id * 977)) AS ts", "id AS run")
+    sliced = O.in_ranges(rows, ["model_id"], ["ts", "run"])
+    sizes = [r["count"] for r in sliced.groupBy("model_id", "_range").count().collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == 20_000 and max(sizes) <= 1.6 * 20_000 / parts
+    numbered = O.positions(rows, ["model_id"], ["ts", "run"])
+    plain = sorted((r.ts, r.run) for r in rows.where("model_id = 1").collect())
+    assert [(r.ts, r.run) for r in numbered.where("model_id = 1").orderBy("position").collect()] == plain
+    assert numbered.where("model_id = 1").agg(F.max("position")).first()[0] == len(plain)
+    before = {r.run: r.last for r in O.previous_values(rows, ["model_id"], ["ts", "run"], None, {"last": "run"}).where(
+        "model_id = 1").collect()}
+    assert [before[run] for _, run in plain] == [None, *[run for _, run in plain[:-1]]]
+    merged = Al.dedup_alerts(rows, ["model_id"], "ts", "run", 60.0)
+    assert merged.where("model_id = 1").select("occurrence_count").collect()[0][0] == len(plain)
