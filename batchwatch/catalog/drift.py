@@ -508,7 +508,7 @@ _HALVES = ("2024-01-20", "9999")
 def _alerted(spark, sf):
     """Stored runs of two commits, alerts raised after each; the second commit is run twice."""
     root = scratch(spark, "history")
-    tables = _monitored(spark, sf, _ALERT_LIMITS).tables()
+    tables = {k: materialise(t, k) for k, t in _monitored(spark, sf, _ALERT_LIMITS).tables().items()}
     tables["runs"] = tables["runs"].withColumns({
         "model_id": F.lit(1).cast("long"), "run_id": F.col("batch_id"), "created_at": F.to_timestamp("batch_id")})
     names = spark.createDataFrame([(1, "events")], "model_id long, name string")
