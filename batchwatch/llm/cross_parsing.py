@@ -24,7 +24,7 @@ from .sample import held_out, sample_per_class
 TRAIN_TEXTS, TRAIN_SYMBOLS = 200, 30_000
 SEGMENT = 1024
 #: segments parsed side by side
-LANES = 8192
+LANES = 4096
 UNKNOWN = "und"
 #: a phrase has to span this many symbols on average, else no language is accepted by ``known_language``
 LEAST_PHRASE = 2.0
@@ -88,7 +88,7 @@ class Edges:
     """Transitions (state, symbol) -> state in one open-addressed table, whatever the size of the alphabet."""
 
     def __init__(self, keys: np.ndarray, to: np.ndarray):
-        bits = max(4, int(4 * len(keys)).bit_length())
+        bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
         self.to = np.zeros(1 << bits, np.int32)

@@ -282,6 +282,27 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark):
     assert len(clean - packed) <= 0.05 * len(clean)
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_awkward_rows_and_of_none(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    rows = [] if empty else [*awkward(), *[(50 + k, f"{PROSE} again {k}") for k in range(12)]]
+    docs = documents(spark, rows).withColumn("_key", F.lit("k")).withColumn("_score", F.lit(0)).withColumn("_language", F.lit(0))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [] if empty else [(k, k % 2, 0) for k in range(50, 62)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of the kind stands here, nor anywhere else in these rows")],
+                          "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = docs
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        stage = function(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns, name
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    kept = {r.doc_id for r in out.collect()}
+    assert kept <= {d for d, t in rows if t}
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
