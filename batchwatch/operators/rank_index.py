@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..storage import local_copy, materialise, near, scratch
 from .longform import numeric_long
 
-#: a page is searched in two steps of SIDE places
+#: a page holds SIDE x SIDE values
 SIDE = 32
 #: values asked for in one page beyond which the page is joined apart, where Spark can split it
 BUSY_PAGE = 100_000
@@ -86,15 +86,16 @@ def rank_index(base: DataFrame, features: list[str], side: int = SIDE) -> RankIn
     return build_index(numeric_long(base, features, []).select("feature", "value"), ["feature"], side)
 
 
-def _reached(value: str, start: str, step: int, side: int) -> str:
-    """How many of the next side - 1 steps from ``start`` hold values up to ``value``; places beyond the end are null."""
-    return " + ".join(f"(CASE WHEN {value} >= get(vals, {start} + {step * i}) THEN 1 ELSE 0 END)" for i in range(1, side))
-
-
 def _found(pages: DataFrame, value: str, side: int) -> DataFrame:
-    """``_at``: the place in ``vals`` of the largest value up to ``value``; 0 also where all are larger."""
-    near = pages.withColumn("_near", F.expr(f"{side} * ({_reached(value, '0', side, side)})"))
-    return near.withColumn("_at", F.expr(f"_near + {_reached(value, '_near', 1, side)}")).drop("_near")
+    """``_at``: the place in ``vals`` of the largest value up to ``value``; 0 also where all are larger.
+
+    One comparison a halving, each in a projection of its own: a single expression over all places of a page grows
+    past the 8,000 bytes of code up to which the JVM compiles a method. Places beyond the end are null.
+    """
+    found, step = pages.withColumn("_at", F.lit(0)), 1 << (side * side - 1).bit_length()
+    while step := step >> 1:
+        found = found.withColumn("_at", F.expr(f"CASE WHEN {value} >= get(vals, _at + {step}) THEN _at + {step} ELSE _at END"))
+    return found
 
 
 def rank_of(asked: DataFrame, index: RankIndex, busy: int = BUSY_PAGE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Profiles, sampling, KS and category comparison against brute force on small frames."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -131,6 +132,25 @@ def test_ranks_and_quantiles_of_an_index_of_many_levels(spark, side):
     assert moments["a"]["std"] == pytest.approx(a.std()) and moments["a"]["missing"] == 1 and moments["none"]["n"] == 0
 
 
+def largest_method(spark, df):
+    """Bytes of the largest method that Spark generates for a plan; the JVM compiles none beyond 8,000."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        # a plan of its own: the frame's was made before the setting
+        text = df.select("*")._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
+def test_the_page_search_is_compiled(spark):
+    index = R.rank_index(spark.range(3000).select(F.col("id").cast("double").alias("x")), ["x"])
+    assert len(index.levels) == 2
+    pages = index.levels[0].join(spark.range(5).select(F.lit("x").alias("feature"), F.col("id").cast("double").alias("value")), "feature")
+    assert largest_method(spark, R._found(pages, "value", index.side)) < 8000
+
+
 def test_a_run_neither_shuffles_nor_writes_the_baseline(spark, tmp_path):
     base = spark.range(300_000).select(F.xxhash64("id").cast("double").alias("x"))
     index = R.rank_index(base, ["x"])
