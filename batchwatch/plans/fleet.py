@@ -69,6 +69,36 @@ def profile_fleet(rows: DataFrame, roles: DataFrame) -> Baseline:
                     roles=roles)
 
 
+#: the columns of a row's digest
+_DIGEST = ["_d0", "_d1", "_d2", "_d3"]
+
+
+def row_digests(typed: DataFrame) -> DataFrame:
+    """KEYS, row_id and the digest of the row's cells but its prediction, 128 bits in four sums.
+
+    The sums, of 32 bits of every cell's SHA-256 each, do not depend on the order of the cells, and equal cells count as
+    often as they occur. Buffers of fixed width keep this a hash aggregate, which combines a row's cells before the shuffle.
+    """
+    # the length tells where the name ends; a missing value has no second mark
+    cell = F.sha2(F.concat_ws("=", F.coalesce(F.length("column"), F.lit(-1)), "column", "value"), 256)
+    bits = [F.xxhash64(F.lit(i), "_cell") for i in range(2)]
+    halves = [h for b in bits for h in (F.shiftrightunsigned(b, 32), b.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return typed.select(*KEYS, "row_id", F.when(F.coalesce(F.col("role") != PREDICTION, F.lit(True)), cell).alias("_cell")).groupBy(
+        *KEYS, "row_id").agg(*[F.sum(F.when(F.col("_cell").isNotNull(), h)).alias(d) for d, h in zip(_DIGEST, halves)])
+
+
+def _outcomes(typed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(KEYS, y_true, y_pred) -> n. Rows without a cell of either role are those that ``sizes`` has besides."""
+    role, value = F.col("role"), F.col("value")
+    counts = materialise(typed.where(role.isin(TARGET, PREDICTION)).groupBy(*KEYS, "row_id").agg(
+        F.max(F.when(role == TARGET, value)).alias("y_true"), F.max(F.when(role == PREDICTION, value)).alias("y_pred")).groupBy(
+        *KEYS, "y_true", "y_pred").agg(F.count("*").alias("n")), "marked")
+    null = F.lit(None).cast("string")
+    rest = [part.select(*KEYS, null.alias("y_true"), null.alias("y_pred"), n.alias("n"))
+            for part, n in ((sizes, F.col("row_count")), (counts, -F.col("n")))]
+    return counts.unionByName(rest[0]).unionByName(rest[1]).groupBy(*KEYS, "y_true", "y_pred").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def run_fleet(rows: DataFrame, baseline: Baseline, models: DataFrame, baseline_mix: DataFrame | None = None) -> MonitoringResult:
     """Monitor every batch of every model.
 
@@ -80,18 +110,12 @@ def run_fleet(rows: DataFrame, baseline: Baseline, models: DataFrame, baseline_m
     known = near(models.select(MODEL, "thresholds", "reference_accuracy"))
     typed = rows.join(near(baseline.roles.join(models, MODEL, "left_semi")), [MODEL, "column"], "left").join(
         near(models.select(MODEL)), MODEL, "left_semi")
-    # one row per row of the feed: its cells are as many as the model has columns
-    cell = F.concat_ws("=", F.col("column"), F.coalesce(F.sha2("value", 256), F.lit("")))
-    is_prediction = F.coalesce(F.col("role") == PREDICTION, F.lit(False))
-    whole = materialise(typed.groupBy(*KEYS, "row_id").agg(
-        F.unhex(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.when(~is_prediction, cell)))), 256)).alias("_d"),
-        F.max(F.when(F.col("role") == TARGET, F.col("value"))).alias("y_true"),
-        F.max(F.when(is_prediction, F.col("value"))).alias("y_pred")), "rows")
-    outcomes = materialise(whole.groupBy(*KEYS, "y_true", "y_pred").agg(F.count("*").alias("n")), "outcomes")
-    copies = whole.groupBy(*KEYS, "_d").agg(F.count("*").alias("c")).groupBy(*KEYS).agg(
+    digests = row_digests(typed)
+    copies = digests.groupBy(*KEYS, *_DIGEST).agg(F.count("*").alias("c")).groupBy(*KEYS).agg(
         F.sum("c").alias("row_count"), (F.sum("c") - F.count("*")).alias("duplicate_rows"))
     duplicates = materialise(copies.withColumn("duplicate_pct", F.bround(
         100.0 * F.col("duplicate_rows") / F.col("row_count"), 4)), "duplicates")
+    outcomes = materialise(_outcomes(typed, duplicates), "outcomes")
 
     values = materialise(D.value_counts(_numbers(typed, KEYS), KEYS), "value-counts")
     state = materialise(typed.where(F.col("role") == S.CATEGORICAL).groupBy(

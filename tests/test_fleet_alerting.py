@@ -161,3 +161,50 @@ def test_a_key_with_most_rows_in_one_hour_is_cut_into_ranges(spark):
     assert [before[run] for _, run in plain] == [None, *[run for _, run in plain[:-1]]]
     merged = Al.dedup_alerts(rows, ["model_id"], "ts", "run", 60.0)
     assert merged.where("model_id = 1").select("occurrence_count").collect()[0][0] == len(plain)
+
+
+def test_rows_of_a_fleet_are_counted_and_never_stored(spark):
+    """Rows that come twice, in any order of cells, with missing values, repeated ids and no prediction."""
+    rng, rows, brute = random.Random(4), [], {}
+    for model, batch in (("m", "a"), ("m", "b"), ("n", "a")):
+        for k in range(400):
+            key = "r0" if k < 3 else f"r{k}"
+            cells = [("x", rng.choice((None, "", "1", "2"))), ("x=", rng.choice(("1", "2"))), ("kind", rng.choice("ab"))]
+            cells += [("y", rng.choice((None, "p", "q")))] * (model == "m" and k % 5 > 0) + [("z", rng.choice("pq"))] * (k % 3 > 0)
+            rng.shuffle(cells)
+            rows += [(model, batch, key, c, v) for c, v in cells]
+            brute.setdefault((model, batch), {}).setdefault(key, []).extend(cells)
+    feed = spark.createDataFrame(rows, "model_id string, batch_id string, row_id string, column string, value string").repartition(5)
+    roles = spark.createDataFrame([(m, c, r) for m in "mn" for c, r in (("x", S.NUMERIC), ("kind", S.CATEGORICAL), ("z", Fl.PREDICTION))]
+                                  + [("m", "y", Fl.TARGET)], "model_id string, column string, role string")
+    limits = F.struct(*[F.lit(float(v)).alias(k) for k, v in S.THRESHOLDS.items()])
+    models = spark.createDataFrame([("m",), ("n",)], "model_id string").select(
+        "model_id", limits.alias("thresholds"), F.array(F.lit("p"), F.lit("q")).alias("labels"), F.lit("p").alias("positive"),
+        F.lit(None).cast("double").alias("reference_accuracy"))
+    baseline, written, store = Fl.profile_fleet(feed, roles), [], Fl.materialise
+
+    def watched(df, name):
+        stored = store(df, name)
+        written.append((name, stored.count()))
+        return stored
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Fl, "materialise", watched)
+        result = Fl.run_fleet(feed, baseline, models)
+    assert written and max(n for _, n in written) < 100  # of 398 rows a batch
+    typed = Fl._typed(feed, roles)
+    plan = Fl.row_digests(typed)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    runs = {(r.model_id, r.batch_id): r for r in result.quality_reports.collect()}
+    outcomes = {}
+    for r in result.confusion.collect():
+        outcomes.setdefault((r.model_id, r.batch_id), {})[r.y_true, r.y_pred] = r.n
+    assert set(runs) == set(outcomes) == set(brute)
+    for key, found in brute.items():
+        distinct = {tuple(sorted(((c, v) for c, v in cells if c != "z"), key=str)) for cells in found.values()}
+        assert (runs[key].row_count, runs[key].duplicate_rows) == (len(found), len(found) - len(distinct))
+        want = {}
+        for cells in found.values():
+            pair = tuple(max((v for c, v in cells if c == name and v is not None and (name == "z" or key[0] == "m")), default=None) for name in "yz")
+            want[pair] = want.get(pair, 0) + 1
+        assert outcomes[key] == want
