@@ -208,19 +208,20 @@ _LACKING = {1: [], 2: ["l_tax"], 3: ["l_tax", "l_discount", "l_quantity"], 4: []
 
 
 def _arrived(spark, sf):
-    """One folder of lineitem files, one per line number, some without required columns."""
+    """One folder of lineitem files for each line number, some without required columns."""
     folder = scratch(spark, "arrivals")
     lines = B.table(spark, sf, "lineitem").select("l_linenumber", *B.LINES_NUMERIC, *B.LINES_CATEGORICAL)
     for number, lacking in _LACKING.items():
-        lines.where(F.col("l_linenumber") == number).drop(*lacking).coalesce(1).write.parquet(f"{folder}/line={number}")
+        lines.where(F.col("l_linenumber") == number).drop(*lacking).write.parquet(f"{folder}/line={number}")
     required = spark.createDataFrame([(c,) for c in [*B.LINES_NUMERIC, *B.LINES_CATEGORICAL]], "feature string")
     return admit_files(spark, folder, required)
 
 
 def wide_schema_check(spark, sf):
     verdicts = _arrived(spark, sf)[1]
+    # files of one line number have the same columns
     return verdicts.select(F.regexp_extract("path", "line=([0-9]+)", 1).cast("long").alias("line"),
-                           F.array_join("missing", ",").alias("missing"), "status", "message")
+                           F.array_join("missing", ",").alias("missing"), "status", "message").distinct()
 
 
 def accepted_files(spark, sf):

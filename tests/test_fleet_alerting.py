@@ -208,3 +208,20 @@ def test_rows_of_a_fleet_are_counted_and_never_stored(spark):
             pair = tuple(max((v for c, v in cells if c == name and v is not None and (name == "z" or key[0] == "m")), default=None) for name in "yz")
             want[pair] = want.get(pair, 0) + 1
         assert outcomes[key] == want
+
+
+def test_arriving_files_are_written_by_many_tasks(spark, tmp_path):
+    from batchwatch.catalog import foundation as Fo
+
+    lines = spark.range(4000).selectExpr(
+        "cast(id % 5 AS int) AS l_linenumber", "cast(id AS double) AS l_quantity", "cast(id AS double) AS l_extendedprice",
+        "0.1D AS l_discount", "0.02D AS l_tax", "'N' AS l_returnflag", "'O' AS l_linestatus")
+    lines.repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    per = {}
+    for r in Fo._arrived(spark, str(tmp_path))[1].collect():
+        number = int(r.path.split("line=")[1][0])
+        per.setdefault(number, []).append(r.status)
+    assert set(per) == {1, 2, 3, 4} and all(len(found) > 1 for found in per.values())
+    told = sorted((r.line, r.missing, r.status) for r in Fo.wide_schema_check(spark, str(tmp_path)).collect())
+    assert told == [(1, "", "RECEIVED"), (2, "l_tax", "REJECTED"), (3, "l_discount,l_quantity,l_tax", "REJECTED"), (4, "", "RECEIVED")]
+    assert sorted(tuple(r) for r in Fo.accepted_files(spark, str(tmp_path)).collect()) == [(1, "N", 800, 16.0), (4, "N", 800, 16.0)]
