@@ -3,7 +3,7 @@
 # Fixed texts: the sentences in this module are part of the results and have to stay as they are.
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,10 +123,13 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def feature_history(results: DataFrame, k: int = 30) -> DataFrame:
-    """A feature's last k results with their place, oldest first."""
-    last = newest(results, ["model_id", "feature"], _RUN_ORDER, k)
-    # at most k rows per feature remain
-    return positions(last, ["model_id", "feature"], _RUN_ORDER, F.lit(0), "place")
+    """A feature's last k results with their place, oldest first; a null key has no places."""
+    keys = ["model_id", "feature"]
+    last = newest(results, keys, _RUN_ORDER, k)
+    # at most k rows per feature remain, and they lie together already
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*_RUN_ORDER)).cast("long")
+    known = F.col("model_id").isNotNull() & F.col("feature").isNotNull()
+    return last.withColumn("place", F.when(known, place))
 
 
 def version_numbers(versions: DataFrame) -> DataFrame:

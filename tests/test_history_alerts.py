@@ -180,3 +180,18 @@ def test_unknown_sort_and_range_fall_back(spark):
 def test_schema_compatibility(spark, left, right, want):
     df = spark.createDataFrame([(left, right)], "l array<string>, r array<string>")
     assert df.select(H.schema_compatible(F.col("l"), F.col("r")).alias("x")).first()["x"] is want
+
+
+def test_feature_history_computes_its_results_once(spark, tmp_path):
+    rows = [(m, f, r, at(days=r % 7), "NONE") for m in (1, 2, None) for f in ("a", "b", None) for r in range(9)]
+    spark.createDataFrame(rows, "model_id long, feature string, run_id long, created_at timestamp, status string").write.parquet(f"{tmp_path}/r")
+    history = H.feature_history(spark.read.parquet(f"{tmp_path}/r"), 4)
+    assert history._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {}
+    for r in history.collect():
+        got.setdefault((r.model_id, r.feature), []).append((r.place, r.created_at, r.run_id))
+    last = sorted((at(days=r % 7), r) for r in range(9))[-4:]
+    assert len(got) == 9
+    for (m, f), found in got.items():
+        places = [None] * 4 if m is None or f is None else [1, 2, 3, 4]
+        assert sorted(found, key=lambda x: x[1:]) == [(p, *x) for p, x in zip(places, last)]
