@@ -123,7 +123,7 @@ def derive(values: DataFrame | None, state: DataFrame | None, duplicates: DataFr
     ``values`` and ``state``, both stored, count numeric values and categories, ``models`` gives reference_accuracy and thresholds
     per model or batch. With a baseline of many models, ``keys`` and the tables carry the model's key.
     """
-    results, columns, unseen_values = [], [], None
+    results, columns, unseen_values, numbers = [], [], None, None
     if values is not None:
         numbers = materialise(D.numeric_state_of(values, baseline.profile, keys), "numeric-state")
         ks = ks_of_counts(D.known_counts(values, keys), baseline.index, keys)
@@ -158,15 +158,16 @@ def derive(values: DataFrame | None, state: DataFrame | None, duplicates: DataFr
     runs = H.health_score(joined)
     return MonitoringResult(
         runs, features, quality, quality_columns, block, mix, outcomes,
-        summaries(values, state, baseline, keys) if values is not None or state is not None else None, unseen_values)
+        summaries(values, state, baseline, keys, numbers) if values is not None or state is not None else None, unseen_values)
 
 
-def summaries(values: DataFrame | None, state: DataFrame | None, baseline: Baseline, keys: list[str]) -> DataFrame:
+def summaries(values: DataFrame | None, state: DataFrame | None, baseline: Baseline, keys: list[str],
+              numbers: DataFrame | None = None) -> DataFrame:
     """Baseline and current side of every feature result as a reader of the stored run shows them.
 
     keys, feature, and a struct each: n, missing, missing_pct, mean, std, min, q1, median, q3, max, bin_edges and
     bin_counts of numeric features; n, missing, missing_pct and n_unique of categorical ones. The counts that the
-    results came from hold all of it.
+    results came from hold all of it. ``numbers`` is the numeric state of ``values``, if there already.
     """
     numeric = ["mean", "std", "min", "q1", "median", "q3", "max"]
     both = ["n", "missing", "missing_pct"]
@@ -182,7 +183,7 @@ def summaries(values: DataFrame | None, state: DataFrame | None, baseline: Basel
     if values is not None:
         on = D.profiled_on(baseline.profile, keys)
         group = [*keys, "feature"]
-        state_of = D.numeric_state_of(values, baseline.profile, keys)
+        state_of = D.numeric_state_of(values, baseline.profile, keys) if numbers is None else numbers
         q = counted_quantiles(values.filter(F.col("value").isNotNull()).select(*group, F.col("value").alias("_v"),
                                                                                 F.col("n").alias("_c")), group, [0.25, 0.5, 0.75])
         current = state_of.join(q, group, "left").join(near(baseline.profile.select(*on, "bin_edges")), on).withColumn(

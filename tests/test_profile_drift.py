@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from batchwatch.catalog import drift as queries
 from batchwatch.operators import categories as C
 from batchwatch.operators import drift as D
 from batchwatch.operators import inference as I
@@ -74,6 +75,43 @@ def test_quantiles_are_exact(spark):
     assert rows["b"] == pytest.approx(np.quantile([1.0, 4.0], probs).tolist())
 
 
+def test_quantiles_order_only_values_around_the_wanted_ranks(spark, monkeypatch):
+    """Both signs, infinities, and a group whose values all lie in one step."""
+    rng = np.random.default_rng(8)
+    wide = np.concatenate([rng.normal(0, 1000, 20_000), [0.0, -0.0, np.inf, -np.inf]])
+    close = 1e9 + np.arange(300)
+    long = spark.createDataFrame([("wide", float(v)) for v in wide] + [("close", float(v)) for v in close], "feature string, value double")
+    kept, store = {}, Q.materialise
+
+    def watched(df, name):
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(Q, "materialise", watched)
+    probs = [0.25, 0.5, 0.75]
+    rows = {r["feature"]: r["quantiles"] for r in Q.exact_quantiles(long, ["feature"], probs).collect()}
+    assert rows["wide"] == pytest.approx(np.quantile(wide, probs).tolist())
+    assert rows["close"] == pytest.approx(np.quantile(close, probs).tolist())
+    assert kept["value-ranges"].where("feature = 'wide'").count() < 1000
+
+
+def lines_folder(spark, path):
+    spark.range(3000).selectExpr(
+        "id AS l_orderkey", "id % 90 AS l_partkey", "id % 7 AS l_suppkey", "cast(id % 4 AS int) AS l_linenumber",
+        "cast(id % 50 AS double) AS l_quantity", "cast(id * 7 % 1013 AS double) AS l_extendedprice", "(id % 11) / 100D AS l_discount",
+        "(id % 9) / 100D AS l_tax", "substr('ANR', cast(id % 3 AS int) + 1, 1) AS l_returnflag", "'O' AS l_linestatus",
+        "timestamp '1995-03-01 00:00:00' + make_interval(cast(id % 3 AS int)) AS l_shipdate").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_stored_sides_come_from_the_state_the_results_came_from(spark, tmp_path, monkeypatch):
+    made, state_of = [], D.numeric_state_of
+    monkeypatch.setattr(D, "numeric_state_of", lambda *given: made.append(given) or state_of(*given))
+    found = queries.stored_summary_rows(spark, lines_folder(spark, tmp_path)).where(
+        "batch_id = '1996' AND feature = 'l_quantity' AND label = 'Median'").first()
+    assert found.current == np.median([i % 50 for i in range(3000) if i % 3 == 1]) and len(made) == 1
+
+
 def ks_reference(spark, values):
     return R.rank_index(spark.createDataFrame([(float(v),) for v in values], "x double"), ["x"])
 
