@@ -35,14 +35,25 @@ def long_rows(df: DataFrame, model_id: str, batch: str, row_key: list[str], colu
         F.lit(model_id).alias(MODEL), BATCH, "row_id", "column", "value")
 
 
-def _typed(rows: DataFrame, roles: DataFrame) -> DataFrame:
-    """Feed rows with the role of their column; columns without a role are left out of features."""
-    return rows.join(near(roles.select(MODEL, "column", "role")), [MODEL, "column"])
+#: names up to which rows are first chosen by a filter, which Spark takes down to where the feed's cells arise
+NAMES = 1000
 
 
-def _numbers(typed: DataFrame, keys: list[str]) -> DataFrame:
+def _named(rows: DataFrame, by: str, chosen: DataFrame) -> DataFrame:
+    """Rows whose ``by`` is among those of ``chosen``; more than NAMES names leave all rows to the join that follows."""
+    names = [r[0] for r in chosen.select(by).distinct().limit(NAMES + 1).collect()]
+    return rows.where(F.col(by).isin(names)) if len(names) <= NAMES else rows
+
+
+def _typed(rows: DataFrame, roles: DataFrame, *kinds: str) -> DataFrame:
+    """Feed rows of the columns that have one of these roles, or any, with the role."""
+    chosen = (roles.where(F.col("role").isin(*kinds)) if kinds else roles).select(MODEL, "column", "role")
+    return _named(rows, "column", chosen).join(near(chosen), [MODEL, "column"])
+
+
+def _numbers(rows: DataFrame, roles: DataFrame, keys: list[str]) -> DataFrame:
     number = F.col("value").try_cast("double")
-    return typed.where(F.col("role") == S.NUMERIC).select(
+    return _typed(rows, roles, S.NUMERIC).select(
         *keys, F.col("column").alias("feature"), F.when(~F.isnan(number), number).alias("value"),
         F.col("value").isNotNull().alias("present"))
 
@@ -53,9 +64,8 @@ def profile_fleet(rows: DataFrame, roles: DataFrame) -> Baseline:
     ``roles`` (model_id, column, role) with NUMERIC, CATEGORICAL, TARGET and PREDICTION is stored with them.
     """
     roles = local_copy(roles.select(MODEL, "column", "role").distinct())
-    typed = _typed(rows, roles)
-    index = build_index(_numbers(typed, [MODEL]).select(MODEL, "feature", "value"), [MODEL, "feature"])
-    cells = typed.where(F.col("role") == S.CATEGORICAL).select(
+    index = build_index(_numbers(rows, roles, [MODEL]).select(MODEL, "feature", "value"), [MODEL, "feature"])
+    cells = _typed(rows, roles, S.CATEGORICAL).select(
         MODEL, F.col("column").alias("feature"), F.col("value").alias("category"))
     counts = materialise(cells.groupBy(MODEL, "feature", "category").agg(F.count("*").alias("n")), "profile-categories")
     present = F.col("category").isNotNull()
@@ -87,10 +97,10 @@ def row_digests(typed: DataFrame) -> DataFrame:
         *KEYS, "row_id").agg(*[F.sum(F.when(F.col("_cell").isNotNull(), h)).alias(d) for d, h in zip(_DIGEST, halves)])
 
 
-def _outcomes(typed: DataFrame, sizes: DataFrame) -> DataFrame:
+def _outcomes(rows: DataFrame, roles: DataFrame, sizes: DataFrame) -> DataFrame:
     """(KEYS, y_true, y_pred) -> n. Rows without a cell of either role are those that ``sizes`` has besides."""
     role, value = F.col("role"), F.col("value")
-    counts = materialise(typed.where(role.isin(TARGET, PREDICTION)).groupBy(*KEYS, "row_id").agg(
+    counts = materialise(_typed(rows, roles, TARGET, PREDICTION).groupBy(*KEYS, "row_id").agg(
         F.max(F.when(role == TARGET, value)).alias("y_true"), F.max(F.when(role == PREDICTION, value)).alias("y_pred")).groupBy(
         *KEYS, "y_true", "y_pred").agg(F.count("*").alias("n")), "marked")
     null = F.lit(None).cast("string")
@@ -108,17 +118,20 @@ def run_fleet(rows: DataFrame, baseline: Baseline, models: DataFrame, baseline_m
     """
     models = local_copy(models.select(MODEL, "thresholds", "labels", "positive", "reference_accuracy"))
     known = near(models.select(MODEL, "thresholds", "reference_accuracy"))
-    typed = rows.join(near(baseline.roles.join(models, MODEL, "left_semi")), [MODEL, "column"], "left").join(
-        near(models.select(MODEL)), MODEL, "left_semi")
-    digests = row_digests(typed)
+    roles = local_copy(baseline.roles.join(models, MODEL, "left_semi"))
+    rows = _named(rows, MODEL, models).join(near(models.select(MODEL)), MODEL, "left_semi")
+    # a cell leaves its row's digest only if its column is nothing but a prediction
+    left_out = local_copy(roles.groupBy(MODEL, "column").agg(F.max("role").alias("role"), F.count("*").alias("_n")).where(
+        (F.col("role") == PREDICTION) & (F.col("_n") == 1)).drop("_n"))
+    digests = row_digests(rows.join(near(left_out), [MODEL, "column"], "left"))
     copies = digests.groupBy(*KEYS, *_DIGEST).agg(F.count("*").alias("c")).groupBy(*KEYS).agg(
         F.sum("c").alias("row_count"), (F.sum("c") - F.count("*")).alias("duplicate_rows"))
     duplicates = materialise(copies.withColumn("duplicate_pct", F.bround(
         100.0 * F.col("duplicate_rows") / F.col("row_count"), 4)), "duplicates")
-    outcomes = materialise(_outcomes(typed, duplicates), "outcomes")
+    outcomes = materialise(_outcomes(rows, roles, duplicates), "outcomes")
 
-    values = materialise(D.value_counts(_numbers(typed, KEYS), KEYS), "value-counts")
-    state = materialise(typed.where(F.col("role") == S.CATEGORICAL).groupBy(
+    values = materialise(D.value_counts(_numbers(rows, roles, KEYS), KEYS), "value-counts")
+    state = materialise(_typed(rows, roles, S.CATEGORICAL).groupBy(
         *KEYS, F.col("column").alias("feature"), F.col("value").alias("category")).agg(F.count("*").alias("n")), "category-state")
     features = baseline.roles.where(F.col("role").isin(S.NUMERIC, S.CATEGORICAL)).select(
         MODEL, F.col("column").alias("feature"), F.col("role").alias("feature_type"))

@@ -225,3 +225,16 @@ def test_arriving_files_are_written_by_many_tasks(spark, tmp_path):
     told = sorted((r.line, r.missing, r.status) for r in Fo.wide_schema_check(spark, str(tmp_path)).collect())
     assert told == [(1, "", "RECEIVED"), (2, "l_tax", "REJECTED"), (3, "l_discount,l_quantity,l_tax", "REJECTED"), (4, "", "RECEIVED")]
     assert sorted(tuple(r) for r in Fo.accepted_files(spark, str(tmp_path)).collect()) == [(1, "N", 800, 16.0), (4, "N", 800, 16.0)]
+
+
+def test_columns_of_other_roles_are_left_out_where_cells_arise(spark):
+    wide = spark.range(20).selectExpr("cast(id AS string) AS id", "id % 3 AS x", "id % 2 AS y", "cast(id AS string) AS other")
+    feed = Fl.long_rows(wide, "m", "'a'", ["id"], ["x", "y", "other"]).unionByName(
+        Fl.long_rows(wide, "n", "'a'", ["id"], ["x", "y", "other"]))
+    roles = spark.createDataFrame([("m", "x", S.NUMERIC), ("m", "y", Fl.TARGET), ("n", "x", S.CATEGORICAL), ("n", "x", S.NUMERIC)],
+                                  "model_id string, column string, role string")
+    found = Fl._typed(feed, roles, Fl.TARGET)
+    assert {(r.model_id, r.column, r.role) for r in found.collect()} == {("m", "y", Fl.TARGET)} and found.count() == 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("= y)")
+    assert Fl._typed(feed, roles).count() == 80 and Fl._typed(feed, roles, Fl.PREDICTION).isEmpty()
