@@ -230,12 +230,13 @@ def reference(base: DataFrame, features: list[str]) -> RankIndex:
     return rank_index(base, features)
 
 
-def profiled(base: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, CategoryBaseline]:
-    return numeric_profile(base, numeric), category_profile(base, categorical)
+def profiled(base: DataFrame, numeric: list[str], categorical: list[str],
+             index: RankIndex | None = None) -> tuple[DataFrame, CategoryBaseline]:
+    return numeric_profile(base, numeric, index), category_profile(base, categorical)
 
 
-def numeric_profile(base: DataFrame, numeric: list[str]) -> DataFrame:
-    return stored_profile(profile_numeric(base, numeric))
+def numeric_profile(base: DataFrame, numeric: list[str], index: RankIndex | None = None) -> DataFrame:
+    return stored_profile(profile_numeric(base, numeric, index=index))
 
 
 def category_counts(base: DataFrame, categorical: list[str]) -> DataFrame:

@@ -116,8 +116,9 @@ def category_alignment(spark, sf):
 def profile_join(spark, sf):
     base = B.events_baseline(spark, sf)
     batches = B.events_batches(spark, sf).drop("props")
-    profile, counts = B.profiled(base, _NUM, _CAT)
-    out = D.drift_report(batches, profile, counts, B.reference(base, _NUM), _NUM, _CAT, KEY)
+    index = B.reference(base, _NUM)
+    profile, counts = B.profiled(base, _NUM, _CAT, index)
+    out = D.drift_report(batches, profile, counts, index, _NUM, _CAT, KEY)
     return out.select("batch_id", "feature", "feature_type", "test_name",
                       F.round("psi", 6).alias("psi"), "status")
 
@@ -137,9 +138,9 @@ def drift_report(spark, sf):
 def drift_lines(spark, sf):
     """The drift report on lineitem: six yearly batches, six features, against the first year."""
     base, batches = B.lines_baseline(spark, sf), B.lines_batches(spark, sf)
-    profile, counts = B.profiled(base, B.LINES_NUMERIC, B.LINES_CATEGORICAL)
-    out = D.drift_report(batches, profile, counts, B.reference(base, B.LINES_NUMERIC),
-                         B.LINES_NUMERIC, B.LINES_CATEGORICAL, KEY)
+    index = B.reference(base, B.LINES_NUMERIC)
+    profile, counts = B.profiled(base, B.LINES_NUMERIC, B.LINES_CATEGORICAL, index)
+    out = D.drift_report(batches, profile, counts, index, B.LINES_NUMERIC, B.LINES_CATEGORICAL, KEY)
     return rounded(out, *_MEASURES)
 
 

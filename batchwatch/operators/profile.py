@@ -99,9 +99,9 @@ def categorical_summary(long: DataFrame, keys: list[str]) -> DataFrame:
              "n_unique")
 
 
-def profile_numeric(df: DataFrame, features: list[str], bins: int = BIN_COUNT) -> DataFrame:
-    """One row per numeric feature: summary, bin edges, bin counts."""
-    return profile_index(rank_index(df, features), bins)
+def profile_numeric(df: DataFrame, features: list[str], bins: int = BIN_COUNT, index: RankIndex | None = None) -> DataFrame:
+    """One row per numeric feature: summary, bin edges, bin counts. ``index`` is the features' index, if there already."""
+    return profile_index(rank_index(df, features) if index is None else index, bins)
 
 
 def profile_index(index: RankIndex, bins: int = BIN_COUNT) -> DataFrame:

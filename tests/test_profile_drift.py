@@ -104,6 +104,13 @@ def lines_folder(spark, path):
     return str(path)
 
 
+def test_a_report_builds_the_index_of_its_baseline_once(spark, tmp_path, monkeypatch):
+    built, build = [], R.build_index
+    monkeypatch.setattr(R, "build_index", lambda *given: built.append(given) or build(*given))
+    assert queries.drift_lines(spark, lines_folder(spark, tmp_path)).count() == 12
+    assert len(built) == 1
+
+
 def test_stored_sides_come_from_the_state_the_results_came_from(spark, tmp_path, monkeypatch):
     made, state_of = [], D.numeric_state_of
     monkeypatch.setattr(D, "numeric_state_of", lambda *given: made.append(given) or state_of(*given))
