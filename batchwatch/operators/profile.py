@@ -88,13 +88,17 @@ def category_counts(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def categorical_summary(long: DataFrame, keys: list[str]) -> DataFrame:
     """count, missing, missing_pct, n_unique per group, from per-category partial counts."""
-    per = long.groupBy(*keys, "category").agg(F.count("*").alias("c"))
+    return counted_summary(long.groupBy(*keys, "category").agg(F.count("*").alias("n")), keys)
+
+
+def counted_summary(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``categorical_summary`` of counts (keys, category, n), the null category's included."""
     present = F.col("category").isNotNull()
-    return per.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(present, F.col("c"))), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(~present, F.col("c"))), F.lit(0)).alias("missing"),
+    return counts.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
         F.count_if(present).alias("n_unique"),
-        F.sum("c").alias("_rows"),
+        F.sum("n").alias("_rows"),
     ).select(*keys, "n", "missing", pct(F.col("missing"), F.col("_rows")).alias("missing_pct"),
              "n_unique")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.values import dtype_kind, half_even, pct
+from ..functions.values import FRACTIONAL, INTEGRAL, TEMPORAL, dtype_kind, half_even, pct
 from .categories import CategoryBaseline, unseen_categories
 from .drift import category_sizes
 
@@ -16,18 +18,32 @@ from .drift import category_sizes
 BY_CONTENT = "content"
 
 
-def _row_digest(df: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 of a row: 32 bytes to shuffle instead of the row. Nulls and types are kept apart."""
+#: types hashed as they are; a value of any other becomes text first
+_PLAIN = (T.BooleanType, *INTEGRAL, *FRACTIONAL, *TEMPORAL, T.BinaryType)
+
+
+def _row_digest(df: DataFrame, columns: list[str]) -> list[Column]:
+    """128 bits of a row, as two longs to shuffle instead of the row. Which cells are null is part of them.
+
+    Two different rows among n have equal bits with a chance below n * n / 2 ** 128.
+    """
     types = {f.name: f.dataType for f in df.schema}
-    cells = []
-    for name in columns:
-        c = F.col(f"`{name}`")
-        if isinstance(types[name], (T.FloatType, T.DoubleType)):
+    cells, nulls = [], []
+    for i, name in enumerate(columns):
+        c, kind = F.col(f"`{name}`"), types[name]
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
             c = F.when(F.isnan(c), F.lit(None)).otherwise(c + F.lit(0.0))
-        elif isinstance(types[name], (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             c = F.unix_micros(c.cast("timestamp"))
-        cells.append(c.alias(name))
-    return F.unhex(F.sha2(F.to_json(F.struct(*cells)), 256))
+        elif isinstance(kind, T.StringType):
+            c = c.cast("binary")
+        elif not isinstance(kind, _PLAIN):
+            c = F.to_json(F.struct(c.alias(name)))
+        cells.append(c)
+        # a hash passes over nulls, so they are told by bits
+        nulls.append(F.when(c.isNull(), F.lit(1 << i % 62).cast("long")).otherwise(F.lit(0).cast("long")))
+    marks = [reduce(Column.__add__, nulls[i:i + 62]) for i in range(0, len(nulls), 62)]
+    return [F.xxhash64(F.lit(seed), *marks, *cells) for seed in (1, 2)]
 
 
 def duplicate_rows(batches: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -36,8 +52,9 @@ def duplicate_rows(batches: DataFrame, keys: list[str], columns: list[str] | Non
     Copies collapse map-side, so a row that is repeated very often is no hot key.
     """
     columns = columns or [c for c in batches.columns if c not in keys]
-    digests = batches.select(*keys, _row_digest(batches, columns).alias("_d"))
-    groups = digests.groupBy(*keys, "_d").agg(F.count("*").alias("c"))
+    one, two = _row_digest(batches, columns)
+    digests = batches.select(*keys, one.alias("_d1"), two.alias("_d2"))
+    groups = digests.groupBy(*keys, "_d1", "_d2").agg(F.count("*").alias("c"))
     per = groups.groupBy(*keys).agg(
         F.sum("c").alias("row_count"), (F.sum("c") - F.count("*")).alias("duplicate_rows"))
     return per.withColumn("duplicate_pct", pct(F.col("duplicate_rows"), F.col("row_count")))

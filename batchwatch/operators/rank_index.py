@@ -29,7 +29,7 @@ class RankIndex:
     """counts: (group, value, n) with null for missing values.  totals: group, n, distinct, missing.
 
     levels: pages from the lowest up; (group, page, vals) and in the lowest also upto (running counts over the
-    group) and before (the count below the page).
+    group), before (the count below the page) and until (the count up to its end).
     """
 
     counts: DataFrame
@@ -64,8 +64,8 @@ def build_index(long: DataFrame, group: list[str], side: int = SIDE) -> RankInde
         *[f"`{k}`" for k in group], "value", "n", "_before + _upto AS upto", "_place + _at - 1 AS place")
     entries = F.array_sort(F.collect_list(F.struct("value", "upto")))  # at most a page
     lowest = placed.groupBy(*group, F.expr(f"place div {page}").alias("page")).agg(
-        entries.alias("_e"), F.min(F.col("upto") - F.col("n")).alias("before")).select(
-        *group, "page", F.col("_e.value").alias("vals"), F.col("_e.upto").alias("upto"), "before")
+        entries.alias("_e"), F.min(F.col("upto") - F.col("n")).alias("before"), F.max("upto").alias("until")).select(
+        *group, "page", F.col("_e.value").alias("vals"), F.col("_e.upto").alias("upto"), "before", "until")
     levels = [_stored_pages(lowest, [*group, "page"])]
     totals = local_copy(ranged.groupBy(*group).agg(
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
@@ -98,18 +98,31 @@ def _found(pages: DataFrame, value: str, side: int) -> DataFrame:
     return found
 
 
-def rank_of(asked: DataFrame, index: RankIndex, busy: int = BUSY_PAGE) -> DataFrame:
-    """``asked`` (index group columns, value, ...) with below and upto: how many indexed values are less, how many not more.
+def page_of(asked: DataFrame, index: RankIndex) -> DataFrame:
+    """``asked`` (index group columns, value, ...) with the page of the lowest level that its value falls into.
 
-    Values of groups that the index lacks are left out.
+    Page p takes the values from its first to that of page p + 1, page 0 also what is less than all.
     """
     group, page = index.group, index.side * index.side
     at = asked.withColumn("page", F.lit(0).cast("long"))
     for level in index.levels[:0:-1]:
-        # one row per feature or per million values
-        at = _found(at.join(level, [*group, "page"]), "value", index.side).withColumn(
+        # one row per feature or per million values, of 8 KB; a shuffle would deal all values to as few keys
+        at = _found(at.join(near(level, 1000), [*group, "page"]), "value", index.side).withColumn(
             "page", F.col("page") * page + F.col("_at")).select(*asked.columns, "page")
-    lowest, key = index.levels[0], [*group, "page"]
+    return at
+
+
+def rank_of(asked: DataFrame, index: RankIndex, busy: int = BUSY_PAGE) -> DataFrame:
+    """``asked`` (index group columns, value, ...) with below and upto: how many indexed values are less, how many not more.
+
+    Values of groups that the index lacks are left out.
+    """
+    return rank_in(page_of(asked, index), index, busy).drop("page")
+
+
+def rank_in(at: DataFrame, index: RankIndex, busy: int = BUSY_PAGE) -> DataFrame:
+    """``rank_of`` of values whose page is known."""
+    lowest, key = index.levels[0], [*index.group, "page"]
     if len(index.levels) > 1:
         # bucketed pages are not split, so a page that very many values fall into is joined by itself
         at = materialise(at, "asked")
@@ -124,7 +137,7 @@ def rank_of(asked: DataFrame, index: RankIndex, busy: int = BUSY_PAGE) -> DataFr
     upto = "CASE WHEN value >= get(vals, 0) THEN get(upto, _at) ELSE before END"
     below = f"CASE WHEN value = get(vals, _at) THEN coalesce(get(upto, _at - 1), before) ELSE {upto} END"
     return _found(joined, "value", index.side).select(
-        *asked.columns, F.expr(below).alias("below"), F.expr(upto).alias("upto"))
+        *at.columns, F.expr(below).alias("below"), F.expr(upto).alias("upto"))
 
 
 def quantiles_of(index: RankIndex, probs: list[float]) -> DataFrame:

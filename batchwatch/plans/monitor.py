@@ -18,7 +18,7 @@ from ..operators import performance as P
 from ..operators import quality as Q
 from ..operators.ks import ks_of_counts
 from ..operators.longform import numeric_long
-from ..operators.profile import profile_categorical, profile_categories, profile_index, stored_profile
+from ..operators.profile import counted_summary, profile_index, stored_profile
 from ..operators.quantiles import counted_quantiles
 from ..operators.rank_index import RankIndex, rank_index
 from ..storage import local_copy, materialise, near
@@ -44,11 +44,13 @@ def profile_baseline(df: DataFrame, numeric: list[str], categorical: list[str])
     types = {f.name: f.dataType for f in df.schema}
     index = rank_index(df, numeric) if numeric else None
     profile = stored_profile(profile_index(index)) if numeric else None
-    categories = C.category_baseline(
-        materialise(profile_categories(df, categorical), "profile-categories")) if categorical else None
+    categories = sizes = None
+    if categorical:
+        counts = materialise(D.category_state(df, categorical, []), "profile-categories")
+        categories = C.category_baseline(counts.where("category IS NOT NULL"))
+        sizes = local_copy(counted_summary(counts, ["feature"]))
     return Baseline(
-        numeric, categorical, profile, categories, index,
-        local_copy(profile_categorical(df, categorical)) if categorical else None,
+        numeric, categorical, profile, categories, index, sizes,
         {f: dtype_kind(types[f]) for f in [*numeric, *categorical]},
         {f: types[f].simpleString() for f in categorical})
 

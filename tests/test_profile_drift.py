@@ -119,6 +119,19 @@ def test_stored_sides_come_from_the_state_the_results_came_from(spark, tmp_path,
     assert found.current == np.median([i % 50 for i in range(3000) if i % 3 == 1]) and len(made) == 1
 
 
+def test_a_baseline_is_counted_once_per_kind_of_feature(spark, tmp_path, monkeypatch):
+    """Sizes of the categorical side come from the counts that the categories come from."""
+    from batchwatch.plans import monitor as M
+    read, long = [], D.category_long
+    for module in (D, P):
+        monkeypatch.setattr(module, "category_long", lambda *given: read.append(given) or long(*given))
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.0), (None, 3.0)], "c string, x double")
+    base = M.profile_baseline(df, ["x"], ["c"])
+    assert len(read) == 1
+    assert base.sizes.first().asDict() == {"feature": "c", "n": 3, "missing": 1, "missing_pct": 25.0, "n_unique": 2}
+    assert sorted((r.category, r.n) for r in base.categories.counts.collect()) == [("a", 2), ("b", 1)]
+
+
 def ks_reference(spark, values):
     return R.rank_index(spark.createDataFrame([(float(v),) for v in values], "x double"), ["x"])
 
@@ -134,6 +147,29 @@ def test_ks_of_more_than_50000_rows_a_side_uses_all_of_them(spark):
     assert smaller["ks"] == row["ks"] and smaller["p_value"] > row["p_value"]
 
 
+def test_ks_looks_up_only_values_of_pages_that_can_hold_the_distance(spark, monkeypatch):
+    """A batch shifted in one place, one without drift, one far off and one between two pages."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(0, 100, 20_000).round(3)
+    shifted = np.where((base > 50) & (base < 80), base + 30, base)
+    first = np.unique(base)[25 * np.arange(1, 40)]
+    batches = {"shifted": shifted, "same": rng.normal(0, 100, 15_000).round(3), "far": np.full(30, 1e6), "between": first - 1e-6}
+    rows = [(k, float(v)) for k, vs in batches.items() for v in vs]
+    asked, rank_in = {}, K.rank_in
+
+    def watched(at, index, *more):
+        asked.update({r["batch_id"]: r["count"] for r in at.groupBy("batch_id").count().collect()})
+        return rank_in(at, index, *more)
+
+    monkeypatch.setattr(K, "rank_in", watched)
+    index = R.build_index(spark.createDataFrame([("x", float(v)) for v in base], "feature string, value double"), ["feature"], 5)
+    got = {r["batch_id"]: r for r in K.ks_statistic(spark.createDataFrame(rows, "batch_id string, x double"), index, ["x"], KEY).collect()}
+    for k, v in batches.items():
+        assert got[k]["ks"] == pytest.approx(brute_ks(base, v), abs=1e-12), k
+        assert got[k]["n_current"] == len(v)
+    assert asked["shifted"] < 1000 and asked["same"] < len(np.unique(batches["same"])) / 2
+
+
 def brute_ks(a, b):
     pooled = np.union1d(a, b)
     fa = np.searchsorted(np.sort(a), pooled, side="right") / len(a)

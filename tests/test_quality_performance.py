@@ -27,6 +27,22 @@ def test_digest_keeps_microseconds_and_null_positions_apart(spark):
     assert Q.duplicate_rows(df, KEY).first()["duplicate_rows"] == 0
 
 
+def test_a_row_is_shuffled_as_two_longs(spark):
+    """Nulls are told from zeros and from each other's places, NaN is null, also in nested and binary cells."""
+    df = spark.sql("""SELECT 'b' AS batch_id, 0 AS i, CAST(NULL AS INT) AS j, CAST('NaN' AS DOUBLE) AS x, array(1, NULL) AS l, X'00' AS y
+      UNION ALL SELECT 'b', 0, NULL, NULL, array(1, NULL), X'00'
+      UNION ALL SELECT 'b', NULL, 0, NULL, array(1, NULL), X'00'
+      UNION ALL SELECT 'b', 0, 0, NULL, array(1, NULL), X'00'
+      UNION ALL SELECT 'b', 0, NULL, 0.0D, array(1, NULL), X'00'
+      UNION ALL SELECT 'b', 0, NULL, -0.0D, array(1, NULL), X'00'
+      UNION ALL SELECT 'b', 0, NULL, NULL, array(NULL, 1), X'00'
+      UNION ALL SELECT 'b', 0, NULL, NULL, array(1, NULL), X''""")
+    found = Q.duplicate_rows(df, KEY).first()
+    assert (found["row_count"], found["duplicate_rows"]) == (8, 2)
+    plan = Q.duplicate_rows(df, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and "xxhash64" in plan
+
+
 def test_quality_score_formula(spark):
     columns = spark.createDataFrame(
         [("b", "x", 100, 10, False, 100, 8, 0), ("b", "c", 100, 0, True, 0, 0, 2)],
